@@ -4,21 +4,35 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, exact_dedup
+from ..runtime import ship
+from . import bpe, exact_dedup, packing, quality, simhash
 
 
 def _table(spark, sf_dir: str, name: str):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op3_quality(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op6_packing(spark, sf_dir):
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark, sf_dir):
+    return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark, sf_dir):
     return bpe.bpe_roundtrip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op7_exact_dedup, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op3_quality, op6_packing, op7_exact_dedup, op8_simhash, op9_bpe)}
 
 ORACLE_SQL = {"op7_exact_dedup": exact_dedup.ORACLE}
