@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..runtime import ship
-from . import bpe, exact_dedup, packing, quality, simhash
+from . import bpe, exact_dedup, hnsw, packing, quality, sharding, simhash
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -17,6 +17,10 @@ def op3_quality(spark, sf_dir):
     return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op4_sharding(spark, sf_dir):
+    return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -33,6 +37,10 @@ def op9_bpe(spark, sf_dir):
     return bpe.bpe_roundtrip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op3_quality, op6_packing, op7_exact_dedup, op8_simhash, op9_bpe)}
+def op10_hnsw(spark, sf_dir):
+    return hnsw.embedding_groups(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op3_quality, op4_sharding, op6_packing, op7_exact_dedup, op8_simhash, op9_bpe, op10_hnsw)}
 
 ORACLE_SQL = {"op7_exact_dedup": exact_dedup.ORACLE}
