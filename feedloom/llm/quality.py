@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from math import exp
 from operator import eq
 from zlib import crc32
 
@@ -111,17 +112,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return train([(np.frombuffer(r.ids, np.int32), np.frombuffer(r.counts, np.int32), r.label) for r in rows])
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text): doc_id, held_out, score, predicted (1 if score >= threshold).
-
-    The whole text and nothing else is scored. Null and empty texts have no features and get the model's prior. Rows that
-    repeat score alike; a null doc_id is not held out; other columns are ignored; an empty table gives an empty result.
-    The model's one number a bucket (2 MB) is broadcast; the stage is narrow.
-    """
+def _scorer(model: Model, spark):
+    """A function that makes a worker's scoring function: text -> score."""
     lean, bias = model.lean()
-    shared = docs.sparkSession.sparkContext.broadcast(lean)
+    shared = spark.sparkContext.broadcast(lean)
 
-    def run(batches):
+    def make():
         table = shared.value.tolist()
 
         class Words(dict):
@@ -136,16 +132,46 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
                 return got
 
         words = Words()
+
+        def one(text: str | None) -> float:
+            split = (text or "").split()
+            n = repeats(split)
+            total = sum(map(words.__getitem__, split), complex(n * table[REPEAT], n))
+            x = bias + (total.real / total.imag if total.imag else 0.0)
+            return 1 / (1 + exp(-min(max(x, -700.0), 700.0)))
+
+        return one
+
+    return make
+
+
+def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """For each row of ``docs`` (doc_id, text): doc_id, held_out, score, predicted (1 if score >= threshold).
+
+    The whole text and nothing else is scored. Null and empty texts have no features and get the model's prior. Rows that
+    repeat score alike; a null doc_id is not held out; other columns are ignored; an empty table gives an empty result.
+    The model's one number a bucket (2 MB) is broadcast; the stage is narrow.
+    """
+    make = _scorer(model, docs.sparkSession)
+
+    def run(batches):
+        one = make()
         for b in batches:
-            scores = []
-            for text in b.column(1):
-                split = (text.as_py() or "").split()
-                n = repeats(split)
-                total = sum(map(words.__getitem__, split), complex(n * table[REPEAT], n))
-                x = bias + (total.real / total.imag if total.imag else 0.0)
-                scores.append(1 / (1 + np.exp(-min(max(x, -700), 700))))
+            scores = [one(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(doc_id).alias("held_out"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores at least ``threshold``; edge cases as in ``score``."""
+    make, at = _scorer(model, docs.sparkSession), docs.columns.index("text")
+
+    def run(batches):
+        one = make()
+        for b in batches:
+            yield b.filter(pa.array([one(t.as_py()) >= threshold for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

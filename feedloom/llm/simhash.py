@@ -89,13 +89,13 @@ def covering(blocks: int, threshold: int) -> tuple[CoveringCode, list[tuple[int,
 
 
 def _replicate(blocks: int, threshold: int):
-    """Rows (anchor, fp, home): each fingerprint at every anchor within covering radius plus threshold of a block, and at
+    """Rows (anchor, id, fp, home): each fingerprint at every anchor within covering radius plus threshold of a block, and at
     its home anchor once more with home set."""
 
     def run(batches):
         code, cuts = covering(blocks, threshold)
         for b in batches:
-            fps = b.column(0).to_numpy(zero_copy_only=False)
+            ids, fps = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             for at in range(0, len(fps), 20_000):
                 part = fps[at : at + 20_000]
                 for k, (shift, width) in enumerate(cuts):
@@ -112,70 +112,74 @@ def _replicate(blocks: int, threshold: int):
                         rows += [np.repeat(own, near.shape[1]), own]
                         homes += [np.zeros(near.size, bool), np.ones(len(own), bool)]
                     if rows:
-                        anchor = (np.concatenate(anchors) << 2) | k
-                        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[np.concatenate(rows)]), pa.array(np.concatenate(homes))], ["anchor", "fp", "home"])
+                        anchor, row = (np.concatenate(anchors) << 2) | k, np.concatenate(rows) + at
+                        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids[row]), pa.array(fps[row]), pa.array(np.concatenate(homes))], ["anchor", "id", "fp", "home"])
 
     return run
 
 
-def spanning(home: np.ndarray, rows: np.ndarray, threshold: int, block: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
-    """Stars (member, smallest member) of the components that the links between ``home`` and ``rows`` make: every link is
-    looked at, but only one row a member leaves, so a group of copies never gives all its pairs."""
-    values, label = np.unique(np.concatenate([home, rows])), None
+def spanning(ids: np.ndarray, fps: np.ndarray, home: np.ndarray, threshold: int, block: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect whatever the links between the rows with ``home`` and the others connect. Every link is looked
+    at, but a row leaves an edge only to the nearest member of each component it joins, so a group of copies never
+    gives all its pairs."""
+    nodes, at = np.unique(ids, return_inverse=True)
+    own, rows = np.flatnonzero(home), np.flatnonzero(~home)
+    label, us, vs = np.arange(len(nodes)), [], []
     step = max(1, block // max(1, len(rows)))
-    for at in range(0, len(home), step):
-        part = home[at : at + step]
-        hit = np.bitwise_count(part[:, None] ^ rows[None, :]) <= threshold
+    for a in range(0, len(own), step):
+        part = own[a : a + step]
+        apart = np.bitwise_count(fps[part][:, None] ^ fps[rows][None, :])
+        hit = apart <= threshold
         for i in np.flatnonzero(hit.sum(1) > 1).tolist():
-            if label is None:
-                label = np.arange(len(values))
-            members = np.searchsorted(values, np.append(rows[hit[i]], part[i]))
-            roots = np.unique(label[members])
-            if len(roots) > 1:
-                label[np.isin(label, roots)] = roots[0]
-    if label is None:
-        return values[:0], values[:0]
-    moved = np.flatnonzero(label != np.arange(len(values)))
-    return values[moved], values[label[moved]]
+            near = rows[hit[i]]
+            near = near[np.argsort(apart[i][hit[i]], kind="stable")]
+            me = at[part[i]]
+            found, first = np.unique(label[at[near]], return_index=True)
+            new = found != label[me]
+            if new.any():
+                us.append(np.full(int(new.sum()), nodes[me]))
+                vs.append(ids[near[first[new]]])
+                label[np.isin(label, found)] = label[me]
+    return (np.concatenate(us), np.concatenate(vs)) if us else (nodes[:0], nodes[:0])
 
 
 def _compare(threshold: int):
     def run(table: pa.Table) -> pa.Table:
-        anchor, i, j = (table.column(c).to_numpy() for c in ("anchor", "i", "j"))
-        fp, home = table.column("fp").to_numpy().view(np.uint64), table.column("home").to_numpy()
+        anchor, i, j, ids, home = (table.column(c).to_numpy() for c in ("anchor", "i", "j", "id", "home"))
+        fp = table.column("fp").to_numpy().view(np.uint64)
         order = np.lexsort((j, i, anchor))
-        anchor, i, j, fp, home = anchor[order], i[order], j[order], fp[order], home[order]
+        anchor, i, j, ids, fp, home = (x[order] for x in (anchor, i, j, ids, fp, home))
         new = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(i, prepend=-1) != 0) | (np.diff(j, prepend=-1) != 0))
-        us, vs = [], []
+        us, vs = [ids[:0]], [ids[:0]]
         for a, z in zip(new.tolist(), [*new[1:].tolist(), len(fp)]):
-            own = home[a:z]
-            if own.any() and z - a > own.sum():
-                u, v = spanning(fp[a:z][own], fp[a:z][~own], threshold)
+            if home[a:z].any():
+                u, v = spanning(ids[a:z], fp[a:z], home[a:z], threshold)
                 us.append(u)
                 vs.append(v)
-        u, v = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (us, vs))
-        return pa.table({"u": pa.array(u.view(np.int64)), "v": pa.array(v.view(np.int64))})
+        return pa.table({"u": pa.array(np.concatenate(us)), "v": pa.array(np.concatenate(vs))})
 
     return run
 
 
-def links(fps: DataFrame, threshold: int, most: int = 20_000, wide_from: int = 20_000_000) -> DataFrame:
-    """Edges (u, v) over the distinct fingerprints ``fps`` (a stored table with the long column fp) whose components are
-    those of all pairs within ``threshold`` bits.
+def links(nodes: DataFrame, threshold: int, within: int | None = None, most: int = 20_000, wide_from: int = 20_000_000) -> DataFrame:
+    """Edges (u, v) over ``nodes`` (a stored table with long columns id and fp, ids unique) that connect all pairs whose
+    fingerprints differ in at most ``threshold`` bits. With ``within`` above that, pairs that meet at an anchor link up to
+    ``within`` bits; ``threshold`` is then what is certain to meet.
 
-    Up to ``wide_from`` fingerprints the anchors are Golay words over three blocks, beyond that Hamming words over two, which
+    Up to ``wide_from`` nodes the anchors are Golay words over three blocks, beyond that Hamming words over two, which
     replicate more and compare less; both find every link. Anchors with over ``most`` rows are cut into cells,
     each with a part of the homes and a part of the rows, so no task gathers a hot anchor.
     """
-    blocks = 3 if fps.count() <= wide_from else 2
-    placed = stored(fps.select("fp").repartition(tasks(fps.sparkSession)).mapInArrow(_replicate(blocks, threshold), "anchor long, fp long, home boolean"), "anchors")
+    n = nodes.count()
+    blocks, parts = (3 if n <= wide_from else 2), tasks(nodes.sparkSession)
+    placed = stored(nodes.select("id", "fp").repartition(parts).mapInArrow(_replicate(blocks, threshold), "anchor long, id long, fp long, home boolean"), "anchors")
     hot = checked_broadcast(stored(placed.groupBy("anchor").count().where(F.col("count") > most).select("anchor", F.ceil(F.col("count") / most).cast("int").alias("cuts")), "hot"))
     cuts = F.coalesce("cuts", F.lit(1))
-    placed = placed.join(hot, "anchor", "left").withColumns({"cuts": cuts, "own": F.pmod(F.hash("fp"), cuts)})
-    placed = placed.select("anchor", "fp", "home", "own", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
-    placed = placed.select("anchor", "fp", "home", F.when(F.col("home"), F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("home"), F.col("other")).otherwise(F.col("own")).alias("j"))
-    groups = max(4 * tasks(fps.sparkSession), fps.count() // 2_000)
-    return placed.withColumn("cell", F.pmod(F.hash("anchor", "i", "j"), F.lit(groups))).groupBy("cell").applyInArrow(_compare(threshold), "u long, v long")
+    placed = placed.join(hot, "anchor", "left").withColumns({"cuts": cuts, "own": F.pmod(F.hash("id"), cuts)})
+    placed = placed.select("anchor", "id", "fp", "home", "own", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
+    cell = {"i": F.when(F.col("home"), F.col("own")).otherwise(F.col("other")), "j": F.when(F.col("home"), F.col("other")).otherwise(F.col("own"))}
+    placed = placed.withColumns(cell).withColumn("cell", F.pmod(F.hash("anchor", "i", "j"), F.lit(max(4 * parts, n // 2_000))))
+    return placed.select("cell", "anchor", "i", "j", "id", "fp", "home").groupBy("cell").applyInArrow(_compare(within or threshold), "u long, v long")
 
 
 def simhash_groups(docs: DataFrame, words: int = 4, threshold: int = 4) -> DataFrame:
@@ -189,9 +193,57 @@ def simhash_groups(docs: DataFrame, words: int = 4, threshold: int = 4) -> DataF
     """
     docs = stored(fingerprints(docs, words), "fingerprints")
     fps = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    groups = components(links(fps, threshold))
+    groups = components(links(fps.select(F.col("fp").alias("id"), "fp"), threshold))
     label = F.coalesce("label", "fp")
     labelled = stored(fps.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", label.alias("label")), "labelled")
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     known = stored(labelled.select("fp", "label").join(least, "label").select("fp", "component_id"), "components")
     return docs.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _shingles(words: int):
+    def run(batches):
+        for b in batches:
+            sets = []
+            for text in b.column(1):
+                w = (text.as_py() or "").encode("utf-8", "replace").lower().split()
+                grams = map(b" ".join, zip(*[w[i:] for i in range(words)])) if len(w) >= words else [b" ".join(w)]
+                sets.append(np.unique(np.frombuffer(b"".join({xxh64_digest(s, 0) for s in grams}), np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+
+    return run
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, certain: int = 8, within: int = 12) -> DataFrame:
+    """``docs`` (doc_id, text, any other columns) with one row of each group of near duplicates: that of the least doc_id.
+
+    SimHash fingerprints over ``words``-word shingles meet at anchors (surely up to ``certain`` differing bits); pairs within
+    ``within`` bits that connect groups are verified: their sets of shingles must have a Jaccard similarity of at least
+    ``similarity``, of whole texts. Groups are the components of verified links; equal texts are one node. Null text counts as
+    empty text, and empty texts are equal. Rows with a null doc_id stay and count for no group unless all there are null;
+    rows that repeat the doc_id that stays, with a text of the group, stay too. An empty table gives an empty result.
+    """
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(text).alias("id"))
+
+    def run(batches):
+        for b in batches:
+            fps = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps)], ["doc_id", "id", "fp"])
+
+    rows = stored(keyed.mapInArrow(run, "doc_id long, id long, fp long"), "fingerprints")
+    nodes = stored(rows.groupBy("id").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
+    edges = stored(links(nodes, certain, within).distinct(), "candidates")
+    ends = checked_broadcast(stored(edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct(), "ends"))
+    texts = keyed.join(ends, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    sets = stored(texts.mapInArrow(_shingles(words), "id long, shingles array<long>"), "shingles")
+    both = edges.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    verified = both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    labels = components(verified)
+    known = nodes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "least", "n", F.coalesce("label", "id").alias("label"))
+    keep = known.groupBy("label").agg(F.min("least").alias("keep"), F.sum("n").alias("rows"))
+    keep = stored(known.select("id", "label").join(keep.where("rows > 1"), "label").select("id", "keep"), "keep")
+    drops = checked_broadcast(stored(rows.join(keep, "id").where("doc_id <> keep").select(F.col("doc_id").alias("__doc_id"), F.col("id").alias("__id")).distinct(), "drops"))
+    marked = docs.withColumn("__text", F.xxhash64(text))
+    return marked.join(drops, (marked["doc_id"].cast("long") == drops["__doc_id"]) & (marked["__text"] == drops["__id"]), "left_anti").drop("__text")
