@@ -214,7 +214,7 @@ def _shingles(words: int):
     return run
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, certain: int = 8, within: int = 12) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, certain: int = 8, within: int = 14) -> DataFrame:
     """``docs`` (doc_id, text, any other columns) with one row of each group of near duplicates: that of the least doc_id.
 
     SimHash fingerprints over ``words``-word shingles meet at anchors (surely up to ``certain`` differing bits); pairs within
