@@ -18,7 +18,7 @@ SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 #: Cuts a text where the tokenizers' pattern cuts it anyway: a word with at most one space before it, and other white space.
 CHUNKS = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 #: Most entries of each of a worker's caches.
-CACHE = 400_000
+CACHE = 800_000
 
 
 class Ranks:
@@ -31,7 +31,7 @@ class Ranks:
         self.bytes = [b""] * (max(self.rank.values()) + 1)
         for token, r in self.rank.items():
             self.bytes[r] = token
-        self._follows: dict[tuple[bytes, bytes], bool] = {}
+        self.known: dict[tuple[bytes, bytes], bool] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
         """BPE by its definition: merge the leftmost adjacent pair of least rank until none has a rank."""
@@ -45,12 +45,10 @@ class Ranks:
 
     def follows(self, a: bytes, b: bytes) -> bool:
         """Whether BPE leaves the bytes of token ``a`` and then ``b`` as just those two tokens (``a`` empty: as ``b``)."""
-        got = self._follows.get((a, b))
-        if got is None:
-            if len(self._follows) >= CACHE:
-                self._follows.clear()
-            got = self._follows[a, b] = self.merged(a + b) == ([a, b] if a else [b])
-        return got
+        if len(self.known) >= CACHE:
+            self.known.clear()
+        ok = self.known[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+        return ok
 
 
 class Prefixes:
@@ -63,19 +61,24 @@ class Prefixes:
         self.ranks, self.data, self.last = ranks, b"", [b""]
         self.append(data)
 
-    def _step(self, data: bytes, i: int) -> bytes:
-        rank, last, follows = self.ranks.rank, self.last, self.ranks.follows
-        for j in range(max(0, i - self.ranks.longest), i):
-            token = data[j:i]
-            if token in rank and follows(last[j], token):
-                return token
-        raise ValueError(f"no token can end at byte {i}: the vocabulary lacks a byte")
+    def _extend(self, data: bytes, start: int, end: int) -> None:
+        """Entries start + 1 to end. The valid last token is unique, and mostly short: short ones are tried first."""
+        rank, last, known, follows, longest = self.ranks.rank, self.last, self.ranks.known.get, self.ranks.follows, self.ranks.longest
+        for i in range(start + 1, end + 1):
+            for j in range(i - 1, max(0, i - longest) - 1, -1):
+                token = data[j:i]
+                if token in rank:
+                    ok = known((last[j], token))
+                    if ok or ok is None and follows(last[j], token):
+                        last.append(token)
+                        break
+            else:
+                raise ValueError(f"no token can end at byte {i}: the vocabulary lacks a byte")
 
     def append(self, more: bytes) -> None:
         """Exact append: no earlier entry changes."""
         data, start = self.data + more, len(self.data)
-        for i in range(start + 1, len(data) + 1):
-            self.last.append(self._step(data, i))
+        self._extend(data, start, len(data))
         self.data = data
 
     def replace(self, start: int, end: int, new: bytes) -> int:
@@ -84,8 +87,8 @@ class Prefixes:
         old, data = self.last, self.data[:start] + new + self.data[end:]
         self.last, shift, agree, i = old[: start + 1], len(new) - (end - start), 0, start
         while i < len(data) and agree < self.ranks.longest:
+            self._extend(data, i, i + 1)
             i += 1
-            self.last.append(self._step(data, i))
             agree = agree + 1 if i > start + len(new) and self.last[i] == old[i - shift] else 0
         self.last += old[i - shift + 1 :]
         self.data = data
