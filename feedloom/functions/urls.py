@@ -20,7 +20,7 @@ BLOCKED_NAMES = [
     "barron's", "barrons", "cnbc", "investorplace", "simply wall st", "street insider", "zacks",
     "investor's business daily", "morningstar", "investing.com",
 ]
-WEB = "^(?i)(https?)://([^/?#]*@)?([^/?#:\\s]+|\\[[0-9A-Fa-f:.]+\\])(:[0-9]*)?([^?#\\s]*)(\\?[^#\\s]*)?(#\\S*)?$"
+WEB = "^(?i)(https?)://([^/?#]*@)?(\\[[0-9A-Fa-f:.]+\\]|[^/?#:\\[\\s]+)(:[0-9]*)?((?:/[^?#\\s]*)?)(\\?[^#\\s]*)?(#\\S*)?$"
 
 
 def part(url: Column, group: int) -> Column:
