@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Most entries of a worker's cache of words.
-CACHE = 400_000
+#: Most entries of a worker's caches of words as they stand and of their bases.
+CACHE, BASES = 800_000, 600_000
+#: A word of Latin letters that have no decomposed form among them, and ASCII punctuation after it (no apostrophe): the
+#: tokenizer cuts between the two and ignores case, so they are looked up apart.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
 #: Separators of white space that str.split() knows and the tokenizer does not; fixed values.
 CONTROLS, WORDS = re.compile("[\x1c-\x1f]"), re.compile("[^ \t\n\r]+")
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -33,21 +36,43 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words: dict[str, bytes] = {}
+        self.bases: dict[str, bytes] = {"": b""}
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        coded = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+    def _store(self, words: list[str], coded) -> None:
+        """Keep the ids of each of ``words``, which are what the encoding counts as words."""
         ids, of = np.array(coded.ids, "<u4"), np.array(coded.word_ids, np.int64)
-        cuts = np.searchsorted(of, np.arange(len(words) + 1))
-        return {w: ids[a:z].tobytes() for w, a, z in zip(words, cuts[:-1], cuts[1:])}
+        cuts = np.searchsorted(of, np.arange(len(words) + 1)) * 4
+        data, cuts = ids.tobytes(), cuts.tolist()
+        self.bases.update((w, data[x:z]) for w, x, z in zip(words, cuts, cuts[1:]))
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.bases) > BASES:
+            self.bases = {"": b""}
+        plain, odd, bases, match = [], [], self.bases, PLAIN.fullmatch
+        for w in words:
+            if m := match(w):
+                base, tail = m[1].lower(), m[2]
+                plain.append((w, base, tail))
+                if tail not in bases:
+                    odd.append(tail)
+            else:
+                odd.append(w)
+        if letters := sorted({base for _, base, _ in plain if base not in bases}):
+            # a run of letters is one word to the tokenizer, so one text holds them all
+            self._store(letters, self.tokenizer.encode(" ".join(letters), add_special_tokens=False))
+        if odd := sorted({w for w in odd if w not in bases}):
+            self._store(odd, self.tokenizer.encode(odd, is_pretokenized=True, add_special_tokens=False))
+        self.words.update((w, bases[base] + bases[tail]) for w, base, tail in plain)
+        self.words.update((w, bases[w]) for w in words if w not in self.words)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split() if not CONTROLS.search(t) else WORDS.findall(t) for t in texts]
         if len(self.words) > CACHE:
             self.words.clear()
-        new = set().union(*split) - self.words.keys()
-        if new:
-            self.words |= self._learn(sorted(new))
-        get = self.words.__getitem__
+        known = self.words
+        if new := {w for s in split for w in s if w not in known}:
+            self._learn(new)
+        get = known.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
 
