@@ -89,7 +89,7 @@ def _listed(k: int, found: Column) -> Column:
 
 
 def candidates(docs: DataFrame, rules=RULES) -> DataFrame:
-    """Rows (doc_id, c0, c1, ...): for each rule with mandatory trigrams whether the document's postings answer its query.
+    """Rows (doc_id, __c0, __c1, ...): for each rule with mandatory trigrams whether the document's postings answer its query.
 
     The inverted index has a posting (trigram, doc_id) for each trigram that some query names and each text that
     has it; a query is answered by intersecting postings, as a fold of each document's trigrams into bit sets."""
@@ -109,7 +109,7 @@ def candidates(docs: DataFrame, rules=RULES) -> DataFrame:
 
         return reduce(lambda a, b: a | b, [all_of(s) for s in query])
 
-    flags = {f"c{k}": answered(q) for k, q in enumerate(queries) if q}
+    flags = {f"__c{k}": answered(q) for k, q in enumerate(queries) if q}
     return merged.select("doc_id", *[v.alias(k) for k, v in flags.items()]).where(reduce(lambda a, b: a | b, [F.col(k) for k in flags]))
 
 
@@ -133,7 +133,7 @@ def scan_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
     routed = _routed(rows, rules)
     found = []
     for k, rule in enumerate(rules):
-        fits = F.coalesce(F.col(f"c{k}"), F.lit(False)) if trigram_query(rule.pattern) else F.rlike("text", F.lit(rule.pattern))
+        fits = F.coalesce(F.col(f"__c{k}"), F.lit(False)) if trigram_query(rule.pattern) else F.rlike("text", F.lit(rule.pattern))
         found.append(F.when(fits, _present(rule, F.col("text"))).alias(f"r{k}"))
     seen = stored(routed.select(F.monotonically_increasing_id().alias("uid"), "doc_id", *found), "matches")
     one = [_listed(k, F.col(f"r{k}")) for k in range(len(rules))]
@@ -163,7 +163,7 @@ def redact(docs: DataFrame, rules=RULES, mark: str = "[REDACTED]") -> DataFrame:
         before, hits = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, p, F.lit(0))
         kept = F.regexp_extract_all(text, p, F.lit(rule.group)) if rule.group else hits
         glued = F.array_join(F.transform(F.arrays_zip(before.alias("a"), hits.alias("b"), kept.alias("c")), lambda x: F.concat(x["a"], F.when(F.length(x["c"]) >= rule.least, F.lit(mark)).otherwise(F.coalesce(x["b"], F.lit(""))))), "")
-        fits = F.coalesce(F.col(f"c{k}"), F.lit(False)) if trigram_query(rule.pattern) else F.rlike("text", F.lit(rule.pattern))
+        fits = F.coalesce(F.col(f"__c{k}"), F.lit(False)) if trigram_query(rule.pattern) else F.rlike("text", F.lit(rule.pattern))
         routed = routed.withColumn("text", F.when(fits, glued).otherwise(F.col("text")))
     return routed.select(names)
 
