@@ -95,11 +95,11 @@ def title_tokens(spark, d):
     return page_titles(spark, d).select("page_id", F.array_join(F.array_sort(t), " ").alias("tokens"), F.size(t).cast("long").alias("n"))
 
 
-@query(f"""WITH t AS (SELECT doc_id AS seq, doc_id % 4 = 0 AS aggregator, unnest({SQL_TOKENS.format("text[1:400]")}) AS token FROM documents),
+@query(f"""WITH t AS (SELECT doc_id AS seq, doc_id % 4 = 0 AS aggregator, unnest({SQL_TOKENS.format("string_split(text, chr(10))[1]")}) AS token FROM documents),
 p AS (SELECT a.seq, b.seq AS direct, count(*) AS shared FROM t a JOIN t b USING (token) WHERE a.aggregator AND NOT b.aggregator GROUP BY ALL HAVING count(*) >= 3)
 SELECT seq, min(direct) AS direct, arg_min(shared, direct) AS shared FROM p GROUP BY seq""")
 def title_pairs(spark, d):
-    items = read(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.substring("text", 1, 400).alias("title"), (F.col("doc_id") % 4 == 0).alias("aggregator"))
+    items = read(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.split("text", "\n")[0].alias("title"), (F.col("doc_id") % 4 == 0).alias("aggregator"))
     return ingest.prefer_direct(items)
 
 
@@ -109,9 +109,9 @@ def _replaced(column: str) -> str:
     return column
 
 
-@query(f"SELECT page_id, trim(regexp_replace(replace({_replaced('regexp_replace(html, ' + chr(39) + '<[^>]+>' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}, '&amp;', '&'), '{SQL_SPACE}+', ' ', 'g'))[1:1200] AS snippet FROM pages WHERE NOT regexp_matches(html, '&#')")
+@query(f"SELECT page_id, trim(regexp_replace(replace({_replaced('regexp_replace(html, ' + chr(39) + '<[^>]+>' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}, '&amp;', '&'), '{SQL_SPACE}+', ' ', 'g'))[1:1200] AS snippet FROM pages")
 def html_text(spark, d):
-    return read(spark, d, "pages").where(~F.contains("html", F.lit("&#"))).select("page_id", text.html_text(F.col("html"), 1200).alias("snippet"))
+    return read(spark, d, "pages").select("page_id", text.html_text(F.col("html"), 1200).alias("snippet"))
 
 
 @query()
@@ -131,14 +131,14 @@ def paragraphs(spark, d):
     return read(spark, d, "documents").select("doc_id", F.size(p).cast("long").alias("n"), F.coalesce(F.try_element_at(p, F.lit(1)), F.lit("")).alias("first"))
 
 
-@query(f"SELECT doc_id, replace(replace(replace(replace(replace(text[1:300], '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html, CASE WHEN length(text) > 100 THEN text[1:100] || '…' ELSE text END AS field FROM documents")
+@query(f"SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html, CASE WHEN length(text) > 100 THEN text[1:100] || '…' ELSE text END AS field FROM documents")
 def escaped(spark, d):
-    return read(spark, d, "documents").select("doc_id", text.escape_html(F.substring("text", 1, 300)).alias("html"), text.prompt_field(F.col("text"), 100).alias("field"))
+    return read(spark, d, "documents").select("doc_id", text.escape_html(F.col("text")).alias("html"), text.prompt_field(F.col("text"), 100).alias("field"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^\\s*at\\s.+$', '', 'g'), '(?i)\\bBearer\\s+[A-Za-z0-9._~+/=-]+', 'Bearer <redacted>', 'g'), '\\b[0-9a-fA-F]{40,}\\b', '<redacted-hex>', 'g'), '(?i)\\b([a-z][a-z0-9+.-]*://)[^\\s/@]+@', '\\1<redacted>@', 'g'), '(?:^|\\s)(?:(?:/[^\\s/:]+){2,}|[A-Za-z]:\\\\[^\\s]+)', ' <path>', 'g'), '\\s+', ' ', 'g'))[1:500] AS detail FROM documents WHERE regexp_matches(text, '[0-9a-f]{40}')")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^\\s*at\\s.+$', '', 'g'), '(?i)\\bBearer\\s+[A-Za-z0-9._~+/=-]+', 'Bearer <redacted>', 'g'), '\\b[0-9a-fA-F]{40,}\\b', '<redacted-hex>', 'g'), '(?i)\\b([a-z][a-z0-9+.-]*://)[^\\s/@]+@', '\\1<redacted>@', 'g'), '(?:^|\\s)(?:(?:/[^\\s/:]+){2,}|[A-Za-z]:\\\\[^\\s]+)', ' <path>', 'g'), '\\s+', ' ', 'g'))[1:500] AS detail FROM documents")
 def error_redaction(spark, d):
-    return read(spark, d, "documents").where(F.rlike("text", F.lit("[0-9a-f]{40}"))).select("doc_id", text.redact_error(F.col("text")).alias("detail"))
+    return read(spark, d, "documents").select("doc_id", text.redact_error(F.col("text")).alias("detail"))
 
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS sha, replace(replace(rtrim(base64(encode(source)), '='), '+', '-'), '/', '_') AS b64 FROM documents")
@@ -392,9 +392,9 @@ def history_by_day(spark, d):
     return feed.history(T.articles(spark, d), T.runs(spark, d), T.ZONES, 14)
 
 
-@query(sql("SELECT id FROM articles WHERE len(list_intersect([lang], ['en', 'fr'])) > 0 AND contains(lower(title || ' ' || text[1:200]), 'the')", "articles"))
+@query(sql("SELECT id FROM articles WHERE len(list_intersect([lang], ['en', 'fr'])) > 0 AND contains(lower(title || ' ' || text), 'the')", "articles"))
 def search_filter(spark, d):
-    rows = T.articles(spark, d).select("id", "title", F.substring("text", 1, 200).alias("excerpt"), F.array("lang").alias("tags"))
+    rows = T.articles(spark, d).select("id", "title", F.col("text").alias("excerpt"), F.array("lang").alias("tags"))
     return feed.search(rows, " The ", ["en", "fr"]).select("id")
 
 
@@ -648,9 +648,9 @@ def claims(spark, d):
     return ops.claims(e, "key", ["ts", "event_id"]).select("event_id", "claimed")
 
 
-@query("SELECT event_id, coalesce(t - lag(t) OVER (ORDER BY t, event_id) > 120, true) AS started FROM (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events WHERE user_id = 3)")
+@query("SELECT event_id, coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) > 120, true) AS started FROM (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events)")
 def run_reuse(spark, d):
-    e = read(spark, d, "events").where("user_id = 3").select("event_id", "user_id", timez.seconds(F.col("ts")).alias("t"))
+    e = read(spark, d, "events").select("event_id", "user_id", timez.seconds(F.col("ts")).alias("t"))
     before = F.lag("t").over(W.partitionBy("user_id").orderBy("t", "event_id"))
     return e.select("event_id", F.coalesce(F.col("t") - before > 120, F.lit(True)).alias("started"))
 
@@ -675,10 +675,9 @@ def discovery_states(spark, d):
     return g.select("user_id", action.alias("action"), F.when(u % 2 == 0, 10).otherwise(0).alias("priority"))
 
 
-@query(sql("SELECT source_name, array_to_string(list_sort(list(url) FILTER (CAST(id AS BIGINT) % 3 <> 0)), ',') AS feeds, count(*) FILTER (CAST(id AS BIGINT) % 3 <> 0) = 0 AS requeue FROM (SELECT * FROM articles WHERE CAST(id AS BIGINT) < 60) GROUP BY source_name", "articles"))
+@query(sql("SELECT source_name, array_to_string(list_sort(list(url) FILTER (CAST(id AS BIGINT) % 3 <> 0)), ',') AS feeds, count(*) FILTER (CAST(id AS BIGINT) % 3 <> 0) = 0 AS requeue FROM articles GROUP BY source_name", "articles"))
 def feed_eviction(spark, d):
-    a = T.articles(spark, d).where(F.col("id").cast("long") < 60)
-    g = a.groupBy("source_name").agg(F.collect_set("url").alias("urls"), F.collect_set(F.when(F.col("id").cast("long") % 3 == 0, F.col("url"))).alias("evicted"))
+    g = T.articles(spark, d).groupBy("source_name").agg(F.collect_set("url").alias("urls"), F.collect_set(F.when(F.col("id").cast("long") % 3 == 0, F.col("url"))).alias("evicted"))
     left = F.array_sort(F.array_except("urls", "evicted"))
     return g.select("source_name", F.when(F.size(left) > 0, F.array_join(left, ",")).alias("feeds"), (F.size(left) == 0).alias("requeue"))
 

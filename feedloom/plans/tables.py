@@ -23,7 +23,7 @@ def articles(spark, d) -> DataFrame:
     n = F.col("doc_id")
     return docs.select(
         F.lpad(n.cast("string"), 8, "0").alias("id"),
-        F.trim(F.substring(F.split("text", "\n")[0], 1, 60)).alias("title"),
+        F.trim(F.split("text", "\n")[0]).alias("title"),
         F.col("source").alias("source_name"),
         F.concat(F.lit("https://"), "source", F.lit(".example.com/"), n.cast("string")).alias("url"),
         (F.lit(BASE) + n * 3600).alias("published_at"),
@@ -82,7 +82,7 @@ def runs(spark, d) -> DataFrame:
 
 #: The same in DuckDB SQL.
 CTE = {
-    "articles": f"SELECT lpad(CAST(doc_id AS VARCHAR), 8, '0') AS id, trim(substring(string_split(text, chr(10))[1], 1, 60)) AS title, source AS source_name, 'https://' || source || '.example.com/' || doc_id AS url, {BASE} + doc_id * 3600 AS published_at, {BASE} + doc_id * 3600 + (doc_id % 6) * 600 AS ingested_at, text, lang FROM documents",
+    "articles": f"SELECT lpad(CAST(doc_id AS VARCHAR), 8, '0') AS id, trim(string_split(text, chr(10))[1]) AS title, source AS source_name, 'https://' || source || '.example.com/' || doc_id AS url, {BASE} + doc_id * 3600 AS published_at, {BASE} + doc_id * 3600 + (doc_id % 6) * 600 AS ingested_at, text, lang FROM documents",
     "article_tags": "SELECT lpad(CAST(doc_id AS VARCHAR), 8, '0') AS article_id, unnest([lang, 't' || (doc_id % 5)]) AS tag FROM documents",
     "article_sources": f"SELECT * FROM (SELECT lpad(CAST(doc_id AS VARCHAR), 8, '0') AS article_id, unnest([CASE WHEN doc_id % 3 = 0 THEN 'https://alt' || (doc_id % 7) || '.example.org/' || doc_id END, CASE WHEN doc_id % 6 = 0 THEN 'https://' || source || '.example.com/' || doc_id END]) AS source_url, {BASE} + doc_id * 3600 - 60 AS published_at FROM documents) WHERE source_url IS NOT NULL",
     "reads": f"SELECT user_id, lpad(CAST(event_id % {ARTICLES} AS VARCHAR), 8, '0') AS article_id, CAST(min(floor(epoch(ts))) AS BIGINT) AS read_at FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL",
