@@ -35,6 +35,7 @@ class Graph:
         while at < n:
             batch = order[at : at + min(1024, max(32, at))]
             at += len(batch)
+            found = []  # all layers are searched before any is linked, else a node would find itself a layer below
             for k in range(top, -1, -1):
                 own = batch[level[batch] >= k]
                 if not len(own):
@@ -51,32 +52,74 @@ class Graph:
                     best = np.argpartition(-among, most - 1, axis=1)[:, :most]
                     ids = np.concatenate([ids, own[best].astype(np.int32)], axis=1)
                     sims = np.concatenate([sims, np.take_along_axis(among, best, 1)], axis=1)
-                self._link(own, ids, sims, k)
+                found.append((own, ids, sims, k))
+            for layer in found:
+                self._link(*layer)
             head = int(batch[level[batch].argmax()])
             if level[head] > done_top:
                 self.entry, done_top = head, int(level[head])
         self.top = done_top
+        self._repair()
+
+    def _repair(self, links: int = 4) -> None:
+        """Give ground nodes that no walk from the entry reaches a way in: links from the nearest nodes that it reaches, in
+        further columns of the ground layer, until all are reached."""
+        n = len(self.x)
+        while n:
+            adj = self.layers[0]
+            reached = np.zeros(n, bool)
+            front = np.array([self.entry])
+            while len(front):
+                reached[front] = True
+                front = np.unique(adj[front])
+                front = front[(front >= 0) & ~reached[front]]
+            lost = np.flatnonzero(~reached)
+            if not len(lost):
+                return
+            to, source = [], []
+            for a in range(0, len(lost), 1024):
+                part = lost[a : a + 1024]
+                ids, _ = self.beam(self.x[part], np.full((len(part), 1), self.entry, np.int32), 48)
+                for j in range(links):
+                    ok = ids[:, j] >= 0
+                    source.append(ids[ok, j])
+                    to.append(part[ok])
+            source, to = np.concatenate(source), np.concatenate(to)
+            order = np.argsort(source, kind="stable")
+            source, to = source[order], to[order]
+            _, starts, counts = np.unique(source, return_index=True, return_counts=True)
+            column = np.arange(len(source)) - np.repeat(starts, counts)
+            keep = column < 8  # of many the first: they lead to their neighbours, and the next round sees to the rest
+            more = np.full((n, int(column[keep].max()) + 1), -1, np.int32)
+            more[source[keep], column[keep]] = to[keep]
+            self.layers[0] = np.concatenate([adj, more], axis=1)
 
     def _select(self, ids: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
-        """Of each row's candidates, nearest first, those nearer to the row's node than to any chosen before."""
+        """Of each row's candidates, nearest first, those nearer to the row's node than to any chosen before; slots left
+        over go to the nearest of the rest, which keeps dense groups connected."""
+        by_id = np.argsort(ids, axis=1, kind="stable")
+        in_order = np.take_along_axis(ids, by_id, 1)
+        again = np.zeros(ids.shape, bool)
+        np.put_along_axis(again, by_id[:, 1:], in_order[:, 1:] == in_order[:, :-1], 1)
+        sims = np.where(again | (ids < 0), -np.inf, sims)
         order = np.argsort(-sims, axis=1, kind="stable")[:, : 3 * most]
         ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
-        chosen, count = np.full((len(ids), most), -1, np.int32), np.zeros(len(ids), int)
-        rows = np.arange(len(ids))
+        picked, count = np.zeros(ids.shape, bool), np.zeros(len(ids), int)
+        chosen = np.full((len(ids), most), -1, np.int32)
         for c in range(ids.shape[1]):
-            usable = (ids[:, c] >= 0) & np.isfinite(sims[:, c]) & (count < most)
-            if not usable.any():
+            r = np.flatnonzero(np.isfinite(sims[:, c]) & (count < most))
+            if not len(r):
                 continue
-            r = rows[usable]
-            width = max(1, int(count[r].max()))
-            have = chosen[r, :width]
+            have = chosen[r, : max(1, int(count[r].max()))]
             near = np.einsum("bmd,bd->bm", self.x[have], self.x[ids[r, c]])
             near[have < 0] = -np.inf
-            ok = (near < sims[r, c][:, None]).all(1) & (have != ids[r, c][:, None]).all(1)
-            r = r[ok]
+            r = r[(near < sims[r, c][:, None]).all(1)]
             chosen[r, count[r]] = ids[r, c]
+            picked[r, c] = True
             count[r] += 1
-        return chosen
+        first = np.argsort(np.where(np.isfinite(sims), ~picked, 2), axis=1, kind="stable")[:, :most]
+        out = np.where(np.isfinite(np.take_along_axis(sims, first, 1)), np.take_along_axis(ids, first, 1), -1)
+        return np.pad(out, ((0, 0), (0, most - out.shape[1])), constant_values=-1)
 
     def _link(self, own: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int) -> None:
         adj = self.layers[k]
