@@ -730,3 +730,74 @@ def stream_ledger(spark, d):
 
     keys = run_once(ledger, spark, d, "user_id long, chunk long")
     return keys.groupBy("user_id").agg(F.count("*").alias("chunks"))
+
+
+@query(sql("SELECT id, best, CASE WHEN parts <> '' THEN parts END AS source_snippet FROM (SELECT id, CASE WHEN length(text) > length(title) THEN text ELSE title END AS best, array_to_string(list_filter([CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN title ELSE '' END, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN source_name ELSE '' END], lambda x: x <> ''), chr(10) || chr(10)) AS parts FROM articles)", "articles"))
+def snippets(spark, d):
+    n = F.col("id").cast("long")
+    parts = F.array(F.when(n % 2 == 0, F.col("title")).otherwise(""), F.when(n % 3 == 0, F.col("source_name")).otherwise(""))
+    return T.articles(spark, d).select("id", F.when(F.length("text") > F.length("title"), F.col("text")).otherwise(F.col("title")).alias("best"), F.nullif(F.array_join(F.filter(parts, lambda x: x != ""), "\n\n"), F.lit("")).alias("source_snippet"))
+
+
+@query(sql("SELECT source_name, count(*) AS n, sha256(string_agg(CASE WHEN length(title) > 30 THEN title[1:30] || '…' ELSE title END, chr(10) ORDER BY id)) AS prompt_sha FROM articles GROUP BY source_name", "articles"))
+def chunk_prompts(spark, d):
+    lines = F.array_sort(F.collect_list(F.struct("id", text.prompt_field(F.col("title"), 30).alias("line"))))
+    g = T.articles(spark, d).groupBy("source_name").agg(F.count("*").alias("n"), lines.alias("lines"))
+    return g.select("source_name", "n", F.sha2(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), 256).alias("prompt_sha"))
+
+
+@query("SELECT event_type, CASE event_type WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 0 END AS feeds FROM (SELECT DISTINCT event_type FROM events) WHERE event_type <> 'error'")
+def cached_sources(spark, d):
+    e = F.col("event_type")
+    feeds = F.when(e == "click", '{"feeds": [{"name": "a", "url": "https://a", "kind": "rss"}, {"name": " ", "url": "x", "kind": "rss"}, {"name": "b", "url": "https://b", "kind": "atom"}]}').when(e == "view", '{"feeds": [{"name": "c", "url": "https://c", "kind": "json"}, {"name": "d", "url": "https://d", "kind": "html"}]}').otherwise("broken")
+    kv = read(spark, d, "events").select(F.concat(F.lit("sources:"), e).alias("key"), feeds.alias("value")).distinct().where(F.startswith("key", F.lit("sources:")) & (F.col("key") != "sources:error"))
+    parsed = F.from_json("value", "feeds array<struct<name: string, url: string, kind: string>>")["feeds"]
+    good = F.filter(parsed, lambda f: (F.trim(f["name"]) != "") & (F.trim(f["url"]) != "") & f["kind"].isin("rss", "atom", "json"))
+    return kv.select(F.substring("key", 9, 100).alias("event_type"), F.coalesce(F.size(good), F.lit(0)).alias("feeds"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN contains('application/rss+xml', 'xml') WHEN page_id % 3 = 1 THEN contains('text/html', 'json') ELSE contains('application/feed+json', 'json') AND page_id % 2 = 0 END AS valid FROM pages")
+def feed_validity(spark, d):
+    n = F.col("page_id")
+    kind = F.when(n % 3 == 0, "rss").otherwise("json")
+    mime = F.when(n % 3 == 0, "application/rss+xml").when(n % 3 == 1, "text/html").otherwise("application/feed+json")
+    items = F.from_json(F.when(n % 2 == 0, '[{"title": "t", "url": "u"}]').otherwise('[{"title": "", "url": "u"}]'), "array<struct<title: string, url: string>>")
+    fits = F.when(kind == "json", F.contains(mime, F.lit("json"))).otherwise(F.contains(mime, F.lit("xml")) | F.contains(mime, F.lit("rss")))
+    return read(spark, d, "pages").select("page_id", (fits & ((kind != "json") | F.exists(items, lambda i: (F.trim(i["title"]) != "") & (F.trim(i["url"]) != "")))).alias("valid"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT (o_orderdate < TIMESTAMP '1996-06-01' OR (o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '1997-06-01'))")
+def token_purge(spark, d):
+    day = lambda x: F.lit(x).cast("timestamp_ntz")
+    o = F.col("o_orderdate")
+    return read(spark, d, "orders").where(~((o < day("1996-06-01")) | ((F.col("o_orderstatus") == "F") & (o < day("1997-06-01"))))).select("o_orderkey")
+
+
+@query(sql("SELECT user_id, lpad(CAST(n AS VARCHAR), 4, ' ') || '  ' || tag AS line FROM (SELECT u.user_id, u.tag, count(a.article_id) AS n FROM user_tags u LEFT JOIN article_tags a ON a.tag = u.tag GROUP BY ALL)", "user_tags", "article_tags"))
+def email_tallies(spark, d):
+    counts = T.article_tags(spark, d).groupBy("tag").agg(F.count("*").alias("n"))
+    rows = T.user_tags(spark, d).join(counts, "tag", "left")
+    return rows.select("user_id", F.concat(F.lpad(F.coalesce("n", F.lit(0)).cast("string"), 4, " "), F.lit("  "), "tag").alias("line"))
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN 'failed' ELSE 'embedded' END AS status, vec_id % 10 <> 0 AS stored FROM embeddings")
+def vector_upsert(spark, d):
+    ok = F.col("vec_id") % 10 != 0
+    return read(spark, d, "embeddings").select("vec_id", F.when(ok, "embedded").otherwise("failed").alias("status"), F.when(ok, F.col("embedding")).isNotNull().alias("stored"))
+
+
+@query("SELECT count(*) AS events, count(DISTINCT event_id) AS ids FROM events")
+def stream_admission(spark, d):
+    from ..streaming.jobs import admitted, run_once
+
+    rows = run_once(lambda s: (admitted(s, 24 * 365)[0].select("event_id"), "append"), spark, d, "event_id long")
+    return rows.agg(F.count("*").alias("events"), F.count_distinct("event_id").alias("ids"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_type, coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 7 DAY, true) AS new FROM events),
+s AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM e)
+SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS since, count(*) AS events, count(*) FILTER (event_type = 'error') AS failures FROM s GROUP BY user_id, n""")
+def stream_failures(spark, d):
+    from ..streaming.jobs import failure_counts, run_once
+
+    return run_once(failure_counts, spark, d, "user_id long, since long, events long, failures long")

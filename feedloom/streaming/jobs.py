@@ -33,6 +33,14 @@ def admitted(stream: DataFrame, hours: int = 48) -> tuple[DataFrame, str]:
     return stream.withWatermark("ts", f"{hours} hours").dropDuplicatesWithinWatermark(["event_id"]), "append"
 
 
+def failure_counts(stream: DataFrame, idle: str = "7 days", late: str = "30 days") -> tuple[DataFrame, str]:
+    """Events and failures per user in keyed state that lapses when a user is idle: a session per run of events without such a
+    gap."""
+    w = stream.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", idle).alias("w"))
+    out = w.agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "error").alias("failures"))
+    return out.select("user_id", F.unix_seconds("w.start").alias("since"), "events", "failures"), "complete"
+
+
 def run_once(job, spark: SparkSession, sf_dir: str, schema: str) -> DataFrame:
     """Run a job over all that is there and return its sink's rows. The checkpoint and the sink (Parquet, written by batch
     id, so a repeated batch replaces its own output) are in the shared checkpoint folder."""

@@ -102,3 +102,25 @@ def test_native_queries_use_no_python(spark, tmp_path):
     for name in ("canonical_urls", "html_text", "title_pairs", "near_pairs", "today_feed", "history_by_day", "failure_streaks"):
         plan = catalog.QUERIES[name](spark, d)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan, name
+
+
+def test_orchestration():
+    from feedloom.operators.orchestrate import Permanent, Run, advance, deliver, outage
+
+    run = Run()
+    for _ in range(11):
+        run = advance(run, False, 0)
+    assert (run.status, run.waits) == ("running", 11) and advance(run, False, 0).status == "failed"
+    run = advance(run, True, 0)
+    assert run.phase == "embed" and advance(run, True, 5).phase == "embed"
+    run = advance(advance(run, True, 0), True, 0)
+    assert (run.phase, run.status) == ("done", "done") and advance(run, True, 0) == run
+    calls, dead = [], []
+
+    def bad(m):
+        calls.append(m)
+        raise Permanent if m == "p" else ValueError
+
+    assert not deliver(bad, "x", terminal=lambda m, e: dead.append(m)) and calls == ["x"] * 3 and dead == ["x"]
+    assert not deliver(bad, "p") and calls.count("p") == 1 and deliver(len, "ok")
+    assert outage(3, 3) and not outage(3, 2) and not outage(0, 0)
