@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .graph import checkpointed, components
+
 
 @dataclass(frozen=True)
 class Bands:
@@ -159,28 +161,6 @@ def _finalize(table: pa.Table) -> pa.Table:
     return pa.table({"loser": pa.array([a for a, _ in pairs], pa.int64()), "winner": pa.array([end(b) for _, b in pairs], pa.int64())})
 
 
-def labelled(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, label) with the least node of each connected component of ``edges`` (self, match), by repeated minimum over
-    neighbours and over labels of labels. Lineage is cut by checkpoints in the session's checkpoint folder."""
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints")
-    both = edges.select(F.col("self").alias("u"), F.col("match").alias("v")).union(edges.select(F.col("match").alias("u"), F.col("self").alias("v"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label")).checkpoint()
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "u"), "u").select(F.col("v").alias("node"), "label")
-        hooked = labels.unionByName(near).groupBy("node").agg(F.min("label").alias("label")).checkpoint()
-        jump = hooked.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = hooked.join(jump, "label", "left").select("node", F.coalesce("far", "label").alias("label")).checkpoint()
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
-    raise RuntimeError("labels did not settle")
-
-
 def merge_map(pairs: DataFrame, verdicts: DataFrame | None = None, newest_first: bool = False, watermark: Column | None = None) -> DataFrame:
     """(loser, winner) of the ordered greedy merge. Edges are pruned to automatic ones and accepted borderline ones (verdicts:
     self, match, same; missing is no; pairs under ``watermark`` are not asked again); merges only travel along edges,
@@ -194,7 +174,8 @@ def merge_map(pairs: DataFrame, verdicts: DataFrame | None = None, newest_first:
             accepted = accepted & ~watermark
     edges = pairs.withColumn("accepted", accepted).where(F.col("auto") | (F.col("borderline") & (F.col("accepted") | F.lit(newest_first))))
     edges = edges.select("self", "match", "self_at", "match_at", "score", "adjusted", "auto", "borderline", "self_is_older", "accepted")
-    parts = labelled(edges).withColumnRenamed("node", "self")
+    edges = checkpointed(edges)
+    parts = components(edges.select(F.col("self").alias("u"), F.col("match").alias("v"))).withColumnRenamed("node", "self")
     return edges.join(parts, "self").groupBy("label").applyInArrow(_finalize if newest_first else _sweep, "loser long, winner long")
 
 

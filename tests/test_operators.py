@@ -104,6 +104,20 @@ def test_native_queries_use_no_python(spark, tmp_path):
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan, name
 
 
+def test_components_both_ways(spark, monkeypatch):
+    import random
+
+    from feedloom.operators import graph
+
+    rng = random.Random(1)
+    pairs = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 150), rng.randrange(200, 250)) for _ in range(40)]
+    df = spark.createDataFrame(pairs, "u long, v long").repartition(4)
+    alone = rows(graph.components(df))
+    monkeypatch.setattr(graph, "ALONE", 0)
+    assert rows(graph.components(df)) == alone and ("40", "0") in [tuple(map(str, r)) for r in alone]
+    assert graph.components(df.limit(0)).count() == 0
+
+
 def test_orchestration():
     from feedloom.operators.orchestrate import Permanent, Run, advance, deliver, outage
 
