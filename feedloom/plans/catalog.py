@@ -801,3 +801,40 @@ def stream_failures(spark, d):
     from ..streaming.jobs import failure_counts, run_once
 
     return run_once(failure_counts, spark, d, "user_id long, since long, events long, failures long")
+
+
+@query(sql("SELECT DISTINCT u.tag FROM user_tags u WHERE u.tag NOT IN ('en', 'de') AND u.tag NOT IN (SELECT 't' || (user_id % 3) FROM events)", "user_tags"))
+def tags_needing_discovery(spark, d):
+    curated = F.broadcast(spark.createDataFrame([("en",), ("de",)], "tag string"))
+    cached = read(spark, d, "events").select(F.concat(F.lit("t"), (F.col("user_id") % 3).cast("string")).alias("tag")).distinct()
+    return T.user_tags(spark, d).select("tag").distinct().join(curated, "tag", "left_anti").join(cached, "tag", "left_anti")
+
+
+@query("SELECT user_id, array_to_string(list_filter(['purchase', 'view', 'click'], lambda t: list_contains(l, t)), ',') AS tags FROM (SELECT user_id, list(DISTINCT event_type) AS l FROM events GROUP BY user_id)")
+def tag_allowlist(spark, d):
+    said = F.transform(F.array(*[F.lit(t) for t in ("#Purchase", "VIEW", "click", "view", "#click")]), text.hashtag)
+    g = read(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("allowed"))
+    return g.select("user_id", F.array_join(F.array_intersect(F.array_distinct(said), "allowed"), ",").alias("tags"))
+
+
+@query("SELECT count(*) AS kept, sum(CAST(chunk >= 2 AS INT))::BIGINT AS over FROM (SELECT (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 25 AS chunk FROM documents)")
+def chunk_cap(spark, d):
+    n = F.row_number().over(W.partitionBy("lang").orderBy("doc_id"))
+    chunks = read(spark, d, "documents").select(F.floor((n - 1) / 25).alias("chunk"))
+    return chunks.agg(F.count("*").alias("kept"), F.count_if(F.col("chunk") >= 2).alias("over"))
+
+
+@query(f"WITH {SQL_PAIRS} SELECT self, match FROM c WHERE (auto OR borderline) AND match IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+def live_matches(spark, d):
+    live = read(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("match"))
+    return banded(spark, d).where(F.col("auto") | F.col("borderline")).join(live, "match", "left_semi").select("self", "match")
+
+
+@query(sql("SELECT tag AS name, 'curated' AS kind FROM (VALUES ('en'), ('de')) v(tag) UNION ALL SELECT DISTINCT event_type, 'discovered' FROM events UNION ALL SELECT DISTINCT tag, 'synthetic' FROM user_tags WHERE tag NOT IN ('en', 'de')", "user_tags"))
+def all_sources(spark, d):
+    curated = spark.createDataFrame([("en",), ("de",)], "name string")
+    found = read(spark, d, "events").select(F.col("event_type").alias("name")).distinct().join(curated, "name", "left_anti")
+    rest = T.user_tags(spark, d).select(F.col("tag").alias("name")).distinct().join(curated, "name", "left_anti")
+    kinds = ((curated, "curated"), (found, "discovered"), (rest, "synthetic"))
+    a, b, c = (df.withColumn("kind", F.lit(k)) for df, k in kinds)
+    return a.unionByName(b).unionByName(c)
