@@ -14,17 +14,37 @@ from xxhash import xxh64_digest
 from .common import checked_broadcast, components, stored, tasks
 
 
-def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """Bit i is set if it is set in over half of the hashes of the text's word shingles, repeats included; 0 without words."""
+def hashes_of(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """The hashes of the text's word shingles, repeats included, as rows of eight bytes; none without words."""
     w = (text or "").encode("utf-8", "replace").lower().split()  # of bytes: A-Z, and ASCII white space
-    if not w:
+    shingles = map(b" ".join, zip(*[w[i:] for i in range(words)])) if len(w) >= words else [b" ".join(w)] * bool(w)
+    return np.frombuffer(b"".join([xxh64_digest(s, seed) for s in shingles]), np.uint8).reshape(-1, 8)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is set if it is set in over half of the hashes; 0 without any."""
+    if not len(hashes):
         return 0
-    shingles = map(b" ".join, zip(*[w[i:] for i in range(words)])) if len(w) >= words else [b" ".join(w)]
-    hashes = np.frombuffer(b"".join([xxh64_digest(s, seed) for s in shingles]), np.uint8).reshape(-1, 8)
     votes = sum(np.unpackbits(hashes[i : i + 65536], axis=1).sum(0, dtype=np.int64) for i in range(0, len(hashes), 65536))
     return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
+    return majority(hashes_of(text, words, seed))
+
+
+#: Odd multipliers that stand for eight orders of the hashes. Fixed values.
+ORDERS = (np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C14)) | np.uint64(1)
+
+
+def minima(hashes: np.ndarray) -> int:
+    """Eight bytes, each of the least hash under another order: two sets agree in each with their Jaccard similarity."""
+    if not len(hashes):
+        return 0
+    h = np.ascontiguousarray(hashes).view(">u8").ravel().astype(np.uint64)
+    return int.from_bytes(bytes(int((h * k).min() >> np.uint64(8)) & 255 for k in ORDERS), "big")
+
+
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """Rows (doc_id, fp) with the fingerprint as a signed long."""
 
@@ -95,7 +115,7 @@ def _replicate(blocks: int, threshold: int):
     def run(batches):
         code, cuts = covering(blocks, threshold)
         for b in batches:
-            ids, fps = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            ids, fps, *more = (b.column(c).to_numpy(zero_copy_only=False) for c in range(b.num_columns))
             for at in range(0, len(fps), 20_000):
                 part = fps[at : at + 20_000]
                 for k, (shift, width) in enumerate(cuts):
@@ -113,13 +133,14 @@ def _replicate(blocks: int, threshold: int):
                         homes += [np.zeros(near.size, bool), np.ones(len(own), bool)]
                     if rows:
                         anchor, row = (np.concatenate(anchors) << 2) | k, np.concatenate(rows) + at
-                        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids[row]), pa.array(fps[row]), pa.array(np.concatenate(homes))], ["anchor", "id", "fp", "home"])
+                        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids[row]), pa.array(fps[row]), pa.array(np.concatenate(homes)), *[pa.array(m[row]) for m in more]], ["anchor", "id", "fp", "home", "sketch"][: 4 + len(more)])
 
     return run
 
 
-def spanning(ids: np.ndarray, fps: np.ndarray, home: np.ndarray, threshold: int, block: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect whatever the links between the rows with ``home`` and the others connect. Every link is looked
+def spanning(ids: np.ndarray, fps: np.ndarray, home: np.ndarray, threshold: int, sketches: np.ndarray | None = None, alike: int = 2, block: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect whatever the links between the rows with ``home`` and the others connect; with sketches, a link needs
+    ``alike`` equal bytes of them too. Every link is looked
     at, but a row leaves an edge only to the nearest member of each component it joins, so a group of copies never
     gives all its pairs."""
     nodes, at = np.unique(ids, return_inverse=True)
@@ -134,6 +155,9 @@ def spanning(ids: np.ndarray, fps: np.ndarray, home: np.ndarray, threshold: int,
             near = rows[hit[i]]
             near = near[np.argsort(apart[i][hit[i]], kind="stable")]
             me = at[part[i]]
+            if sketches is not None:
+                same = (sketches[near] ^ sketches[part[i]]).view(np.uint8).reshape(-1, 8) == 0
+                near = near[same.sum(1) >= alike]
             found, first = np.unique(label[at[near]], return_index=True)
             new = found != label[me]
             if new.any():
@@ -149,11 +173,12 @@ def _compare(threshold: int):
         fp = table.column("fp").to_numpy().view(np.uint64)
         order = np.lexsort((j, i, anchor))
         anchor, i, j, ids, fp, home = (x[order] for x in (anchor, i, j, ids, fp, home))
+        sketch = table.column("sketch").to_numpy()[order] if "sketch" in table.column_names else None
         new = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(i, prepend=-1) != 0) | (np.diff(j, prepend=-1) != 0))
         us, vs = [ids[:0]], [ids[:0]]
         for a, z in zip(new.tolist(), [*new[1:].tolist(), len(fp)]):
             if home[a:z].any():
-                u, v = spanning(ids[a:z], fp[a:z], home[a:z], threshold)
+                u, v = spanning(ids[a:z], fp[a:z], home[a:z], threshold, sketch if sketch is None else sketch[a:z])
                 us.append(u)
                 vs.append(v)
         return pa.table({"u": pa.array(np.concatenate(us)), "v": pa.array(np.concatenate(vs))})
@@ -164,7 +189,8 @@ def _compare(threshold: int):
 def links(nodes: DataFrame, threshold: int, within: int | None = None, most: int = 20_000, wide_from: int = 20_000_000) -> DataFrame:
     """Edges (u, v) over ``nodes`` (a stored table with long columns id and fp, ids unique) that connect all pairs whose
     fingerprints differ in at most ``threshold`` bits. With ``within`` above that, pairs that meet at an anchor link up to
-    ``within`` bits; ``threshold`` is then what is certain to meet.
+    ``within`` bits; ``threshold`` is then what is certain to meet. A column sketch of ``nodes`` (see ``minima``) must agree in
+    two of its eight bytes as well.
 
     Up to ``wide_from`` nodes the anchors are Golay words over three blocks, beyond that Hamming words over two, which
     replicate more and compare less; both find every link. Anchors with over ``most`` rows are cut into cells,
@@ -172,14 +198,15 @@ def links(nodes: DataFrame, threshold: int, within: int | None = None, most: int
     """
     n = nodes.count()
     blocks, parts = (3 if n <= wide_from else 2), tasks(nodes.sparkSession)
-    placed = stored(nodes.select("id", "fp").repartition(parts).mapInArrow(_replicate(blocks, threshold), "anchor long, id long, fp long, home boolean"), "anchors")
+    more = ["sketch"] * ("sketch" in nodes.columns)
+    placed = stored(nodes.select("id", "fp", *more).repartition(parts).mapInArrow(_replicate(blocks, threshold), "anchor long, id long, fp long, home boolean" + ", sketch long" * len(more)), "anchors")
     hot = checked_broadcast(stored(placed.groupBy("anchor").count().where(F.col("count") > most).select("anchor", F.ceil(F.col("count") / most).cast("int").alias("cuts")), "hot"))
     cuts = F.coalesce("cuts", F.lit(1))
     placed = placed.join(hot, "anchor", "left").withColumns({"cuts": cuts, "own": F.pmod(F.hash("id"), cuts)})
-    placed = placed.select("anchor", "id", "fp", "home", "own", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
+    placed = placed.select("anchor", "id", "fp", "home", *more, "own", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
     cell = {"i": F.when(F.col("home"), F.col("own")).otherwise(F.col("other")), "j": F.when(F.col("home"), F.col("other")).otherwise(F.col("own"))}
     placed = placed.withColumns(cell).withColumn("cell", F.pmod(F.hash("anchor", "i", "j"), F.lit(max(4 * parts, n // 2_000))))
-    return placed.select("cell", "anchor", "i", "j", "id", "fp", "home").groupBy("cell").applyInArrow(_compare(within or threshold), "u long, v long")
+    return placed.select("cell", "anchor", "i", "j", "id", "fp", "home", *more).groupBy("cell").applyInArrow(_compare(within or threshold), "u long, v long")
 
 
 def simhash_groups(docs: DataFrame, words: int = 4, threshold: int = 4) -> DataFrame:
@@ -218,7 +245,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     """``docs`` (doc_id, text, any other columns) with one row of each group of near duplicates: that of the least doc_id.
 
     SimHash fingerprints over ``words``-word shingles meet at anchors (surely up to ``certain`` differing bits); pairs within
-    ``within`` bits that connect groups are verified: their sets of shingles must have a Jaccard similarity of at least
+    ``within`` bits whose eight minima agree in two (nearly all do at a similarity of 0.8, of unlike texts 4 in 10,000) and that connect groups are verified: their sets of shingles must have a Jaccard similarity of at least
     ``similarity``, of whole texts. Groups are the components of verified links; equal texts are one node. Null text counts as
     empty text, and empty texts are equal. Rows with a null doc_id stay and count for no group unless all there are null;
     rows that repeat the doc_id that stays, with a text of the group, stay too. An empty table gives an empty result.
@@ -228,11 +255,12 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps)], ["doc_id", "id", "fp"])
+            hashes = (hashes_of(t.as_py(), words) for t in b.column(1))
+            both = np.array([(majority(h), minima(h)) for h in hashes], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["doc_id", "id", "fp", "sketch"])
 
-    rows = stored(keyed.mapInArrow(run, "doc_id long, id long, fp long"), "fingerprints")
-    nodes = stored(rows.groupBy("id").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
+    rows = stored(keyed.mapInArrow(run, "doc_id long, id long, fp long, sketch long"), "fingerprints")
+    nodes = stored(rows.groupBy("id").agg(F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     edges = stored(links(nodes, certain, within).distinct(), "candidates")
     ends = checked_broadcast(stored(edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct(), "ends"))
     texts = keyed.join(ends, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
