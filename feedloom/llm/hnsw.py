@@ -61,6 +61,22 @@ class Graph:
         self.top = done_top
         self._repair()
 
+    def packed(self) -> bytes:
+        """The links alone: upper layers by the few nodes that have any, vectors not at all."""
+        rows = [np.flatnonzero((a >= 0).any(1)) for a in self.layers]
+        return pickle.dumps((self.entry, self.top, [(len(a), r, a[r]) for a, r in zip(self.layers, rows)]))
+
+    @classmethod
+    def unpacked(cls, data: bytes, x: np.ndarray) -> Graph:
+        self = cls.__new__(cls)
+        self.x = np.ascontiguousarray(x, np.float32)
+        self.entry, self.top, layers = pickle.loads(data)
+        self.layers = []
+        for n, rows, links in layers:
+            self.layers.append(np.full((n, links.shape[1]), -1, np.int32))
+            self.layers[-1][rows] = links
+        return self
+
     def _repair(self, links: int = 4) -> None:
         """Give ground nodes that no walk from the entry reaches a way in: links from the nearest nodes that it reaches, in
         further columns of the ground layer, until all are reached."""
@@ -226,8 +242,10 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _index(table: pa.Table) -> pa.Table:
-    x = _unit(_matrix(table.column("embedding")))
-    blob = pickle.dumps((table.column("gid").to_numpy(), table.column("n").to_numpy(), x, Graph(x)))
+    raw = _matrix(table.column("embedding"))
+    lean = raw.astype(np.float32)
+    lean = lean if (lean == raw).all() else raw  # values that came as floats travel as floats, without loss
+    blob = pickle.dumps((table.column("gid").to_numpy(), table.column("n").to_numpy(), lean, Graph(_unit(raw)).packed()))
     return pa.table({"shard": table.column("shard")[:1], "dim": table.column("dim")[:1], "graph": pa.array([blob], pa.large_binary() if len(blob) >= 1 << 31 else pa.binary())})
 
 
@@ -235,7 +253,9 @@ def _query(least: float, beam: int, recall: float, audit: int):
     def run(graphs: pa.Table, queries: pa.Table) -> pa.Table:
         rows = []
         if graphs.num_rows and queries.num_rows:
-            ids, weights, x, graph = pickle.loads(graphs.column("graph")[0].as_py())
+            ids, weights, raw, links = pickle.loads(graphs.column("graph")[0].as_py())
+            x = _unit(raw.astype(np.float64))
+            graph = Graph.unpacked(links, x)
             gid, q = queries.column("gid").to_numpy(), _unit(_matrix(queries.column("embedding")))
             sample = np.argsort(gid * 2654435761 % 1000003, kind="stable")[:audit]
             truth = [np.flatnonzero(x @ q[i] >= least) for i in sample]
