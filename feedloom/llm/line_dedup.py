@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, stored
+from .common import BROADCAST_ROWS, checked_broadcast, stored
 
 #: log2 of a sketch's registers; relative standard error 1.04 / sqrt(2 ** LG).
 LG = 10
@@ -33,8 +33,8 @@ def line_dedup(docs: DataFrame, min_sites: int = 10, site: str = "source") -> Da
     text is lost and the first of a group of copies stays whole. Null texts stay null with no lines; a null site is the
     site with the empty name; rows that repeat are treated alike, as one document; columns of other names pass through
     (n_lines and n_removed are replaced); an empty table gives an empty result. Lines are known by a 64-bit hash.
-    The corpus is read three times, and moved once: line hashes are pre-aggregated, texts join their
-    lists of lines to drop.
+    The corpus is read three times: line hashes are pre-aggregated, texts join their lists of lines to drop. Texts are
+    moved only if those lists have more than a bounded number of entries; else the lists are broadcast.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     parts = F.split("text", "\n", -1)
@@ -47,7 +47,9 @@ def line_dedup(docs: DataFrame, min_sites: int = 10, site: str = "source") -> Da
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "thash", "pos")
     first = checked_broadcast(stored(hits.groupBy("hash").agg(F.min(order).alias("o")).select("hash", F.col("o").alias("keep")), "first"), 200_000)
     drops = hits.join(first, "hash").where(order != F.col("keep")).groupBy("doc_id", "thash").agg(F.collect_set("pos").alias("__drops"))
-    drops = stored(drops, "drops").select(F.col("doc_id").alias("__id"), F.col("thash").alias("__hash"), "__drops")
+    drops = stored(drops, "drops")
+    few = drops.agg(F.count("*") + F.sum(F.size("__drops"))).first()[0] or 0
+    drops = (F.broadcast(drops) if few <= BROADCAST_ROWS else drops).select(F.col("doc_id").alias("__id"), F.col("thash").alias("__hash"), "__drops")
     rows = docs.select(*names, F.xxhash64("text").alias("__thash"))
     joined = rows.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__thash") == F.col("__hash")), "left")
     marks = F.coalesce("__drops", F.array().cast("array<int>"))
