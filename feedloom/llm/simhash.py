@@ -241,12 +241,89 @@ def _shingles(words: int):
     return run
 
 
+def joined(ids: np.ndarray, labels: np.ndarray, sketches: np.ndarray, tokens: np.ndarray, ends: np.ndarray, left: int, similarity: float, alike: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect whatever pairs of rows of unlike labels at a Jaccard similarity of at least ``similarity`` connect:
+    between the first ``left`` rows and the others, or among all rows if ``left`` is 0. ``tokens`` holds the rows' sets one
+    after another, up to ``ends``. Labels merge on such pairs only; pairs need ``alike`` equal bytes of their sketches."""
+    values, tokens = np.unique(tokens, return_inverse=True)
+    tokens = tokens.astype(np.int32)
+    label, starts = np.unique(labels, return_inverse=True)[1], np.append(0, ends[:-1])
+    sizes, marked, us, vs = ends - starts, np.zeros(len(values), bool), [], []
+    for x in range(left or len(ids)):
+        first = left or x + 1
+        near = first + np.flatnonzero(label[first:] != label[x])
+        least, most = np.minimum(sizes[near], sizes[x]), np.maximum(sizes[near], sizes[x])
+        near = near[least >= similarity * most]
+        near = near[((sketches[near] ^ sketches[x]).view(np.uint8).reshape(-1, 8) == 0).sum(1) >= alike]
+        if not len(near):
+            continue
+        mine = tokens[starts[x] : ends[x]]
+        marked[mine] = True
+        for a in range(0, len(near), 256):
+            part = near[a : a + 256]
+            hits = marked[np.concatenate([tokens[starts[y] : ends[y]] for y in part.tolist()])]
+            shared = np.add.reduceat(hits, np.append(0, np.cumsum(sizes[part])[:-1]), dtype=np.int64)
+            part = part[shared >= similarity * (sizes[part] + sizes[x] - shared)]
+            found, one = np.unique(label[part], return_index=True)
+            new = found != label[x]
+            us.append(np.full(int(new.sum()), ids[x]))
+            vs.append(ids[part[one[new]]])
+            label[np.isin(label, found)] = label[x]
+        marked[mine] = False
+    return (np.concatenate(us), np.concatenate(vs)) if us else (ids[:0], ids[:0])
+
+
+def _settle(similarity: float):
+    def run(table: pa.Table) -> pa.Table:
+        family, i, j, own = (table.column(c).to_numpy() for c in ("family", "i", "j", "own"))
+        order = np.lexsort((own, j, i, family))
+        family, i, j, own = (x[order] for x in (family, i, j, own))
+        ids, labels, sketches = (table.column(c).to_numpy()[order] for c in ("id", "label", "sketch"))
+        sets = table.column("shingles").combine_chunks()
+        sizes, flat = sets.value_lengths().to_numpy(), sets.flatten().to_numpy()
+        ends = np.cumsum(sizes, dtype=np.int64)
+        new = np.flatnonzero((np.diff(family, prepend=family[0]) != 0) | (np.diff(i, prepend=i[0]) != 0) | (np.diff(j, prepend=j[0]) != 0))
+        us, vs = [ids[:0]], [ids[:0]]
+        for a, z in zip([0, *new.tolist()], [*new.tolist(), len(ids)]):
+            rows = order[a:z]
+            tokens = np.concatenate([flat[ends[r] - sizes[r] : ends[r]] for r in rows.tolist()])
+            left = 0 if i[a] == j[a] else int((own[a:z] == i[a]).sum())
+            if left < z - a and (left or i[a] == j[a]):
+                u, v = joined(ids[a:z], labels[a:z], sketches[a:z], tokens, np.cumsum(sizes[rows], dtype=np.int64), left, similarity)
+                us.append(u)
+                vs.append(v)
+        return pa.table({"u": pa.array(np.concatenate(us)), "v": pa.array(np.concatenate(vs))})
+
+    return run
+
+
+def settle(sets: DataFrame, nodes: DataFrame, families: DataFrame, groups: DataFrame, similarity: float, most: int = 1_000_000) -> DataFrame:
+    """Edges (u, v) that connect what the links at ``similarity`` within families (node, label) connect beyond groups (node,
+    label), whose links are verified. ``sets`` (id, shingles) and ``nodes`` (id, sketch) are stored tables.
+
+    Families that are one group already are left out. Families with over ``most`` shingles are cut into cells, each with two
+    parts of the rows, so no task gathers a large family.
+    """
+    members = sets.select("id", F.size("shingles").cast("long").alias("size")).join(families.select(F.col("node").alias("id"), F.col("label").alias("family")), "id")
+    members = members.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    members = stored(members, "members")
+    parted = members.groupBy("family").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.sum("size").alias("size")).where("a < b")
+    parted = checked_broadcast(stored(parted.select("family", F.ceil(F.col("size") / most).cast("int").alias("cuts")), "parted"))
+    rows = stored(members.select("id", "family", "label").join(parted, "family"), "apart")
+    n, parts = rows.count(), tasks(sets.sparkSession)
+    rows = rows.join(sets, "id").join(nodes.select("id", "sketch"), "id").withColumn("own", F.pmod(F.hash("id"), F.col("cuts")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    rows = rows.withColumn("cell", F.pmod(F.hash("family", "i", "j"), F.lit(max(4 * parts, n // 2_000))))
+    return rows.select("cell", "family", "i", "j", "own", "id", "label", "sketch", "shingles").groupBy("cell").applyInArrow(_settle(similarity), "u long, v long")
+
+
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, certain: int = 8, within: int = 14) -> DataFrame:
     """``docs`` (doc_id, text, any other columns) with one row of each group of near duplicates: that of the least doc_id.
 
     SimHash fingerprints over ``words``-word shingles meet at anchors (surely up to ``certain`` differing bits); pairs within
     ``within`` bits whose eight minima agree in two (nearly all do at a similarity of 0.8, of unlike texts 4 in 10,000) and that connect groups are verified: their sets of shingles must have a Jaccard similarity of at least
-    ``similarity``, of whole texts. Groups are the components of verified links; equal texts are one node. Null text counts as
+    ``similarity``, of whole texts. Where that refutes a pair, all pairs of the family (whatever candidates connect) that verified links
+    leave apart are compared, at any distance in bits, if their minima agree in two. Groups are the components of verified links; equal texts are one node. Null text counts as
     empty text, and empty texts are equal. Rows with a null doc_id stay and count for no group unless all there are null;
     rows that repeat the doc_id that stays, with a text of the group, stay too. An empty table gives an empty result.
     """
@@ -267,8 +344,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     sets = stored(texts.mapInArrow(_shingles(words), "id long, shingles array<long>"), "shingles")
     both = edges.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
-    verified = both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v")
-    labels = components(verified)
+    verified = stored(both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v"), "verified")
+    labels = components(verified.unionByName(settle(sets, nodes, components(edges), components(verified), similarity)))
     known = nodes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "least", "n", F.coalesce("label", "id").alias("label"))
     keep = known.groupBy("label").agg(F.min("least").alias("keep"), F.sum("n").alias("rows"))
     keep = stored(known.select("id", "label").join(keep.where("rows > 1"), "label").select("id", "keep"), "keep")

@@ -119,6 +119,45 @@ def test_near_copies_are_verified(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted([*range(20), *range(200, 210), 301, 303])
 
 
+def family_of_templates(rng, templates=150):
+    """Texts that share three quarters of a template, each with a near copy: similarities of about 0.6 and of 0.8 and more."""
+    base, texts = ["b%d" % i for i in range(200)], []
+    for k in range(templates):
+        own = base[:150] + ["t%d_%d" % (k, i) for i in range(50)]
+        copy = list(own)
+        for at in rng.sample(range(200), rng.choice((2, 3))):
+            copy[at] = "c%d" % rng.randrange(10**6)
+        texts += [" ".join(own), " ".join(copy)]
+    return texts
+
+
+def test_false_candidates_hide_no_near_copies(spark):
+    texts = family_of_templates(random.Random(5))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    alike = [(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = groups(range(len(texts)), alike)
+    assert 140 < len(set(want.values())) < 160
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == sorted(set(want.values()))
+
+
+@pytest.mark.parametrize("most", [2_000_000, 9_000])
+def test_settle_in_cells(spark, most):
+    texts = family_of_templates(random.Random(6))
+    rows, nodes, hashes = [], [], [simhash.hashes_of(t, 5) for t in texts]
+    for i, h in enumerate(hashes):
+        rows.append((i, np.unique(h.copy().view(np.int64)).tolist()))
+        nodes.append((i, int(np.uint64(simhash.minima(h)).astype(np.int64))))
+    rows, nodes = common.stored(spark.createDataFrame(rows, "id long, shingles array<long>")), common.stored(spark.createDataFrame(nodes, "id long, sketch long"))
+    families = spark.createDataFrame([(i, i % 2 if i > 290 else 0) for i in range(len(texts))], "node long, label long")
+    edges = simhash.settle(rows, nodes, families, spark.createDataFrame([(0, 0), (1, 0)], "node long, label long"), 0.8, most).collect()
+    sets = [{tuple(x) for x in h.tolist()} for h in hashes]
+    fam = [i % 2 if i > 290 else 0 for i in range(len(texts))]
+    alike = [(a, b) for b in range(len(sets)) for a in range(b) if fam[a] == fam[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert all(len(sets[r.u] & sets[r.v]) >= 0.8 * len(sets[r.u] | sets[r.v]) for r in edges)
+    assert groups(range(len(texts)), alike) == groups(range(len(texts)), [(0, 1), *((r.u, r.v) for r in edges)])
+
+
 # ---- embeddings ----
 
 
