@@ -146,12 +146,13 @@ def spanning(ids: np.ndarray, fps: np.ndarray, home: np.ndarray, threshold: int,
     nodes, at = np.unique(ids, return_inverse=True)
     own, rows = np.flatnonzero(home), np.flatnonzero(~home)
     label, us, vs = np.arange(len(nodes)), [], []
+    itself = np.isin(at[own], at[rows])  # in a cell of a hot anchor a row's other copy may be elsewhere
     step = max(1, block // max(1, len(rows)))
     for a in range(0, len(own), step):
         part = own[a : a + step]
         apart = np.bitwise_count(fps[part][:, None] ^ fps[rows][None, :])
         hit = apart <= threshold
-        for i in np.flatnonzero(hit.sum(1) > 1).tolist():
+        for i in np.flatnonzero(hit.sum(1) > itself[a : a + step]).tolist():
             near = rows[hit[i]]
             near = near[np.argsort(apart[i][hit[i]], kind="stable")]
             me = at[part[i]]

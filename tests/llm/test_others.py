@@ -73,6 +73,22 @@ def test_links_find_all(spark, wide_from):
     assert groups(fps, pairs) == groups(fps, [(r.u, r.v) for r in edges])
 
 
+def test_links_in_cells_of_hot_anchors(spark):
+    rng = np.random.default_rng(7)
+    fps, near = rng.integers(0, 1 << 42, 400, dtype=np.int64).view(np.uint64) << np.uint64(22), []  # all alike in the first block
+    for f in fps.tolist():
+        for b in [*rng.choice(21, 2, replace=False) + 22, *rng.choice(21, 2, replace=False) + 43]:
+            f ^= 1 << int(b)
+        near.append(f)
+    pairs = [(a, b) for a, b in zip(fps.view(np.int64).tolist(), np.array(near, np.uint64).view(np.int64).tolist())]
+    ids = [x for p in pairs for x in p]
+    assert len(set(ids)) == 800
+    nodes = common.stored(spark.createDataFrame([(f, f) for f in ids], "id long, fp long"))
+    edges = {frozenset((r.u, r.v)) for r in simhash.links(nodes, 4, most=100).collect()}
+    lost = [p for p in pairs if frozenset(p) not in edges]
+    assert not lost, f"{len(lost)} of {len(pairs)} pairs lost"
+
+
 def test_simhash_groups(spark):
     import xxhash
 
