@@ -6,6 +6,7 @@ import os
 import re
 from bisect import bisect_left
 from functools import lru_cache
+from itertools import count
 from zlib import crc32
 
 import numpy as np
@@ -160,7 +161,7 @@ def _packer(capacity: int, base: int):
         # certified: only the emptiest bin may go on, as a part's bound rounds up; else each bin with room
         loose = fills < capacity if len(fills) > bound else np.arange(len(fills)) == fills.argmin()
         loose &= fills < capacity
-        more = {"bin": base + (part << 32) + bins, "offset": offsets, "bins": np.full(len(bins), len(fills)), "bound": np.full(len(bins), bound), "loose": loose[bins]}
+        more = {"bin": base + (part << 24) + bins, "offset": offsets, "bins": np.full(len(bins), len(fills)), "bound": np.full(len(bins), bound), "loose": loose[bins]}
         for k, v in more.items():
             table = table.append_column(k, pa.array(v))
         return table
@@ -168,7 +169,7 @@ def _packer(capacity: int, base: int):
     return pack
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, part_rows: int = 20_000, rounds: int = 4) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, part_rows: int = 20_000) -> DataFrame:
     """Pack ``docs`` (doc_id, text) into sequences of at most ``capacity`` tokens: doc_id, piece, start, length, ids_crc32,
     sequence_id, offset, and for the part that packed the piece last its number of sequences (part_bins) and the
     certified lower bound (part_bound).
@@ -176,7 +177,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, part_ro
     Pieces are dealt into parts of about ``part_rows`` by hash, each part packed best-fit decreasing and certified by
     dual-feasible bounds. Sequences with room in parts with a gap, and the emptiest of each certified part,
     give their pieces back; these are dealt anew, by another hash, so that parts exchange documents, and packed again, for as
-    long as that saves sequences, ``rounds`` times at most. Null and empty texts are the end id alone; a null doc_id and
+    long as that saves sequences. Null and empty texts are the end id alone; a null doc_id and
     repeated rows are packed like any others; other columns are ignored; an empty table gives an empty result.
     """
     cut = stored(pieces(docs, path, capacity, end), "pieces")
@@ -185,23 +186,23 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, part_ro
     schema = f"{PIECE}, part long, bin long, offset long, bins long, bound long, loose boolean"
     columns = [*names, "bin", "offset", "bins", "bound"]
     pool, settled, before = cut.where(F.col("length") < capacity), [full.select(columns)], None
-    for k in range(rounds):
+    for k in count():
         n = pool.count()
         if not n:
             break
         parts = -(-n // part_rows)
         dealt = pool.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(k)), F.lit(parts)))
-        new = stored(dealt.groupBy("part").applyInArrow(_packer(capacity, k << 56), schema), "packed")
+        new = stored(dealt.groupBy("part").applyInArrow(_packer(capacity, k << 48), schema), "packed")
         if before is not None and new.select("bin").distinct().count() >= before[1]:
             settled.append(before[0])
             break
         settled.append(new.where("not loose").select(columns))
         loose = new.where("loose")
-        count = loose.select("bin").distinct().count()
-        if count <= 1 or k == rounds - 1:
+        bins = loose.select("bin").distinct().count()
+        if bins <= 1:
             settled.append(loose.select(columns))
             break
-        before, pool = (loose.select(columns), count), loose.select(names)
+        before, pool = (loose.select(columns), bins), loose.select(names)
     out = settled[0]
     for df in settled[1:]:
         out = out.unionByName(df)

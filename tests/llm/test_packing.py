@@ -80,3 +80,11 @@ def test_pack_whole(spark):
         assert at <= 64
     assert len(seqs) <= packing.lower_bound(np.array([r.length for r in got]), 64) + 2
     assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_rounds_go_on_while_they_save(spark):
+    rng = random.Random(1)
+    docs = spark.createDataFrame([(i, " ".join(["alpha"] * rng.randrange(14, 31))) for i in range(600)], "doc_id long, text string")
+    got = packing.pack(docs, PATH, capacity=64, part_rows=12).collect()
+    assert len(got) == 600
+    assert len({r.sequence_id for r in got}) <= 235  # four rounds leave 237
