@@ -249,6 +249,14 @@ def _index(table: pa.Table) -> pa.Table:
     return pa.table({"shard": table.column("shard")[:1], "dim": table.column("dim")[:1], "graph": pa.array([blob], pa.large_binary() if len(blob) >= 1 << 31 else pa.binary())})
 
 
+def recalled(hits: np.ndarray, links: np.ndarray, few: int, recall: float) -> bool:
+    """Whether audited queries found ``hits`` of their ``links`` to the share ``recall``: in total, on average over the queries
+    that have links, and on average over those of them with fewer than ``few``, which large groups would outweigh."""
+    hits, links = hits[links > 0], links[links > 0]
+    rare = links < few
+    return hits.sum() >= recall * links.sum() and all((hits[m] / links[m]).mean() >= recall for m in (rare | True, rare) if m.any())
+
+
 def _query(least: float, beam: int, recall: float, audit: int):
     def run(graphs: pa.Table, queries: pa.Table) -> pa.Table:
         rows = []
@@ -258,12 +266,12 @@ def _query(least: float, beam: int, recall: float, audit: int):
             graph = Graph.unpacked(links, x)
             gid, q = queries.column("gid").to_numpy(), _unit(_matrix(queries.column("embedding")))
             sample = np.argsort(gid * 2654435761 % 1000003, kind="stable")[:audit]
-            truth = [np.flatnonzero(x @ q[i] >= least) for i in sample]
+            truth = [t[ids[t] != gid[i]] for i in sample for t in [np.flatnonzero(x @ q[i] >= least)]]
             width = beam
             while True:
                 found = graph.links(q.astype(np.float32), x, q, least, width)
-                hits = sum(len(np.intersect1d(found[i], t, assume_unique=True)) for i, t in zip(sample, truth))
-                if 4 * width >= len(x) or hits >= recall * sum(map(len, truth)):
+                hits = np.array([len(np.intersect1d(found[i], t, assume_unique=True)) for i, t in zip(sample, truth)])
+                if 4 * width >= len(x) or recalled(hits, np.array([len(t) for t in truth]), beam, recall):
                     break
                 width *= 2
             parent: dict[int, int] = {}
@@ -293,7 +301,7 @@ def embedding_groups(vectors: DataFrame, least: float = 0.9, shards: int = 6, sh
 
     Rows are dealt to at least ``shards`` shards of about ``shard_rows``; each shard indexes all its rows in one graph, and
     every row queries every shard. A task doubles its beams until the links of ``audit`` of its queries, found by
-    brute force, are found again to the share ``recall``. Found pairs are verified by cosine in double precision, so none
+    brute force, are found again to the share ``recall``, in total and on average over queries, those with few links apart. Found pairs are verified by cosine in double precision, so none
     below ``least`` links; a pair is counted for a row when the row's own query finds it. Equal vectors are one node with a
     count. Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do vectors
     of different lengths; their component is themselves. Rows that repeat are vectors of their own; a null vec_id never is

@@ -198,6 +198,14 @@ def test_embeddings_against_brute_force(spark):
 # ---- sharding ----
 
 
+def test_audit_weighs_queries_with_few_links():
+    hits, links = np.array([20_000] * 100 + [0, 0, 0]), np.array([20_000] * 100 + [1, 2, 0])
+    assert hits.sum() >= 0.99 * links.sum()  # all that was asked of it
+    assert not hnsw.recalled(hits, links, 48, 0.99)
+    assert not hnsw.recalled(np.append(hits[:100], 0), np.append(links[:100], 1), 48, 0.99)
+    assert hnsw.recalled(links, links, 48, 0.99) and hnsw.recalled(links[-1:], links[-1:], 48, 0.99)
+
+
 def test_differencing_balances():
     rng = np.random.default_rng(6)
     sizes = rng.integers(1, 1000, 300)
