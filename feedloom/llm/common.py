@@ -1,20 +1,27 @@
-"""Helpers that the training-data operators share: shared storage, checked broadcasts, connected components."""
+"""Helpers that the training-data operators share: shared storage, checked broadcasts, key filters, connected components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows of a side that is broadcast; a row of these sides holds one or two longs, so this is tens of MB at most.
 BROADCAST_ROWS = 500_000
+#: log2 of the fewest and of the most bits of a key filter: 4 KB and 32 MB.
+FILTER_BITS = 15, 28
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else (tests) one below the local temp folder."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset a session on one machine (tests)
+    takes one below the temp folder; a cluster has no folder to fall back on, so that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not path and not (master.startswith("local") and not master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path or f"{tempfile.gettempdir()}/checkpoints"
 
 
@@ -27,6 +34,15 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_all(spark: SparkSession, frames: Iterable[DataFrame], name: str = "t") -> DataFrame:
+    """As ``stored`` for frames of one schema, each made and written in turn, read back as one table."""
+    path, schema = f"{shared_dir(spark)}/feedloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}", None
+    for k, df in enumerate(frames):
+        schema = df.schema
+        df.write.parquet(f"{path}/run={k}")
+    return spark.read.schema(schema).parquet(path).select(schema.names)
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete every table that ``stored`` wrote for this application; call it once the results are written."""
     sc = spark.sparkContext
@@ -40,6 +56,31 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+class KeyFilter:
+    """A bit map over hashed keys, small enough to broadcast whatever the number of keys: rows that it lets through may
+    have one of the keys, all others surely have not. Only the former need a join, so a table of texts is split
+    first and its larger part never shuffled, by one plan at every size. About 1 in 32 other rows goes through until the map has its
+    most bits, gradually more with more than 8 million keys: that costs time, never a result."""
+
+    def __init__(self, keys: DataFrame, column: str = "key"):
+        """``keys`` is a stored table with the hashes of the keys in a long column; nulls are left out."""
+        low, high = FILTER_BITS
+        keys = keys.select(F.col(column).alias("k")).where("k is not null")
+        self.bits = min(high, max(low, (32 * keys.count()).bit_length()))
+        at = self._at(F.col("k"))
+        self.map = stored(keys.groupBy((at / 32768).cast("int").alias("__bucket")).agg(F.bitmap_construct_agg(at % 32768).alias("__map")), "filter")
+
+    def _at(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(1 << self.bits))
+
+    def mark(self, df: DataFrame, key: Column, name: str = "__maybe") -> DataFrame:
+        """``df`` with a boolean column, true on all rows whose ``key`` may be among the keys."""
+        rows = df.withColumn("__at", self._at(key)).withColumn("__bucket", (F.col("__at") / 32768).cast("int"))
+        byte = F.conv(F.hex(F.substring("__map", ((F.col("__at") % 32768) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        bit = byte.bitwiseAND(F.expr("cast(shiftleft(1, cast(__at % 8 as int)) as int)")) > 0
+        return rows.join(F.broadcast(self.map), "__bucket", "left").withColumn(name, F.coalesce(bit, F.lit(False))).drop("__at", "__bucket", "__map")
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, stored
+from .common import KeyFilter, stored
 
 
 class CountingQuotientFilter:
@@ -113,17 +113,17 @@ def exact_dedup(docs: DataFrame, rows_per_range: int = 100_000) -> DataFrame:
 
     Texts are equal when identical after lower-casing A-Z; of equal texts the largest doc_id stays. A counting
     quotient filter per partition, merged, finds the fingerprints that occur more than once; only their rows go to byte
-    verification, a grouping by the text's own bytes. A fingerprint that two different texts share costs time, never a
-    wrong group. Null text is empty text; empty texts are equal. A null doc_id never beats another; if all are
+    verification, a grouping by the text's own bytes; a key filter of bounded size splits them off, so the other texts are never shuffled.
+    A fingerprint that two different texts share, or that the filter lets through, costs time, never a wrong group. Null text is empty text; empty texts are equal. A null doc_id never beats another; if all are
     null, keep_id is null. Rows repeated with the doc_id that stays are that document and all have kept true. An empty
     table gives an empty result; other columns of ``docs`` are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase).alias("norm"))
     rows = rows.withColumn("fp", F.xxhash64("norm"))
     ranges = 1 << max(5, (docs.count() // rows_per_range).bit_length())
-    many = checked_broadcast(stored(repeated_fingerprints(rows.select("fp"), ranges).select("fp"), "repeated"))
-    routed = rows.join(many.withColumn("many", F.lit(True)), "fp", "left")
-    routed = routed.select("doc_id", F.sha2("norm", 256).alias("sha"), F.when(F.col("many"), F.col("norm")).alias("norm"))
+    many = KeyFilter(stored(repeated_fingerprints(rows.select("fp"), ranges), "repeated"), "fp")
+    routed = many.mark(rows, F.col("fp"))
+    routed = routed.select("doc_id", F.sha2("norm", 256).alias("sha"), F.when(F.col("__maybe"), F.col("norm")).alias("norm"))
     routed = stored(routed, "routed")
     alone, shared = routed.where("norm is null"), routed.where("norm is not null")
     # byte verification: the grouping key is the text itself
