@@ -18,7 +18,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove lines that many sites share, all but their first occurrence."""
-    return line_dedup.line_dedup(docs).drop("n_lines", "n_removed")
+    return line_dedup.line_dedup(docs, counts=None)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
