@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from .common import checked_broadcast, components, stored, tasks
+from .common import KeyFilter, checked_broadcast, components, stored, tasks
 
 
 def hashes_of(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -57,20 +57,23 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
 
 
 class CoveringCode:
-    """A perfect binary linear code of length ``n``, given by the columns of its parity check, with covering radius ``radius``.
-    Each word is within ``radius`` of exactly one code word. The anchors within r of x are x xor e for each e of weight
-    at most r with the syndrome of x."""
-
-    def __init__(self, columns: list[int], radius: int, reach: int):
-        self.n, self.radius, self.columns = len(columns), radius, np.array(columns, np.int64)
-        self.bits = max(columns).bit_length()
-        found: list[list[tuple[int, int]]] = [[] for _ in range(1 << self.bits)]
-        for weight in range(radius + reach + 1):
-            for at in combinations(range(self.n), weight):
-                syndrome = 0
-                for i in at:
-                    syndrome ^= columns[i]
-                found[syndrome].append((weight, sum(1 << i for i in at)))
+    """A perfect binary linear code, given by the columns of its parity check, with covering radius ``radius``, and ``free`` more
+    bits of which every word is a code word. Each word is within ``radius`` of exactly one code word, its home. A word
+    within ``reach`` of x is within radius plus reach of the home of x, and within reach of it in the free bits alone: the
+    anchors of x are x xor e for each such e with the syndrome of x."""
+
+    def __init__(self, columns: list[int], radius: int, reach: int, free: int = 0):
+        self.radius, self.columns = radius, np.array(columns, np.int64)
+        self.bits = max(columns, default=0).bit_length()
+        n, found = len(columns), [[] for _ in range(1 << self.bits)]
+        for beyond in range(reach + 1):
+            for outer in combinations(range(n, n + free), beyond):
+                for weight in range(radius + reach - beyond + 1):
+                    for at in combinations(range(n), weight):
+                        syndrome = 0
+                        for i in at:
+                            syndrome ^= columns[i]
+                        found[syndrome].append((weight if not beyond else n + free, sum(1 << i for i in at + outer)))
         self.weights = [np.array([w for w, _ in f]) for f in found]
         self.errors = [np.array([e for _, e in f], np.int64) for f in found]
 
@@ -82,7 +85,7 @@ class CoveringCode:
 
 
 def golay(reach: int) -> CoveringCode:
-    """Length 23, 4096 code words, covering radius 3: columns are x^i modulo the generator x^11+x^9+x^7+x^6+x^5+x+1."""
+    """Length 23, 2^12 code words, covering radius 3: columns are x^i modulo the generator x^11+x^9+x^7+x^6+x^5+x+1."""
     columns, c = [], 1
     for _ in range(23):
         columns.append(c)
@@ -93,32 +96,45 @@ def golay(reach: int) -> CoveringCode:
 
 
 def hamming(reach: int) -> CoveringCode:
-    """Length 31, 2^26 code words, covering radius 1."""
-    return CoveringCode(list(range(1, 32)), 1, reach)
+    """15 bits with covering radius 1 and seven free bits, 2^18 code words."""
+    return CoveringCode(list(range(1, 16)), 1, reach, 7)
+
+
+def words_alone(reach: int) -> CoveringCode:
+    """22 free bits: covering radius 0, 2^22 code words."""
+    return CoveringCode([], 0, reach, 22)
+
+
+#: The codes from the fewest anchors to the most, and the most fingerprints that each is taken for at a reach of one.
+CODES = ((golay, 4_000_000), (hamming, 1_000_000_000), (words_alone, None))
+#: A fingerprint's three blocks, as shift and width; fingerprints within a threshold are within a third of it in some block.
+BLOCKS = ((0, 22), (22, 21), (43, 21))
 
 
 @lru_cache(maxsize=4)
-def covering(blocks: int, threshold: int) -> tuple[CoveringCode, list[tuple[int, int]]]:
-    """The code for ``blocks`` (2 or 3) blocks of 64 bits, and each block's shift and width. Two fingerprints within
-    ``threshold`` are within threshold // blocks in some block. A 32nd bit of a block of two is left out of its anchors:
-    that can only lessen the distance."""
-    reach = threshold // blocks
-    if blocks == 3:
-        return golay(reach), [(0, 22), (22, 21), (43, 21)]
-    return hamming(reach), [(0, 31), (32, 31)]
+def covering(level: int, threshold: int) -> CoveringCode:
+    return CODES[level][0](threshold // len(BLOCKS))
+
+
+def level_for(n: int, threshold: int) -> int:
+    """The code for ``n`` fingerprints. Finer codes compare less and replicate more, which stays below 75 rows a fingerprint
+    up to a threshold of five; beyond that only the first code stays below that (68 rows)."""
+    if threshold // len(BLOCKS) > 1:
+        return 0
+    return next(k for k, (_, most) in enumerate(CODES) if most is None or n <= most)
 
 
-def _replicate(blocks: int, threshold: int):
+def _replicate(level: int, threshold: int):
     """Rows (anchor, id, fp, home): each fingerprint at every anchor within covering radius plus threshold of a block, and at
     its home anchor once more with home set."""
 
     def run(batches):
-        code, cuts = covering(blocks, threshold)
+        code = covering(level, threshold)
         for b in batches:
             ids, fps, *more = (b.column(c).to_numpy(zero_copy_only=False) for c in range(b.num_columns))
             for at in range(0, len(fps), 20_000):
                 part = fps[at : at + 20_000]
-                for k, (shift, width) in enumerate(cuts):
+                for k, (shift, width) in enumerate(BLOCKS):
                     words = (part.view(np.uint64) >> np.uint64(shift)).astype(np.int64) & ((1 << width) - 1)
                     syndrome = code.syndromes(words)
                     order = np.argsort(syndrome, kind="stable")
@@ -187,20 +203,25 @@ def _compare(threshold: int):
     return run
 
 
-def links(nodes: DataFrame, threshold: int, within: int | None = None, most: int = 20_000, wide_from: int = 20_000_000) -> DataFrame:
+def links(nodes: DataFrame, threshold: int, within: int | None = None, most: int = 200_000, level: int | None = None, sketch_from: int = 16_000_000) -> DataFrame:
     """Edges (u, v) over ``nodes`` (a stored table with long columns id and fp, ids unique) that connect all pairs whose
     fingerprints differ in at most ``threshold`` bits. With ``within`` above that, pairs that meet at an anchor link up to
     ``within`` bits; ``threshold`` is then what is certain to meet. A column sketch of ``nodes`` (see ``minima``) must agree in
     two of its eight bytes as well.
 
-    Up to ``wide_from`` nodes the anchors are Golay words over three blocks, beyond that Hamming words over two, which
-    replicate more and compare less; both find every link. Anchors with over ``most`` rows are cut into cells,
+    Anchors are the words of a covering code over each of three blocks; the code follows the number of nodes (``level_for``)
+    and each finds every link. From ``sketch_from`` nodes on, anchors are split by seven of the sketch's bytes: pairs that
+    agree in two of eight agree in one of seven, so none is lost. Anchors with over ``most`` rows are cut into cells,
     each with a part of the homes and a part of the rows, so no task gathers a hot anchor.
     """
-    n = nodes.count()
-    blocks, parts = (3 if n <= wide_from else 2), tasks(nodes.sparkSession)
+    n, parts = nodes.count(), tasks(nodes.sparkSession)
+    level = level_for(n, threshold) if level is None else level
     more = ["sketch"] * ("sketch" in nodes.columns)
-    placed = stored(nodes.select("id", "fp", *more).repartition(parts).mapInArrow(_replicate(blocks, threshold), "anchor long, id long, fp long, home boolean" + ", sketch long" * len(more)), "anchors")
+    placed = nodes.select("id", "fp", *more).repartition(parts).mapInArrow(_replicate(level, threshold), "anchor long, id long, fp long, home boolean" + ", sketch long" * len(more))
+    if more and n >= sketch_from:
+        byte = F.expr("shiftright(sketch, 8 * part) & 255")
+        placed = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(6)))).withColumn("anchor", F.xxhash64("anchor", "part", byte)).drop("part")
+    placed = stored(placed, "anchors")
     hot = checked_broadcast(stored(placed.groupBy("anchor").count().where(F.col("count") > most).select("anchor", F.ceil(F.col("count") / most).cast("int").alias("cuts")), "hot"))
     cuts = F.coalesce("cuts", F.lit(1))
     placed = placed.join(hot, "anchor", "left").withColumns({"cuts": cuts, "own": F.pmod(F.hash("id"), cuts)})
@@ -325,31 +346,37 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     ``within`` bits whose eight minima agree in two (nearly all do at a similarity of 0.8, of unlike texts 4 in 10,000) and that connect groups are verified: their sets of shingles must have a Jaccard similarity of at least
     ``similarity``, of whole texts. Where that refutes a pair, all pairs of the family (whatever candidates connect) that verified links
     leave apart are compared, at any distance in bits, if their minima agree in two. Groups are the components of verified links; equal texts are one node. Null text counts as
-    empty text, and empty texts are equal. Rows with a null doc_id stay and count for no group unless all there are null;
+    empty text, and empty texts are equal. Texts are known by 128 bits; should two texts share the first 64, one of them is left alone. Texts
+    are shuffled only if a bounded filter says that they may be candidates or drops. Rows with a null doc_id stay and count for no group unless all there are null;
     rows that repeat the doc_id that stays, with a text of the group, stay too. An empty table gives an empty result.
     """
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(text).alias("id"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("id"), F.xxhash64(F.lit(1), text).alias("id2"))
 
     def run(batches):
         for b in batches:
             hashes = (hashes_of(t.as_py(), words) for t in b.column(1))
             both = np.array([(majority(h), minima(h)) for h in hashes], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["doc_id", "id", "fp", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["doc_id", "id", "id2", "fp", "sketch"])
 
-    rows = stored(keyed.mapInArrow(run, "doc_id long, id long, fp long, sketch long"), "fingerprints")
-    nodes = stored(rows.groupBy("id").agg(F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
+    rows = stored(keyed.mapInArrow(run, "doc_id long, id long, id2 long, fp long, sketch long"), "fingerprints")
+    each = rows.groupBy("id", "id2").agg(F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    nodes = stored(each.groupBy("id").agg(F.min(F.struct("id2", "fp", "sketch", "least", "n")).alias("s")).select("id", "s.*"), "nodes")
     edges = stored(links(nodes, certain, within).distinct(), "candidates")
-    ends = checked_broadcast(stored(edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct(), "ends"))
-    texts = keyed.join(ends, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    ends = stored(edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct(), "ends")
+    texts = KeyFilter(ends, "id").mark(keyed, F.col("id")).where("__maybe").groupBy("id").agg(F.min_by("text", "id2").alias("text"))
     sets = stored(texts.mapInArrow(_shingles(words), "id long, shingles array<long>"), "shingles")
     both = edges.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     verified = stored(both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v"), "verified")
     labels = components(verified.unionByName(settle(sets, nodes, components(edges), components(verified), similarity)))
-    known = nodes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "least", "n", F.coalesce("label", "id").alias("label"))
+    known = nodes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "id2", "least", "n", F.coalesce("label", "id").alias("label"))
     keep = known.groupBy("label").agg(F.min("least").alias("keep"), F.sum("n").alias("rows"))
-    keep = stored(known.select("id", "label").join(keep.where("rows > 1"), "label").select("id", "keep"), "keep")
-    drops = checked_broadcast(stored(rows.join(keep, "id").where("doc_id <> keep").select(F.col("doc_id").alias("__doc_id"), F.col("id").alias("__id")).distinct(), "drops"))
-    marked = docs.withColumn("__text", F.xxhash64(text))
-    return marked.join(drops, (marked["doc_id"].cast("long") == drops["__doc_id"]) & (marked["__text"] == drops["__id"]), "left_anti").drop("__text")
+    keep = stored(known.select("id", "id2", "label").join(keep.where("rows > 1"), "label").select("id", "id2", "keep"), "keep")
+    gone = rows.join(keep, ["id", "id2"]).where("doc_id <> keep").select(F.col("doc_id").alias("__doc_id"), F.col("id").alias("__id"), F.col("id2").alias("__id2")).distinct()
+    gone = stored(gone.withColumn("__key", F.xxhash64("__doc_id", "__id")), "drops")
+    marked = docs.withColumns({"__d": F.col("doc_id").cast("long"), "__t": F.xxhash64(text), "__t2": F.xxhash64(F.lit(1), text)})
+    marked = KeyFilter(gone, "__key").mark(marked, F.xxhash64("__d", "__t"))
+    same = (F.col("__d") == F.col("__doc_id")) & (F.col("__t") == F.col("__id")) & (F.col("__t2") == F.col("__id2"))
+    out = marked.where("not __maybe").unionByName(marked.where("__maybe").join(gone.drop("__key"), same, "left_anti"))
+    return out.select(*docs.columns)
