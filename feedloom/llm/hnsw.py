@@ -9,13 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, stored, stored_all, tasks
 
 #: Links of a node in the ground layer and above it.
 GROUND, UPPER = 32, 16
+#: Most bytes of vectors, as floats, in a shard, and most bytes of graphs that one job broadcasts (one graph at least).
+SHARD_BYTES, WAVE_BYTES = 1 << 26, 1 << 26
+#: What single precision may be off by, and how far below the least similarity a range search still walks on.
+MARGIN, SLACK = 1e-3, 0.05
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one. Scaled by the largest component first, so that squares neither over- nor underflow."""
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=0)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -101,6 +107,8 @@ class Graph:
                     source.append(ids[ok, j])
                     to.append(part[ok])
             source, to = np.concatenate(source), np.concatenate(to)
+            if not len(to):
+                raise ValueError("a node without a direction: vectors must be finite and of length one")
             order = np.argsort(source, kind="stable")
             source, to = source[order], to[order]
             _, starts, counts = np.unique(source, return_index=True, return_counts=True)
@@ -211,28 +219,49 @@ class Graph:
             active = active[~opened[active].all(1)]
         return ids, sims
 
-    def links(self, q: np.ndarray, exact: np.ndarray, exact_q: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
-        """For each query the nodes found with double-precision cosine of at least ``least``. A query whose beam holds
-        nothing but near links is asked again with a beam twice as wide; beams over a quarter of the graph become scans."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
-        todo, n = np.arange(len(q)), len(self.x)
-        while len(todo):
-            again = []
-            if 4 * beam >= n:
-                for i in todo:
-                    out[i] = np.flatnonzero(exact @ exact_q[i] >= least)
-                break
-            size = max(16, min(1024, (1 << 26) // n))
-            for a in range(0, len(todo), size):
-                part = todo[a : a + size]
-                ids, sims = self.beam(q[part], self._descend(q[part], self.top, 0)[:, None], beam)
-                full = sims[:, -1] >= least - 1e-3
-                again.append(part[full])
-                for r in np.flatnonzero(~full & (sims[:, 0] >= least - 1e-3)):
-                    near = ids[r][sims[r] >= least - 1e-3].astype(np.int64)
-                    out[part[r]] = near[exact[near] @ exact_q[part[r]] >= least]
-            todo, beam = np.concatenate(again), 2 * beam
-        return out
+    def search(self, q: np.ndarray, exact: np.ndarray, least: float, beam: int):
+        """Links of the unit vectors ``q`` (doubles) to nodes at a cosine of at least ``least`` by ``exact`` (the nodes in double
+        precision), as (wide, rows, nodes) in turn. A query whose beam holds more than links is narrow and done
+        with it; if the whole beam is near links, a range search walks on from there."""
+        lean, n, wide, seeds = q.astype(np.float32), len(self.x), [np.zeros(0, np.int64)], []
+        size = max(16, min(1024, (1 << 26) // max(1, n)))
+        for a in range(0, len(q), size):
+            ids, sims = self.beam(lean[a : a + size], self._descend(lean[a : a + size], self.top, 0)[:, None], beam)
+            near = sims >= least - MARGIN
+            full = near.all(1)
+            row, col = np.nonzero(near & ~full[:, None])
+            node = ids[row, col].astype(np.int64)
+            ok = np.einsum("md,md->m", exact[node], q[a + row]) >= least
+            yield False, a + row[ok], node[ok]
+            wide.append(a + np.flatnonzero(full))
+            seeds.append(ids[full])
+        wide = np.concatenate(wide)
+        if len(wide):
+            seeds = np.concatenate(seeds)
+            side = np.random.default_rng(3).standard_normal((q.shape[1], 64))
+            order = np.argsort((q[wide] @ side).argmax(1), kind="stable")  # near queries share most of their walk
+            for a in range(0, len(wide), 256):
+                part = order[a : a + 256]
+                for row, node in self._range(q[wide[part]], exact, np.unique(seeds[part]), least):
+                    yield True, wide[part][row], node
+
+    def _range(self, q: np.ndarray, exact: np.ndarray, front: np.ndarray, least: float):
+        """All links of a few queries that walks over nodes near any of them reach, as (rows, nodes) in turn."""
+        seen = np.zeros(len(self.x), bool)
+        front = front[front >= 0]
+        seen[front] = True
+        while len(front):
+            more = []
+            for a in range(0, len(front), 4096):
+                part = front[a : a + 4096]
+                sims = q @ exact[part].T
+                row, col = np.nonzero(sims >= least)
+                yield row, part[col].astype(np.int64)
+                more.append(part[(sims >= least - SLACK).any(0)])
+            near = self.layers[0][np.concatenate(more)]
+            front = np.unique(near[near >= 0])
+            front = front[~seen[front]]
+            seen[front] = True
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -246,7 +275,8 @@ def _index(table: pa.Table) -> pa.Table:
     lean = raw.astype(np.float32)
     lean = lean if (lean == raw).all() else raw  # values that came as floats travel as floats, without loss
     blob = pickle.dumps((table.column("gid").to_numpy(), table.column("n").to_numpy(), lean, Graph(_unit(raw)).packed()))
-    return pa.table({"shard": table.column("shard")[:1], "dim": table.column("dim")[:1], "graph": pa.array([blob], pa.large_binary() if len(blob) >= 1 << 31 else pa.binary())})
+    kind = pa.large_binary() if len(blob) >= 1 << 31 else pa.binary()
+    return pa.table({"shard": table.column("shard")[:1], "dim": table.column("dim")[:1], "bytes": pa.array([len(blob)], pa.int64()), "graph": pa.array([blob], kind)})
 
 
 def recalled(hits: np.ndarray, links: np.ndarray, few: int, recall: float) -> bool:
@@ -257,71 +287,136 @@ def recalled(hits: np.ndarray, links: np.ndarray, few: int, recall: float) -> bo
     return hits.sum() >= recall * links.sum() and all((hits[m] / links[m]).mean() >= recall for m in (rare | True, rare) if m.any())
 
 
-def _query(least: float, beam: int, recall: float, audit: int):
-    def run(graphs: pa.Table, queries: pa.Table) -> pa.Table:
-        rows = []
-        if graphs.num_rows and queries.num_rows:
-            ids, weights, raw, links = pickle.loads(graphs.column("graph")[0].as_py())
-            x = _unit(raw.astype(np.float64))
-            graph = Graph.unpacked(links, x)
-            gid, q = queries.column("gid").to_numpy(), _unit(_matrix(queries.column("embedding")))
-            sample = np.argsort(gid * 2654435761 % 1000003, kind="stable")[:audit]
-            truth = [t[ids[t] != gid[i]] for i in sample for t in [np.flatnonzero(x @ q[i] >= least)]]
-            width = beam
-            while True:
-                found = graph.links(q.astype(np.float32), x, q, least, width)
-                hits = np.array([len(np.intersect1d(found[i], t, assume_unique=True)) for i, t in zip(sample, truth)])
-                if 4 * width >= len(x) or recalled(hits, np.array([len(t) for t in truth]), beam, recall):
-                    break
-                width *= 2
-            parent: dict[int, int] = {}
-
-            def root(a: int) -> int:
-                while parent.setdefault(a, a) != a:
-                    parent[a] = a = parent[parent[a]]
-                return a
-
-            for g, near in zip(gid.tolist(), found):
-                others = ids[near] != g
-                if others.any():
-                    rows.append((0, g, int(weights[near][others].sum())))
-                    for v in ids[near][others].tolist():
-                        a, b = root(g), root(v)
-                        if a != b:
-                            parent[max(a, b)] = min(a, b)
-            rows += [(1, a, root(a)) for a in list(parent) if root(a) != a]
-        columns = list(zip(*rows)) or [[]] * 3
-        return pa.table({"kind": pa.array(columns[0], pa.int32()), "a": pa.array(columns[1], pa.int64()), "b": pa.array(columns[2], pa.int64())})
+def audited(graph: Graph, exact: np.ndarray, q: np.ndarray, least: float, beam: int, recall: float, audit: int) -> tuple[int, int, int]:
+    """The beam, doubled until audits pass, and the true links and found ones of the last audit. Audited are ``audit`` of the
+    queries and as many probes: nodes turned away from themselves until just above ``least``, so that each has a link and
+    no audit passes on nothing. A beam as wide as the graph ends it: such a beam opens every node."""
+    rng = np.random.default_rng(11)
+    nodes = rng.permutation(len(exact))[:audit]
+    away = rng.standard_normal((len(nodes), exact.shape[1]))
+    away -= np.einsum("bd,bd->b", away, exact[nodes])[:, None] * exact[nodes]
+    size = np.linalg.norm(away, axis=1, keepdims=True)
+    cos = least + 0.1 * (1 - least)
+    probes = _unit(np.where(size > 1e-9, cos * exact[nodes] + np.sqrt(max(0.0, 1 - cos * cos)) * away / np.maximum(size, 1e-9), exact[nodes]))
+    asked = np.concatenate([q[rng.permutation(len(q))[:audit]], probes])
+    truth = np.concatenate([(asked[a : a + 64] @ exact.T >= least).sum(1) for a in range(0, len(asked), 64)])
+    while True:
+        hits = np.zeros(len(asked), np.int64)
+        for _, row, _ in graph.search(asked, exact, least, beam):
+            hits += np.bincount(row, minlength=len(asked))
+        if beam >= len(exact) or recalled(hits, truth, beam, recall):
+            return beam, int(truth.sum()), int(hits.sum())
+        beam *= 2
+
+
+#: What a search gives: 0 a link (a, b) with the shard and weight of b; 1 the weight of a's links in shard s, too many to list; 2
+#: the weight of such searches from shard s that found a; 3 an edge that joins components; 9 an audit's links, hits and beam.
+FOUND = "kind int, a long, b long, s int, w long"
+
+
+def _ask(graphs, least: float, beam: int, recall: float, audit: int):
+    """A function over batches of nodes that asks each of the broadcast ``graphs`` for the links of each node."""
+
+    def links(blob: bytes, gid: np.ndarray, n: np.ndarray, shard: np.ndarray, q: np.ndarray, own: int) -> list[np.ndarray]:
+        ids, weights, raw, packed = pickle.loads(blob)
+        exact = _unit(raw.astype(np.float64))
+        graph = Graph.unpacked(packed, exact)
+        width, links, hits = audited(graph, exact, q, least, beam, recall, audit)
+        out = [np.array([[9, links, hits, own, width]], np.int64)]
+        total, label = np.zeros(len(gid), np.int64), np.arange(len(gid) + len(ids))
+        add = lambda kind, a, b, s, w: out.append(np.stack(np.broadcast_arrays(kind, a, b, s, w), 1).astype(np.int64))
+        for wide, row, node in graph.search(q, exact, least, width):
+            other = gid[row] != ids[node]
+            row, node = row[other], node[other]
+            if not wide:
+                add(0, gid[row], ids[node], own, weights[node])
+                add(0, ids[node], gid[row], shard[row], n[row])
+                continue
+            total += np.bincount(row, weights[node], len(gid)).astype(np.int64)
+            key, at = np.unique(node * (1 << 31) + shard[row], return_inverse=True)
+            add(2, ids[key >> 31], 0, key & ((1 << 31) - 1), np.bincount(at, n[row]))
+            order = np.argsort(row, kind="stable")
+            row, node = row[order], node[order]
+            starts = np.flatnonzero(np.diff(row, prepend=-1))
+            for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(row)]):
+                me, others = label[row[a]], label[len(gid) + node[a:z]]
+                found, first = np.unique(others, return_index=True)
+                new = found != me
+                if new.any():
+                    add(3, gid[row[a]], ids[node[a:z][first[new]]], 0, 0)
+                    label[np.isin(label, found)] = me
+        some = np.flatnonzero(total)
+        add(1, gid[some], 0, own, total[some])
+        return out
+
+    def run(batches):
+        for b in batches:
+            dims, table = b.column("dim").to_numpy(), pa.Table.from_batches([b])
+            for own, dim, blob in graphs.value:
+                part = table.filter(pa.array(dims == dim))
+                if part.num_rows:
+                    gid, n, shard = (part.column(c).to_numpy() for c in ("gid", "n", "shard"))
+                    got = np.concatenate(links(blob, gid, n, shard.astype(np.int64), _unit(_matrix(part.column("embedding"))), own))
+                    for a in range(0, len(got), 100_000):
+                        columns = [pa.array(c, t) for c, t in zip(got[a : a + 100_000].T, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))]
+                        yield pa.RecordBatch.from_arrays(columns, ["kind", "a", "b", "s", "w"])
 
     return run
 
 
-def embedding_groups(vectors: DataFrame, least: float = 0.9, shards: int = 6, shard_rows: int = 200_000, block_rows: int = 8_192, beam: int = 48, recall: float = 0.99, audit: int = 128) -> DataFrame:
+def _waves(sizes: list[tuple[int, int, int]]):
+    """Graphs (shard, dim, bytes) in runs of at most ``WAVE_BYTES``, or of one."""
+    wave, total = [], 0
+    for shard, dim, size in sizes:
+        if wave and total + size > WAVE_BYTES:
+            yield wave
+            wave, total = [], 0
+        wave.append((shard, dim))
+        total += size
+    if wave:
+        yield wave
+
+
+def embedding_groups(vectors: DataFrame, least: float = 0.9, shards: int = 4, shard_rows: int = 200_000, block_rows: int = 8_192, beam: int = 48, recall: float = 0.99, audit: int = 64) -> DataFrame:
     """For each row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept.
 
-    Rows are dealt to at least ``shards`` shards of about ``shard_rows``; each shard indexes all its rows in one graph, and
-    every row queries every shard. A task doubles its beams until the links of ``audit`` of its queries, found by
-    brute force, are found again to the share ``recall``, in total and on average over queries, those with few links apart. Found pairs are verified by cosine in double precision, so none
-    below ``least`` links; a pair is counted for a row when the row's own query finds it. Equal vectors are one node with a
+    Rows are dealt to at least ``shards`` shards of at most ``shard_rows`` and ``SHARD_BYTES``; each shard indexes all its
+    rows in one graph, and every row queries every shard. Graphs are built once and go to the queries by broadcast, as many
+    at a time as ``WAVE_BYTES`` hold, so that vectors are shuffled twice at most, whatever their number. For each block of
+    queries and graph the beam doubles until audits (``audited``) find the share ``recall`` of the links that brute force
+    finds. Found pairs are verified by cosine in double precision, so none below ``least`` links. A pair found from either end
+    counts for both. Beams full of links go over into range searches, whose links are counted, not listed; of those, the
+    count seen from the other end holds where it is larger. Equal vectors are one node with a
     count. Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do vectors
     of different lengths; their component is themselves. Rows that repeat are vectors of their own; a null vec_id never is
     a component's id if another exists; other columns are ignored; an empty table gives an empty result.
     """
+    spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     rows = stored(rows.withColumns({"uid": F.monotonically_increasing_id(), "embedding": F.when(F.coalesce(finite, F.lit(False)), F.col("embedding"))}), "vectors")
     valid = rows.where("embedding is not null")
-    nodes = stored(valid.groupBy("embedding").agg(F.min("uid").alias("gid"), F.count("*").alias("n")), "nodes")
-    total = nodes.count()
-    shards, blocks = max(shards, -(-total // shard_rows)), max(1, -(-total // block_rows))
-    keyed = nodes.select("gid", "n", "embedding", F.size("embedding").alias("dim"))
-    graphs = keyed.withColumn("shard", F.pmod(F.xxhash64("gid"), F.lit(shards)).cast("int")).groupBy("shard", "dim").applyInArrow(_index, "shard int, dim int, graph binary")
-    graphs = stored(graphs, "graphs").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = keyed.drop("n").withColumns({"block": F.pmod(F.hash("gid"), F.lit(blocks)), "shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))})
-    keys = ["shard", "block", "dim"]
-    found = stored(graphs.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_query(least, beam, recall, audit), "kind int, a long, b long"), "found")
-    counts = found.where("kind = 0").groupBy(F.col("a").alias("gid")).agg(F.sum("b").alias("others"))
-    labels = components(found.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    total, dim = valid.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    shards = max(shards, -(-total // max(1, min(shard_rows, SHARD_BYTES // (4 * (dim or 1))))))
+    blocks = max(tasks(spark), -(-total // block_rows))
+    nodes = valid.groupBy("embedding").agg(F.min("uid").alias("gid"), F.count("*").alias("n"))
+    nodes = nodes.withColumns({"dim": F.size("embedding"), "shard": F.pmod(F.xxhash64("gid"), F.lit(shards)).cast("int")})
+    nodes = stored(nodes.repartition(blocks), "nodes")
+    graphs = stored(nodes.groupBy("shard", "dim").applyInArrow(_index, "shard int, dim int, bytes long, graph binary"), "graphs")
+
+    def answers():
+        sizes = sorted(map(tuple, graphs.select("shard", "dim", "bytes").collect()))
+        for wave in _waves(sizes) if sizes else [[]]:
+            wanted = F.struct("shard", "dim").isin([F.struct(F.lit(s), F.lit(d)) for s, d in wave]) if wave else F.lit(False)
+            shared = spark.sparkContext.broadcast([(r.shard, r.dim, bytes(r.graph)) for r in graphs.where(wanted).select("shard", "dim", "graph").collect()])
+            yield nodes.select("gid", "n", "shard", "dim", "embedding").mapInArrow(_ask(shared, least, beam, recall, audit), FOUND)
+            shared.unpersist()  # the frame has been written
+
+    found = stored_all(spark, answers(), "found")
+    pairs = found.where("kind = 0").groupBy("a", "b").agg(F.max("s").alias("s"), F.max("w").alias("w")).groupBy("a", "s").agg(F.sum("w").alias("w"))
+    counted = pairs.unionByName(found.where("kind in (1, 2)").groupBy("kind", "a", "s").agg(F.sum("w").alias("w")).select("a", "s", "w"))
+    counts = counted.groupBy("a", "s").agg(F.max("w").alias("w")).groupBy(F.col("a").alias("gid")).agg(F.sum("w").alias("others"))
+    labels = components(found.where("kind = 0 and a < b or kind = 3").select(F.col("a").alias("u"), F.col("b").alias("v")))
     known = nodes.select("gid", "n", "embedding").join(counts, "gid", "left").join(labels.withColumnRenamed("node", "gid"), "gid", "left")
     known = stored(known.select("embedding", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("label", "gid").alias("label")), "known")
     linked = stored(valid.join(known, "embedding").select("vec_id", "n_links", "label"), "linked")

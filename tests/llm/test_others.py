@@ -45,7 +45,7 @@ def test_components(spark):
 
 
 def test_codes_cover():
-    for code, length in ((simhash.golay(1), 23), (simhash.hamming(2), 31)):
+    for code, length in ((simhash.golay(1), 23), (simhash.hamming(1), 22), (simhash.words_alone(1), 22)):
         words = np.random.default_rng(1).integers(0, 1 << length, 400)
         s = code.syndromes(words)
         for w, x in zip(words, s):
@@ -54,8 +54,22 @@ def test_codes_cover():
             assert (code.weights[x] <= code.radius).sum() == 1  # perfect: one home
 
 
-@pytest.mark.parametrize("wide_from", [20_000_000, 0])
-def test_links_find_all(spark, wide_from):
+def test_codes_meet_within_reach():
+    """Any two words within the reach share an anchor that is the home of one; rows a fingerprint stay bounded."""
+    rng = np.random.default_rng(3)
+    for level, most in ((0, 21), (1, 50), (2, 72)):
+        code = simhash.covering(level, 4)
+        assert 3 * (1 + max(len(e) for e in code.errors)) <= most
+        for x in rng.integers(0, 1 << 21, 50).tolist():
+            s = int(code.syndromes(np.array([x]))[0])
+            home = x ^ int(code.errors[s][np.flatnonzero(code.weights[s] <= code.radius)[0]])
+            for y in [x] + [x ^ (1 << b) for b in range(21)]:
+                assert home in (y ^ code.errors[int(code.syndromes(np.array([y]))[0])]).tolist()
+    assert [simhash.level_for(n, 4) for n in (10, 10**8, 10**10)] == [0, 1, 2] and simhash.level_for(10**10, 8) == 0
+
+
+@pytest.mark.parametrize("level", [0, 1, 2])
+def test_links_find_all(spark, level):
     rng = np.random.default_rng(2)
     fps = rng.integers(0, 1 << 63, 120, dtype=np.int64).view(np.uint64)
     more = [fps]
@@ -67,7 +81,7 @@ def test_links_find_all(spark, wide_from):
         more.append(out)
     fps = np.unique(np.concatenate(more)).view(np.int64).tolist()
     nodes = common.stored(spark.createDataFrame([(f, f) for f in fps], "id long, fp long"))
-    edges = simhash.links(nodes, 4, most=50, wide_from=wide_from).collect()
+    edges = simhash.links(nodes, 4, most=50, level=level).collect()
     pairs = [(a, b) for a in fps for b in fps if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= 4]
     assert all(bin((r.u ^ r.v) & (2**64 - 1)).count("1") <= 4 for r in edges)
     assert groups(fps, pairs) == groups(fps, [(r.u, r.v) for r in edges])
@@ -195,6 +209,61 @@ def test_embeddings_against_brute_force(spark):
     assert hnsw.embedding_groups(df.limit(0)).count() == 0
 
 
+def linked(rows):
+    """Brute force in double precision: links and component of each row (id, vector)."""
+    y = np.array([v for _, v in rows], float)
+    y = y / np.abs(y).max(1, keepdims=True)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    near = y @ y.T >= 0.9
+    np.fill_diagonal(near, False)
+    ids = [i for i, _ in rows]
+    comp = groups(ids, [(ids[a], ids[b]) for a, b in np.argwhere(np.triu(near))])
+    return {i: (int(k), comp[i]) for i, k in zip(ids, near.sum(1))}
+
+
+def test_embeddings_by_graph_search(spark):
+    """Over 1,000 rows in each shard, beams far from covering them; a dense group outgrows the beams."""
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(2600, 24))
+    x = np.concatenate([x, x[:300] + 0.12 * rng.normal(size=(300, 24)), np.repeat(x[:1], 400, 0) + 0.07 * rng.normal(size=(400, 24)), np.repeat(x[5:6], 20, 0) + 0.2 * rng.normal(size=(20, 24))])
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    want = linked(rows)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), shards=3).collect()}
+    assert all(got[i][0] <= want[i][0] for i in want)  # nothing linked below the threshold
+    assert sum(n for n, _ in got.values()) >= 0.995 * sum(n for n, _ in want.values())
+    rare = [i for i, (n, _) in want.items() if 0 < n < 48]
+    assert len(rare) > 200 and np.mean([got[i][0] / want[i][0] for i in rare]) >= 0.99
+    assert sum(got[i][1] == want[i][1] for i in want) >= 0.995 * len(want)
+
+
+def test_embeddings_of_extreme_size(spark):
+    """Parallel vectors link whatever their length; squares of the components over- or underflow."""
+    rng = np.random.default_rng(16)
+    x = [v.tolist() for v in rng.normal(size=(400, 8))]
+    a, b = rng.normal(size=(2, 8))
+    x += [(a * k).tolist() for k in (1e-200, 2e-200, 5e-200, 1e-300)] + [(b * k).tolist() for k in (1e300, 3e300, 1e-250, 1.0)]
+    rows = list(enumerate(x))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shards=1).collect()}
+    assert got == linked(rows)
+
+
+def test_embeddings_at_the_threshold(spark):
+    rows = [(0, [1.0, 0.0, 0.0]), (1, [0.9, 0.19**0.5, 0.0]), (2, [0.9, 0.0, -(0.19**0.5)]), (3, [0.8999, (1 - 0.8999**2) ** 0.5, 0.0]), (4, [0.0, 0.0, 1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == linked(rows)
+
+
+def test_audits_never_pass_on_nothing():
+    """Probes have links by construction, so an audit counts some even where no query has any; a beam too narrow widens."""
+    rng = np.random.default_rng(17)
+    exact = hnsw._unit(rng.normal(size=(3000, 32)))
+    graph = hnsw.Graph(exact)
+    beam, links, hits = hnsw.audited(graph, exact, hnsw._unit(rng.normal(size=(50, 32))), 0.9, 8, 0.99, 64)
+    assert links >= 64 and hits >= 0.99 * links and beam < 3000
+    found = [(r, n) for _, row, node in graph.search(exact[:500], exact, 0.9, beam) for r, n in zip(row.tolist(), node.tolist())]
+    assert len(set(found)) >= 0.99 * (exact[:500] @ exact.T >= 0.9).sum() and len(found) == len(set(found))
+
+
 # ---- sharding ----
 
 
