@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 import re
 from bisect import bisect_left
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import count
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,21 +22,20 @@ CACHE, BASES = 800_000, 600_000
 #: A word of Latin letters that have no decomposed form among them, and ASCII punctuation after it (no apostrophe): the
 #: tokenizer cuts between the two and ignores case, so they are looked up apart.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
-#: Separators of white space that str.split() knows and the tokenizer does not; fixed values.
-CONTROLS, WORDS = re.compile("[\x1c-\x1f]"), re.compile("[^ \t\n\r]+")
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian 32-bit bytes. The tokenizer drops white space and never looks across it, so
-    each white-space-free word is encoded once and kept in a bounded cache."""
+    """Ids of whole texts as the library gives them. The tokenizer drops white space and never looks across it, so each word between
+    ASCII white space is encoded once and kept in a bounded cache; a batch's words are split and numbered by Arrow and their ids
+    gathered by numpy. The strings of added tokens are tokens wherever they stand: texts that hold one go whole to the library."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
         self.bases: dict[str, bytes] = {"": b""}
 
@@ -46,7 +46,7 @@ class WordEncoder:
         data, cuts = ids.tobytes(), cuts.tolist()
         self.bases.update((w, data[x:z]) for w, x, z in zip(words, cuts, cuts[1:]))
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         if len(self.bases) > BASES:
             self.bases = {"": b""}
         plain, odd, bases, match = [], [], self.bases, PLAIN.fullmatch
@@ -66,15 +66,32 @@ class WordEncoder:
         self.words.update((w, bases[base] + bases[tail]) for w, base, tail in plain)
         self.words.update((w, bases[w]) for w in words if w not in self.words)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split() if not CONTROLS.search(t) else WORDS.findall(t) for t in texts]
-        if len(self.words) > CACHE:
-            self.words.clear()
-        known = self.words
-        if new := {w for s in split for w in s if w not in known}:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``texts`` (strings, null: empty) one after another, and where each text's end."""
+        texts = pc.fill_null(texts, "")
+        own = reduce(pc.or_, [pc.match_substring(texts, t) for t in self.added], pa.array(np.zeros(len(texts), bool)))
+        whole = np.flatnonzero(own.to_numpy(zero_copy_only=False)).tolist()
+        split = pc.ascii_split_whitespace(pc.if_else(own, "", texts) if whole else texts)
+        words = split.flatten().dictionary_encode()
+        known, listed = self.words, words.dictionary.to_pylist()
+        if len(known) > CACHE:
+            known.clear()
+        if new := [w for w in listed if w not in known]:
             self._learn(new)
-        get = known.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        coded = [known[w] for w in listed]
+        ids, sizes = np.frombuffer(b"".join(coded), "<u4"), np.array([len(c) // 4 for c in coded], np.int64)
+        at = words.indices.to_numpy(zero_copy_only=False)
+        starts, sizes = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        ends = np.append(0, np.cumsum(sizes))
+        ids = ids[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])]
+        offsets = split.offsets.to_numpy()
+        ends = ends[offsets - offsets[0]]
+        if not whole:
+            return ids, ends[1:]
+        parts = [ids[a:z] for a, z in zip(ends, ends[1:])]
+        for k in whole:
+            parts[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, "<u4")
+        return np.concatenate(parts), np.cumsum([len(p) for p in parts])
 
 
 @lru_cache(maxsize=2)
@@ -88,13 +105,15 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0) -> Da
     def run(batches):
         enc, tail = encoder(path), np.array([end], "<u4").tobytes()
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part, rows = b.slice(at, 256), []
-                for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode([t or "" for t in part.column(1).to_pylist()])):
-                    ids += tail
-                    for k, a in enumerate(range(0, len(ids), 4 * capacity)):
-                        cut = ids[a : a + 4 * capacity]
-                        rows.append((doc_id, k, a // 4, len(cut) // 4, crc32(cut)))
+            for at in range(0, b.num_rows, 1024):
+                part, rows = b.slice(at, 1024), []
+                ids, ends = enc.encode(part.column(1))
+                data = ids.tobytes()
+                for doc_id, z, a in zip(part.column(0).to_pylist(), ends.tolist(), [0, *ends.tolist()]):
+                    own = data[4 * a : 4 * z] + tail
+                    for k, x in enumerate(range(0, len(own), 4 * capacity)):
+                        cut = own[x : x + 4 * capacity]
+                        rows.append((doc_id, k, x // 4, len(cut) // 4, crc32(cut)))
                 columns = list(zip(*rows)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 

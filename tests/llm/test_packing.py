@@ -3,6 +3,7 @@ from zlib import crc32
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from feedloom.llm import packing
@@ -12,18 +13,27 @@ TEXTS = ["", " ", "Hello, World! don't STOP", "été Ünï ÄÖÜ ß ÿ É", "e
 
 
 def reference():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)  # as it comes: strings of added tokens are tokens
 
 
 def test_ids_are_the_tokenizers():
     rng = random.Random(3)
-    alphabet = "aAbzéÉßŒ ,.!'-́̈\n\t\x1c\xa01_ıİΣ日"
+    alphabet = "aAbzéÉßŒ ,.!'-́̈\n\t\x0b\x0c\x1c\x85\xa01_ıİΣ日"
     texts = TEXTS + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(50))) for _ in range(400)]
     lib = reference().encode_batch(texts, add_special_tokens=False)
-    for text, ids, want in zip(texts, packing.WordEncoder(PATH).encode(texts), lib):
-        assert np.frombuffer(ids, "<u4").tolist() == want.ids, repr(text)
+    enc = packing.WordEncoder(PATH)
+    for column in (pa.array(texts), pa.array(["cut off", *texts, "too"]).slice(1, len(texts))):
+        ids, ends = enc.encode(column)
+        for text, part, want in zip(texts, np.split(ids, ends[:-1]), lib, strict=True):
+            assert part.tolist() == want.ids, repr(text)
+    assert enc.encode(pa.array([], pa.string()))[0].size == 0
+
+
+def test_added_tokens_are_found_before_all_else():
+    texts = ["a <|endoftext|> b", "x<|endoftext|>y", "<|ENDOFTEXT|> <|EndOfText|>", "don<|startoftext|>'t", "é<|endoftext|>́", "<|endoftext|><|endoftext|>", "<|endof text|>", "<|endoftext|", "\u3000<|startoftext|>\xa0", None]
+    ids, ends = packing.WordEncoder(PATH).encode(pa.array(texts))
+    lib = [reference().encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [p.tolist() for p in np.split(ids, ends[:-1])] == lib and lib[0] == [320, 49407, 321]
 
 
 def brute_minimum(lengths, capacity):
@@ -60,7 +70,7 @@ def test_bounds_never_exceed_the_optimum():
 def test_pack_whole(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "Gamma,", "d."]) for _ in range(rng.randrange(0, 120))), "s") for i in range(150)]
-    rows += [(200, None, "s"), (201, "", "s"), (None, "loose words", "s"), (3, rows[3][1], "s"), (202, "word " * 5000, "s")]
+    rows += [(203, "a <|endoftext|> b<|startoftext|>", "s"), (200, None, "s"), (201, "", "s"), (None, "loose words", "s"), (3, rows[3][1], "s"), (202, "word " * 5000, "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, length string")
     got = packing.pack(docs, PATH, capacity=64, part_rows=40).collect()
     want, t = [], reference()
