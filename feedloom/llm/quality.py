@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
-from math import exp
-from operator import eq
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,30 +21,33 @@ CACHE = 400_000
 
 
 def features(word: str) -> list[int]:
-    """Buckets of a word and of its character n-grams, with marks at its ends."""
+    """Buckets of a word (first) and of its character n-grams, with marks at its ends."""
     marked = f"<{word}>"
     grams = [marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
     return [crc32(x.encode("utf-8", "replace")) % BUCKETS for x in [marked, *grams]]
 
 
-#: The bucket of the word bigram whose words are the same, which all such bigrams share.
-REPEAT = crc32(b"< >") % BUCKETS
-
-
-def repeats(words: list[str]) -> int:
-    """How many words follow themselves."""
-    return sum(map(eq, words, words[1:]))
+def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of some texts (between ASCII white space; null: none), each place's word by number, and where each text's
+    places begin and the last's end. A text without words has one place with the empty word."""
+    split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(texts, "")))
+    words, offsets = split.flatten().dictionary_encode(), split.offsets.to_numpy()
+    return words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False), offsets - offsets[0]
 
 
 def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a whole text and how often each occurs."""
+    """Distinct buckets of a whole text and how often each occurs: its words', their character n-grams', and its word
+    bigrams', each of which has the exclusive or of its two words' buckets."""
+    words, at, _ = split_words(pa.array([text], pa.string()))
+    if words == [""]:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     tally: Counter = Counter()
-    words = (text or "").split()
-    if n := repeats(words):
-        tally[REPEAT] = n
-    for word, n in Counter(words).items():
-        for f in features(word):
+    own = [features(w) for w in words]
+    for ids, n in zip(own, np.bincount(at).tolist()):
+        for f in ids:
             tally[f] += n
+    heads = np.array([ids[0] for ids in own])[at]
+    tally.update((heads[:-1] ^ heads[1:]).tolist())
     return np.fromiter(tally.keys(), np.int32, len(tally)), np.fromiter(tally.values(), np.int32, len(tally))
 
 
@@ -63,6 +65,16 @@ class Model:
         return (self.vectors @ (self.weights[1] - self.weights[0])).astype(np.float64), float(self.bias[1] - self.bias[0])
 
 
+def gradients(vectors: np.ndarray, weights: np.ndarray, bias: np.ndarray, ids: np.ndarray, share: np.ndarray, label: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the log-likelihood of ``label``, by the weights, the biases and the vectors ``ids``, which are averaged by ``share``."""
+    hidden = share @ vectors[ids] if len(ids) else np.zeros(vectors.shape[1], vectors.dtype)
+    out = weights @ hidden + bias
+    p = np.exp(out - out.max())
+    error = -p / p.sum()
+    error[label] += 1
+    return np.outer(error, hidden), error, np.outer(share, error @ weights)
+
+
 def train(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 8, rate: float = 1.0, seed: int = 7) -> Model:
     """Stochastic gradient descent over (buckets, counts, label): a document's vector is the mean of its features' vectors.
     Without examples the model scores 0.5; a document without features teaches the biases only."""
@@ -77,16 +89,11 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 8, r
             lr = rate * (1 - done / total)
             done += 1
             share = (counts / max(1, counts.sum())).astype(np.float32)
-            hidden = share @ vectors[ids] if len(ids) else np.zeros(DIM, np.float32)
-            out = weights @ hidden + bias
-            p = np.exp(out - out.max())
-            error = -p / p.sum()
-            error[label] += 1
-            back = error @ weights
-            weights += lr * np.outer(error, hidden)
-            bias += 0.1 * lr * error
+            by_weights, by_bias, by_vectors = gradients(vectors, weights, bias, ids, share, label)
+            weights += lr * by_weights
+            bias += 0.1 * lr * by_bias
             if len(ids):
-                vectors[ids] += (lr * 50) * np.outer(share, back)
+                vectors[ids] += (lr * 50) * by_vectors
     return Model(vectors, weights, bias)
 
 
@@ -112,37 +119,47 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return train([(np.frombuffer(r.ids, np.int32), np.frombuffer(r.counts, np.int32), r.label) for r in rows])
 
 
+class Scorer:
+    """Scores of texts. A word's bucket, its features' sum and their number are kept in a bounded cache; the words of a
+    batch are split and numbered by Arrow, and all else is array arithmetic."""
+
+    def __init__(self, lean: np.ndarray, bias: float):
+        self.table, self.lean, self.bias, self.words = lean.tolist(), lean, bias, {"": (0, 0.0, 0)}
+
+    def _word(self, word: str) -> tuple[int, float, int]:
+        ids = features(word)
+        got = ids[0], sum([self.table[i] for i in ids]), len(ids)
+        if len(word) <= 64:
+            self.words[word] = got
+        return got
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        words, at, offsets = split_words(texts)
+        if len(self.words) > CACHE:
+            self.words = {"": (0, 0.0, 0)}
+        get, make = self.words.get, self._word
+        known = [get(w) or make(w) for w in words]
+        heads, sums, sizes = (np.array(c, t)[at] for c, t in zip(zip(*known), (np.int64, np.float64, np.int64)))
+        pair = self.lean[heads[:-1] ^ heads[1:]]
+        one = np.ones(len(pair), np.int64)
+        for x in (pair, one):
+            x[offsets[1:-1] - 1] = 0  # no bigram goes over the end of a text
+        starts = offsets[:-1]
+        total = np.add.reduceat(sums + np.append(pair, 0.0), starts)
+        count = np.add.reduceat(sizes + np.append(one, 0), starts)
+        x = self.bias + total / np.maximum(count, 1)
+        return 1 / (1 + np.exp(-np.clip(x, -700.0, 700.0)))
+
+
 def _scorer(model: Model, spark):
-    """A function that makes a worker's scoring function: text -> score."""
+    """A function that gives a worker its scorer; the model's one number a bucket is broadcast."""
     lean, bias = model.lean()
     shared = spark.sparkContext.broadcast(lean)
+    return lambda: Scorer(shared.value, bias)
 
-    def make():
-        table = shared.value.tolist()
 
-        class Words(dict):
-            # a word's sum over its features as the real part, their number as the imaginary part
-            def __missing__(self, word: str) -> complex:
-                if len(self) >= CACHE:
-                    self.clear()
-                ids = features(word)
-                got = complex(sum([table[i] for i in ids]), len(ids))
-                if len(word) <= 64:
-                    self[word] = got
-                return got
-
-        words = Words()
-
-        def one(text: str | None) -> float:
-            split = (text or "").split()
-            n = repeats(split)
-            total = sum(map(words.__getitem__, split), complex(n * table[REPEAT], n))
-            x = bias + (total.real / total.imag if total.imag else 0.0)
-            return 1 / (1 + exp(-min(max(x, -700.0), 700.0)))
-
-        return one
-
-    return make
+#: Rows that are scored at a time.
+STEP = 4096
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -156,9 +173,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     def run(batches):
         one = make()
-        for b in batches:
-            scores = [one(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, STEP):
+                b = whole.slice(at, STEP)
+                scores = one(b.column(1))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(doc_id).alias("held_out"))
@@ -171,7 +190,9 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFram
 
     def run(batches):
         one = make()
-        for b in batches:
-            yield b.filter(pa.array([one(t.as_py()) >= threshold for t in b.column(at)], pa.bool_()))
+        for whole in batches:
+            for k in range(0, whole.num_rows, STEP):
+                b = whole.slice(k, STEP)
+                yield b.filter(pa.array(one(b.column(at).cast(pa.string())) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
