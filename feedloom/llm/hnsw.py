@@ -309,8 +309,9 @@ def audited(graph: Graph, exact: np.ndarray, q: np.ndarray, least: float, beam:
         beam *= 2
 
 
-#: What a search gives: 0 a link (a, b) with the shard and weight of b; 1 the weight of a's links in shard s, too many to list; 2
-#: the weight of such searches from shard s that found a; 3 an edge that joins components; 9 an audit's links, hits and beam.
+#: What a search gives: 0 a link (a, b) with the shard and weight of b, found by a; 1 the weight of a's links in shard s, too many to
+#: list; 2 the weight of such searches that found a; 3 an edge that joins components; 4 a link as in 0, found by b; 9 an audit's
+#: links, hits, shard and beam.
 FOUND = "kind int, a long, b long, s int, w long"
 
 
@@ -323,18 +324,17 @@ def _ask(graphs, least: float, beam: int, recall: float, audit: int):
         graph = Graph.unpacked(packed, exact)
         width, links, hits = audited(graph, exact, q, least, beam, recall, audit)
         out = [np.array([[9, links, hits, own, width]], np.int64)]
-        total, label = np.zeros(len(gid), np.int64), np.arange(len(gid) + len(ids))
+        total, asked_by, label = np.zeros(len(gid), np.int64), np.zeros(len(ids), np.int64), np.arange(len(gid) + len(ids))
         add = lambda kind, a, b, s, w: out.append(np.stack(np.broadcast_arrays(kind, a, b, s, w), 1).astype(np.int64))
         for wide, row, node in graph.search(q, exact, least, width):
             other = gid[row] != ids[node]
             row, node = row[other], node[other]
             if not wide:
                 add(0, gid[row], ids[node], own, weights[node])
-                add(0, ids[node], gid[row], shard[row], n[row])
+                add(4, ids[node], gid[row], shard[row], n[row])
                 continue
             total += np.bincount(row, weights[node], len(gid)).astype(np.int64)
-            key, at = np.unique(node * (1 << 31) + shard[row], return_inverse=True)
-            add(2, ids[key >> 31], 0, key & ((1 << 31) - 1), np.bincount(at, n[row]))
+            asked_by += np.bincount(node, n[row], len(ids)).astype(np.int64)
             order = np.argsort(row, kind="stable")
             row, node = row[order], node[order]
             starts = np.flatnonzero(np.diff(row, prepend=-1))
@@ -345,8 +345,9 @@ def _ask(graphs, least: float, beam: int, recall: float, audit: int):
                 if new.any():
                     add(3, gid[row[a]], ids[node[a:z][first[new]]], 0, 0)
                     label[np.isin(label, found)] = me
-        some = np.flatnonzero(total)
+        some, seen = np.flatnonzero(total), np.flatnonzero(asked_by)
         add(1, gid[some], 0, own, total[some])
+        add(2, ids[seen], 0, 0, asked_by[seen])
         return out
 
     def run(batches):
@@ -385,8 +386,8 @@ def embedding_groups(vectors: DataFrame, least: float = 0.9, shards: int = 4, sh
     at a time as ``WAVE_BYTES`` hold, so that vectors are shuffled twice at most, whatever their number. For each block of
     queries and graph the beam doubles until audits (``audited``) find the share ``recall`` of the links that brute force
     finds. Found pairs are verified by cosine in double precision, so none below ``least`` links. A pair found from either end
-    counts for both. Beams full of links go over into range searches, whose links are counted, not listed; of those, the
-    count seen from the other end holds where it is larger. Equal vectors are one node with a
+    counts for both. Beams full of links go over into range searches, whose links are counted, not listed; if more rows found a
+    row than it found itself, that count holds. Equal vectors are one node with a
     count. Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do vectors
     of different lengths; their component is themselves. Rows that repeat are vectors of their own; a null vec_id never is
     a component's id if another exists; other columns are ignored; an empty table gives an empty result.
@@ -413,9 +414,12 @@ def embedding_groups(vectors: DataFrame, least: float = 0.9, shards: int = 4, sh
             shared.unpersist()  # the frame has been written
 
     found = stored_all(spark, answers(), "found")
-    pairs = found.where("kind = 0").groupBy("a", "b").agg(F.max("s").alias("s"), F.max("w").alias("w")).groupBy("a", "s").agg(F.sum("w").alias("w"))
-    counted = pairs.unionByName(found.where("kind in (1, 2)").groupBy("kind", "a", "s").agg(F.sum("w").alias("w")).select("a", "s", "w"))
-    counts = counted.groupBy("a", "s").agg(F.max("w").alias("w")).groupBy(F.col("a").alias("gid")).agg(F.sum("w").alias("others"))
+    # distinct neighbours of a in shard s, found from either end, and those of them that found a; sums where they are too many to list
+    listed = found.where("kind in (0, 4)").groupBy("a", "b").agg(F.max("s").alias("s"), F.max("w").alias("w"), F.max(F.col("kind") == 4).alias("back"))
+    listed = listed.groupBy("a", "s").agg(F.sum("w").alias("near"), F.sum(F.when(F.col("back"), F.col("w")).otherwise(0)).alias("back"))
+    summed = found.where("kind in (1, 2)").groupBy("kind", "a", "s").agg(F.sum("w").alias("w")).select("a", "s", F.when(F.col("kind") == 1, F.col("w")).otherwise(0).alias("near"), F.when(F.col("kind") == 2, F.col("w")).otherwise(0).alias("back"))
+    counts = listed.unionByName(summed).groupBy("a", "s").agg(F.max("near").alias("near"), F.sum("back").alias("back"))
+    counts = counts.groupBy(F.col("a").alias("gid")).agg(F.greatest(F.sum("near"), F.sum("back")).alias("others"))
     labels = components(found.where("kind = 0 and a < b or kind = 3").select(F.col("a").alias("u"), F.col("b").alias("v")))
     known = nodes.select("gid", "n", "embedding").join(counts, "gid", "left").join(labels.withColumnRenamed("node", "gid"), "gid", "left")
     known = stored(known.select("embedding", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("label", "gid").alias("label")), "known")
