@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import checked_broadcast, stored
 
@@ -72,12 +73,13 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, part_groups: int = 20_000,
     16 a row). Groups are dealt into parts of about ``part_groups``; each part is differenced to one partial partition
     of ``shards`` bins, and partial partitions are differenced in turn, ``fan`` at a time, until one is left. A group
     over the mean shard keeps a shard to itself as far as it can; no law could split it. Slots number a shard's rows from 0
-    without gaps. Null text counts as empty text of size 16; a null doc_id and repeated rows are rows like others; other
+    without gaps: rows are ranked within cells of a bounded number of rows, so a hot group or shard is no task's alone. Null text counts as empty text of size 16; a null doc_id and repeated rows are rows like others; other
     columns are ignored; an empty table gives an empty result.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("key"))
     rows = stored(rows, "rows")
+    total = rows.count()
     groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
     groups = stored(groups, "groups")
     parts = max(1, -(-groups.count() // part_groups))
@@ -91,13 +93,11 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, part_groups: int = 20_000,
         moved = checked_broadcast(stored(moved.select("part", "bin", "up", "up_bin"), "moved"))
         where = stored(where.join(moved, ["part", "bin"]).select("key", "bytes", F.col("up").alias("part"), F.col("up_bin").alias("bin")), "placed")
         parts = -(-parts // fan)
-    found = rows.join(where.select("key", F.col("bin").alias("shard")), "key").select("doc_id", "size", "text_crc32", "shard", F.spark_partition_id().alias("task"))
-    found = stored(found, "sharded")
-    counts = found.groupBy("shard", "task").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window as W
-
-    before = F.sum("n").over(W.partitionBy("shard").orderBy("task")) - F.col("n")
-    starts = checked_broadcast(stored(counts.select("shard", "task", before.alias("start")), "starts"))
-    rank = F.row_number().over(W.partitionBy("shard", "task").orderBy("doc_id", "text_crc32"))
-    out = found.withColumn("rank", rank).join(starts, ["shard", "task"])
+    found = rows.join(where.select("key", F.col("bin").alias("shard")), "key").select("doc_id", "size", "text_crc32", "shard", F.monotonically_increasing_id().alias("row"))
+    found = stored(found.withColumn("cell", F.floor(F.col("row") / max(256, -(-total // 100_000)))), "sharded")
+    counts = found.groupBy("shard", "cell").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("shard").orderBy("cell")) - F.col("n")
+    starts = checked_broadcast(stored(counts.select("shard", "cell", before.alias("start")), "starts"))
+    rank = F.row_number().over(W.partitionBy("shard", "cell").orderBy("row"))
+    out = found.withColumn("rank", rank).join(starts, ["shard", "cell"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("rank") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
