@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import checked_broadcast, stored
+from .common import stored
 
 #: Query parameters that do not change the page, and headers that a not-modified answer may not update. Fixed values.
 TRACKING = r"^(utm_[a-z_]+|ref|fbclid|gclid|msclkid|mc_[a-z]+)$"
@@ -33,41 +33,44 @@ def resolve_revisits(records: DataFrame, block_rows: int = 100_000) -> DataFrame
     equals the referent's (weakly, so W/ is ignored), or, without an etag, its last-modified does; 'mismatch' if they
     differ, 'unverifiable' if the revisit has none or the referent lacks it, 'missing' without a referent. Only a resolved
     revisit gets headers (the referent's, updated by the revisit's permitted ones) and payload. Records with a null URL, ts or
-    record_id never are referents; such revisits are 'missing'. Rows that share a record_id are one response. Columns of
-    other names are ignored; an empty table gives an empty result.
+    record_id never are referents; such revisits are 'missing'. Of responses that share a record_id the one of the largest
+    ts counts, then of the largest hash of its content; revisits that share one are resolved each by its own headers, and
+    a revisit that repeats gives as many rows. Columns of other names are ignored; an empty table gives an empty result.
 
-    The as-of join runs within blocks of time, whose last responses are carried over in a second, small step: no task
-    gathers all captures of a hot URL.
+    The as-of join runs over distinct (URL, ts), dealt into blocks by ranges of both; a block's last response is carried into
+    the URL's later blocks in a second, small step. No task gathers all captures of a hot URL or of one ts.
     """
+    tie = F.xxhash64(F.array_sort(F.map_entries("headers")), "target_uri", "payload")
     keys = records.select(
         "record_id", "warc_type", "status", canonical_url(F.col("target_uri")).alias("url"), F.col("ts").cast("long").alias("ts"),
-        F.regexp_replace(F.col("headers")["etag"], "^W/", "").alias("etag"), F.col("headers")["last-modified"].alias("modified"),
+        F.regexp_replace(F.col("headers")["etag"], "^W/", "").alias("etag"), F.col("headers")["last-modified"].alias("modified"), tie.alias("tie"), "target_uri",
     )
-    full = F.coalesce((F.col("warc_type") == "response") & (F.col("status") == 200) & F.col("record_id").isNotNull() & F.col("url").isNotNull() & F.col("ts").isNotNull(), F.lit(False))
+    whole = F.col("record_id").isNotNull() & F.col("target_uri").isNotNull() & F.col("ts").isNotNull()
+    full = F.coalesce((F.col("warc_type") == "response") & (F.col("status") == 200) & whole, F.lit(False))
     ask = F.coalesce((F.col("warc_type") == "revisit") & (F.col("status") == 304), F.lit(False))
-    keys = stored(keys.withColumns({"full": full, "ask": ask}).where("full or ask"), "captures")
-    n = keys.count()
-    steps = min(1000, n // block_rows)
-    cuts = keys.where("ts is not null").approxQuantile("ts", [k / (steps + 1) for k in range(1, steps + 1)], 0.0005) if steps else []
-    block = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("ts"))) if cuts else F.lit(0)
-    keys = keys.withColumn("block", block)
-    source = F.when(F.col("full"), F.struct("ts", "record_id", "etag", "modified"))
-    order = ["ts", F.col("full").asc(), F.col("record_id")]
-    within = F.last(source, ignorenulls=True).over(W.partitionBy("url", "block").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    asked = keys.withColumn("near", within).where("ask")
-    lasts = keys.where("full").groupBy("url", "block").agg(F.max(source).alias("last"))
-    every = keys.select("url", "block").distinct().join(lasts, ["url", "block"], "left") if cuts else None
-    if cuts:
-        carried = every.withColumn("carry", F.last("last", ignorenulls=True).over(W.partitionBy("url").orderBy("block").rowsBetween(W.unboundedPreceding, -1)))
-        asked = asked.join(carried.select("url", "block", "carry"), ["url", "block"], "left").withColumn("near", F.coalesce("near", "carry"))
-    known = F.col("near").isNotNull() & F.col("url").isNotNull() & F.col("ts").isNotNull()
+    keys = stored(keys.select("*", full.alias("full"), ask.alias("ask")).where("full or ask"), "captures")
+    one = keys.where("full").groupBy("record_id").agg(F.max(F.struct("ts", "tie", "url", "etag", "modified")).alias("r")).select("record_id", "r.*")
+    latest = one.groupBy("url", "ts").agg(F.max(F.struct("record_id", "etag", "modified")).alias("source"))
+    asks = keys.where("ask and url is not null and ts is not null").select("url", "ts").distinct()
+    events = latest.withColumn("asked", F.lit(False)).unionByName(asks.withColumns({"source": F.lit(None).cast(latest.schema["source"].dataType), "asked": F.lit(True)}))
+    events = stored(events.groupBy("url", "ts").agg(F.max("source").alias("source"), F.max("asked").alias("asked")), "events")
+    blocks = max(1, -(-events.count() // block_rows))
+    events = stored(events.repartitionByRange(blocks, "url", "ts").withColumn("block", F.spark_partition_id()), "blocks")
+    lasts = events.groupBy("url", "block").agg(F.max(F.when(F.col("source").isNotNull(), F.struct("ts", "source"))).alias("last"))
+    carried = lasts.withColumn("carry", F.last("last", ignorenulls=True).over(W.partitionBy("url").orderBy("block").rowsBetween(W.unboundedPreceding, -1))["source"])
+    within = F.last("source", ignorenulls=True).over(W.partitionBy("url", "block").orderBy("ts").rowsBetween(W.unboundedPreceding, -1))
+    answers = events.withColumn("near", within).where("asked").join(carried.select("url", "block", "carry"), ["url", "block"])
+    answers = stored(answers.select("url", "ts", F.coalesce("near", "carry").alias("near")), "answers")
+    known = F.col("near").isNotNull()
     fit = F.when(F.col("etag").isNotNull(), F.col("etag") == F.col("near.etag")).otherwise(F.col("modified") == F.col("near.modified"))
     outcome = F.when(~known, "missing").when(fit.isNull(), "unverifiable").when(fit, "resolved").otherwise("mismatch")
-    asked = stored(asked.select("record_id", "url", "ts", outcome.alias("outcome"), F.when(known, F.col("near.record_id")).alias("refers_to")), "asked")
+    asked = keys.where("ask").join(answers, ["url", "ts"], "left")
+    asked = stored(asked.select("record_id", "url", "ts", "tie", outcome.alias("outcome"), F.when(known, F.col("near.record_id")).alias("refers_to")), "asked")
     permitted = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, v: ~F.lower(k).isin(FORBIDDEN))
-    own = records.where(ask).select("record_id", permitted.alias("__new")).dropDuplicates(["record_id"])
-    bodies = records.where((F.col("warc_type") == "response") & (F.col("status") == 200)).select(F.col("record_id").alias("refers_to"), F.col("headers").alias("__old"), "payload").dropDuplicates(["refers_to"])
-    done = asked.where("outcome = 'resolved'").join(bodies, "refers_to").join(own, "record_id", "left")
+    own = records.where(ask).select(F.col("record_id").alias("__id"), F.col("ts").cast("long").alias("__ts"), tie.alias("__tie"), permitted.alias("__new")).dropDuplicates(["__id", "__ts", "__tie"])
+    bodies = records.where(full).groupBy(F.col("record_id").alias("refers_to")).agg(F.max_by(F.struct(F.col("headers").alias("__old"), "payload"), F.struct(F.col("ts").cast("long"), tie)).alias("r")).select("refers_to", "r.*")
+    done = asked.where("outcome = 'resolved'").join(bodies, "refers_to")
+    done = done.join(own, F.col("record_id").eqNullSafe(F.col("__id")) & (F.col("ts") == F.col("__ts")) & (F.col("tie") == F.col("__tie")))
     old = F.map_filter(F.coalesce("__old", F.create_map().cast("map<string,string>")), lambda k, v: ~F.array_contains(F.map_keys(F.col("__new")), k))
     done = done.select("record_id", "url", "ts", "outcome", "refers_to", F.map_concat(old, F.col("__new")).alias("headers"), "payload")
     rest = asked.where("outcome <> 'resolved'").select("record_id", "url", "ts", "outcome", "refers_to", F.lit(None).cast("map<string,string>").alias("headers"), F.lit(None).cast(dict(records.dtypes)["payload"]).alias("payload"))
