@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import checked_broadcast, stored
+from .common import KeyFilter, stored
 
 
 @dataclass(frozen=True)
@@ -114,9 +114,13 @@ def candidates(docs: DataFrame, rules=RULES) -> DataFrame:
 
 
 def _routed(docs: DataFrame, rules) -> DataFrame:
-    """``docs`` with the candidates' flags; a small candidate set is broadcast, a larger one joined by doc_id."""
-    found = checked_broadcast(stored(candidates(docs, rules), "candidates").withColumnRenamed("doc_id", "__id"))
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left").drop("__id")
+    """``docs`` with the candidates' flags. A key filter of bounded size splits the texts; only those that it lets through are
+    joined by doc_id, so the plan is the same at every size and the other texts are never shuffled."""
+    found = stored(candidates(docs, rules).withColumn("__key", F.xxhash64("doc_id")).withColumnRenamed("doc_id", "__id"), "candidates")
+    flags = [c for c in found.columns if c.startswith("__c")]
+    marked = KeyFilter(found, "__key").mark(docs, F.xxhash64("doc_id"))
+    hits = marked.where("__maybe").drop("__maybe").join(found.drop("__key"), F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    return marked.where("not __maybe").drop("__maybe").withColumns({c: F.lit(False) for c in flags}).unionByName(hits)
 
 
 def scan_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
