@@ -1,6 +1,8 @@
 import base64
+import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as P
 import tiktoken
 
@@ -55,3 +57,16 @@ def test_operator_edges(spark):
     rows = bpe.bpe_roundtrip(docs, PATH, P.PATTERN, keep_ids=True).collect()
     assert sorted(r.n_tokens for r in rows) == [0, 0, 0, len(library().encode_ordinary('hello world'))]
     assert bpe.bpe_roundtrip(docs.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_operator_against_the_library(spark):
+    """Every column of every document of a sample table, and ids that decode to the text."""
+    lib, path = library(), "/root/testdata/sf0.01/documents.parquet"
+    docs = spark.read.parquet(path).unionByName(spark.createDataFrame([(-k - 1, t) for k, t in enumerate(texts(50))], "doc_id long, text string"), allowMissingColumns=True)
+    want = {}
+    for r in docs.select("doc_id", "text").collect():
+        ids = lib.encode_ordinary(r.text or "")
+        packed = np.array(ids, "<u4").tobytes()
+        want[r.doc_id] = (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.bpe_roundtrip(docs, PATH, P.PATTERN).collect()}
+    assert got == want

@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,6 +290,38 @@ def test_differencing_balances():
     assert np.ptp(load) <= np.ptp(greedy)
 
 
+def naive_differencing(sizes, bins):
+    """Partial partitions as sorted lists of sums, combined by the definition; of equal spreads the one made first goes first."""
+    parts = [(k, [0] * (bins - 1) + [x]) for k, x in enumerate(sizes)]
+    for made in range(len(sizes), 2 * len(sizes) - 1):
+        parts.sort(key=lambda p: (p[1][0] - p[1][-1], p[0]))
+        (_, a), (_, b), *rest = parts
+        parts = [*rest, (made, sorted(x + y for x, y in zip(a, reversed(b))))]
+    return parts[0][1]
+
+
+def test_differencing_by_definition():
+    rng = np.random.default_rng(8)
+    for n, bins in ((1, 3), (2, 3), (7, 2), (30, 4), (60, 5), (200, 6)):
+        sizes = (rng.choice(100_000, n, replace=False) + 1).tolist()
+        sums = np.zeros((n, bins), np.int64)
+        sums[:, -1] = sizes
+        final = sharding.differencing(sums)[:, -1]
+        assert sorted(np.bincount(final, sizes, bins).tolist()) == naive_differencing(sizes, bins)
+    four = sharding.differencing(np.array([[0, x] for x in (8, 7, 6, 5, 4)]))[:, -1]
+    assert np.ptp(np.bincount(four, [8, 7, 6, 5, 4], 2)) == 2  # the textbook case
+
+
+def test_shards_of_a_hot_group(spark):
+    rows = [(i, "same text" if i % 3 else f"other {i}") for i in range(6000)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), shards=8).collect()
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert sum(map(len, slots.values())) == 6000 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sorted(map(len, slots.values()))[-1] == 4000  # the group is whole and alone
+
+
 def test_shards(spark):
     rng = random.Random(7)
     rows = [(i, "t" * rng.randrange(400) + str(i % 150)) for i in range(600)] + [(1, None), (None, ""), (2, "é"), (2, "é")]
@@ -425,9 +458,65 @@ def test_revisits_against_brute_force(spark):
     assert warc.resolve_revisits(df.limit(0)).count() == 0
 
 
+def test_revisits_of_records_that_share_an_id(spark):
+    row = lambda i, kind, ts, etag, body: (i, kind, 200 if kind == "response" else 304, "http://e.com/a", ts, {"etag": etag}, body)
+    rows = [row("a", "response", 1, "x", "old"), row("a", "response", 5, "y", "new"), row("v", "revisit", 4, "x", None), row("v", "revisit", 9, "y", None), row("v", "revisit", 9, "y", None), row("w", "revisit", 9, "x", None)]
+    df = spark.createDataFrame(rows, "record_id string, warc_type string, status int, target_uri string, ts long, headers map<string,string>, payload string")
+    got = sorted((r.record_id, r.ts, r.outcome, r.payload or "") for r in warc.resolve_revisits(df).collect())
+    assert got == [("v", 4, "missing", ""), ("v", 9, "resolved", "new"), ("v", 9, "resolved", "new"), ("w", 9, "mismatch", "")]
+
+
+def test_revisits_of_one_hot_url_and_ts(spark):
+    """All captures of a URL at one ts, and far more blocks than distinct times."""
+    rows = [(f"r{i:04}", "response", 200, "http://e.com/", 7, {"etag": str(i)}, str(i)) for i in range(500)] + [(f"v{i:04}", "revisit", 304, "http://e.com/", 7 + i % 3, {"etag": str(i)}, None) for i in range(500)]
+    df = spark.createDataFrame(rows, "record_id string, warc_type string, status int, target_uri string, ts long, headers map<string,string>, payload string")
+    got = warc.resolve_revisits(df, block_rows=1).collect()
+    assert len(got) == 500 and all(r.outcome == ("missing" if r.ts == 7 else "resolved" if r.record_id == "v0499" else "mismatch") for r in got)
+    assert {r.refers_to for r in got if r.ts > 7} == {"r0499"}
+
+
 # ---- quality ----
 
 
+def test_quality_forward_and_gradient():
+    rng = np.random.default_rng(21)
+    model = quality.Model(rng.normal(size=(quality.BUCKETS, quality.DIM)), rng.normal(size=(2, quality.DIM)), rng.normal(size=2))
+    texts = ["the river the river", "one", " two  two\ttwo ", "", None, "é x é", "a b " * 300]
+
+    def naive(text):
+        words = [w for w in re.split("[ \t\n\r\x0b\x0c]+", text or "") if w]
+        ids = [f for w in words for f in quality.features(w)] + [quality.features(a)[0] ^ quality.features(b)[0] for a, b in zip(words, words[1:])]
+        hidden = sum((model.vectors[i] for i in ids), np.zeros(quality.DIM)) / max(1, len(ids))
+        e = np.exp(model.weights @ hidden + model.bias)
+        return e[1] / e.sum()
+
+    got = quality.Scorer(*model.lean())(pa.array(texts))
+    assert np.allclose(got, [naive(t) for t in texts], atol=1e-12)
+    ids, counts = quality.counted(texts[0])
+    share = counts / counts.sum()
+
+    def gain(vectors, weights, bias):
+        out = weights @ (share @ vectors) + bias
+        return out[1] - np.log(np.exp(out).sum())
+
+    at = [model.vectors[ids], model.weights, model.bias]
+    found = quality.gradients(at[0], at[1], at[2], np.arange(len(ids)), share, 1)
+    for which, grad in ((1, found[0]), (2, found[1]), (0, found[2])):
+        for spot in rng.integers(0, grad.size, 12):
+            moved = [x.copy() for x in at]
+            moved[which].ravel()[spot] += 1e-6
+            assert abs((gain(*moved) - gain(*at)) / 1e-6 - grad.ravel()[spot]) < 1e-5
+
+
+def test_quality_held_out(spark):
+    """On documents that no model learns from, of the sample tables: the README's figure."""
+    path = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    held = quality.score(docs, quality.fit(docs, labels)).where("held_out").join(labels, "doc_id").where("quality is not null")
+    total, right = held.agg(F.count("*"), F.count_if(F.col("predicted") == F.col("quality"))).first()
+    assert total > 800 and right >= 0.99 * total
+
+
 def test_quality(spark):
     rng = random.Random(10)
     good = lambda: " ".join(rng.choice(["the", "river", "house", "walks", "green", "slowly"]) for _ in range(40))
