@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from bisect import bisect_left
 from functools import lru_cache, reduce
 from itertools import count
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Most entries of a worker's caches of words as they stand and of their bases.
-CACHE, BASES = 800_000, 600_000
+#: Most entries of a worker's cache of words.
+CACHE = 1_200_000
 #: A word of Latin letters that have no decomposed form among them, and ASCII punctuation after it (no apostrophe): the
 #: tokenizer cuts between the two and ignores case, so they are looked up apart.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
@@ -27,7 +28,7 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 class WordEncoder:
     """Ids of whole texts as the library gives them. The tokenizer drops white space and never looks across it, so each word between
-    ASCII white space is encoded once and kept in a bounded cache; a batch's words are split and numbered by Arrow and their ids
+    ASCII white space is coded once and kept in a bounded cache; a batch's words are split and numbered by Arrow and their ids
     gathered by numpy. The strings of added tokens are tokens wherever they stand: texts that hold one go whole to the library."""
 
     def __init__(self, path: str):
@@ -36,35 +37,53 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.bases: dict[str, bytes] = {"": b""}
-
-    def _store(self, words: list[str], coded) -> None:
-        """Keep the ids of each of ``words``, which are what the encoding counts as words."""
-        ids, of = np.array(coded.ids, "<u4"), np.array(coded.word_ids, np.int64)
-        cuts = np.searchsorted(of, np.arange(len(words) + 1)) * 4
-        data, cuts = ids.tobytes(), cuts.tolist()
-        self.bases.update((w, data[x:z]) for w, x, z in zip(words, cuts, cuts[1:]))
+        # the byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        self.alphabet = {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
+        self._clear()
+
+    def _clear(self) -> None:
+        """The cache: a word's number, and of each number where its ids end in one flat array."""
+        self.number: dict[str, int] = {}
+        self.flat, self.ends = array("I"), array("q")
+        self._add("", [])
+
+    def _add(self, word: str, ids) -> int:
+        self.flat.extend(ids)
+        self.ends.append(len(self.flat))
+        self.number[word] = k = len(self.number)
+        return k
+
+    def _letters(self, word: str) -> int:
+        """A run of lower-case letters is one word to the tokenizer, so its model alone codes it."""
+        coded = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+        return self._add(word, [t.id for t in self.tokenizer.model.tokenize(coded)])
+
+    def _library(self, words: list[str]) -> None:
+        coded = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids, of = np.array(coded.ids, np.uint32), np.array(coded.word_ids, np.int64)
+        cuts = np.searchsorted(of, np.arange(len(words) + 1)).tolist()
+        for w, x, z in zip(words, cuts, cuts[1:]):
+            if w not in self.number:
+                self._add(w, ids[x:z].tolist())
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.bases) > BASES:
-            self.bases = {"": b""}
-        plain, odd, bases, match = [], [], self.bases, PLAIN.fullmatch
-        for w in words:
-            if m := match(w):
-                base, tail = m[1].lower(), m[2]
-                plain.append((w, base, tail))
-                if tail not in bases:
-                    odd.append(tail)
-            else:
-                odd.append(w)
-        if letters := sorted({base for _, base, _ in plain if base not in bases}):
-            # a run of letters is one word to the tokenizer, so one text holds them all
-            self._store(letters, self.tokenizer.encode(" ".join(letters), add_special_tokens=False))
-        if odd := sorted({w for w in odd if w not in bases}):
-            self._store(odd, self.tokenizer.encode(odd, is_pretokenized=True, add_special_tokens=False))
-        self.words.update((w, bases[base] + bases[tail]) for w, base, tail in plain)
-        self.words.update((w, bases[w]) for w in words if w not in self.words)
+        number, match = self.number, PLAIN.fullmatch
+        plain = [(w, m[1].lower(), m[2]) for w in words if (m := match(w))]
+        found = {w for w, _, _ in plain}
+        if odd := [w for w in {*(w for w in words if w not in found), *(tail for _, _, tail in plain)} if w not in number]:
+            self._library(odd)
+        flat, ends = self.flat, self.ends
+        for word, base, tail in plain:
+            k = number.get(base)
+            if k is None:
+                k = self._letters(base)
+            if word not in number:
+                ids, j = flat[ends[k - 1] : ends[k]], number[tail]
+                if j:
+                    ids += flat[ends[j - 1] : ends[j]]
+                self._add(word, ids)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all ``texts`` (strings, null: empty) one after another, and where each text's end."""
@@ -73,17 +92,21 @@ class WordEncoder:
         whole = np.flatnonzero(own.to_numpy(zero_copy_only=False)).tolist()
         split = pc.ascii_split_whitespace(pc.if_else(own, "", texts) if whole else texts)
         words = split.flatten().dictionary_encode()
-        known, listed = self.words, words.dictionary.to_pylist()
-        if len(known) > CACHE:
-            known.clear()
-        if new := [w for w in listed if w not in known]:
+        listed = words.dictionary.to_pylist()
+        if len(self.number) > CACHE:
+            self._clear()
+        get = self.number.get
+        known = [get(w) for w in listed]
+        if new := [w for w, k in zip(listed, known) if k is None]:
             self._learn(new)
-        coded = [known[w] for w in listed]
-        ids, sizes = np.frombuffer(b"".join(coded), "<u4"), np.array([len(c) // 4 for c in coded], np.int64)
-        at = words.indices.to_numpy(zero_copy_only=False)
-        starts, sizes = (np.cumsum(sizes) - sizes)[at], sizes[at]
+            known = [get(w) if k is None else k for w, k in zip(listed, known)]
+        at = np.array(known, np.int64)[words.indices.to_numpy(zero_copy_only=False)]
+        flat, last = np.frombuffer(self.flat, "<u4"), np.frombuffer(self.ends, np.int64)
+        starts = last[at - (at > 0)] * (at > 0)
+        sizes = last[at] - starts
         ends = np.append(0, np.cumsum(sizes))
-        ids = ids[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])]
+        ids = flat[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])]
+        del flat, last  # arrays cannot grow while they are looked at
         offsets = split.offsets.to_numpy()
         ends = ends[offsets - offsets[0]]
         if not whole:
@@ -105,8 +128,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0) -> Da
     def run(batches):
         enc, tail = encoder(path), np.array([end], "<u4").tobytes()
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part, rows = b.slice(at, 1024), []
+            for at in range(0, b.num_rows, 4096):
+                part, rows = b.slice(at, 4096), []
                 ids, ends = enc.encode(part.column(1))
                 data = ids.tobytes()
                 for doc_id, z, a in zip(part.column(0).to_pylist(), ends.tolist(), [0, *ends.tolist()]):
