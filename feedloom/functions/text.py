@@ -88,6 +88,7 @@ def article_text(html: Column, most: int = 15_000) -> Column:
     earliest of equally long ones."""
     clean = F.regexp_replace(html, f"(?is)<({'|'.join(BOILERPLATE)})\\b.*?</\\1\\b[^>]*>", " ")
     classes = "|".join(CONTAINERS)
+    # fixed values
     patterns = ["(?is)<article[^>]*>(.*?)</article>", "(?is)<main[^>]*>(.*?)</main>", f"(?is)<(?:div|section)[^>]*(?:class|id)=[\"'][^\"']*(?:{classes})[^\"']*[\"'][^>]*>(.*?)</(?:div|section)>"]
     body = F.regexp_extract(clean, "(?is)<body[^>]*>(.*?)</body>", 1)
     found = F.concat(*[F.regexp_extract_all(clean, F.lit(p), F.lit(1)) for p in patterns], F.array(F.when(F.rlike(clean, F.lit("(?is)<body[^>]*>.*?</body>")), body).otherwise(clean)))
@@ -149,7 +150,7 @@ def prompt_field(text: Column, most: int) -> Column:
 
 def redact_error(text: Column, most: int = 500) -> Column:
     """Stack frames, bearer tokens, long hex, URL credentials and file paths out of an error message."""
-    steps = [
+    steps = [  # fixed values
         ("(?m)^\\s*at\\s.+$", ""), ("(?i)\\bBearer\\s+[A-Za-z0-9._~+/=-]+", "Bearer <redacted>"), ("\\b[0-9a-fA-F]{40,}\\b", "<redacted-hex>"),
         ("(?i)\\b([a-z][a-z0-9+.-]*://)[^\\s/@]+@", "$1<redacted>@"), ("(?:^|\\s)(?:(?:/[^\\s/:]+){2,}|[A-Za-z]:\\\\[^\\s]+)", " <path>"),
     ]
@@ -176,3 +177,51 @@ def llm_json(text: Column) -> Column:
 
     got = F.aggregate(chars, zero, step)
     return F.when(got["z"] > 0, F.substr(bare, got["a"], got["z"] - got["a"] + 1))
+
+
+def cost_text(value: Column) -> Column:
+    """An amount in dollars: a dash for none, three significant digits (two under a cent, and for negatives, whose sign is
+    dropped) as two decimals, or as four where less than a cent is left. Decimals are rounded by the number's exact binary
+    value, significant digits by its shortest decimal form."""
+    size = F.abs(value)
+    kept = F.when(value < 0.01, F.format_string("%.1e", size)).otherwise(F.format_string("%.2e", size)).cast("double")
+
+    def fixed(places: int, shift: int) -> Column:
+        # kept * 2^shift is a whole number; with it, round half up in whole numbers, by halves of 30 bits
+        whole = (kept * float(1 << shift)).cast("long")
+        high, low = F.shiftright(whole, 30), whole.bitwiseAND(F.lit((1 << 30) - 1).cast("long"))
+        twice = F.lit(2 * 10**places).cast("long")
+        units = F.shiftright(twice * high + F.lit(1 << (shift - 30)).cast("long") + F.shiftright(twice * low, 30), shift - 29)
+        return F.concat(F.floor(units / 10**places).cast("string"), F.lit("."), F.lpad((units % 10**places).cast("string"), places, "0"))
+
+    text = F.when(kept < 0.01, fixed(4, 68)).when(kept < 1, fixed(2, 60)).otherwise(F.format_string("%.2f", kept))
+    return F.when(value.isNull() | F.isnan(value) | (size == float("inf")), "—").when(value == 0, "$0.00").otherwise(F.concat(F.lit("$"), text))
+
+
+def _typed(body: Column, path: str, kinds: str) -> Column:
+    """What stands at a path of JSON text if its type is one of ``kinds`` (a pattern); strings bare, the rest as JSON."""
+    v = F.try_variant_get(F.try_parse_json(body), path, "variant")
+    return F.when(F.rlike(F.schema_of_variant(v), F.lit(f"^({kinds})")), F.try_variant_get(F.try_parse_json(body), path, "string"))
+
+
+def response_payload(body: Column) -> Column:
+    """What a model's reply (JSON text) holds: a string, object or array under response, else such a content of the first choice's
+    message; null for any other shape."""
+    kinds = "STRING|OBJECT|ARRAY"
+    return F.coalesce(_typed(body, "$.response", kinds), _typed(body, "$.choices[0].message.content", kinds))
+
+
+def token_count(body: Column, *paths: str) -> Column:
+    """The first of the paths of a reply that holds a number, 0 if none does."""
+    return F.coalesce(*[_typed(body, p, "BIGINT|DECIMAL|DOUBLE|FLOAT").cast("double").cast("long") for p in paths], F.lit(0).cast("long"))
+
+
+#: Where replies of different makers have their counts. Fixed values.
+TOKENS_IN = ["$.usage.input_tokens", "$.usage.prompt_tokens", "$.tokens_in"]
+TOKENS_OUT = ["$.usage.output_tokens", "$.usage.completion_tokens", "$.tokens_out"]
+
+
+def json_ld(text: Column) -> Column:
+    """JSON that may stand in a script element: < > & and the two line separators as escapes."""
+    pairs = [("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")]
+    return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), pairs, text)

@@ -70,13 +70,19 @@ def same_vendor(a: Column, b: Column) -> Column:
     return F.coalesce(known & (registrable_domain(ha) == registrable_domain(hb)), F.lit(False))
 
 
+def private_ipv4(name: Column) -> Column:
+    """Whether a host is an IPv4 address of a private, local or reserved range."""
+    octet = "(25[0-5]|2[0-4]\\d|[01]?\\d?\\d)"
+    v4 = F.rlike(name, F.lit(f"^({octet}\\.){{3}}{octet}$"))
+    return v4 & F.rlike(name, F.lit("^0*(127|10|0)\\.|^172\\.0?(1[6-9]|2\\d|3[01])\\.|^192\\.168\\.|^169\\.254\\.|^100\\.0?(6[4-9]|[7-9]\\d|1[01]\\d|12[0-7])\\."))
+
+
 def is_public_url(url: Column) -> Column:
-    """https, no user, and no local, metadata or private host."""
+    """https, no user, and no local, metadata or private host; an IPv6 address that maps an IPv4 one is judged by that."""
     name = host(url)
-    v4 = F.rlike(name, F.lit("^((25[0-5]|2[0-4]\\d|1?\\d?\\d)\\.){3}(25[0-5]|2[0-4]\\d|1?\\d?\\d)$"))
-    private = F.rlike(name, F.lit("^(127|10|0)\\.|^172\\.(1[6-9]|2\\d|3[01])\\.|^192\\.168\\.|^169\\.254\\.|^100\\.(6[4-9]|[7-9]\\d|1[01]\\d|12[0-7])\\."))
-    v6 = F.rlike(name, F.lit("^\\[(::1|fe[89ab][0-9a-f]?:.*|f[cd][0-9a-f]{2}:.*|::ffff:(127|10|0|192\\.168|169\\.254)\\..*)\\]$"))
-    bad = F.contains(url, F.lit("@")) | (name == "localhost") | F.startswith(name, F.lit("metadata.")) | (v4 & private) | v6
+    v6 = F.rlike(name, F.lit("^\\[(::1|fe[89ab][0-9a-f]?:.*|f[cd][0-9a-f]{2}:.*)\\]$"))
+    mapped = F.regexp_extract(name, "^\\[::ffff:([0-9.]+)\\]$", 1)
+    bad = F.contains(url, F.lit("@")) | (name == "localhost") | F.startswith(name, F.lit("metadata.")) | private_ipv4(name) | private_ipv4(mapped) | v6
     return F.coalesce(is_https(url) & ~bad, F.lit(False))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,27 +49,115 @@ def unit(v: Column) -> Column:
     return F.when(norm > 0, F.transform(d, lambda x: x / norm))
 
 
-def near_pairs(vectors: DataFrame, window: int, least: float = -1.0) -> DataFrame:
-    """Ordered pairs (self, match, score) of ``vectors`` (id, published_at, embedding) within ``window`` seconds of each other:
-    rows are bucketed by time, buckets meet their neighbours by equi-join, then the exact distance decides. Vectors are
-    normalised once a row, so a pair costs one dot product."""
-    v = vectors.withColumn("u", unit(F.col("embedding"))).drop("embedding").withColumn("b", F.floor(F.col("published_at") / max(window, 1)))
-    other = v.select(F.col("id").alias("match"), F.col("published_at").alias("match_at"), F.col("u").alias("mu"), F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"))
-    pairs = v.join(other, "b").where((F.col("id") != F.col("match")) & (F.abs(F.col("published_at") - F.col("match_at")) <= window))
-    score = F.aggregate(F.zip_with("u", "mu", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
-    return pairs.select(F.col("id").alias("self"), "match", F.col("published_at").alias("self_at"), "match_at", F.coalesce(score, F.lit(0.0)).alias("score")).where(F.col("score") >= least)
+#: Most rows of a block: blocks meet in pairs, as one matrix product each.
+BLOCK = 4096
+FOUND = "self long, match long, self_at long, match_at long, score double"
 
 
-def top_matches(vectors: DataFrame, k: int, blocks: int = 8) -> DataFrame:
-    """For each vector its ``k`` nearest others (exact): rows meet in blocks, each block keeps its best ``k``, and the bests of all
-    blocks are merged, so nothing is gathered but k rows a vector and block."""
-    v = vectors.withColumn("u", unit(F.col("embedding"))).select("id", "published_at", "u")
-    other = v.select(F.col("id").alias("match"), F.col("published_at").alias("match_at"), F.col("u").alias("mu"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    asked = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    score = F.coalesce(F.aggregate(F.zip_with("u", "mu", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
-    pairs = asked.join(other, "block").where("id <> match").select(F.col("id").alias("self"), "match", F.col("published_at").alias("self_at"), "match_at", "block", score.alias("score"))
-    best = pairs.withColumn("r", F.row_number().over(W.partitionBy("self", "block").orderBy(F.desc("score"), "match"))).where(F.col("r") <= k)
-    return best.withColumn("r", F.row_number().over(W.partitionBy("self").orderBy(F.desc("score"), "match"))).where(F.col("r") <= k).drop("block", "r")
+def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, times, unit vectors (zero where there is none; short ones filled up) and their lengths."""
+    vectors = table.column("u").combine_chunks()
+    sizes = np.nan_to_num(vectors.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    x = np.zeros((len(sizes), int(sizes.max(initial=0))))
+    x[np.arange(x.shape[1])[None, :] < sizes[:, None]] = vectors.drop_null().flatten().to_numpy(zero_copy_only=False)
+    return table.column("id").to_numpy(), table.column("published_at").to_numpy(), x, sizes
+
+
+def _scores(left, right, step: int = 512) -> Iterator[tuple[int, np.ndarray]]:
+    """Cosines of some rows of ``left`` at a time with all of ``right``; vectors of unlike length have none (0)."""
+    (_, _, x, n), (_, _, y, m) = left, right
+    wide = max(x.shape[1], y.shape[1])
+    x, y = (np.pad(z, ((0, 0), (0, wide - z.shape[1]))) for z in (x, y))
+    for a in range(0, len(x), step):
+        yield a, np.where(n[a : a + step, None] == m[None, :], x[a : a + step] @ y.T, 0.0)
+
+
+def _found(rows: list) -> pa.Table:
+    columns = [np.concatenate(c) for c in zip(*rows)] if rows else [np.zeros(0)] * 5
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+    return pa.table({n: pa.array(c.astype(np.float64 if k == pa.float64() else np.int64), k) for n, c, k in zip(("self", "match", "self_at", "match_at", "score"), columns, kinds)})
+
+
+def _sides(table: pa.Table):
+    left = table.column("left").to_numpy(zero_copy_only=False)
+    return _matrix(table.filter(pa.array(left))), _matrix(table.filter(pa.array(~left)))
+
+
+def _within(window: int, least: float):
+    def run(table: pa.Table) -> pa.Table:
+        left, right = _sides(table)
+        within = table.column("d")[0].as_py() == 0 and table.column("i")[0].as_py() == table.column("j")[0].as_py()  # a block and itself
+        (ids, at, *_), (others, when, *_), rows = left, right, []
+        for a, scores in _scores(left, right):
+            ok = (scores >= least) & (np.abs(at[a : a + len(scores), None] - when[None, :]) <= window)
+            i, j = np.nonzero(ok)
+            keep = ids[a + i] != others[j]
+            i, j = i[keep], j[keep]
+            one = (ids[a + i], others[j], at[a + i], when[j])
+            rows.append((*one, scores[i, j]))
+            if not within:
+                rows.append((one[1], one[0], one[3], one[2], scores[i, j]))
+        return _found(rows)
+
+    return run
+
+
+def near_pairs(vectors: DataFrame, window: int, least: float = -1.0, rows: int = BLOCK) -> DataFrame:
+    """Ordered pairs (self, match, self_at, match_at, score) of ``vectors`` (id, published_at, embedding) within ``window``
+    seconds of each other and at a cosine of ``least`` or more.
+
+    Rows are bucketed by time; a bucket meets itself and the next one, so each pair is looked at once. Buckets are cut into
+    blocks of about ``rows`` rows, and two blocks meet as one matrix product, so no task gathers a dense window."""
+    v = vectors.select(F.col("id").cast("long").alias("id"), F.col("published_at").cast("long").alias("published_at"), unit(F.col("embedding")).alias("u"))
+    v = v.withColumn("b", F.floor(F.col("published_at") / max(window, 1)))
+    cuts = v.groupBy("b").agg(F.ceil(F.count("*") / rows).cast("int").alias("cuts"))
+    before, after = cuts.select((F.col("b") + 1).alias("b"), F.col("cuts").alias("before")), cuts.select((F.col("b") - 1).alias("b"), F.col("cuts").alias("after"))
+    v = v.join(cuts.join(before, "b", "left").join(after, "b", "left"), "b").withColumn("i", F.pmod(F.hash("id"), F.col("cuts")))
+
+    def cells(first: Column, last: Column, make) -> Column:
+        return F.when(first <= last, F.transform(F.sequence(first, last), lambda k: F.struct(*[c.alias(n) for c, n in zip(make(k), ("b", "d", "i", "j", "left"))]))).otherwise(F.array())
+
+    b, i, zero, yes, no = F.col("b"), F.col("i"), F.lit(0), F.lit(True), F.lit(False)
+    every = F.concat(
+        cells(i, F.col("cuts") - 1, lambda k: (b, zero, i, k, yes)), cells(zero, i, lambda k: (b, zero, k, i, no)),
+        cells(zero, F.coalesce("after", zero) - 1, lambda k: (b, zero + 1, i, k, yes)), cells(zero, F.coalesce("before", zero) - 1, lambda k: (b - 1, zero + 1, k, i, no)),
+    )
+    placed = v.select("id", "published_at", "u", F.explode(every).alias("c")).select("id", "published_at", "u", "c.*")
+    return placed.groupBy("b", "d", "i", "j").applyInArrow(_within(window, least), FOUND)
+
+
+def _best(k: int):
+    def run(table: pa.Table) -> pa.Table:
+        left, right = _sides(table)
+        (ids, at, *_), (others, when, *_), rows = left, right, []
+        if not len(others):
+            return _found([])
+        for a, scores in _scores(left, right):
+            scores = np.where(ids[a : a + len(scores), None] == others[None, :], -np.inf, scores)
+            least = np.partition(scores, -min(k, len(others)), axis=1)[:, -min(k, len(others))]
+            i, j = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+            order = np.lexsort((others[j], -scores[i, j], i))
+            i, j = i[order], j[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            i, j = i[rank < k], j[rank < k]
+            rows.append((ids[a + i], others[j], at[a + i], when[j], scores[i, j]))
+        return _found(rows)
+
+    return run
+
+
+def top_matches(vectors: DataFrame, k: int, rows: int = BLOCK) -> DataFrame:
+    """For each vector its ``k`` nearest others, exactly; of equal scores the least id. Every block of ``rows`` rows meets every
+    block as one matrix product that keeps ``k`` a row, and the bests of all blocks are merged, so nothing is gathered but
+    k rows a vector and block. Quadratic by its definition, like any exact search."""
+    v = vectors.select(F.col("id").cast("long").alias("id"), F.col("published_at").cast("long").alias("published_at"), unit(F.col("embedding")).alias("u"))
+    blocks = max(1, -(-v.count() // rows))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asked = v.withColumns({"q": own, "left": F.lit(True)}).withColumn("d", every)
+    there = v.withColumns({"d": own, "left": F.lit(False)}).withColumn("q", every)
+    best = asked.unionByName(there).groupBy("q", "d").applyInArrow(_best(k), FOUND)
+    return best.withColumn("r", F.row_number().over(W.partitionBy("self").orderBy(F.desc("score"), "match"))).where(F.col("r") <= k).drop("r")
 
 
 def classified(pairs: DataFrame, vendors: DataFrame, bands: Bands) -> DataFrame:
@@ -179,6 +269,72 @@ def merge_map(pairs: DataFrame, verdicts: DataFrame | None = None, newest_first:
     return edges.join(parts, "self").groupBy("label").applyInArrow(_finalize if newest_first else _sweep, "loser long, winner long")
 
 
+def judged(pairs: DataFrame, verdict_fn: Callable[[list[dict]], list[bool]], batch: int = 15) -> DataFrame:
+    """Verdicts (self, match, same) of a caller's function over the borderline pairs, best first, ``batch`` pairs of one row a
+    call; pairs that it has no answer for, or whose call fails, count as no."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (-r["adjusted"], r["match"]))
+        same: list[bool] = []
+        for a in range(0, len(rows), batch):
+            try:
+                said = [bool(x) for x in verdict_fn(rows[a : a + batch])][: len(rows[a : a + batch])]
+            except Exception:  # noqa: BLE001
+                said = []
+            same += said + [False] * (len(rows[a : a + batch]) - len(said))
+        return pa.table({"self": pa.array([r["self"] for r in rows], pa.int64()), "match": pa.array([r["match"] for r in rows], pa.int64()), "same": pa.array(same, pa.bool_())})
+
+    return pairs.where("borderline").select("self", "match", "score", "adjusted").groupBy("self").applyInArrow(run, "self long, match long, same boolean")
+
+
+def batches(pairs: DataFrame, size: int = 15) -> DataFrame:
+    """Borderline pairs with the number of the call, within their own row, that asks about them: ``size`` a call, best first."""
+    n = F.row_number().over(W.partitionBy("self").orderBy(F.desc("adjusted"), "match"))
+    return pairs.where("borderline").withColumn("batch", F.floor((n - 1) / size).cast("long"))
+
+
+def embedded(rows: DataFrame, embed_fn: Callable[[list[str]], list], text: str = "input", key: str = "id") -> DataFrame:
+    """(key, embedding, status) by a caller's function over batches of texts; a batch that fails gives 'failed' and no vector."""
+    kind = dict(rows.dtypes)[key]
+
+    def run(parts):
+        for b in parts:
+            try:
+                got = [None if v is None else [float(x) for x in v] for v in embed_fn(b.column(1).to_pylist())]
+            except Exception:  # noqa: BLE001
+                got = []
+            got = [*got, *[None] * b.num_rows][: b.num_rows]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.float64())), pa.array(["failed" if v is None else "embedded" for v in got], pa.string())], [key, "embedding", "status"])
+
+    return rows.select(key, text).mapInArrow(run, f"{key} {kind}, embedding array<double>, status string")
+
+
+def merge_tables(mapping: DataFrame, articles: DataFrame, sources: DataFrame, tags: DataFrame, stars: DataFrame, reads: DataFrame) -> dict[str, DataFrame]:
+    """All tables after the merges of ``mapping`` (loser, winner; a winner is no loser): a loser's own source and its alternative
+    ones become the winner's, as do its tags, stars and reads; losers go. A row that the winner has already stays as it is; of
+    losers' rows that meet, the loser's own source wins over alternatives, then the least loser id. Applying the
+    mapping again changes nothing."""
+    to = mapping.select(F.col("loser").alias("article_id"), "winner").distinct()
+
+    def moved(children: DataFrame) -> DataFrame:
+        out = children.join(to, "article_id", "left")
+        return out.withColumns({"__moved": F.col("winner").isNotNull(), "__from": F.col("article_id"), "article_id": F.coalesce("winner", "article_id")}).drop("winner")
+
+    def one(children: DataFrame, keys: list[str], rest: list[str], *order: str) -> DataFrame:
+        first = F.min_by(F.struct(*rest), F.struct("__moved", *order, "__from")).alias("r")
+        return children.groupBy(*keys).agg(first).select(*keys, *[f"r.{c}" for c in rest])
+
+    own = articles.select(F.col("id").alias("article_id"), "source_name", F.col("url").alias("source_url"), "published_at").join(to.select("article_id"), "article_id", "left_semi")
+    every = moved(own).withColumn("__alt", F.lit(1)).unionByName(moved(sources.select("article_id", "source_name", "source_url", "published_at")).withColumn("__alt", F.lit(2)))
+    return {
+        "articles": articles.join(to.select(F.col("article_id").alias("id")), "id", "left_anti"),
+        "sources": one(every, ["article_id", "source_url"], ["source_name", "published_at"], "__alt"),
+        "tags": moved(tags).select("article_id", "tag").distinct(),
+        "stars": one(moved(stars), ["user_id", "article_id"], ["starred_at"]),
+        "reads": one(moved(reads), ["user_id", "article_id"], ["read_at"]),
+    }
+
+
 def apply_merge(children: DataFrame, mapping: DataFrame, key: str, unique: list[str], first: str) -> DataFrame:
     """Children of losers moved to the winners; existing rows win, then the least ``first``."""
     moved = children.join(mapping.select(F.col("loser").alias(key), "winner"), key, "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -41,32 +43,65 @@ def newest(articles: DataFrame, limit: int, *first: Column) -> DataFrame:
     return articles.orderBy(*first, F.desc("ingested_at"), F.desc("published_at"), F.asc("id")).limit(limit)
 
 
-def unread(articles: DataFrame, user_tags: DataFrame, article_tags: DataFrame, reads: DataFrame, per_user: int) -> DataFrame:
-    """For every user the newest articles with one of their tags that they have not read, ``per_user`` at most."""
-    wanted = user_tags.join(article_tags, "tag").select("user_id", "article_id").distinct()
-    fresh = wanted.join(reads, ["user_id", "article_id"], "left_anti").join(articles.withColumnRenamed("id", "article_id"), "article_id")
-    rank = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ingested_at"), F.desc("published_at"), "article_id"))
-    return fresh.withColumn("rank", rank).where(F.col("rank") <= per_user)
+def unread(articles: DataFrame, user_tags: DataFrame, article_tags: DataFrame, reads: DataFrame, per_user: int, salt: int = 16) -> DataFrame:
+    """For every user the newest articles with one of their tags that they have not read, ``per_user`` at most, and their rank.
+
+    Of a tag a user needs no more than the newest ``per_user`` articles and one more for each article they have read, so tags
+    are ranked once, as deep as their most demanding user, in salted parts first; users meet only those rows."""
+    order = [F.desc("ingested_at"), F.desc("published_at"), F.asc("article_id")]
+    seen = reads.select("user_id", "article_id").distinct()
+    need = F.coalesce("n", F.lit(0)) + per_user
+    wanted = user_tags.select("user_id", "tag").distinct().join(seen.groupBy("user_id").agg(F.count("*").alias("n")), "user_id", "left").select("user_id", "tag", need.alias("need"))
+    times = articles.select(F.col("id").alias("article_id"), "ingested_at", "published_at")
+    rows = article_tags.select("article_id", "tag").distinct().join(times, "article_id").join(wanted.groupBy("tag").agg(F.max("need").alias("deepest")), "tag")
+    rows = rows.withColumn("salt", F.pmod(F.hash("article_id"), F.lit(salt)))
+    for key in (["tag", "salt"], ["tag"]):
+        rows = rows.withColumn("deep", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where(F.col("deep") <= F.col("deepest"))
+    near = wanted.join(rows.drop("deepest", "salt"), "tag").where(F.col("deep") <= F.col("need"))
+    fresh = near.select("user_id", "article_id", "ingested_at", "published_at").distinct().join(seen, ["user_id", "article_id"], "left_anti")
+    return fresh.withColumn("rank", F.row_number().over(W.partitionBy("user_id").orderBy(*order))).where(F.col("rank") <= per_user)
 
 
 def tag_tally(articles: DataFrame, article_tags: DataFrame, users: DataFrame, user_tags: DataFrame, now: int) -> DataFrame:
-    """Articles per user and tag since the user's local midnight; a user's unused tags count zero."""
+    """Articles per user and tag since the user's local midnight, most first, then by tag, and the user's total; a user's
+    unused tags count zero. Midnights are as many as there are UTC offsets, so a tag is counted once for each of those, before any
+    user is met."""
     since = users.select("user_id", local_midnight(F.lit(now), F.col("tz")).alias("since"))
-    new = articles.join(article_tags, articles["id"] == article_tags["article_id"]).select("tag", "article_id", "ingested_at")
-    hits = user_tags.join(since, "user_id").join(new.where(F.col("ingested_at") >= now - 2 * 86400), "tag").where(F.col("ingested_at") >= F.col("since"))
-    counts = hits.groupBy("user_id", "tag").agg(F.count_distinct("article_id").alias("n"))
-    return user_tags.join(counts, ["user_id", "tag"], "left").select("user_id", "tag", F.coalesce("n", F.lit(0)).alias("n"))
+    midnights = sorted(r.since for r in since.select("since").where("since is not null").distinct().collect())
+    new = articles.where(F.col("ingested_at") >= now - 2 * 86400).select(F.col("id").alias("article_id"), "ingested_at").join(article_tags.select("article_id", "tag").distinct(), "article_id")
+    after = F.explode(F.filter(F.array(*[F.lit(m) for m in midnights]).cast("array<long>"), lambda m: m <= F.col("ingested_at")))
+    counts = new.select("tag", after.alias("since")).groupBy("tag", "since").agg(F.count("*").alias("n"))
+    out = user_tags.select("user_id", "tag").distinct().join(since, "user_id").join(counts, ["tag", "since"], "left").select("user_id", "tag", F.coalesce("n", F.lit(0)).alias("n"))
+    return out.withColumns({"rank": F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("n"), "tag")).cast("long"), "total": F.sum("n").over(W.partitionBy("user_id"))})
 
 
 def history(articles: DataFrame, runs: DataFrame, zones: list[str], days: int) -> DataFrame:
-    """Per zone and local day: articles and run sums; a day exists if either side has rows; the newest ``days`` of each zone."""
+    """Per zone and local day: articles and sums over runs (tokens, ingested, cost where runs have one); a day exists if either
+    side has rows; the newest ``days`` of each zone."""
     zone = F.explode(F.array(*[F.lit(z) for z in zones])).alias("tz")
+    sums = ["tokens_in", "tokens_out", "ingested", *(["cost"] if "cost" in runs.columns else [])]
     a = articles.select(zone, "ingested_at", "id").groupBy("tz", local_date(F.col("ingested_at"), F.col("tz")).alias("day")).agg(F.count("*").alias("articles"), F.max("id").alias("last_id"))
-    r = runs.select(zone, "started_at", "tokens_in", "tokens_out", "ingested").groupBy("tz", local_date(F.col("started_at"), F.col("tz")).alias("day")).agg(F.count("*").alias("runs"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("ingested").alias("ingested"))
-    both = a.join(r, ["tz", "day"], "full_outer").fillna(0, ["articles", "runs", "tokens_in", "tokens_out", "ingested"])
+    r = runs.select(zone, "started_at", *sums).groupBy("tz", local_date(F.col("started_at"), F.col("tz")).alias("day")).agg(F.count("*").alias("runs"), *[F.sum(c).alias(c) for c in sums])
+    both = a.join(r, ["tz", "day"], "full_outer").fillna(0, ["articles", "runs", *sums])
     return both.withColumn("rank", F.row_number().over(W.partitionBy("tz").orderBy(F.desc("day")))).where(F.col("rank") <= days).drop("rank")
 
 
+def history_articles(articles: DataFrame, days: DataFrame, zones: list[str]) -> DataFrame:
+    """The articles of each day of a history (tz, day), one row each, with their position in the day, newest first. Rows, not
+    nested lists, so a busy day is never one value."""
+    zone = F.explode(F.array(*[F.lit(z) for z in zones])).alias("tz")
+    rows = articles.select("*", zone).withColumn("day", local_date(F.col("ingested_at"), F.col("tz"))).join(days.select("tz", "day"), ["tz", "day"], "left_semi")
+    return rows.withColumn("position", F.row_number().over(W.partitionBy("tz", "day").orderBy(F.desc("ingested_at"), F.desc("published_at"), "id")).cast("long"))
+
+
+def focused(days: DataFrame, date: str | None) -> DataFrame:
+    """The one day that a link names, in each zone that has it; all days for a date of another form or one that is not there."""
+    if date is None or not re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", date):
+        return days
+    named = days.select("tz", (F.col("day") == date).alias("is")).groupBy("tz").agg(F.bool_or("is").alias("__has"))
+    return days.join(named, "tz").where(~F.col("__has") | (F.col("day") == date)).drop("__has")
+
+
 def search(articles: DataFrame, query: str, selected: list[str], least: int = 3) -> DataFrame:
     """Articles (title, excerpt, tags array) that have a selected tag, if any is selected, and hold the query in title or
     excerpt, if it has at least ``least`` characters; no character of it is special."""

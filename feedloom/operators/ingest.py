@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import title_tokens
+from ..functions.text import prompt_field, share_token, title_tokens
 
 
 def first_per(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
@@ -40,17 +40,44 @@ def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str], order: l
     return existing.unionByName(first.join(existing, keys, "left_anti").select(existing.columns))
 
 
-def prefer_direct(items: DataFrame, least: int = 3) -> DataFrame:
-    """``items`` (seq, title, aggregator boolean) without the aggregator items that share at least ``least`` title tokens with a
-    direct one; absorbed_by lists pairs as (seq, direct seq, shared). The first direct item in input order absorbs.
-    Items meet by an equi-join on tokens."""
-    tokens = items.select("seq", "aggregator", F.explode(title_tokens(F.col("title"))).alias("token"))
-    a = tokens.where("aggregator").select("seq", "token")
-    b = tokens.where("not aggregator").select(F.col("seq").alias("direct"), "token")
-    pairs = a.join(b, "token").groupBy("seq", "direct").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+def append_sources(seen: DataFrame, known: DataFrame, sources: DataFrame) -> DataFrame:
+    """New rows of ``sources`` (article_id, source_url, source_name, published_at) for candidates (key, source_name, source_url,
+    published_at, seq) whose canonical URL is a known article's (id, key): every source of such a cluster, primary ones
+    too, the first in input order per article and URL, those that are there already left out."""
+    rows = seen.join(known.select(F.col("id").alias("article_id"), "key"), "key")
+    first = rows.groupBy("article_id", "source_url").agg(F.min_by(F.struct("source_name", "published_at"), "seq").alias("r"))
+    first = first.select("article_id", "source_url", "r.source_name", "r.published_at")
+    return first.join(sources.select("article_id", "source_url"), ["article_id", "source_url"], "left_anti")
+
+
+def direct_matches(items: DataFrame, least: int = 3) -> DataFrame:
+    """(seq, direct, shared) for aggregator items of ``items`` (seq, title, aggregator) that share at least ``least`` title
+    tokens with a direct one; the first direct item in input order. Titles that share so many tokens share one that is not
+    among the ``least`` - 1 commonest of either, so only the rarer tokens are indexed and candidates are counted
+    exactly: a common word alone brings no titles together."""
+    rows = items.select("seq", "aggregator", title_tokens(F.col("title")).alias("tokens")).where(F.size("tokens") >= least)
+    each = rows.select("seq", "aggregator", "tokens", F.explode("tokens").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(W.partitionBy("seq").orderBy(F.desc("often"), "token"))
+    rare = each.join(often, "token").withColumn("rank", rank).where(F.col("rank") >= least)
+    a = rare.where("aggregator").select("seq", "tokens", "token")
+    b = rare.where("not aggregator").select(F.col("seq").alias("direct"), F.col("tokens").alias("others"), "token")
+    shared = F.size(F.array_intersect("tokens", "others")).cast("long")
+    pairs = a.join(b, "token").select("seq", "direct", shared.alias("shared")).where(F.col("shared") >= least)
     return pairs.groupBy("seq").agg(F.min_by(F.struct("direct", "shared"), "direct").alias("m")).select("seq", "m.direct", "m.shared")
 
 
+def prefer_direct(items: DataFrame, least: int = 3) -> DataFrame:
+    """``items`` (seq, title, aggregator boolean, tags array, any others) without the aggregator items that a direct one absorbs
+    (see ``direct_matches``); that one's tags come first, the absorbed items' behind, in input order, without repeats."""
+    found = direct_matches(items, least)
+    lost = items.select("seq", "tags").join(found, "seq")
+    gained = lost.groupBy(F.col("direct").alias("seq")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "tags"))), lambda x: F.coalesce(x["tags"], F.array().cast("array<string>")))).alias("__more"))
+    out = items.join(found.select("seq"), "seq", "left_anti").join(gained, "seq", "left")
+    tags = F.when(F.col("__more").isNull(), F.col("tags")).otherwise(F.array_distinct(F.concat(F.coalesce("tags", F.array().cast("array<string>")), "__more")))
+    return out.withColumn("tags", tags).select(*items.columns)
+
+
 def _packer(budget: int, items: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("seq")
@@ -71,19 +98,49 @@ def pack_chunks(rows: DataFrame, group: str, budget: int = 280_000, items: int =
     return rows.select(group, "seq", "cost").groupBy(group).applyInArrow(_packer(budget, items), f"{group} long, seq long, cost long, chunk_index long")
 
 
+def prompts(rows: DataFrame, most: int) -> DataFrame:
+    """(run, chunk, n, total, prompt) for titles (run, chunk, seq, title): a chunk's titles in order, each made safe and cut at
+    ``most`` characters, and how many chunks its run has. A chunk holds few items by construction."""
+    line = F.struct("seq", prompt_field(F.col("title"), most).alias("line"))
+    chunks = rows.groupBy("run", "chunk").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(line)).alias("lines"))
+    totals = chunks.groupBy("run").agg(F.count("*").alias("total"))
+    return chunks.join(totals, "run").select("run", "chunk", "n", "total", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("prompt"))
+
+
+def cap_chunks(rows: DataFrame, most: int = 40) -> tuple[DataFrame, DataFrame]:
+    """(rows of each run's first ``most`` chunks, numbered from 0; runs with the number of rows dropped)."""
+    return rows.where(F.col("chunk") < most), rows.where(F.col("chunk") >= most).groupBy("run").agg(F.count("*").alias("dropped"))
+
+
 def align_outputs(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Model outputs (run, pos, echoed) to inputs (run, idx): by echoed index if a run has at least three echoes or half of its
-    outputs echo, else by position; the first output of an index wins; echoes out of range match nothing."""
-    mode = outputs.groupBy("run").agg(((F.count("echoed") >= 3) | (2 * F.count("echoed") >= F.count("*"))).alias("by_echo"))
-    keyed = outputs.join(mode, "run").withColumn("idx", F.when(F.col("by_echo"), F.col("echoed")).otherwise(F.col("pos")))
-    first = keyed.where("idx is not null").withColumn("__r", F.row_number().over(W.partitionBy("run", "idx").orderBy("pos"))).where("__r = 1")
-    return inputs.join(first.select("run", "idx", "pos"), ["run", "idx"])
+    """(run, idx, pos): which of a model's outputs (run, pos, given, echoed) stands for which input (run, idx from 0).
+
+    An output that echoes the index of an input (``given``, and ``echoed`` in range) stands for it; the first one wins. If a run
+    has at least three such echoes, or half of its outputs have one, that is all. Else outputs also stand for the input
+    at their own position where it is free; those with an index that was given but is none of an input's never do.
+    With a title in both tables, inputs whose title shares no word with their output's are left out."""
+    n = inputs.groupBy("run").agg(F.count("*").alias("inputs"))
+    valid = F.col("given") & F.col("echoed").isNotNull() & (F.col("echoed") >= 0) & (F.col("echoed") < F.col("inputs"))
+    rows = outputs.join(n, "run").withColumn("valid", F.coalesce(valid, F.lit(False)))
+    mode = rows.groupBy("run").agg(((F.count_if("valid") >= 3) | (2 * F.count_if("valid") >= F.count("*"))).alias("by_echo"))
+    echoed = rows.where("valid").select("run", F.col("echoed").cast("long").alias("idx"), F.lit(0).alias("way"), "pos")
+    free = rows.where(F.col("valid") | ~F.coalesce("given", F.lit(False))).join(mode, "run").where("not by_echo")
+    placed = echoed.unionByName(free.select("run", F.col("pos").cast("long").alias("idx"), F.lit(1).alias("way"), "pos"))
+    first = placed.groupBy("run", "idx").agg(F.min(F.struct("way", "pos")).alias("m")).select("run", "idx", F.col("m.pos").alias("pos"))
+    if "title" not in inputs.columns or "title" not in outputs.columns:
+        return inputs.select("run", "idx").join(first, ["run", "idx"])
+    out = inputs.select("run", "idx", "title").join(first, ["run", "idx"]).join(outputs.select("run", "pos", F.col("title").alias("said")), ["run", "pos"])
+    return out.where(share_token(title_tokens(F.coalesce("said", F.lit(""))), title_tokens(F.coalesce("title", F.lit(""))))).select("run", "idx", "pos")
 
 
 def hint_merge(clusters: DataFrame, hints: DataFrame) -> DataFrame:
-    """Clusters (run, idx) with anchor: hints (run, hint, members array) join their valid members at the least index; groups of
-    fewer than two valid members are ignored; of two hints that take a cluster the later one counts."""
+    """Output clusters as rows (run, anchor, idx), one for each member. Hints (run, hint, members array) join their valid members
+    (run, idx) at the least index; those with fewer than two valid members are ignored. Hints that overlap are merged apart, and of
+    two with the same anchor only the later one is put out; clusters that no hint names stand alone."""
     valid = hints.select("run", "hint", F.explode("members").alias("idx")).distinct().join(clusters.select("run", "idx"), ["run", "idx"])
-    groups = valid.groupBy("run", "hint").agg(F.min("idx").alias("anchor"), F.count("*").alias("n")).where("n >= 2")
-    member = valid.join(groups, ["run", "hint"]).groupBy("run", "idx").agg(F.max_by("anchor", "hint").alias("anchor"))
-    return clusters.join(member, ["run", "idx"], "left").withColumn("anchor", F.coalesce("anchor", "idx"))
+    groups = valid.groupBy("run", "hint").agg(F.min("idx").alias("anchor"), F.count("*").alias("n")).where("n >= 2").drop("n")
+    last = groups.groupBy("run", "anchor").agg(F.max("hint").alias("hint"))
+    merged = valid.join(last, ["run", "hint"]).select("run", "anchor", "idx")
+    named = valid.join(groups, ["run", "hint"]).select("run", "idx").distinct()
+    alone = clusters.select("run", "idx").join(named, ["run", "idx"], "left_anti")
+    return merged.unionByName(alone.select("run", F.col("idx").alias("anchor"), "idx"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -54,14 +55,59 @@ def rate_limited(events: DataFrame, identity: str, time: str, order: str, window
     return rows.withColumns({"allowed": F.col("hit") <= limit, "retry_after": F.when(F.col("hit") > limit, (F.col("window_index") + 1) * window - F.col(time))})
 
 
-def failure_streaks(events: DataFrame, key: str, time: str, order: str, failed: Column, ttl: int) -> DataFrame:
-    """Events with the length of the run of failures that ends there: a success, or a gap over ``ttl`` seconds, starts anew."""
+def failure_streaks(events: DataFrame, key: str, time: str, order: str, failed: Column, ttl: int, limit: int = 30) -> DataFrame:
+    """Events with the length of the run of failures that ends there (a success, or a gap over ``ttl`` seconds, starts anew) and
+    whether it is long enough to evict the key."""
     w = W.partitionBy(key).orderBy(time, order)
     rows = events.withColumns({"__fail": failed, "__gap": F.coalesce(F.col(time) - F.lag(time).over(w) > ttl, F.lit(False))})
     island = F.sum(F.when(~F.col("__fail") | F.col("__gap"), 1).otherwise(0)).over(w)
     rows = rows.withColumn("__island", island)
     streak = F.sum(F.col("__fail").cast("int")).over(W.partitionBy(key, "__island").orderBy(time, order))
-    return rows.withColumn("streak", F.when(F.col("__fail"), streak).otherwise(0).cast("long")).drop("__fail", "__gap", "__island")
+    rows = rows.withColumn("streak", F.when(F.col("__fail"), streak).otherwise(0).cast("long")).drop("__fail", "__gap", "__island")
+    return rows.withColumn("evicted", F.col("streak") >= limit)
+
+
+def _started(window: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("time", "ascending"), ("order", "ascending")])
+        last, out = None, []
+        for t in table.column("time").to_pylist():
+            out.append(last is None or t - last > window)
+            last = t if out[-1] else last
+        return pa.table({"key": table.column("key"), "order": table.column("order"), "started": pa.array(out, pa.bool_())})
+
+    return run
+
+
+def kick(requests: DataFrame, key: str, time: str, order: str, window: int = 120) -> DataFrame:
+    """(key, order, started): whether a request starts a run or reuses the one that was started within ``window`` seconds before. A
+    request that follows the one before by more than the window starts one in any case, so a key's requests fall into
+    sessions, each of which is folded apart."""
+    rows = requests.select(F.col(key).cast("long").alias("key"), F.col(time).cast("long").alias("time"), F.col(order).cast("long").alias("order"))
+    w = W.partitionBy("key").orderBy("time", "order")
+    rows = rows.withColumn("session", F.sum(F.when(F.col("time") - F.lag("time").over(w) <= window, 0).otherwise(1)).over(w))
+    return rows.groupBy("key", "session").applyInArrow(_started(window), "key long, order long, started boolean")
+
+
+def finished(chunks: DataFrame, losers: DataFrame) -> DataFrame:
+    """Per run: candidates, ingested and deduped, which are a chunk's candidates that were not ingested (each chunk counted
+    once, however often it is delivered) and the articles that merges removed. chunks: run, chunk, candidates, ingested;
+    losers: run, loser."""
+    once = chunks.groupBy("run", "chunk").agg(F.min(F.struct("candidates", "ingested")).alias("c")).select("run", "c.*")
+    sums = once.groupBy("run").agg(F.sum("candidates").alias("candidates"), F.sum("ingested").alias("ingested"))
+    gone = losers.groupBy("run").agg(F.count_distinct("loser").alias("lost"))
+    return sums.join(gone, "run", "left").select("run", "candidates", "ingested", (F.col("candidates") - F.col("ingested") + F.coalesce("lost", F.lit(0))).alias("deduped"))
+
+
+def purge_ledger(ledger: DataFrame, parents: DataFrame, key: str, finished_at: str, cutoff) -> DataFrame:
+    """The ledger's rows that stay: those whose parent is there and that are in flight (no ``finished_at``) or finished at or after
+    ``cutoff``."""
+    return ledger.join(parents.select(key).distinct(), key, "left_semi").where(F.col(finished_at).isNull() | (F.col(finished_at) >= F.lit(cutoff)))
+
+
+def purge_tokens(tokens: DataFrame, now, revoked_before) -> DataFrame:
+    """Tokens (expires_at, revoked_at) neither expired at ``now`` nor revoked before ``revoked_before``."""
+    return tokens.where((F.col("expires_at") >= F.lit(now)) & (F.col("revoked_at").isNull() | (F.col("revoked_at") >= F.lit(revoked_before))))
 
 
 def claims(events: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
 PHASES = ("reembed", "scrape", "embed", "dedup", "done")
 
 
@@ -59,3 +63,27 @@ def deliver(handler: Callable, message, attempts: int = 3, terminal: Callable |
 def outage(attempted: int, failed: int) -> bool:
     """A sweep in which every lookup failed must not advance its cursor; a partial failure may."""
     return attempted > 0 and failed == attempted
+
+
+class HighWater:
+    """A stored mark up to which pairs have been judged: a table of marks below ``path``, of which the largest holds. It moves
+    after a sweep that was no outage, never back, and a repeated call changes nothing."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def read(self) -> int | None:
+        rows = self.spark.read.schema("mark long").option("ignoreMissingFiles", True)
+        try:
+            return rows.parquet(self.path).agg(F.max("mark")).first()[0]
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+
+    def advance(self, mark: int, attempted: int, failed: int) -> bool:
+        before = self.read()
+        if outage(attempted, failed) or before is not None and mark <= before:
+            return False
+        self.spark.createDataFrame([(mark,)], "mark long").write.mode("append").parquet(self.path)
+        return True

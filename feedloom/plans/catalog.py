@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import ids, text, timez, urls
-from ..operators import dedup, feed, ingest, ops
+from ..operators import dedup, discovery, feed, ingest, ops
 from ..runtime import ship
 from . import tables as T
 from .tables import BASE, NOW, read, sql
@@ -30,12 +30,13 @@ def quoted(values) -> str:
 
 SQL_SPACE = "[\\t-\\r \\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
 SQL_HOST = "lower(regexp_extract(url, '^https?://(?:[^/?#@]*@)?([^/?#:]+)', 1))"
-SQL_CANONICAL = f"""
-SELECT page_id, url, html, CASE WHEN NOT regexp_matches(url, '^https?://[^/?#:\\s]+') THEN url ELSE 'https://' || host || CASE WHEN path = '' AND q || frag <> '' THEN '/' ELSE path END || q || frag END AS canonical_url
+SQL_CANONICAL_OF = f"""
+SELECT *, CASE WHEN NOT regexp_matches(url, '^https?://[^/?#:\\s]+') THEN url ELSE 'https://' || host || CASE WHEN path = '' AND q || frag <> '' THEN '/' ELSE path END || q || frag END AS canonical_url
 FROM (SELECT *, {SQL_HOST} || regexp_extract(url, '^https?://[^/?#:]+(:[0-9]+)?', 1) AS host, regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') AS path, regexp_extract(url, '(#.*)$', 1) AS frag,
   CASE WHEN len(kept) = len(args) THEN regexp_extract(url, '(\\?[^#]*)', 1) WHEN len(kept) = 0 THEN '' ELSE '?' || array_to_string(kept, '&') END AS q
   FROM (SELECT *, list_filter(args, lambda p: NOT regexp_matches(lower(string_split(p, '=')[1]), '{urls.TRACKING}')) AS kept FROM (SELECT *, list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '') AS args FROM pages)))
 """
+SQL_CANONICAL = SQL_CANONICAL_OF.replace("SELECT *, CASE", "SELECT page_id, url, html, CASE", 1)
 SQL_TOKENS = f"list_distinct(list_filter(regexp_split_to_array(lower({{0}}), '[^a-z0-9]+'), lambda w: length(w) >= 4 AND NOT list_contains([{quoted(text.TITLE_STOPWORDS)}], w)))"
 SQL_TITLE = "regexp_extract(html, '<title>(.*?)</title>', 1)"
 
@@ -52,14 +53,17 @@ def canonical_urls(spark, d):
     return read(spark, d, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("canonical_url"))
 
 
-SQL_KEY = "regexp_replace(canonical_url, '^https://([^/]+)/.*$', '\\1')"
+SQL_CANDIDATES = f"(SELECT *, {BASE} + (seq * 37) % 1000 AS published_at FROM (SELECT page_id AS seq, url FROM pages UNION ALL SELECT page_id + 1000000, CASE WHEN contains(url, '#') THEN url WHEN contains(url, '?') THEN url || '&utm_campaign=z' ELSE url || '?utm_campaign=z' END FROM pages))"
 
 
-@query(f"""WITH c AS ({SQL_CANONICAL}), k AS (SELECT page_id, canonical_url, regexp_extract(canonical_url, '^https://([^/?#]+)', 1) AS site, {BASE} + (page_id * 37) % 1000 AS published_at FROM c)
-SELECT page_id, site, CASE WHEN row_number() OVER (PARTITION BY site ORDER BY published_at, page_id) = 1 THEN 'primary' ELSE 'alternative' END AS role, min(page_id) OVER (PARTITION BY site) AS cluster_order FROM k""")
+@query(f"""WITH c AS ({SQL_CANONICAL_OF.replace("FROM pages", "FROM " + SQL_CANDIDATES)})
+SELECT seq, canonical_url, CASE WHEN row_number() OVER (PARTITION BY canonical_url ORDER BY published_at, seq) = 1 THEN 'primary' ELSE 'alternative' END AS role, min(seq) OVER (PARTITION BY canonical_url) AS cluster_order FROM c""")
 def url_clusters(spark, d):
-    rows = read(spark, d, "pages").select("page_id", F.regexp_extract(urls.canonical_url(F.col("url")), "^https://([^/?#]+)", 1).alias("site"), (F.lit(BASE) + F.col("page_id") * 37 % 1000).alias("published_at"))
-    return ingest.clusters(rows, "site", "published_at", "page_id").drop("published_at")
+    p, u = read(spark, d, "pages"), F.col("url")
+    again = F.when(F.contains(u, F.lit("#")), u).when(F.contains(u, F.lit("?")), F.concat(u, F.lit("&utm_campaign=z"))).otherwise(F.concat(u, F.lit("?utm_campaign=z")))
+    rows = p.select(F.col("page_id").alias("seq"), "url").unionByName(p.select((F.col("page_id") + 1000000).alias("seq"), again.alias("url")))
+    rows = rows.select("seq", urls.canonical_url(u).alias("canonical_url"), (F.lit(BASE) + F.col("seq") * 37 % 1000).alias("published_at"))
+    return ingest.clusters(rows, "canonical_url", "published_at", "seq").drop("published_at")
 
 
 SQL_DOMAIN = f"CASE WHEN regexp_matches(h, '^[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+$') OR contains(h, ':') OR len(l) < 2 THEN h WHEN len(l) >= 3 AND array_to_string(l[-2:], '.') IN ({quoted(urls.TWO_LEVEL)}) THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END"
@@ -84,6 +88,16 @@ def safe_urls(spark, d):
     return read(spark, d, "pages").select("page_id", urls.is_https(u).alias("https"), urls.is_public_url(u).alias("safe"), urls.safe_href(u).alias("href"))
 
 
+HOSTS = [("10.0.0.1", 0), ("172.15.0.1", 1), ("172.16.0.1", 0), ("172.31.9.9", 0), ("172.32.0.1", 1), ("192.168.1.1", 0), ("169.254.169.254", 0), ("100.63.0.1", 1), ("100.64.0.1", 0), ("100.127.0.1", 0), ("100.128.0.1", 1), ("0.1.2.3", 0), ("127.0.0.1", 0), ("8.8.8.8", 1), ("[::1]", 0), ("[fe80::1]", 0), ("[fd12::1]", 0), ("[2001:db8::1]", 1), ("[::ffff:172.20.0.1]", 0), ("[::ffff:100.100.1.1]", 0), ("[::ffff:8.8.4.4]", 1), ("localhost", 0), ("metadata.example.org", 0), ("example.org", 1)]
+
+
+@query(f"SELECT page_id, host, safe = 1 AS safe FROM pages JOIN (VALUES {', '.join(f"({k}, '{h}', {s})" for k, (h, s) in enumerate(HOSTS))}) h(k, host, safe) ON page_id % {len(HOSTS)} = k")
+def public_hosts(spark, d):
+    name = F.array(*[F.lit(h) for h, _ in HOSTS])[(F.col("page_id") % len(HOSTS)).cast("int")]
+    rows = read(spark, d, "pages").select("page_id", name.alias("host"))
+    return rows.select("page_id", "host", urls.is_public_url(F.concat(F.lit("https://"), "host", F.lit("/x"))).alias("safe"))
+
+
 @query(f"SELECT page_id, regexp_replace(substring(regexp_replace(regexp_replace(lower({SQL_TITLE}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '^-+|-+$', '', 'g') AS slug FROM pages")
 def slugs(spark, d):
     return page_titles(spark, d).select("page_id", text.slug(F.col("title")).alias("slug"))
@@ -100,7 +114,17 @@ p AS (SELECT a.seq, b.seq AS direct, count(*) AS shared FROM t a JOIN t b USING
 SELECT seq, min(direct) AS direct, arg_min(shared, direct) AS shared FROM p GROUP BY seq""")
 def title_pairs(spark, d):
     items = read(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.split("text", "\n")[0].alias("title"), (F.col("doc_id") % 4 == 0).alias("aggregator"))
-    return ingest.prefer_direct(items)
+    return ingest.direct_matches(items)
+
+
+@query(f"""WITH t AS (SELECT doc_id AS seq, doc_id % 4 = 0 AS aggregator, unnest({SQL_TOKENS.format("string_split(text, chr(10))[1]")}) AS token FROM documents),
+p AS (SELECT a.seq, b.seq AS direct, count(*) AS shared FROM t a JOIN t b USING (token) WHERE a.aggregator AND NOT b.aggregator GROUP BY ALL HAVING count(*) >= 3),
+m AS (SELECT seq, min(direct) AS direct FROM p GROUP BY seq), g AS (SELECT direct, l.lang, min(m.seq) AS place FROM m JOIN documents l ON l.doc_id = m.seq JOIN documents o ON o.doc_id = m.direct WHERE l.lang <> o.lang GROUP BY ALL),
+x AS (SELECT direct, string_agg(lang, ',' ORDER BY place) AS more FROM g GROUP BY direct)
+SELECT doc_id AS seq, lang || coalesce(',' || more, '') AS tags FROM documents LEFT JOIN x ON direct = doc_id WHERE doc_id NOT IN (SELECT seq FROM m)""")
+def direct_preferred(spark, d):
+    items = read(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.split("text", "\n")[0].alias("title"), (F.col("doc_id") % 4 == 0).alias("aggregator"), F.array("lang").alias("tags"))
+    return ingest.prefer_direct(items).select("seq", F.array_join("tags", ",").alias("tags"))
 
 
 def _replaced(column: str) -> str:
@@ -217,11 +241,17 @@ def ulid_roundtrip(spark, d):
     return rows.select("event_id", ids.ulid_time(F.col("ulid")).alias("ms"), F.length("ulid").cast("long").alias("n"))
 
 
-@query("SELECT o_orderkey, CASE WHEN c IS NULL THEN '—' WHEN c = 0 THEN '$0.00' ELSE printf('$%.2f', c) END AS cost FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 1 THEN 0 ELSE round(o_totalprice, 2) END AS c FROM orders)")
+POWERS = [10.0**k for k in range(9)]
+SQL_KEPT = "CAST(CASE WHEN c < 0.01 THEN printf('%.1e', abs(c)) ELSE printf('%.2e', abs(c)) END AS DOUBLE)"
+
+
+@query(f"""WITH v AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 1 THEN 0 WHEN o_orderkey % 11 = 0 THEN -o_totalprice ELSE o_totalprice / ({POWERS}::DOUBLE[])[o_orderkey % 9 + 1] END AS c FROM orders),
+k AS (SELECT *, {SQL_KEPT} AS k FROM v), u AS (SELECT *, CASE WHEN k < 0.01 THEN (20000 * CAST(k * 295147905179352825856 AS HUGEINT) + 295147905179352825856::HUGEINT) // 590295810358705651712::HUGEINT WHEN k < 1 THEN (200 * CAST(k * 1152921504606846976 AS HUGEINT) + 1152921504606846976::HUGEINT) // 2305843009213693952::HUGEINT END AS u FROM k)
+SELECT o_orderkey, CASE WHEN c IS NULL THEN '—' WHEN c = 0 THEN '$0.00' WHEN k < 0.01 THEN '$' || (u // 10000) || '.' || lpad(CAST(u % 10000 AS VARCHAR), 4, '0') WHEN k < 1 THEN '$' || (u // 100) || '.' || lpad(CAST(u % 100 AS VARCHAR), 2, '0') ELSE printf('$%.2f', k) END AS cost FROM u""")
 def cost_format(spark, d):
-    k = F.col("o_orderkey") % 5
-    cost = F.when(k == 1, 0.0).when(k != 0, F.round("o_totalprice", 2))
-    return read(spark, d, "orders").select("o_orderkey", F.when(cost.isNull(), "—").when(cost == 0, "$0.00").otherwise(F.format_string("$%.2f", cost)).alias("cost"))
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    small = price / F.array(*[F.lit(x) for x in POWERS])[(k % 9).cast("int")]
+    return read(spark, d, "orders").select("o_orderkey", text.cost_text(F.when(k % 5 == 1, 0.0).when(k % 5 == 0, None).when(k % 11 == 0, -price).otherwise(small)).alias("cost"))
 
 
 @query("SELECT DISTINCT user_id, CASE WHEN user_id % 2 = 0 THEN 'hub' ELSE 'other' END AS provider, CASE WHEN user_id % 2 = 0 THEN 'u' || user_id ELSE 'x:' || user_id END AS sub FROM events WHERE user_id NOT IN (0, 1)")
@@ -245,6 +275,42 @@ def rss_items(spark, d):
     return read_rss(read(spark, d, "documents").select("doc_id", xml.alias("body")), "body", now=1 << 34).select("doc_id", "title", "url", "published_at")
 
 
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 <> 0 THEN 'https://pub.example.org/' || doc_id WHEN doc_id % 2 = 0 THEN 'https://news.google.com/rss/articles/' || doc_id ELSE 'https://pod.example.com/' || doc_id END AS url, CASE WHEN doc_id % 5 <> 0 THEN 'Pub ' || doc_id % 4 END AS item_source, CASE WHEN doc_id % 3 <> 0 THEN 'https://pub.example.org/' || doc_id END AS item_source_url FROM documents")
+def rss_sources(spark, d):
+    from ..sources.feeds import read_rss
+
+    n = F.col("doc_id")
+    link = F.concat(F.when(n % 2 == 0, "https://news.google.com/rss/articles/").otherwise("https://pod.example.com/"), n.cast("string"))
+    address = F.when(n % 3 != 0, F.concat(F.lit("https://pub.example.org/"), n.cast("string"))).otherwise(F.lit("javascript:alert(1)"))
+    name = F.when(n % 5 != 0, F.concat(F.lit("Pub "), (n % 4).cast("string"))).otherwise(F.lit(" "))
+    xml = F.concat(F.lit("<rss><channel><item><title>T</title><link>"), link, F.lit('</link><source url="'), address, F.lit('">'), name, F.lit("</source></item></channel></rss>"))
+    return read_rss(read(spark, d, "documents").select("doc_id", xml.alias("body")), "body", now=1 << 34).select("doc_id", "url", "item_source", "item_source_url")
+
+
+@query("""SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'ssrf' WHEN 1 THEN 'network' WHEN 2 THEN 'http' WHEN 3 THEN 'body' WHEN 4 THEN 'parse' WHEN 5 THEN 'extract' END AS reason, page_id % 9 <> 0 AS fetched, page_id % 9 >= 6 AS success, CASE page_id % 9 WHEN 6 THEN 20 WHEN 7 THEN 3 WHEN 8 THEN 2 ELSE 0 END::BIGINT AS n FROM pages""")
+def fetch_reasons(spark, d):
+    from ..sources.feeds import fetch_results
+
+    k = F.col("page_id") % 9
+    rss = "<rss><channel>" + "<item><title>t</title></item>" * 25 + "</channel></rss>"
+    body = F.when(k == 3, F.repeat(F.lit("x"), (1 << 20) + 1)).when(k == 4, "{broken").when(k == 5, "[1, 2]").when(k == 6, rss).when(k == 7, '<feed xmlns="a">' + "<entry><title>t</title></entry>" * 3 + "</feed>").otherwise('{"items": [{"title": "a"}, {"title": "b"}]}')
+    kind = F.when(k == 6, "rss").when(k == 7, "atom").otherwise("json")
+    url = F.when(k == 0, "https://10.1.2.3/feed").otherwise("https://feeds.example.org/x")
+    rows = read(spark, d, "pages").select("page_id", url.alias("url"), kind.alias("kind"), F.when(k == 2, 503).when(k != 1, 200).alias("status"), body.alias("body"))
+    return fetch_results(rows).select("page_id", "reason", "fetched", "success", "n")
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 5 <> 0 AND page_id % 4 <> 0 AND page_id % 50 > 20 AND page_id % 6 <> 0 THEN 5 * (page_id % 50) - 1 END::BIGINT AS n FROM pages")
+def article_gate(spark, d):
+    from ..sources.feeds import article_bodies
+
+    n = F.col("page_id")
+    kind = F.when(n % 4 == 0, "application/pdf").when(n % 4 == 1, "").when(n % 4 == 2, "Text/HTML; charset=utf-8")
+    html = F.concat(F.lit("<html><body><nav>menu</nav><article>"), F.repeat(F.lit("word "), (n % 50).cast("int")), F.lit("</article></body></html>"))
+    rows = read(spark, d, "pages").select("page_id", F.when(n % 6 == 0, "http://a.example.org/").otherwise("https://a.example.org/").alias("url"), F.when(n % 5 == 0, 404).otherwise(200).alias("status"), kind.alias("content_type"), html.alias("html"))
+    return article_bodies(rows).select("page_id", F.length("text").cast("long").alias("n"))
+
+
 @query("SELECT doc_id, 'A' || doc_id AS title, 'https://a.org/' || doc_id AS url, 1704067200 + doc_id AS published_at FROM documents")
 def atom_entries(spark, d):
     from ..sources.feeds import read_atom
@@ -305,8 +371,21 @@ def exact_dup_groups(spark, d):
 
 @query(sql("SELECT id, CASE WHEN k IS NULL THEN 'new' ELSE 'seen' END AS state FROM articles LEFT JOIN (SELECT DISTINCT article_id AS k FROM stars) s ON id = k", "articles", "stars"))
 def reseen_split(spark, d):
-    new, seen = ingest.split_seen(T.articles(spark, d).select("id"), T.stars(spark, d).select(F.col("article_id").alias("id")), "id")
-    return new.withColumn("state", F.lit("new")).unionByName(seen.withColumn("state", F.lit("seen")))
+    a = T.articles(spark, d)
+    known = a.join(T.stars(spark, d), a["id"] == F.col("article_id"), "left_semi").select(urls.canonical_url(F.col("url")).alias("key"))
+    found = a.select("id", urls.canonical_url(F.concat("url", F.lit("/?utm_source=x"))).alias("key"))
+    new, seen = ingest.split_seen(found, known, "key")
+    return new.withColumn("state", F.lit("new")).unionByName(seen.withColumn("state", F.lit("seen"))).select("id", "state")
+
+
+@query(sql("""c AS (SELECT url AS key, url AS source_url, source_name, published_at, CAST(id AS BIGINT) AS seq FROM articles UNION ALL SELECT url, 'https://alt' || (CAST(id AS BIGINT) % 7) || '.example.org/' || CAST(id AS BIGINT), 'alt', published_at - 60, CAST(id AS BIGINT) + 10000000 FROM articles)
+SELECT a.id AS article_id, c.source_url, arg_min(c.source_name, seq) AS source_name, arg_min(c.published_at, seq) AS published_at FROM c JOIN articles a ON a.url = c.key AND CAST(a.id AS BIGINT) % 2 = 0 WHERE NOT EXISTS (SELECT 1 FROM article_sources s WHERE s.article_id = a.id AND s.source_url = c.source_url) GROUP BY ALL""", "articles", "article_sources"))
+def reseen_sources(spark, d):
+    a, n = T.articles(spark, d), F.col("id").cast("long")
+    own = a.select(F.col("url").alias("key"), F.col("url").alias("source_url"), "source_name", "published_at", n.alias("seq"))
+    alt = F.concat(F.lit("https://alt"), (n % 7).cast("string"), F.lit(".example.org/"), n.cast("string"))
+    more = a.select(F.col("url").alias("key"), alt.alias("source_url"), F.lit("alt").alias("source_name"), (F.col("published_at") - 60).alias("published_at"), (n + 10000000).alias("seq"))
+    return ingest.append_sources(own.unionByName(more), a.where(n % 2 == 0).select("id", F.col("url").alias("key")), T.article_sources(spark, d))
 
 
 @query(sql("SELECT user_id, article_id, min(seen_at) AS seen_at FROM (SELECT user_id, article_id, starred_at AS seen_at FROM stars UNION ALL SELECT r.user_id, r.article_id, r.read_at FROM reads r ANTI JOIN stars USING (user_id, article_id)) GROUP BY ALL", "stars", "reads"))
@@ -324,19 +403,26 @@ def pack_chunks(spark, d):
     return ingest.pack_chunks(rows, "run")
 
 
-@query("""WITH o AS (SELECT conv_id AS run, turn AS pos, CASE WHEN conv_id % 3 = 0 THEN NULL ELSE (turn + 1) % 4 END AS echoed FROM conversations),
-m AS (SELECT run, count(echoed) >= 3 OR 2 * count(echoed) >= count(*) AS e FROM o GROUP BY run), k AS (SELECT run, pos, CASE WHEN e THEN echoed ELSE pos END AS idx FROM o JOIN m USING (run))
-SELECT i.conv_id AS run, i.turn AS idx, min(k.pos) AS pos FROM conversations i JOIN k ON i.conv_id = k.run AND i.turn = k.idx GROUP BY ALL""")
+SQL_ECHO = "CASE WHEN NOT (conv_id % 3 <> 0 AND turn % 4 <> 3) THEN NULL WHEN turn % 5 = 4 THEN 99 WHEN conv_id % 3 = 1 THEN (turn + 1) % 4 WHEN turn = 0 THEN 2 END"
+
+
+@query(f"""WITH o AS (SELECT conv_id AS run, turn AS pos, conv_id % 3 <> 0 AND turn % 4 <> 3 AS given, {SQL_ECHO} AS echoed FROM conversations), n AS (SELECT conv_id AS run, count(*) AS n FROM conversations GROUP BY 1),
+v AS (SELECT o.*, coalesce(given AND echoed >= 0 AND echoed < n.n, false) AS valid FROM o JOIN n USING (run)), m AS (SELECT run, count(*) FILTER (valid) >= 3 OR 2 * count(*) FILTER (valid) >= count(*) AS e FROM v GROUP BY run),
+p AS (SELECT run, echoed AS idx, 0 AS way, pos FROM v WHERE valid UNION ALL SELECT v.run, pos, 1, pos FROM v JOIN m USING (run) WHERE NOT e AND (valid OR NOT given)),
+f AS (SELECT run, idx, pos FROM p QUALIFY row_number() OVER (PARTITION BY run, idx ORDER BY way, pos) = 1),
+t AS (SELECT f.*, {SQL_TOKENS.format("i.text")} AS a, {SQL_TOKENS.format("CASE WHEN o.turn % 3 = 1 THEN 'zzzzz qqqqq' ELSE o.text END")} AS b FROM f JOIN conversations i ON i.conv_id = run AND i.turn = idx JOIN conversations o ON o.conv_id = run AND o.turn = pos)
+SELECT run, idx, pos FROM t WHERE len(a) < 2 OR len(b) < 2 OR list_has_any(a, b)""")
 def llm_alignment(spark, d):
-    c = read(spark, d, "conversations")
-    outputs = c.select(F.col("conv_id").alias("run"), F.col("turn").alias("pos"), F.when(F.col("conv_id") % 3 != 0, (F.col("turn") + 1) % 4).alias("echoed"))
-    return ingest.align_outputs(c.select(F.col("conv_id").alias("run"), F.col("turn").alias("idx")), outputs)
+    c, k, t = read(spark, d, "conversations"), F.col("conv_id") % 3, F.col("turn")
+    given = (k != 0) & (t % 4 != 3)
+    echoed = F.when(~given, None).when(t % 5 == 4, 99).when(k == 1, (t + 1) % 4).when(t == 0, 2)
+    outputs = c.select(F.col("conv_id").alias("run"), t.alias("pos"), given.alias("given"), echoed.alias("echoed"), F.when(t % 3 == 1, "zzzzz qqqqq").otherwise(F.col("text")).alias("title"))
+    return ingest.align_outputs(c.select(F.col("conv_id").alias("run"), t.alias("idx"), F.col("text").alias("title")), outputs)
 
 
 @query("""WITH c AS (SELECT doc_id // 10 AS run, doc_id % 10 AS idx FROM documents), h AS (SELECT run, hint, unnest(m) AS idx FROM (SELECT DISTINCT run, unnest([0, 1]) AS hint, unnest([[7, 2, run % 10], [2, 9, 99]]) AS m FROM c)),
-v AS (SELECT DISTINCT h.run, hint, h.idx FROM h JOIN c ON c.run = h.run AND c.idx = h.idx), g AS (SELECT run, hint, min(idx) AS anchor FROM v GROUP BY ALL HAVING count(*) >= 2),
-m AS (SELECT v.run, v.idx, arg_max(g.anchor, g.hint) AS anchor FROM v JOIN g ON v.run = g.run AND v.hint = g.hint GROUP BY ALL)
-SELECT c.run, c.idx, coalesce(m.anchor, c.idx) AS anchor FROM c LEFT JOIN m ON c.run = m.run AND c.idx = m.idx""")
+v AS (SELECT DISTINCT h.run, hint, h.idx FROM h JOIN c ON c.run = h.run AND c.idx = h.idx), g AS (SELECT run, hint, min(idx) AS anchor FROM v GROUP BY ALL HAVING count(*) >= 2), l AS (SELECT run, anchor, max(hint) AS hint FROM g GROUP BY ALL)
+SELECT v.run, l.anchor, v.idx FROM v JOIN l ON v.run = l.run AND v.hint = l.hint UNION ALL SELECT run, idx, idx FROM c WHERE (run, idx) NOT IN (SELECT (v.run, v.idx) FROM v JOIN g ON v.run = g.run AND v.hint = g.hint)""")
 def hint_merges(spark, d):
     c = read(spark, d, "documents").select(F.floor(F.col("doc_id") / 10).cast("long").alias("run"), (F.col("doc_id") % 10).alias("idx"))
     hint = F.posexplode(F.array(F.array(F.lit(7).cast("long"), F.lit(2).cast("long"), F.col("run") % 10), F.array(*[F.lit(x).cast("long") for x in (2, 9, 99)]))).alias("hint", "members")
@@ -372,8 +458,9 @@ def starred_list(spark, d):
     return mine.join(T.articles(spark, d), F.col("article_id") == F.col("id")).orderBy(F.desc("starred_at"), "id").limit(60).select("id", "starred_at")
 
 
-@query(sql(f"""m AS (SELECT user_id, CAST(epoch(timezone(tz, date_trunc('day', timezone(tz, to_timestamp({BASE + 150 * 3600}))))) AS BIGINT) AS since FROM users)
-SELECT user_id, tag, count(DISTINCT a.id) AS n FROM user_tags JOIN m USING (user_id) LEFT JOIN (SELECT tag, id, ingested_at FROM articles JOIN article_tags ON id = article_id) a USING (tag, ) GROUP BY ALL""", "articles", "article_tags", "users", "user_tags").replace("USING (tag, ) GROUP", "ON a.tag = user_tags.tag AND a.ingested_at >= since GROUP").replace("SELECT user_id, tag, count", "SELECT user_id, user_tags.tag, count"))
+@query(sql(f"""m AS (SELECT user_id, CAST(epoch(timezone(tz, date_trunc('day', timezone(tz, to_timestamp({BASE + 150 * 3600}))))) AS BIGINT) AS since FROM users),
+c AS (SELECT user_id, user_tags.tag, count(DISTINCT a.id) AS n FROM user_tags JOIN m USING (user_id) LEFT JOIN (SELECT tag, id, ingested_at FROM articles JOIN article_tags ON id = article_id) a ON a.tag = user_tags.tag AND a.ingested_at >= since GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, tag) AS rank, CAST(sum(n) OVER (PARTITION BY user_id) AS BIGINT) AS total FROM c""", "articles", "article_tags", "users", "user_tags"))
 def tag_tally(spark, d):
     return feed.tag_tally(T.articles(spark, d), T.article_tags(spark, d), T.users(spark, d), T.user_tags(spark, d), BASE + 150 * 3600)
 
@@ -384,12 +471,27 @@ def tag_counts_zero_fill(spark, d):
     return T.user_tags(spark, d).select("tag").distinct().join(counts, "tag", "left").select("tag", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query(sql(f"""z AS (SELECT {SQL_ZONES} AS tz), a AS (SELECT tz, strftime(timezone(tz, to_timestamp(ingested_at)), '%Y-%m-%d') AS day, count(*) AS articles, max(id) AS last_id FROM articles, z GROUP BY ALL),
-r AS (SELECT tz, strftime(timezone(tz, to_timestamp(started_at)), '%Y-%m-%d') AS day, count(*) AS runs, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, CAST(sum(ingested) AS BIGINT) AS ingested FROM runs, z GROUP BY ALL),
-b AS (SELECT tz, day, coalesce(articles, 0) AS articles, last_id, coalesce(runs, 0) AS runs, coalesce(tokens_in, 0) AS tokens_in, coalesce(tokens_out, 0) AS tokens_out, coalesce(ingested, 0) AS ingested FROM a FULL JOIN r USING (tz, day))
-SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY tz ORDER BY day DESC) <= 14""", "articles", "runs"))
+SQL_HISTORY = f"""z AS (SELECT {SQL_ZONES} AS tz), price(model_id, price_in, price_out) AS (VALUES ('m0', 0.35::DOUBLE, 0.75::DOUBLE), ('m1', 0.1, 0.2), ('m2', 1.5, 3.0)),
+a AS (SELECT tz, strftime(timezone(tz, to_timestamp(ingested_at)), '%Y-%m-%d') AS day, count(*) AS articles, max(id) AS last_id FROM articles, z GROUP BY ALL),
+r AS (SELECT tz, strftime(timezone(tz, to_timestamp(started_at)), '%Y-%m-%d') AS day, count(*) AS runs, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, CAST(sum(ingested) AS BIGINT) AS ingested, sum(coalesce(tokens_in / 1e6 * price_in + tokens_out / 1e6 * price_out, 0)) AS cost FROM runs LEFT JOIN price USING (model_id), z GROUP BY ALL),
+b AS (SELECT tz, day, coalesce(articles, 0) AS articles, last_id, coalesce(runs, 0) AS runs, coalesce(tokens_in, 0) AS tokens_in, coalesce(tokens_out, 0) AS tokens_out, coalesce(ingested, 0) AS ingested, round(coalesce(cost, 0), 4) AS cost FROM a FULL JOIN r USING (tz, day)),
+h AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY tz ORDER BY day DESC) <= 14)"""
+
+
+@query(sql(SQL_HISTORY + " SELECT * FROM h", "articles", "runs"))
 def history_by_day(spark, d):
-    return feed.history(T.articles(spark, d), T.runs(spark, d), T.ZONES, 14)
+    return feed.history(T.articles(spark, d), priced(spark, d), T.ZONES, 14).withColumn("cost", F.round("cost", 4))
+
+
+@query(sql(SQL_HISTORY + ", x AS (SELECT id, tz, strftime(timezone(tz, to_timestamp(ingested_at)), '%Y-%m-%d') AS day, ingested_at, published_at FROM articles, z) SELECT tz, day, id, row_number() OVER (PARTITION BY tz, day ORDER BY ingested_at DESC, published_at DESC, id) AS position FROM x JOIN h USING (tz, day)", "articles", "runs"))
+def history_articles(spark, d):
+    days = feed.history(T.articles(spark, d), T.runs(spark, d), T.ZONES, 14)
+    return feed.history_articles(T.articles(spark, d), days, T.ZONES).select("tz", "day", "id", "position")
+
+
+@query(sql(SQL_HISTORY + " SELECT tz, day, articles FROM h WHERE day = '2024-01-05' OR tz NOT IN (SELECT tz FROM h WHERE day = '2024-01-05')", "articles", "runs"))
+def history_focus(spark, d):
+    return feed.focused(feed.history(T.articles(spark, d), T.runs(spark, d), T.ZONES, 14), "2024-01-05").select("tz", "day", "articles")
 
 
 @query(sql("SELECT id FROM articles WHERE len(list_intersect([lang], ['en', 'fr'])) > 0 AND contains(lower(title || ' ' || text), 'the')", "articles"))
@@ -449,25 +551,27 @@ def vectors(spark, d):
     return read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.lit(BASE) + F.col("vec_id") * 3600).alias("published_at"), "embedding", F.col("label").alias("vendor"))
 
 
-SQL_PAIRS = f"""v AS (SELECT vec_id AS id, {BASE} + vec_id * 3600 AS at, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
-s AS (SELECT a.id AS self, b.id AS match, a.at AS self_at, b.at AS match_at, list_cosine_similarity(a.e, b.e) AS score, a.label = b.label AS same_vendor FROM v a JOIN v b ON a.id <> b.id AND abs(a.at - b.at) <= 604800),
-p AS (SELECT *, score >= {BANDS.high} AS high, CASE WHEN same_vendor AND score < {BANDS.high} THEN score - {BANDS.penalty} ELSE score END AS adjusted, self_at < match_at AS self_is_older FROM s WHERE score >= 0.2),
-c AS (SELECT *, high OR adjusted >= {BANDS.threshold} AS auto, NOT (high OR adjusted >= {BANDS.threshold}) AND adjusted >= {BANDS.floor} AS borderline FROM p)"""
+SQL_VECTORS = f"v AS (SELECT vec_id AS id, {BASE} + vec_id * 3600 AS at, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings)"
+SQL_PAIRS = f"""{SQL_VECTORS},
+s AS (SELECT a.id AS self, b.id AS match, a.at AS self_at, b.at AS match_at, list_cosine_similarity(a.e, b.e) AS score, a.label = b.label AS same_vendor FROM v a JOIN v b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.id) <= 20),
+p AS (SELECT *, abs(self_at - match_at) <= 604800 AS eligible, score >= {BANDS.high} AS high, CASE WHEN same_vendor AND score < {BANDS.high} THEN score - {BANDS.penalty} ELSE score END AS adjusted, self_at < match_at AS self_is_older FROM s),
+c AS (SELECT *, eligible AND (high OR adjusted >= {BANDS.threshold}) AS auto, eligible AND NOT (high OR adjusted >= {BANDS.threshold}) AND adjusted >= {BANDS.floor} AS borderline FROM p)"""
 
 
 def banded(spark, d):
-    v = vectors(spark, d)
-    return dedup.classified(dedup.near_pairs(v.select("id", "published_at", "embedding"), BANDS.window, 0.2), v, BANDS)
+    """Each vector's twenty nearest, of which the window and the bands then leave what may merge."""
+    v = vectors(ship(spark), d)
+    return dedup.classified(dedup.top_matches(v.select("id", "published_at", "embedding"), BANDS.top_k), v, BANDS)
 
 
-@query(f"WITH {SQL_PAIRS} SELECT self, match, round(score, 6) AS score FROM c WHERE score >= 0.3")
+@query(f"WITH {SQL_VECTORS} SELECT a.id AS self, b.id AS match, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.id <> b.id AND abs(a.at - b.at) <= 604800 WHERE list_cosine_similarity(a.e, b.e) >= 0.3")
 def near_pairs(spark, d):
-    return dedup.near_pairs(vectors(spark, d).drop("vendor"), BANDS.window, 0.3).select("self", "match", F.round("score", 6).alias("score"))
+    return dedup.near_pairs(vectors(ship(spark), d).drop("vendor"), BANDS.window, 0.3).select("self", "match", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {SQL_PAIRS} SELECT self, match, same_vendor, high, auto, borderline, self_is_older, round(adjusted, 6) AS adjusted FROM c")
+@query(f"WITH {SQL_PAIRS} SELECT self, match, eligible, same_vendor, high, auto, borderline, self_is_older, round(adjusted, 6) AS adjusted FROM c")
 def pair_bands(spark, d):
-    return banded(spark, d).select("self", "match", "same_vendor", "high", "auto", "borderline", "self_is_older", F.round("adjusted", 6).alias("adjusted"))
+    return banded(spark, d).select("self", "match", "eligible", "same_vendor", "high", "auto", "borderline", "self_is_older", F.round("adjusted", 6).alias("adjusted"))
 
 
 @query(f"WITH {SQL_PAIRS} SELECT self, match FROM c WHERE auto QUALIFY row_number() OVER (PARTITION BY self ORDER BY self_is_older, CASE WHEN NOT self_is_older THEN match_at END NULLS FIRST, adjusted DESC, match) = 1")
@@ -480,15 +584,15 @@ def border_top5(spark, d):
     return dedup.border_top(banded(spark, d), 5).select("self", "match", "rank")
 
 
-@query(f"""WITH {SQL_PAIRS} SELECT self, count(*) AS seen, count(*) FILTER (self_is_older) AS self_older, count(*) FILTER (NOT self_is_older) AS self_newer, count(*) FILTER (adjusted >= {BANDS.floor}) AS over_floor, count(*) FILTER (auto) AS autos, count(*) FILTER (high) AS highs,
-round(max(score), 6) AS best, CASE WHEN autos > 0 THEN 'auto_merge' WHEN over_floor > 0 THEN 'borderline' ELSE 'below_floor' END AS decision FROM c GROUP BY self""")
+@query(f"""WITH {SQL_PAIRS} SELECT self, count(*) AS seen, count(*) FILTER (NOT eligible) AS out_of_window, count(*) FILTER (eligible AND self_is_older) AS self_older, count(*) FILTER (eligible AND NOT self_is_older) AS self_newer, count(*) FILTER (eligible AND adjusted >= {BANDS.floor}) AS over_floor, count(*) FILTER (auto) AS autos, count(*) FILTER (eligible AND high) AS highs,
+round(max(score) FILTER (eligible), 6) AS best, CASE WHEN autos > 0 THEN 'auto_merge' WHEN over_floor > 0 THEN 'borderline' WHEN seen = out_of_window THEN 'out_of_window' ELSE 'below_floor' END AS decision FROM c GROUP BY self""")
 def band_diagnostics(spark, d):
-    return dedup.diagnostics(banded(spark, d), BANDS).select("self", "seen", "self_older", "self_newer", "over_floor", "autos", "highs", F.round("best", 6).alias("best"), "decision")
+    return dedup.diagnostics(banded(spark, d), BANDS).select("self", "seen", "out_of_window", "self_older", "self_newer", "over_floor", "autos", "highs", F.round("best", 6).alias("best"), "decision")
 
 
 @query("WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT a.id AS self, b.id AS match, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.id) <= 20")
 def top_matches(spark, d):
-    return dedup.top_matches(vectors(spark, d), 20).select("self", "match", F.round("score", 6).alias("score"))
+    return dedup.top_matches(vectors(ship(spark), d), 20).select("self", "match", F.round("score", 6).alias("score"))
 
 
 @query("WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings) SELECT round(list_cosine_similarity(a.e, b.e), 6) AS cosine, a.label = b.label AS same_vendor, list_cosine_similarity(a.e, b.e) - CASE WHEN a.label = b.label THEN 0.05 ELSE 0 END >= 0.36 AS above FROM v a, v b WHERE a.id = 3 AND b.id = 7")
@@ -499,38 +603,75 @@ def pair_diagnostic(spark, d):
     return a.join(b).select(F.round(c, 6).alias("cosine"), same.alias("same_vendor"), (c - F.when(same, BANDS.penalty).otherwise(0) >= BANDS.threshold).alias("above"))
 
 
-def verdicts(spark, d):
-    """Stand-in for a model's answers: accepted when the two ids have an even sum."""
-    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("self"))
-    near = v.select("self", F.explode(F.sequence(F.col("self") - 168, F.col("self") + 168)).alias("match"))
-    return near.select("self", "match", ((F.col("self") + F.col("match")) % 2 == 0).alias("same"))
+def verdicts(pairs):
+    """Stand-in for a model's answers to the borderline pairs: accepted when the two ids have an even sum."""
+    return pairs.where("borderline").select("self", "match", ((F.col("self") + F.col("match")) % 2 == 0).alias("same"))
+
+
+def settled_pairs(spark, d):
+    return dedup.checkpointed(banded(spark, d))
 
 
 @query()
 def merge_map(spark, d):
-    ship(spark)
-    return dedup.merge_map(banded(spark, d), verdicts(spark, d))
+    pairs = settled_pairs(spark, d)
+    return dedup.merge_map(pairs, verdicts(pairs))
 
 
 @query()
 def finalize_map(spark, d):
-    ship(spark)
-    return dedup.merge_map(banded(spark, d), verdicts(spark, d), newest_first=True)
+    pairs = settled_pairs(spark, d)
+    return dedup.merge_map(pairs, verdicts(pairs), newest_first=True)
 
 
 @query()
 def merge_apply(spark, d):
-    ship(spark)
     marks = T.stars(spark, d).select("user_id", F.col("article_id").cast("long").alias("vec_id"), "starred_at")
     return dedup.apply_merge(marks, dedup.merge_map(banded(spark, d)), "vec_id", ["user_id", "vec_id"], "starred_at")
 
 
-@query(f"WITH {SQL_PAIRS} SELECT self, match, (row_number() OVER (PARTITION BY self % 10 ORDER BY self, adjusted DESC, match) - 1) // 15 AS batch, (self + match) % 2 = 0 AS same FROM c WHERE borderline AND NOT (self < 100 AND match < 100)")
+SQL_MERGED = "m AS (SELECT id AS loser, lpad(CAST(CAST(id AS BIGINT) - 3 AS VARCHAR), 8, '0') AS winner FROM articles WHERE CAST(id AS BIGINT) % 7 = 3)"
+
+
+def merged(spark, d):
+    """Every table after a fixed set of merges."""
+    a, n = T.articles(spark, d), F.col("id").cast("long")
+    mapping = a.where(n % 7 == 3).select(F.col("id").alias("loser"), F.lpad((n - 3).cast("string"), 8, "0").alias("winner"))
+    sources = T.article_sources(spark, d).withColumn("source_name", F.lit("alt"))
+    return dedup.merge_tables(mapping, a, sources, T.article_tags(spark, d), T.stars(spark, d), T.reads(spark, d))
+
+
+@query(sql(f"{SQL_MERGED} SELECT id, title FROM articles WHERE id NOT IN (SELECT loser FROM m)", "articles"))
+def merged_articles(spark, d):
+    return merged(spark, d)["articles"].select("id", "title")
+
+
+@query(sql(f"""{SQL_MERGED}, x AS (SELECT coalesce(winner, article_id) AS article_id, source_url, 'alt' AS source_name, published_at, winner IS NOT NULL AS moved, 2 AS alt, article_id AS origin FROM article_sources LEFT JOIN m ON loser = article_id
+UNION ALL SELECT winner, url, source_name, published_at, true, 1, id FROM articles JOIN m ON loser = id)
+SELECT article_id, source_url, source_name, published_at FROM x QUALIFY row_number() OVER (PARTITION BY article_id, source_url ORDER BY moved, alt, origin) = 1""", "articles", "article_sources"))
+def merged_sources(spark, d):
+    return merged(spark, d)["sources"].select("article_id", "source_url", "source_name", "published_at")
+
+
+@query(sql(f"{SQL_MERGED} SELECT DISTINCT coalesce(winner, article_id) AS article_id, tag FROM article_tags LEFT JOIN m ON loser = article_id", "articles", "article_tags"))
+def merged_tags(spark, d):
+    return merged(spark, d)["tags"]
+
+
+@query(sql(f"""{SQL_MERGED}, x AS (SELECT 'star' AS kind, user_id, article_id, starred_at AS since FROM stars UNION ALL SELECT 'read', user_id, article_id, read_at FROM reads)
+SELECT kind, user_id, coalesce(winner, article_id) AS article_id, since FROM x LEFT JOIN m ON loser = article_id QUALIFY row_number() OVER (PARTITION BY kind, user_id, coalesce(winner, article_id) ORDER BY winner IS NOT NULL, x.article_id) = 1""", "articles", "stars", "reads"))
+def merged_marks(spark, d):
+    t = merged(spark, d)
+    kinds = ((t["stars"], "star", "starred_at"), (t["reads"], "read", "read_at"))
+    a, b = (m.select(F.lit(k).alias("kind"), "user_id", "article_id", F.col(c).alias("since")) for m, k, c in kinds)
+    return a.unionByName(b)
+
+
+@query(f"WITH {SQL_PAIRS} SELECT self, match, (row_number() OVER (PARTITION BY self ORDER BY adjusted DESC, match) - 1) // 3 AS batch, (self + match) % 2 = 0 AS same FROM c WHERE borderline AND NOT (self < 100 AND match < 100)")
 def rerank_batches(spark, d):
-    old = (F.col("self") < 100) & (F.col("match") < 100)
-    rows = banded(spark, d).where(F.col("borderline") & ~old).join(verdicts(spark, d), ["self", "match"], "left")
-    n = F.row_number().over(W.partitionBy(F.col("self") % 10).orderBy("self", F.desc("adjusted"), "match"))
-    return rows.select("self", "match", F.floor((n - 1) / 15).cast("long").alias("batch"), F.coalesce("same", F.lit(False)).alias("same"))
+    pairs = settled_pairs(spark, d).where(~((F.col("self") < 100) & (F.col("match") < 100)))
+    rows = dedup.batches(pairs, 3).join(dedup.judged(pairs, lambda asked: [(r["self"] + r["match"]) % 2 == 0 for r in asked], 3), ["self", "match"], "left")
+    return rows.select("self", "match", "batch", F.coalesce("same", F.lit(False)).alias("same"))
 
 
 # ---- accounting, retention, limits ----
@@ -596,11 +737,41 @@ def orphan_tags(spark, d):
     return T.article_tags(spark, d).select("tag").distinct().join(T.user_tags(spark, d), "tag", "left_anti")
 
 
-@query(sql("SELECT user_id, array_to_string(list_filter(list_sort(list(tag)), lambda t: t NOT IN ('unused', 't0')), ',') AS tags FROM user_tags GROUP BY user_id", "user_tags"))
+SQL_TAGS = "k AS (SELECT DISTINCT user_id % 40 AS k FROM events)"
+
+
+def tag_numbers(spark, d):
+    return read(spark, d, "events").select((F.col("user_id") % 40).alias("k")).distinct()
+
+
+def tag(k):
+    return F.concat(F.lit("t"), k.cast("string"))
+
+
+def source_cache(spark, d):
+    """Cache entries of every shape: feeds, some of them unusable; long empty; lately empty; broken; no list of feeds."""
+    k = F.col("k")
+    good = F.concat(F.lit('{"feeds": [{"name": "a", "url": "https://a/'), k.cast("string"), F.lit('", "kind": "rss"}, {"name": " ", "url": "x", "kind": "rss"}, {"name": "b", "url": "https://b", "kind": "html"}, {"name": "c", "url": "https://c", "kind": "json"}], "discovered_at": 1}'))
+    empty = lambda at: f'{{"feeds": [], "discovered_at": {at * 1000}}}'
+    value = F.when(k % 5 == 0, good).when(k % 5 == 1, empty(NOW - 7 * 86400)).when(k % 5 == 2, empty(NOW - 7 * 86400 + 1)).when(k % 5 == 3, "broken").otherwise('{"feeds": "none", "discovered_at": 1}')
+    return tag_numbers(spark, d).select(F.concat(F.lit("sources:"), tag(k)).alias("key"), value.alias("value")).unionByName(spark.createDataFrame([("sources:", "{}"), ("other:t1", "{}")], "key string, value string"))
+
+
+def curated_tags(spark):
+    return spark.createDataFrame([("t0",), ("t7",), ("t11",)], "tag string")
+
+
+@query("SELECT DISTINCT user_id, tag FROM (SELECT user_id, unnest([CASE WHEN user_id % 2 = 0 THEN '#T' ELSE 't' END || (user_id % 40), 'kept']) AS tag, user_id % 40 AS k FROM events) WHERE tag = 'kept' OR k % 5 <> 1")
 def stuck_tags(spark, d):
-    stuck = F.array(F.lit("unused"), F.lit("t0"))
-    tags = F.array_sort(F.collect_list("tag"))
-    return T.user_tags(spark, d).groupBy("user_id").agg(tags.alias("t")).select("user_id", F.array_join(F.filter("t", lambda t: ~F.array_contains(stuck, t)), ",").alias("tags"))
+    u = F.col("user_id")
+    mine = F.array(F.concat(F.when(u % 2 == 0, "#T").otherwise("t"), (u % 40).cast("string")), F.lit("kept"))
+    tags = read(spark, d, "events").select("user_id").distinct().select("user_id", F.explode(mine).alias("tag"))
+    return discovery.prune(tags, discovery.stuck_tags(source_cache(spark, d), NOW * 1000))
+
+
+@query(f"WITH {SQL_TAGS} SELECT 'sources:t' || k AS key FROM k WHERE k NOT IN (0, 7, 11) UNION ALL SELECT unnest(['sources:', 'other:t1'])")
+def cache_purge(spark, d):
+    return discovery.purge_cache(source_cache(spark, d), curated_tags(spark)).select("key")
 
 
 @query("SELECT c_custkey AS id, first_value(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey % 100, c_custkey) AS winner FROM customer")
@@ -617,10 +788,12 @@ def account_repoint(spark, d):
 
 @query("SELECT o_orderstatus, count(*) AS kept FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '1996-01-01') AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY 1")
 def ledger_purge(spark, d):
-    parents = read(spark, d, "customer").where("c_acctbal > 0").select("c_custkey")
-    o = read(spark, d, "orders").join(parents.withColumn("there", F.lit(True)), F.col("o_custkey") == F.col("c_custkey"), "left")
-    old = (F.col("o_orderstatus") == "F") & (F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz"))
-    return o.where(~old & F.col("there").isNotNull()).groupBy("o_orderstatus").agg(F.count("*").alias("kept"))
+    import datetime
+
+    parents = read(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    done = F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate"))
+    left = ops.purge_ledger(read(spark, d, "orders").withColumn("finished_at", done), parents, "o_custkey", "finished_at", datetime.datetime(1996, 1, 1))
+    return left.groupBy("o_orderstatus").agg(F.count("*").alias("kept"))
 
 
 @query(sql(f"SELECT id, CASE WHEN status = 'running' AND started_at < 800000000 THEN 'failed' ELSE status END AS status FROM runs", "runs"))
@@ -636,10 +809,10 @@ def rate_limit(spark, d):
 
 @query("""WITH e AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, event_type IN ('error', 'view') AS f FROM events), g AS (SELECT *, coalesce(t - lag(t) OVER w > 172800, false) AS gap FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
 i AS (SELECT *, sum(CASE WHEN NOT f OR gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id) AS island FROM g)
-SELECT event_id, CASE WHEN f THEN CAST(sum(CAST(f AS INT)) OVER (PARTITION BY user_id, island ORDER BY t, event_id) AS BIGINT) ELSE 0 END AS streak FROM i""")
+SELECT event_id, CASE WHEN f THEN CAST(sum(CAST(f AS INT)) OVER (PARTITION BY user_id, island ORDER BY t, event_id) AS BIGINT) ELSE 0 END AS streak, streak >= 4 AS evicted FROM i""")
 def failure_streaks(spark, d):
     e = read(spark, d, "events").select("event_id", "user_id", "event_type", timez.seconds(F.col("ts")).alias("t"))
-    return ops.failure_streaks(e, "user_id", "t", "event_id", F.col("event_type").isin("error", "view"), 172_800).select("event_id", "streak")
+    return ops.failure_streaks(e, "user_id", "t", "event_id", F.col("event_type").isin("error", "view"), 172_800, 4).select("event_id", "streak", "evicted")
 
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1 AS claimed FROM events")
@@ -648,38 +821,77 @@ def claims(spark, d):
     return ops.claims(e, "key", ["ts", "event_id"]).select("event_id", "claimed")
 
 
-@query("SELECT event_id, coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) > 120, true) AS started FROM (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events)")
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS r FROM events),
+p AS (SELECT event_id, user_id, r, t AS last, true AS started FROM e WHERE r = 1 UNION ALL SELECT e.event_id, e.user_id, e.r, CASE WHEN e.t - p.last > 21600 THEN e.t ELSE p.last END, e.t - p.last > 21600 FROM p JOIN e ON e.user_id = p.user_id AND e.r = p.r + 1)
+SELECT event_id, started FROM p""")
 def run_reuse(spark, d):
-    e = read(spark, d, "events").select("event_id", "user_id", timez.seconds(F.col("ts")).alias("t"))
-    before = F.lag("t").over(W.partitionBy("user_id").orderBy("t", "event_id"))
-    return e.select("event_id", F.coalesce(F.col("t") - before > 120, F.lit(True)).alias("started"))
+    e = read(ship(spark), d, "events").select("event_id", "user_id", timez.seconds(F.col("ts")).alias("t"))
+    return ops.kick(e, "user_id", "t", "event_id", 21_600).select(F.col("order").alias("event_id"), "started")
+
+
+@query("""WITH c AS (SELECT user_id % 20 AS run, event_id % 7 AS chunk, min((10 + event_id % 3, event_id % 5)) AS c FROM events GROUP BY ALL), l AS (SELECT user_id % 20 AS run, count(DISTINCT event_id % 13) AS lost FROM events WHERE event_type = 'error' GROUP BY 1),
+s AS (SELECT run, CAST(sum(c[1]) AS BIGINT) AS candidates, CAST(sum(c[2]) AS BIGINT) AS ingested FROM c GROUP BY run)
+SELECT s.*, candidates - ingested + coalesce(lost, 0) AS deduped FROM s LEFT JOIN l USING (run)""")
+def run_dedupes(spark, d):
+    e, n = read(spark, d, "events"), F.col("event_id")
+    run = (F.col("user_id") % 20).alias("run")
+    chunks = e.select(run, (n % 7).alias("chunk"), (10 + n % 3).alias("candidates"), (n % 5).alias("ingested"))
+    return ops.finished(chunks, e.where("event_type = 'error'").select(run, (n % 13).alias("loser")))
+
+
+@query("SELECT event_id, CASE event_id % 7 WHEN 0 THEN event_type WHEN 1 THEN '{\"a\":[' || user_id || ']}' WHEN 2 THEN 'c' || user_id WHEN 6 THEN '[1]' END AS payload, CASE event_id % 7 WHEN 0 THEN user_id WHEN 1 THEN 7 WHEN 2 THEN 11 ELSE 0 END AS tokens_in, CASE event_id % 7 WHEN 0 THEN 5 WHEN 1 THEN 8 WHEN 2 THEN 12 ELSE 0 END::BIGINT AS tokens_out FROM events")
+def model_replies(spark, d):
+    k, u = F.col("event_id") % 7, F.col("user_id").cast("string")
+    body = (
+        F.when(k == 0, F.concat(F.lit('{"response": "'), "event_type", F.lit('", "usage": {"input_tokens": '), u, F.lit(', "output_tokens": 5, "prompt_tokens": 1}}')))
+        .when(k == 1, F.concat(F.lit('{"response": {"a": ['), u, F.lit(']}, "usage": {"input_tokens": "3", "prompt_tokens": 7, "completion_tokens": 8}}')))
+        .when(k == 2, F.concat(F.lit('{"response": null, "tokens_in": 11, "tokens_out": 12, "choices": [{"message": {"content": "c'), u, F.lit('"}}]}')))
+        .when(k == 3, '{"choices": [{"message": {"content": null}}], "usage": null}').when(k == 4, '{"response": 7, "choices": []}').when(k == 5, "no json").otherwise('{"choices": [{"message": {"content": [1]}}]}')
+    )
+    rows = read(spark, d, "events").select("event_id", body.alias("body"))
+    return rows.select("event_id", text.response_payload(F.col("body")).alias("payload"), text.token_count(F.col("body"), *text.TOKENS_IN).alias("tokens_in"), text.token_count(F.col("body"), *text.TOKENS_OUT).alias("tokens_out"))
 
 
-@query()
+SQL_STEP = "(p.state = 'new' AND e.goal = 'running') OR (p.state = 'running' AND e.goal IN ('ready', 'failed')) OR (p.state = 'failed' AND e.goal = 'running')"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'ready' ELSE 'running' END AS goal, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+p AS (SELECT DISTINCT user_id, 0::BIGINT AS r, 'new' AS state, 0::BIGINT AS applied FROM e UNION ALL SELECT e.user_id, e.r, CASE WHEN {SQL_STEP} THEN e.goal ELSE p.state END, p.applied + CASE WHEN {SQL_STEP} THEN 1 ELSE 0 END FROM p JOIN e ON e.user_id = p.user_id AND e.r = p.r + 1)
+SELECT user_id, arg_max(state, r) AS state, max(applied) AS applied FROM p GROUP BY user_id""")
 def state_machine(spark, d):
     log = read(spark, d, "events").select("user_id", "ts", "event_id", F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "ready").otherwise("running").alias("to"))
     return ops.transitions(log, "user_id", ["ts", "event_id"], {"new": ["running"], "running": ["ready", "failed"], "failed": ["running"], "ready": []}, "new")
 
 
-@query("SELECT event_type AS tag, max(user_id % 11) AS priority, min(event_id) AS added_at FROM events GROUP BY event_type ORDER BY priority DESC, added_at, tag LIMIT 3")
+@query("SELECT tag, max(priority) AS priority, min(added_at) AS added_at FROM (SELECT event_type AS tag, user_id % 11 AS priority, event_id AS added_at FROM events) GROUP BY tag ORDER BY 2 DESC, 3, 1 LIMIT 3")
 def discovery_queue(spark, d):
-    q = read(spark, d, "events").groupBy(F.col("event_type").alias("tag")).agg(F.max(F.col("user_id") % 11).alias("priority"), F.min("event_id").alias("added_at"))
-    return q.orderBy(F.desc("priority"), "added_at", "tag").limit(3)
+    pending = read(spark, d, "events").select(F.col("event_type").alias("tag"), (F.col("user_id") % 11).alias("priority"), F.col("event_id").alias("added_at"))
+    return discovery.next_tags(pending, 3)
 
 
-@query("SELECT user_id, CASE WHEN user_id % 7 = 0 THEN 'drop' WHEN feeds > 0 THEN 'cache' WHEN fails + 1 >= 2 THEN 'evict' ELSE 'retry' END AS action, CASE WHEN user_id % 2 = 0 THEN 10 ELSE 0 END AS priority FROM (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS feeds, count(*) FILTER (event_type = 'error') AS fails FROM events GROUP BY user_id)")
-def discovery_states(spark, d):
+@query(f"SELECT DISTINCT user_id, 't' || (user_id % 40) AS tag, CASE WHEN user_id % 3 = 0 THEN 10 ELSE 0 END AS priority, {NOW}::BIGINT AS added_at FROM events WHERE user_id % 5 <> 0")
+def discovery_enqueue(spark, d):
     u = F.col("user_id")
-    g = read(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("feeds"), F.count_if(F.col("event_type") == "error").alias("fails"))
-    action = F.when(u % 7 == 0, "drop").when(F.col("feeds") > 0, "cache").when(F.col("fails") + 1 >= 2, "evict").otherwise("retry")
-    return g.select("user_id", action.alias("action"), F.when(u % 2 == 0, 10).otherwise(0).alias("priority"))
+    users = read(spark, d, "events").select("user_id", tag(u % 40).alias("tag"), (u % 3 == 0).alias("first"))
+    return discovery.enqueue(users.where(u % 5 == 0), users, NOW)
+
+
+@query(f"""WITH {SQL_TAGS}, f AS (SELECT k, CASE WHEN k % 4 = 3 THEN NULL WHEN k % 4 = 0 THEN k ELSE 0 END AS found, CASE WHEN k % 3 = 0 THEN k % 2 ELSE 0 END AS before FROM k),
+a AS (SELECT *, CASE WHEN k IN (0, 7, 11) THEN 'drop' WHEN found IS NULL THEN 'error' WHEN found > 0 THEN 'cache' WHEN before + 1 >= 2 THEN 'evict' ELSE 'retry' END AS action FROM f)
+SELECT 't' || k AS tag, action, CAST(CASE action WHEN 'retry' THEN before + 1 WHEN 'error' THEN before ELSE 0 END AS BIGINT) AS failures, action IN ('drop', 'cache', 'evict') AS cleared, CAST(CASE action WHEN 'cache' THEN found WHEN 'evict' THEN 0 END AS BIGINT) AS feeds FROM a""")
+def discovery_states(spark, d):
+    k, rows = F.col("k"), tag_numbers(spark, d)
+    found = rows.select(tag(k).alias("tag"), F.when(k % 4 == 3, None).when(k % 4 == 0, k).otherwise(0).alias("feeds"))
+    return discovery.discover(rows.select(tag(k).alias("tag")), curated_tags(spark), found, rows.where(k % 3 == 0).select(tag(k).alias("tag"), (k % 2).alias("failures")))
 
 
-@query(sql("SELECT source_name, array_to_string(list_sort(list(url) FILTER (CAST(id AS BIGINT) % 3 <> 0)), ',') AS feeds, count(*) FILTER (CAST(id AS BIGINT) % 3 <> 0) = 0 AS requeue FROM articles GROUP BY source_name", "articles"))
+@query(sql("SELECT 'feed' AS kind, source_name, url FROM articles WHERE CAST(id AS BIGINT) % 3 <> 0 AND source_name NOT IN (SELECT min(source_name) FROM articles) UNION ALL SELECT 'requeue', min(source_name), NULL FROM articles", "articles"))
 def feed_eviction(spark, d):
-    g = T.articles(spark, d).groupBy("source_name").agg(F.collect_set("url").alias("urls"), F.collect_set(F.when(F.col("id").cast("long") % 3 == 0, F.col("url"))).alias("evicted"))
-    left = F.array_sort(F.array_except("urls", "evicted"))
-    return g.select("source_name", F.when(F.size(left) > 0, F.array_join(left, ",")).alias("feeds"), (F.size(left) == 0).alias("requeue"))
+    a = T.articles(spark, d)
+    least = a.agg(F.min("source_name").alias("least"))
+    gone = a.join(F.broadcast(least), a["source_name"] == F.col("least"), "left").where((F.col("id").cast("long") % 3 == 0) | F.col("least").isNotNull()).select("url")
+    left, again = discovery.evict_feeds(a.select(F.col("source_name").alias("tag"), "url"), gone)
+    return left.select(F.lit("feed").alias("kind"), F.col("tag").alias("source_name"), "url").unionByName(again.select(F.lit("requeue").alias("kind"), F.col("tag").alias("source_name"), F.lit(None).cast("string").alias("url")))
 
 
 @query(sql("SELECT DISTINCT tag, 'https://search.example.org/rss?q=' || tag AS url FROM user_tags WHERE tag NOT IN ('en', 't1')", "user_tags"))
@@ -717,18 +929,27 @@ def active_customers(spark, d):
 # ---- streams ----
 
 
-@query("SELECT event_type, CAST(floor(epoch(ts)) AS BIGINT) // 300 * 300 AS bucket, count(*) AS n FROM events GROUP BY ALL")
+SQL_RUN = f"least(2, CAST(floor((epoch(ts) - {BASE}) / 864000) AS BIGINT))"
+
+
+def third(ts="ts"):
+    """Ten days a run, in order of time."""
+    return F.least(F.lit(2), F.floor((F.unix_micros(ts) - BASE * 1_000_000) / 864_000_000_000)).cast("int")
+
+
+@query("SELECT event_type, bucket, count(*) AS n FROM (SELECT event_type, CAST(floor(epoch(ts)) AS BIGINT) // 300 * 300 AS bucket FROM events) WHERE (bucket + 300) * 1000 <= (SELECT epoch_ms(max(ts)) FROM events) - 3600000 GROUP BY ALL")
 def stream_fixed_windows(spark, d):
-    from ..streaming.jobs import fixed_windows, run_once
+    from ..streaming.jobs import fixed_windows, replay
 
-    return run_once(fixed_windows, spark, d, "event_type string, bucket long, n long")
+    return replay(fixed_windows, spark, d, "event_type string, bucket long, n long", third(), 3)
 
 
 @query("SELECT user_id, count(DISTINCT event_id % 50) AS chunks FROM events GROUP BY user_id")
 def stream_ledger(spark, d):
-    from ..streaming.jobs import ledger, run_once
+    from ..streaming.jobs import ledger, replay
 
-    keys = run_once(ledger, spark, d, "user_id long, chunk long")
+    twice = F.array(F.least(third(), F.lit(1)), F.lit(2))  # all is delivered again in the last run
+    keys = replay(ledger, spark, d, "user_id long, chunk long", twice, 3)
     return keys.groupBy("user_id").agg(F.count("*").alias("chunks"))
 
 
@@ -739,21 +960,16 @@ def snippets(spark, d):
     return T.articles(spark, d).select("id", F.when(F.length("text") > F.length("title"), F.col("text")).otherwise(F.col("title")).alias("best"), F.nullif(F.array_join(F.filter(parts, lambda x: x != ""), "\n\n"), F.lit("")).alias("source_snippet"))
 
 
-@query(sql("SELECT source_name, count(*) AS n, sha256(string_agg(CASE WHEN length(title) > 30 THEN title[1:30] || '…' ELSE title END, chr(10) ORDER BY id)) AS prompt_sha FROM articles GROUP BY source_name", "articles"))
+@query("SELECT run, chunk, count(*) AS n, sha256(string_agg(CASE WHEN length(title) > 30 THEN title[1:30] || '…' ELSE title END, chr(10) ORDER BY doc_id)) AS prompt_sha FROM (SELECT doc_id // 100 AS run, doc_id % 100 // 25 AS chunk, doc_id, trim(string_split(text, chr(10))[1]) AS title FROM documents) GROUP BY ALL")
 def chunk_prompts(spark, d):
-    lines = F.array_sort(F.collect_list(F.struct("id", text.prompt_field(F.col("title"), 30).alias("line"))))
-    g = T.articles(spark, d).groupBy("source_name").agg(F.count("*").alias("n"), lines.alias("lines"))
-    return g.select("source_name", "n", F.sha2(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), 256).alias("prompt_sha"))
+    n, title = F.col("doc_id"), F.trim(F.split("text", "\n")[0])
+    rows = read(spark, d, "documents").select(F.floor(n / 100).cast("long").alias("run"), F.floor(n % 100 / 25).cast("long").alias("chunk"), n.alias("seq"), title.alias("title"))
+    return ingest.prompts(rows, 30).select("run", "chunk", "n", F.sha2("prompt", 256).alias("prompt_sha"))
 
 
-@query("SELECT event_type, CASE event_type WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 0 END AS feeds FROM (SELECT DISTINCT event_type FROM events) WHERE event_type <> 'error'")
+@query(f"WITH {SQL_TAGS} SELECT 't' || k AS tag, unnest(['a', 'c']) AS name, unnest(['https://a/' || k, 'https://c']) AS url, unnest(['rss', 'json']) AS kind FROM k WHERE k % 5 = 0 AND k NOT IN (0, 7, 11)")
 def cached_sources(spark, d):
-    e = F.col("event_type")
-    feeds = F.when(e == "click", '{"feeds": [{"name": "a", "url": "https://a", "kind": "rss"}, {"name": " ", "url": "x", "kind": "rss"}, {"name": "b", "url": "https://b", "kind": "atom"}]}').when(e == "view", '{"feeds": [{"name": "c", "url": "https://c", "kind": "json"}, {"name": "d", "url": "https://d", "kind": "html"}]}').otherwise("broken")
-    kv = read(spark, d, "events").select(F.concat(F.lit("sources:"), e).alias("key"), feeds.alias("value")).distinct().where(F.startswith("key", F.lit("sources:")) & (F.col("key") != "sources:error"))
-    parsed = F.from_json("value", "feeds array<struct<name: string, url: string, kind: string>>")["feeds"]
-    good = F.filter(parsed, lambda f: (F.trim(f["name"]) != "") & (F.trim(f["url"]) != "") & f["kind"].isin("rss", "atom", "json"))
-    return kv.select(F.substring("key", 9, 100).alias("event_type"), F.coalesce(F.size(good), F.lit(0)).alias("feeds"))
+    return discovery.cached_sources(source_cache(spark, d), curated_tags(spark)).select("tag", "name", "url", "kind")
 
 
 @query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN contains('application/rss+xml', 'xml') WHEN page_id % 3 = 1 THEN contains('text/html', 'json') ELSE contains('application/feed+json', 'json') AND page_id % 2 = 0 END AS valid FROM pages")
@@ -768,9 +984,10 @@ def feed_validity(spark, d):
 
 @query("SELECT o_orderkey FROM orders WHERE NOT (o_orderdate < TIMESTAMP '1996-06-01' OR (o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '1997-06-01'))")
 def token_purge(spark, d):
-    day = lambda x: F.lit(x).cast("timestamp_ntz")
-    o = F.col("o_orderdate")
-    return read(spark, d, "orders").where(~((o < day("1996-06-01")) | ((F.col("o_orderstatus") == "F") & (o < day("1997-06-01"))))).select("o_orderkey")
+    import datetime
+
+    tokens = read(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("expires_at"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("revoked_at"))
+    return ops.purge_tokens(tokens, datetime.datetime(1996, 6, 1), datetime.datetime(1997, 6, 1)).select("o_orderkey")
 
 
 @query(sql("SELECT user_id, lpad(CAST(n AS VARCHAR), 4, ' ') || '  ' || tag AS line FROM (SELECT u.user_id, u.tag, count(a.article_id) AS n FROM user_tags u LEFT JOIN article_tags a ON a.tag = u.tag GROUP BY ALL)", "user_tags", "article_tags"))
@@ -786,21 +1003,24 @@ def vector_upsert(spark, d):
     return read(spark, d, "embeddings").select("vec_id", F.when(ok, "embedded").otherwise("failed").alias("status"), F.when(ok, F.col("embedding")).isNotNull().alias("stored"))
 
 
-@query("SELECT count(*) AS events, count(DISTINCT event_id) AS ids FROM events")
+@query(f"""WITH e AS (SELECT event_id, ts, CASE WHEN event_id % 10 = 0 THEN 3 ELSE {SQL_RUN} END AS run FROM events)
+SELECT event_id FROM e WHERE run < 3 OR epoch_us(ts) > ((SELECT epoch_ms(max(ts)) FROM e WHERE run < 3) - 172800000) * 1000""")
 def stream_admission(spark, d):
-    from ..streaming.jobs import admitted, run_once
+    from ..streaming.jobs import admitted, replay
 
-    rows = run_once(lambda s: (admitted(s, 24 * 365)[0].select("event_id"), "append"), spark, d, "event_id long")
-    return rows.agg(F.count("*").alias("events"), F.count_distinct("event_id").alias("ids"))
+    late = F.col("event_id") % 10 == 0  # a tenth comes last, most of it too late; then all of the third run comes again
+    runs = F.when(late, F.array(F.lit(3))).when(third() == 2, F.array(F.lit(2), F.lit(4))).otherwise(F.array(third()))
+    return replay(lambda s: admitted(s).select("event_id"), spark, d, "event_id long", runs, 5)
 
 
-@query("""WITH e AS (SELECT user_id, ts, event_type, coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 7 DAY, true) AS new FROM events),
-s AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM e)
-SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS since, count(*) AS events, count(*) FILTER (event_type = 'error') AS failures FROM s GROUP BY user_id, n""")
+@query("""WITH e AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, event_type IN ('error', 'view') AS f FROM events), g AS (SELECT *, coalesce(t - lag(t) OVER w > 172800, false) AS gap FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+i AS (SELECT *, sum(CASE WHEN NOT f OR gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id) AS island FROM g)
+SELECT user_id, event_id, CASE WHEN f THEN CAST(sum(CAST(f AS INT)) OVER (PARTITION BY user_id, island ORDER BY t, event_id) AS BIGINT) ELSE 0 END AS streak, streak >= 4 AS evicted FROM i""")
 def stream_failures(spark, d):
-    from ..streaming.jobs import failure_counts, run_once
+    from ..streaming.jobs import replay, streaks
 
-    return run_once(failure_counts, spark, d, "user_id long, since long, events long, failures long")
+    bad = F.col("event_type").isin("error", "view")
+    return replay(lambda s: streaks(s, bad, 172_800, 4), ship(spark), d, "user_id long, event_id long, streak long, evicted boolean", third(), 3)
 
 
 @query(sql("SELECT DISTINCT u.tag FROM user_tags u WHERE u.tag NOT IN ('en', 'de') AND u.tag NOT IN (SELECT 't' || (user_id % 3) FROM events)", "user_tags"))
@@ -817,11 +1037,22 @@ def tag_allowlist(spark, d):
     return g.select("user_id", F.array_join(F.array_intersect(F.array_distinct(said), "allowed"), ",").alias("tags"))
 
 
-@query("SELECT count(*) AS kept, sum(CAST(chunk >= 2 AS INT))::BIGINT AS over FROM (SELECT (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 25 AS chunk FROM documents)")
+@query("SELECT run, count(*) FILTER (chunk < 40) AS kept, count(*) FILTER (chunk >= 40) AS dropped FROM (SELECT doc_id // 100 AS run, doc_id % 100 // 2 AS chunk FROM documents) GROUP BY run")
 def chunk_cap(spark, d):
-    n = F.row_number().over(W.partitionBy("lang").orderBy("doc_id"))
-    chunks = read(spark, d, "documents").select(F.floor((n - 1) / 25).alias("chunk"))
-    return chunks.agg(F.count("*").alias("kept"), F.count_if(F.col("chunk") >= 2).alias("over"))
+    n = F.col("doc_id")
+    rows = read(spark, d, "documents").select(F.floor(n / 100).cast("long").alias("run"), F.floor(n % 100 / 2).cast("long").alias("chunk"), "doc_id")
+    kept, dropped = ingest.cap_chunks(rows, 40)
+    return kept.groupBy("run").agg(F.count("*").alias("kept")).join(dropped, "run", "full_outer").select("run", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("dropped", F.lit(0)).alias("dropped"))
+
+
+@query(sql("SELECT id FROM articles ORDER BY ingested_at DESC, published_at DESC, id LIMIT 250", "articles"))
+def finalize_candidates(spark, d):
+    return feed.newest(T.articles(spark, d), 250).select("id")
+
+
+@query("SELECT doc_id, replace(replace(replace(replace(replace(text, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026'), chr(8232), '\\u2028'), chr(8233), '\\u2029') AS json FROM documents")
+def json_escaped(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.json_ld(F.col("text")).alias("json"))
 
 
 @query(f"WITH {SQL_PAIRS} SELECT self, match FROM c WHERE (auto OR borderline) AND match IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")

@@ -1,4 +1,4 @@
-"""Getting the package to the Python workers."""
+"""Getting the package to the Python workers, and the folder that all machines share."""
 
 from __future__ import annotations
 
@@ -24,3 +24,18 @@ def ship(spark: SparkSession) -> SparkSession:
                 z.write(f, f.relative_to(root.parent))
         spark.sparkContext.addPyFile(path)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset a session on one machine (tests)
+    takes one below the temp folder; a cluster has no folder to fall back on, so that is an error."""
+    path, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not path and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return path or f"{tempfile.gettempdir()}/checkpoints"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage, whatever file system it is on."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -40,11 +40,29 @@ def test_domains_and_vendors(spark):
 
 
 def test_public_urls(spark):
-    bad = ["http://e.com", "https://localhost/x", "https://10.1.2.3/", "https://192.168.0.1/", "https://172.16.0.1/", "https://100.64.0.1/", "https://169.254.169.254/", "https://metadata.x/", "https://u@e.com/", "https://[::1]/", "https://[fd00::1]/", None]
-    good = ["https://e.com", "https://172.32.0.1/", "https://8.8.8.8/x", "https://100.128.0.1/"]
+    bad = ["http://e.com", "https://localhost/x", "https://10.1.2.3/", "https://192.168.0.1/", "https://172.16.0.1/", "https://100.64.0.1/", "https://169.254.169.254/", "https://metadata.x/", "https://u@e.com/", "https://[::1]/", "https://[fd00::1]/", "https://[::ffff:10.0.0.1]/", "https://[::ffff:172.31.0.1]/", "https://[::ffff:100.64.0.1]/", None]
+    good = ["https://[::ffff:172.32.0.1]/", "https://[::ffff:8.8.8.8]/", "https://[2001:db8::1]/", "https://e.com", "https://172.32.0.1/", "https://8.8.8.8/x", "https://100.128.0.1/"]
     assert values(spark, urls.is_public_url, bad + good) == [False] * len(bad) + [True] * len(good)
 
 
+def test_costs(spark):
+    cases = {None: "—", float("nan"): "—", 0.0: "$0.00", 0.003: "$0.0030", 1234.5: "$1230.00", 0.145: "$0.14", 0.1449: "$0.14", 0.125: "$0.13", 0.015: "$0.01", 0.00015: "$0.0001", 0.00995: "$0.01", 0.0099: "$0.0099", 0.00001: "$0.0000", 0.9999: "$1.00", 99.95: "$100.00", -3.21: "$3.20"}
+    assert values(spark, lambda c: text.cost_text(c.cast("double")), list(cases)) == list(cases.values())
+
+
+def test_replies(spark):
+    cases = {'{"response": "a"}': "a", '{"response": {"k": 1}}': '{"k":1}', '{"response": 1, "choices": [{"message": {"content": "c"}}]}': "c", '{"response": null, "choices": []}': None, '{"choices": [{"message": {"content": null}}]}': None, "x": None}
+    assert values(spark, text.response_payload, list(cases)) == list(cases.values())
+    counts = ['{"usage": {"input_tokens": 3, "prompt_tokens": 4}}', '{"usage": {"input_tokens": "3", "prompt_tokens": 4}}', '{"usage": null, "tokens_in": 5}', "{}", None]
+    assert values(spark, lambda c: text.token_count(c, *text.TOKENS_IN), counts) == [3, 4, 5, 0, 0]
+
+
+def test_shared_words(spark):
+    cases = [(["alpha", "bravo"], ["bravo", "delta"], True), (["alpha", "bravo"], ["delta", "echo"], False), (["alpha"], ["delta", "echo"], True), ([], [], True)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, a array<string>, b array<string>, w boolean")
+    assert all(r.w == r.y for r in df.select("w", text.share_token(F.col("a"), F.col("b")).alias("y")).collect())
+
+
 def test_blocklists(spark):
     assert values(spark, urls.blocked_host, ["https://www.msn.com/a", "https://xmsn.com", "https://fool.com"]) == [True, False, True]
     assert values(spark, urls.blocked_name, ["The Motley-Fool", "Barron's", "msnbc", None, "CNBC TV"]) == [True, True, False, False, True]
@@ -105,6 +123,12 @@ def test_feed_edges(spark):
     df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "k int, body string")
     got = feeds.read_rss(df, "body", 1_800_000_000).collect()
     assert [(r.k, r.title, r.url, r.snippet) for r in got] == [(0, "a", "https://x/1", ("word " * 10).strip())]
+    many = "<rss><channel>" + "<item><title>a</title><link>https://x/1</link></item>" * 25 + "</channel></rss>"
+    assert feeds.read_rss(spark.createDataFrame([(many,)], "body string"), "body", 1 << 33).count() == 20
+    item = "<rss><channel><item><title>a</title><link>{}</link><source url='{}'>P</source></item></channel></rss>"
+    links = [("https://news.google.com/x", "https://p.org/1", "https://p.org/1"), ("https://news.google.com/x", "ftp://p.org/1", "https://news.google.com/x"), ("https://pod.org/x", "https://p.org/1", "https://pod.org/x")]
+    df = spark.createDataFrame([(i, item.format(a, b), c) for i, (a, b, c) in enumerate(links)], "k int, body string, want string")
+    assert [(r.url, r.item_source) for r in feeds.read_rss(df, "body", 1 << 33).orderBy("k").collect()] == [(c, "P") for _, _, c in links]
     entry = "<feed><entry><title>t</title><link rel='self' href='https://s'/><link href='https://alt'/></entry></feed>"
     assert [r.url for r in feeds.read_atom(spark.createDataFrame([(entry,)], "body string"), "body", 1 << 33).collect()] == ["https://alt"]
     assert feeds.read_json_feed(spark.createDataFrame([("{}",), ("x",), (None,)], "body string"), "body", 1 << 33).count() == 0
