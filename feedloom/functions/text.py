@@ -225,3 +225,24 @@ def json_ld(text: Column) -> Column:
     """JSON that may stand in a script element: < > & and the two line separators as escapes."""
     pairs = [("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")]
     return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), pairs, text)
+
+
+def chunk_cost(snippet: Column) -> Column:
+    """Characters that an item is reckoned at in a prompt: its snippet's length if that is 400 or more, else 3000, and 400 for the rest."""
+    n = F.length(F.coalesce(snippet, F.lit("")))
+    return (F.when(n >= 400, n).otherwise(3000) + 400).cast("long")
+
+
+def best_snippet(fetched: Column, feed: Column) -> Column:
+    """The fetched text if it is longer than the feed's own, else that."""
+    return F.when(F.length(fetched) > F.length(F.coalesce(feed, F.lit(""))), fetched).otherwise(feed)
+
+
+def joined_snippets(parts: Column) -> Column:
+    """The filled ones of an array of snippets, with a blank line between; null if there are none."""
+    return F.nullif(F.array_join(F.filter(parts, lambda x: F.coalesce(x != "", F.lit(False))), "\n\n"), F.lit(""))
+
+
+def allowed_tags(tags: Column, allowed: Column) -> Column:
+    """Normalised tags that are allowed (an array), in order of first sight."""
+    return F.array_intersect(F.array_distinct(F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: hashtag(F.trim(t)))), F.filter(allowed, lambda a: a != ""))

@@ -43,3 +43,8 @@ def countdown(left: Column) -> Column:
 
 def month_day(unix: Column) -> Column:
     return F.upper(F.date_format(F.timestamp_seconds(unix), "MMM d"))
+
+
+def locale(tz: Column) -> Column:
+    """The locale that a zone's users read dates in."""
+    return F.when(F.startswith(tz, F.lit("America/")), "en-US").otherwise("en-GB")

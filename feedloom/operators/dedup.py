@@ -187,14 +187,19 @@ def border_top(pairs: DataFrame, n: int) -> DataFrame:
 
 
 def diagnostics(pairs: DataFrame, bands: Bands) -> DataFrame:
-    """Counts and bests of each row's matches, and a label of the decision."""
-    e = F.col("eligible")
+    """Counts and bests of each row's matches, and what is decided: auto_merge (into an older match), auto_merge_self_wins,
+    rerank_pending, no_above_threshold, no_match_below_floor. Matches that are ``absorbed`` already (an optional column) are
+    counted apart, as are those out of the window; a row without matches has none (no_candidates)."""
+    gone = F.col("absorbed") if "absorbed" in pairs.columns else F.lit(False)
+    e = F.col("eligible") & ~gone
+    auto, border, older = F.col("auto") & ~gone, F.col("borderline") & ~gone, F.col("self_is_older")
     out = pairs.groupBy("self").agg(
-        F.count("*").alias("seen"), F.count_if(~e).alias("out_of_window"), F.count_if(e & F.col("self_is_older")).alias("self_older"), F.count_if(e & ~F.col("self_is_older")).alias("self_newer"),
-        F.count_if(e & (F.col("adjusted") >= bands.floor)).alias("over_floor"), F.count_if("auto").alias("autos"), F.count_if(e & F.col("high")).alias("highs"), F.max(F.when(e, F.col("score"))).alias("best"), F.max(F.when(e, F.col("adjusted"))).alias("best_adjusted"),
+        F.count("*").alias("seen"), F.count_if(~F.col("eligible")).alias("out_of_window"), F.count_if(F.col("eligible") & gone).alias("absorbed"), F.count_if(e & older).alias("self_older"), F.count_if(e & ~older).alias("self_newer"),
+        F.count_if(e & (F.col("adjusted") >= bands.floor)).alias("over_floor"), F.count_if(auto).alias("autos"), F.count_if(e & F.col("high")).alias("highs"), F.max(F.when(e, F.col("score"))).alias("best"), F.max(F.when(e, F.col("adjusted"))).alias("best_adjusted"),
+        F.count_if(auto & ~older).alias("__into"), F.count_if(border).alias("borders"),
     )
-    label = F.when(F.col("autos") > 0, "auto_merge").when(F.col("over_floor") > 0, "borderline").when(F.col("seen") == F.col("out_of_window"), "out_of_window").otherwise("below_floor")
-    return out.withColumn("decision", label)
+    label = F.when(F.col("__into") > 0, "auto_merge").when(F.col("autos") > 0, "auto_merge_self_wins").when(F.col("borders") > 0, "rerank_pending").when(F.col("over_floor") > 0, "no_above_threshold").otherwise("no_match_below_floor")
+    return out.withColumn("decision", label).drop("__into")
 
 
 def _sweep(table: pa.Table) -> pa.Table:

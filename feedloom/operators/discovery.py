@@ -47,6 +47,11 @@ def enqueue(pending: DataFrame, wanted: DataFrame, now: int) -> DataFrame:
     return rows.groupBy("user_id", "tag").agg(F.max("priority").alias("priority"), F.min("added_at").alias("added_at")).join(pending.select("user_id", "tag"), ["user_id", "tag"], "left_anti")
 
 
+def waiting(pending: DataFrame, user_id) -> DataFrame:
+    """The tags that one user waits for."""
+    return pending.where(F.col("user_id") == user_id).select("tag")
+
+
 def next_tags(pending: DataFrame, limit: int = 3) -> DataFrame:
     """The tags that come next: highest priority, then the longest wait, then the name."""
     rows = pending.groupBy("tag").agg(F.max("priority").alias("priority"), F.min("added_at").alias("added_at"))

@@ -122,6 +122,54 @@ def after_key(rows: DataFrame, keys: tuple[str, str], cursor: tuple | None, page
     return rows.orderBy(*keys).limit(page)
 
 
+def sweep_page(rows: DataFrame, keys: tuple[str, str], cursor: tuple | None, page: int = 25) -> tuple[DataFrame, dict]:
+    """The page that follows the cursor, and where the sweep stands: scanned, cursor (of the page's last row), remaining, done."""
+    found = after_key(rows, keys, cursor, min(page, 500))
+    last = found.agg(F.count("*").alias("n"), F.max(F.struct(*keys)).alias("last")).first()
+    following = tuple(last["last"]) if last["n"] else None
+    a, b = F.col(keys[0]), F.col(keys[1])
+    left = rows if following is None else rows.where((a > following[0]) | ((a == following[0]) & (b > following[1])))
+    remaining = left.count()
+    return found, {"scanned": last["n"], "cursor": following, "remaining": remaining, "done": remaining == 0}
+
+
+def article(articles: DataFrame, reads: DataFrame, article_id: str, user_id, now: int) -> tuple[DataFrame, DataFrame]:
+    """(one article; the reads with the user's mark on it, the first time kept). An unknown article marks nothing."""
+    one = articles.where(F.col("id") == article_id)
+    mark = one.select(F.lit(user_id).cast(reads.schema["user_id"].dataType).alias("user_id"), F.col("id").alias("article_id"), F.lit(now).cast("long").alias("read_at"))
+    return one, reads.unionByName(mark.join(reads, ["user_id", "article_id"], "left_anti"))
+
+
+def unstar(stars: DataFrame, user_id, article_id: str) -> DataFrame:
+    """Stars without that one."""
+    return stars.where(~((F.col("user_id") == user_id) & (F.col("article_id") == article_id)))
+
+
+def set_tags(user_tags: DataFrame, user_id, tags: list[str]) -> DataFrame:
+    """User tags with this user's replaced by ``tags``: the defaults to restore them, none to clear them."""
+    rest = user_tags.where(F.col("user_id") != user_id)
+    own = [F.lit(t) for t in dict.fromkeys(tags)]
+    new = user_tags.sparkSession.range(1).select(F.lit(user_id).cast(user_tags.schema["user_id"].dataType).alias("user_id"), F.explode(F.array(*own).cast("array<string>")).alias("tag"))
+    return rest.unionByName(new)
+
+
+def digest_mail(users: DataFrame, headlines: DataFrame, tally: DataFrame) -> DataFrame:
+    """(user_id, subject, preheader, sent_line, tally_line) for users (user_id, tz, hour, minute: of now, next_hour, next_minute),
+    their headlines (user_id, rank, title) and tag counts since midnight (user_id, tag, n, total). A user has few of either."""
+    titles = headlines.groupBy("user_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("rank", "title"))).alias("titles"))
+    used = tally.where("n > 0").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "tag", F.col("n").alias("count")))).alias("tags"), F.max("total").alias("total"))
+    rows = users.join(titles, "user_id", "left").join(used, "user_id", "left")
+    n, noun = F.coalesce("n", F.lit(0)), lambda c: F.when(c == 1, "article").otherwise("articles")
+    top = F.array_join(F.transform(F.slice("tags", 1, 3), lambda t: t["tag"]), ", ")
+    subject = F.when(n == 0, "Your news digest is ready").otherwise(F.concat(n.cast("string"), F.lit(" new "), noun(n), F.coalesce(F.concat(F.lit(" · "), top), F.lit(""))))
+    preheader = F.coalesce(F.array_join(F.transform(F.slice("titles", 1, 3), lambda t: t["title"]), ", "), F.lit(""))
+    clock = lambda h, m: F.concat(F.lpad(F.col(h).cast("string"), 2, "0"), F.lit(":"), F.lpad(F.col(m).cast("string"), 2, "0"))
+    sent = F.concat(F.lit("Sent "), clock("hour", "minute"), F.lit(" "), "tz", F.lit(" · next digest tomorrow at "), clock("next_hour", "next_minute"))
+    each = F.array_join(F.transform("tags", lambda t: F.concat(F.lit("#"), t["tag"], F.lit(" ("), t["count"].cast("string"), F.lit(")"))), " ")
+    line = F.when(F.col("total") > 0, F.concat(F.lit("Since midnight: "), F.col("total").cast("string"), F.lit(" "), noun(F.col("total")), F.lit(" · "), each))
+    return rows.select("user_id", subject.alias("subject"), preheader.alias("preheader"), sent.alias("sent_line"), line.alias("tally_line"))
+
+
 def due_users(users: DataFrame, sent: DataFrame, now: int, bucket: int = 5) -> DataFrame:
     """Enabled users whose hour and minute fall into the current ``bucket`` of minutes in their zone and who got nothing on
     their local date (sent: user_id, local_date; null-safe)."""

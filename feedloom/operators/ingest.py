@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import prompt_field, share_token, title_tokens
+from ..functions.text import SPACE, allowed_tags, paragraphs, prompt_field, sanitize, share_token, title_tokens
+from .graph import checkpointed
 
 
 def first_per(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
@@ -70,7 +71,7 @@ def direct_matches(items: DataFrame, least: int = 3) -> DataFrame:
 def prefer_direct(items: DataFrame, least: int = 3) -> DataFrame:
     """``items`` (seq, title, aggregator boolean, tags array, any others) without the aggregator items that a direct one absorbs
     (see ``direct_matches``); that one's tags come first, the absorbed items' behind, in input order, without repeats."""
-    found = direct_matches(items, least)
+    found = checkpointed(direct_matches(items, least))
     lost = items.select("seq", "tags").join(found, "seq")
     gained = lost.groupBy(F.col("direct").alias("seq")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "tags"))), lambda x: F.coalesce(x["tags"], F.array().cast("array<string>")))).alias("__more"))
     out = items.join(found.select("seq"), "seq", "left_anti").join(gained, "seq", "left")
@@ -107,6 +108,20 @@ def prompts(rows: DataFrame, most: int) -> DataFrame:
     return chunks.join(totals, "run").select("run", "chunk", "n", "total", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("prompt"))
 
 
+def publish_gate(answers: DataFrame, least_words: int = 80, shortest: int = 5, longest: int = 500) -> DataFrame:
+    """``answers`` (title, details array, tags array, allowed array) made fit to publish, with verdict: 'ok', or why not, the first
+    that applies: 'empty' (no title or no details), 'words', 'title' (its length), 'tags' (none is allowed). Titles and
+    details are cleaned, details cut into paragraphs, tags normalised and held against the allowed ones."""
+    pieces = F.flatten(F.transform(F.filter(F.coalesce("details", F.array().cast("array<string>")), lambda d: d.isNotNull()), paragraphs))
+    out = answers.withColumns({"title": sanitize(F.col("title")), "details": F.filter(F.transform(pieces, sanitize), lambda d: d != ""), "tags": allowed_tags(F.col("tags"), F.col("allowed"))})
+    words = F.size(F.filter(F.split(F.trim(F.array_join("details", " ")), f"{SPACE}+"), lambda w: w != ""))
+    verdict = (
+        F.when((F.col("title") == "") | (F.size("details") == 0), "empty").when(words < least_words, "words").when(~F.length("title").between(shortest, longest), "title")
+        .when(F.size("tags") == 0, "tags").otherwise("ok")
+    )
+    return out.withColumn("verdict", verdict)
+
+
 def cap_chunks(rows: DataFrame, most: int = 40) -> tuple[DataFrame, DataFrame]:
     """(rows of each run's first ``most`` chunks, numbered from 0; runs with the number of rows dropped)."""
     return rows.where(F.col("chunk") < most), rows.where(F.col("chunk") >= most).groupBy("run").agg(F.count("*").alias("dropped"))

@@ -242,7 +242,8 @@ def ulid_roundtrip(spark, d):
 
 
 POWERS = [10.0**k for k in range(9)]
-SQL_KEPT = "CAST(CASE WHEN c < 0.01 THEN printf('%.1e', abs(c)) ELSE printf('%.2e', abs(c)) END AS DOUBLE)"
+# printf rounds halves to even; the next number up makes it round them up
+SQL_KEPT = "CAST(CASE WHEN c < 0.01 THEN printf('%.1e', abs(c) * (1 + 2.220446049250313e-16)) ELSE printf('%.2e', abs(c) * (1 + 2.220446049250313e-16)) END AS DOUBLE)"
 
 
 @query(f"""WITH v AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 1 THEN 0 WHEN o_orderkey % 11 = 0 THEN -o_totalprice ELSE o_totalprice / ({POWERS}::DOUBLE[])[o_orderkey % 9 + 1] END AS c FROM orders),
@@ -356,12 +357,16 @@ def blocked_publishers(spark, d):
     return p.where(~urls.blocked_host(F.col("url")) & ~urls.blocked_name(F.col("name"))).select("page_id")
 
 
-@query(sql("SELECT a.id, CASE WHEN title = '' OR trim(text) = '' THEN 'empty' WHEN len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '')) < 80 THEN 'words' WHEN length(title) NOT BETWEEN 5 AND 500 THEN 'title' WHEN coalesce(l.quality, 0) = 0 THEN 'tags' ELSE 'ok' END AS verdict FROM articles a LEFT JOIN labels l ON CAST(a.id AS BIGINT) = l.doc_id", "articles"))
+@query(sql(f"""g AS (SELECT id, CAST(id AS BIGINT) AS n, trim(regexp_replace(title, '{SQL_SPACE}+', ' ', 'g')) AS title, lang FROM articles)
+SELECT id, CASE WHEN (CASE WHEN n % 9 = 0 THEN '' WHEN n % 7 = 0 THEN 'abc' ELSE 'A title that fits' END) = '' OR n % 11 = 0 OR n % 120 = 0 THEN 'empty' WHEN n % 120 < 80 THEN 'words' WHEN n % 7 = 0 THEN 'title' WHEN n % 5 = 0 THEN 'tags' ELSE 'ok' END AS verdict,
+CASE WHEN n % 5 = 0 THEN '' ELSE 't1,' || lang END AS tags FROM g""", "articles"))
 def publish_gate(spark, d):
-    a = T.articles(spark, d).withColumn("doc_id", F.col("id").cast("long")).join(read(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-    words = F.size(F.filter(F.split(F.trim("text"), "\\s+"), lambda w: w != ""))
-    verdict = F.when((F.col("title") == "") | (F.trim("text") == ""), "empty").when(words < 80, "words").when(~F.length("title").between(5, 500), "title").when(F.coalesce("quality", F.lit(0)) == 0, "tags").otherwise("ok")
-    return a.select("id", verdict.alias("verdict"))
+    n = F.col("id").cast("long")
+    title = F.when(n % 9 == 0, " <b></b> ").when(n % 7 == 0, "abc").otherwise("A  title <i>that</i> fits")
+    details = F.when(n % 11 == 0, F.array(F.lit("<p> </p>"))).otherwise(F.array(F.lit("\n"), F.repeat(F.lit("word "), (n % 120).cast("int"))))
+    tags = F.when(n % 5 == 0, F.array(F.lit("#other"))).otherwise(F.array(F.lit(" #T1 "), F.lit("t1"), F.upper("lang"), F.lit("#zz")))
+    rows = T.articles(spark, d).select("id", title.alias("title"), details.alias("details"), tags.alias("tags"), F.array(F.lit("t1"), F.lit("t2"), F.col("lang"), F.lit("")).alias("allowed"))
+    return ingest.publish_gate(rows).select("id", "verdict", F.array_join("tags", ",").alias("tags"))
 
 
 @query(sql("SELECT md5(text) AS h, count(*) AS n, arg_min(id, published_at) AS winner FROM articles GROUP BY text HAVING count(*) > 1", "articles"))
@@ -393,13 +398,12 @@ def insert_ignore(spark, d):
     return ingest.insert_ignore(T.stars(spark, d).withColumnRenamed("starred_at", "seen_at"), T.reads(spark, d).withColumnRenamed("read_at", "seen_at"), ["user_id", "article_id"], ["seen_at"])
 
 
-@query("""WITH RECURSIVE c AS (SELECT doc_id AS seq, doc_id % 8 AS run, CASE WHEN n_chars >= 400 THEN least(n_chars, 30000) ELSE 3000 END + 400 AS cost, row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) AS r FROM documents),
+@query("""WITH RECURSIVE c AS (SELECT doc_id AS seq, doc_id % 8 AS run, CASE WHEN length(text) >= 400 THEN least(length(text), 30000) ELSE 3000 END + 400 AS cost, row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) AS r FROM documents),
 p AS (SELECT run, seq, cost, r, CAST(0 AS BIGINT) AS chunk_index, cost AS size, 1 AS items FROM c WHERE r = 1
 UNION ALL SELECT c.run, c.seq, c.cost, c.r, CASE WHEN p.size + c.cost > 280000 OR p.items >= 25 THEN p.chunk_index + 1 ELSE p.chunk_index END, CASE WHEN p.size + c.cost > 280000 OR p.items >= 25 THEN c.cost ELSE p.size + c.cost END, CASE WHEN p.size + c.cost > 280000 OR p.items >= 25 THEN 1 ELSE p.items + 1 END FROM p JOIN c ON c.run = p.run AND c.r = p.r + 1)
 SELECT run, seq, cost, chunk_index FROM p""")
 def pack_chunks(spark, d):
-    cost = F.when(F.col("n_chars") >= 400, F.least("n_chars", F.lit(30000))).otherwise(3000) + 400
-    rows = ship(spark).read.parquet(f"{d}/documents.parquet").select((F.col("doc_id") % 8).alias("run"), F.col("doc_id").alias("seq"), cost.cast("long").alias("cost"))
+    rows = ship(spark).read.parquet(f"{d}/documents.parquet").select((F.col("doc_id") % 8).alias("run"), F.col("doc_id").alias("seq"), text.chunk_cost(F.substring("text", 1, 30000)).alias("cost"))
     return ingest.pack_chunks(rows, "run")
 
 
@@ -520,12 +524,19 @@ def enabled_zones(spark, d):
     return T.users(spark, d).where(F.col("enabled") & (F.col("tz") != "")).select("tz").distinct()
 
 
-@query(sql("SELECT user_id, n || CASE WHEN n = 1 THEN ' new article' ELSE ' new articles' END || ': ' || array_to_string(list_transform(top[1:3], lambda x: x.t), ', ') AS subject FROM (SELECT user_id, sum(c)::BIGINT AS n, list_sort(list({'c': -c, 't': tag})) AS top FROM (SELECT user_id, u.tag, count(*) AS c FROM user_tags u JOIN article_tags a ON a.tag = u.tag GROUP BY ALL) GROUP BY user_id)", "user_tags", "article_tags"))
+@query(sql(f"""w AS (SELECT user_id, article_id, title, row_number() OVER (PARTITION BY user_id ORDER BY ingested_at DESC, published_at DESC, article_id) AS rank FROM (SELECT DISTINCT user_id, article_id FROM user_tags JOIN article_tags USING (tag)) x ANTI JOIN reads r USING (user_id, article_id) JOIN articles a ON a.id = article_id),
+h AS (SELECT user_id, count(*) AS n, string_agg(title, ', ' ORDER BY rank) FILTER (rank <= 3) AS preheader FROM w WHERE rank <= 5 GROUP BY user_id),
+m AS (SELECT user_id, CAST(epoch(timezone(tz, date_trunc('day', timezone(tz, to_timestamp({BASE + 150 * 3600}))))) AS BIGINT) AS since FROM users),
+c AS (SELECT user_id, user_tags.tag, count(DISTINCT a.id) AS n FROM user_tags JOIN m USING (user_id) JOIN (SELECT tag, id, ingested_at FROM articles JOIN article_tags ON id = article_id) a ON a.tag = user_tags.tag AND a.ingested_at >= since GROUP BY ALL),
+t AS (SELECT user_id, CAST(sum(n) AS BIGINT) AS total, string_agg('#' || tag || ' (' || n || ')', ' ' ORDER BY n DESC, tag) AS line, array_to_string(list(tag ORDER BY n DESC, tag)[1:3], ', ') AS top FROM c GROUP BY user_id)
+SELECT u.user_id, CASE WHEN h.n IS NULL THEN 'Your news digest is ready' ELSE h.n || CASE WHEN h.n = 1 THEN ' new article' ELSE ' new articles' END || coalesce(' · ' || top, '') END AS subject, coalesce(preheader, '') AS preheader,
+printf('Sent %02d:%02d %s · next digest tomorrow at %02d:%02d', hour, minute, tz, (hour + 1) % 24, minute) AS sent_line, 'Since midnight: ' || total || CASE WHEN total = 1 THEN ' article' ELSE ' articles' END || ' · ' || line AS tally_line
+FROM users u LEFT JOIN h USING (user_id) LEFT JOIN t USING (user_id)""", "users", "user_tags", "article_tags", "reads", "articles"))
 def email_subjects(spark, d):
-    counts = T.user_tags(spark, d).join(T.article_tags(spark, d), "tag").groupBy("user_id", "tag").agg(F.count("*").alias("c"))
-    top = F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "tag"))), 1, 3), lambda x: x["tag"])
-    rows = counts.groupBy("user_id").agg(F.sum("c").alias("n"), top.alias("top"))
-    return rows.select("user_id", F.concat(F.col("n").cast("string"), F.when(F.col("n") == 1, " new article").otherwise(" new articles"), F.lit(": "), F.array_join("top", ", ")).alias("subject"))
+    a, users, tags, marks = (t(spark, d) for t in (T.articles, T.users, T.user_tags, T.article_tags))
+    heads = feed.unread(a, tags, marks, T.reads(spark, d), 5).join(a.select(F.col("id").alias("article_id"), "title"), "article_id").select("user_id", "rank", "title")
+    rows = users.withColumns({"next_hour": (F.col("hour") + 1) % 24, "next_minute": F.col("minute")})
+    return feed.digest_mail(rows, heads, feed.tag_tally(a, marks, users, tags, BASE + 150 * 3600))
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE (o_orderdate, o_orderkey) > (TIMESTAMP '1995-01-01', 100) ORDER BY o_orderdate, o_orderkey LIMIT 50")
@@ -584,10 +595,12 @@ def border_top5(spark, d):
     return dedup.border_top(banded(spark, d), 5).select("self", "match", "rank")
 
 
-@query(f"""WITH {SQL_PAIRS} SELECT self, count(*) AS seen, count(*) FILTER (NOT eligible) AS out_of_window, count(*) FILTER (eligible AND self_is_older) AS self_older, count(*) FILTER (eligible AND NOT self_is_older) AS self_newer, count(*) FILTER (eligible AND adjusted >= {BANDS.floor}) AS over_floor, count(*) FILTER (auto) AS autos, count(*) FILTER (eligible AND high) AS highs,
-round(max(score) FILTER (eligible), 6) AS best, CASE WHEN autos > 0 THEN 'auto_merge' WHEN over_floor > 0 THEN 'borderline' WHEN seen = out_of_window THEN 'out_of_window' ELSE 'below_floor' END AS decision FROM c GROUP BY self""")
+@query(f"""WITH {SQL_PAIRS}, x AS (SELECT *, match % 10 = 0 AS gone FROM c), d AS (SELECT self, match, score, adjusted, self_is_older, high AND NOT gone AS high, eligible OR gone AND abs(self_at - match_at) <= 604800 AS within, eligible AND NOT gone AS eligible, auto AND NOT gone AS auto, borderline AND NOT gone AS borderline, count(*) FILTER (eligible AND gone) OVER (PARTITION BY self) AS absorbed FROM x)
+SELECT self, count(*) AS seen, count(*) FILTER (NOT within) AS out_of_window, count(*) FILTER (eligible AND self_is_older) AS self_older, count(*) FILTER (eligible AND NOT self_is_older) AS self_newer, count(*) FILTER (eligible AND adjusted >= {BANDS.floor}) AS over_floor, count(*) FILTER (auto) AS autos, count(*) FILTER (eligible AND high) AS highs,
+round(max(score) FILTER (eligible), 6) AS best, CASE WHEN count(*) FILTER (auto AND NOT self_is_older) > 0 THEN 'auto_merge' WHEN autos > 0 THEN 'auto_merge_self_wins' WHEN count(*) FILTER (borderline) > 0 THEN 'rerank_pending' WHEN over_floor > 0 THEN 'no_above_threshold' ELSE 'no_match_below_floor' END AS decision, absorbed FROM d GROUP BY self, absorbed""")
 def band_diagnostics(spark, d):
-    return dedup.diagnostics(banded(spark, d), BANDS).select("self", "seen", "out_of_window", "self_older", "self_newer", "over_floor", "autos", "highs", F.round("best", 6).alias("best"), "decision")
+    pairs = banded(spark, d).withColumn("absorbed", F.col("match") % 10 == 0)
+    return dedup.diagnostics(pairs, BANDS).select("self", "seen", "out_of_window", "absorbed", "self_older", "self_newer", "over_floor", "autos", "highs", F.round("best", 6).alias("best"), "decision")
 
 
 @query("WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT a.id AS self, b.id AS match, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.id) <= 20")
@@ -953,11 +966,11 @@ def stream_ledger(spark, d):
     return keys.groupBy("user_id").agg(F.count("*").alias("chunks"))
 
 
-@query(sql("SELECT id, best, CASE WHEN parts <> '' THEN parts END AS source_snippet FROM (SELECT id, CASE WHEN length(text) > length(title) THEN text ELSE title END AS best, array_to_string(list_filter([CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN title ELSE '' END, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN source_name ELSE '' END], lambda x: x <> ''), chr(10) || chr(10)) AS parts FROM articles)", "articles"))
+@query(sql("SELECT id, CASE WHEN length(text) > length(title) THEN text ELSE title END AS best, CASE WHEN parts <> '' THEN parts END AS source_snippet FROM (SELECT id, text, title, array_to_string(list_filter([CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN title ELSE '' END, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN source_name ELSE '' END], lambda x: x <> ''), chr(10) || chr(10)) AS parts FROM articles)", "articles"))
 def snippets(spark, d):
     n = F.col("id").cast("long")
-    parts = F.array(F.when(n % 2 == 0, F.col("title")).otherwise(""), F.when(n % 3 == 0, F.col("source_name")).otherwise(""))
-    return T.articles(spark, d).select("id", F.when(F.length("text") > F.length("title"), F.col("text")).otherwise(F.col("title")).alias("best"), F.nullif(F.array_join(F.filter(parts, lambda x: x != ""), "\n\n"), F.lit("")).alias("source_snippet"))
+    parts = F.array(F.when(n % 2 == 0, F.col("title")).otherwise(""), F.when(n % 3 == 0, F.col("source_name")), F.lit(""))
+    return T.articles(spark, d).select("id", text.best_snippet(F.col("text"), F.col("title")).alias("best"), text.joined_snippets(parts).alias("source_snippet"))
 
 
 @query("SELECT run, chunk, count(*) AS n, sha256(string_agg(CASE WHEN length(title) > 30 THEN title[1:30] || '…' ELSE title END, chr(10) ORDER BY doc_id)) AS prompt_sha FROM (SELECT doc_id // 100 AS run, doc_id % 100 // 25 AS chunk, doc_id, trim(string_split(text, chr(10))[1]) AS title FROM documents) GROUP BY ALL")
@@ -1032,9 +1045,9 @@ def tags_needing_discovery(spark, d):
 
 @query("SELECT user_id, array_to_string(list_filter(['purchase', 'view', 'click'], lambda t: list_contains(l, t)), ',') AS tags FROM (SELECT user_id, list(DISTINCT event_type) AS l FROM events GROUP BY user_id)")
 def tag_allowlist(spark, d):
-    said = F.transform(F.array(*[F.lit(t) for t in ("#Purchase", "VIEW", "click", "view", "#click")]), text.hashtag)
+    said = F.array(*[F.lit(t) for t in ("#Purchase", " VIEW", "click", "view", "#click", "#")])
     g = read(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("allowed"))
-    return g.select("user_id", F.array_join(F.array_intersect(F.array_distinct(said), "allowed"), ",").alias("tags"))
+    return g.select("user_id", F.array_join(text.allowed_tags(said, F.col("allowed")), ",").alias("tags"))
 
 
 @query("SELECT run, count(*) FILTER (chunk < 40) AS kept, count(*) FILTER (chunk >= 40) AS dropped FROM (SELECT doc_id // 100 AS run, doc_id % 100 // 2 AS chunk FROM documents) GROUP BY run")
@@ -1069,3 +1082,40 @@ def all_sources(spark, d):
     kinds = ((curated, "curated"), (found, "discovered"), (rest, "synthetic"))
     a, b, c = (df.withColumn("kind", F.lit(k)) for df, k in kinds)
     return a.unionByName(b).unionByName(c)
+
+
+@query(f"SELECT user_id, tz, CASE WHEN starts_with(tz, 'America/') THEN 'en-US' ELSE 'en-GB' END AS locale FROM (SELECT DISTINCT user_id, ([{quoted(T.ZONES)}])[user_id % 3 + 1] AS tz FROM events)")
+def locales(spark, d):
+    return T.users(spark, d).select("user_id", "tz", timez.locale(F.col("tz")).alias("locale"))
+
+
+@query("""WITH o AS (SELECT o_orderkey FROM orders WHERE (o_orderdate, o_orderkey) > (TIMESTAMP '1995-01-01', 100)), p AS (SELECT o_orderdate, o_orderkey FROM orders WHERE (o_orderdate, o_orderkey) > (TIMESTAMP '1995-01-01', 100) ORDER BY ALL LIMIT 25)
+SELECT (SELECT count(*) FROM p) AS scanned, (SELECT max((o_orderdate, o_orderkey))[2] FROM p) AS last_key, (SELECT count(*) FROM o) - (SELECT count(*) FROM p) AS remaining, (SELECT count(*) FROM o) = (SELECT count(*) FROM p) AS done""")
+def sweep_state(spark, d):
+    import datetime
+
+    _, at = feed.sweep_page(read(spark, d, "orders").select("o_orderdate", "o_orderkey"), ("o_orderdate", "o_orderkey"), (datetime.datetime(1995, 1, 1), 100))
+    return spark.createDataFrame([(at["scanned"], at["cursor"][1] if at["cursor"] else None, at["remaining"], at["done"])], "scanned long, last_key long, remaining long, done boolean")
+
+
+@query(f"SELECT DISTINCT 't' || (user_id % 40) AS tag FROM events WHERE user_id = {USER}")
+def discovery_waiting(spark, d):
+    u = F.col("user_id")
+    return discovery.waiting(read(spark, d, "events").select("user_id", tag(u % 40).alias("tag")).distinct(), USER)
+
+
+@query(sql(f"SELECT user_id, article_id, read_at FROM reads UNION ALL SELECT {USER}, '00000007', {NOW} WHERE NOT EXISTS (SELECT 1 FROM reads WHERE user_id = {USER} AND article_id = '00000007')", "reads"))
+def article_read(spark, d):
+    return feed.article(T.articles(spark, d), T.reads(spark, d), "00000007", USER, NOW)[1]
+
+
+@query(sql(f"SELECT user_id, article_id FROM stars WHERE NOT (user_id = {USER} AND article_id = (SELECT min(article_id) FROM stars WHERE user_id = {USER}))", "stars"))
+def unstarred(spark, d):
+    stars = T.stars(spark, d)
+    first = stars.where(F.col("user_id") == USER).agg(F.min("article_id")).first()[0]
+    return feed.unstar(stars, USER, first or "").select("user_id", "article_id")
+
+
+@query(sql(f"SELECT user_id, tag FROM user_tags WHERE user_id NOT IN ({USER}, 5) UNION ALL SELECT {USER}, unnest(['ai', 'cloud'])", "user_tags"))
+def tags_restored(spark, d):
+    return feed.set_tags(feed.set_tags(T.user_tags(spark, d), USER, ["ai", "cloud", "ai"]), 5, [])

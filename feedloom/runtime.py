@@ -35,6 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path or f"{tempfile.gettempdir()}/checkpoints"
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's own folder below the shared one: delete it (``discard``) once all results are written."""
+    return f"{shared_dir(spark)}/feedloom-{spark.sparkContext.applicationId}"
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared storage, whatever file system it is on."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

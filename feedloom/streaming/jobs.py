@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..runtime import discard, shared_dir
+from ..runtime import discard, scratch
 
 #: Failed fetches in a row that evict a key. A fixed value.
 LIMIT = 30
@@ -61,8 +61,8 @@ def replay(job, spark: SparkSession, sf_dir: str, schema: str, run: Column, runs
     """All that a job puts out when the event table arrives in ``runs`` runs: those rows whose ``run`` (a column, or an array of
     numbers for rows that are sent more than once) names it, each run started anew from the job's checkpoint and ended when all is
     read. Landing folder, checkpoint and sink (Parquet by batch id, so a repeated batch replaces its own output) are in the
-    shared folder; the first two are deleted at the end."""
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    application's folder; the first two are deleted at the end."""
+    path = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     named = rows.withColumn("__run", run)
     named = named.withColumn("__run", F.explode("__run")) if named.schema["__run"].dataType.typeName() == "array" else named
