@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from feedloom.llm import line_dedup, packing, quality, secrets, simhash
-from feedloom.llm.common import stored
+from feedloom.llm.common import release, stored, written
 from feedloom.runtime import ship
 
 
@@ -65,8 +65,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each result written as Parquet and read again as the next one's input."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each result written as Parquet and read again as the next one's input. A stage's own tables, and
+    the result before, are deleted once its result is written; the last stage's stay until ``common.cleanup``."""
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), written(spark)
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        release(spark, since, docs)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,52 +2,70 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import discard, scratch
+
 #: Most rows of a side that is broadcast; a row of these sides holds one or two longs, so this is tens of MB at most.
 BROADCAST_ROWS = 500_000
 #: log2 of the fewest and of the most bits of a key filter: 4 KB and 32 MB.
 FILTER_BITS = 15, 28
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset a session on one machine (tests)
-    takes one below the temp folder; a cluster has no folder to fall back on, so that is an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    master = spark.sparkContext.master
-    if not path and not (master.startswith("local") and not master.startswith("local-cluster")):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return path or f"{tempfile.gettempdir()}/checkpoints"
+#: Folders that ``stored`` wrote, by application, oldest first.
+_written: dict[str, list[str]] = {}
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    app = spark.sparkContext.applicationId
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(app, []).append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, and gives
     the optimizer real sizes. Each call has a folder of its own below one per application (see ``cleanup``)."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/feedloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = _folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
 def stored_all(spark: SparkSession, frames: Iterable[DataFrame], name: str = "t") -> DataFrame:
     """As ``stored`` for frames of one schema, each made and written in turn, read back as one table."""
-    path, schema = f"{shared_dir(spark)}/feedloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}", None
+    path, schema = _folder(spark, name), None
     for k, df in enumerate(frames):
         schema = df.schema
         df.write.parquet(f"{path}/run={k}")
     return spark.read.schema(schema).parquet(path).select(schema.names)
 
 
+def written(spark: SparkSession) -> int:
+    """How many tables ``stored`` has written for this application, as a mark for ``release``."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete the tables written since a mark, but for ``keep``, which ``stored`` returned: for intermediate tables whose last
+    reader has been written."""
+    held = {df._stored_at for df in keep}
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    for path in [p for p in paths[since:] if p not in held]:
+        discard(spark, path)
+        paths.remove(path)
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete every table that ``stored`` wrote for this application; call it once the results are written."""
-    sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/feedloom-{sc.applicationId}")
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    discard(spark, scratch(spark))
+    _written.pop(spark.sparkContext.applicationId, None)
 
 
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -81,6 +99,23 @@ class KeyFilter:
         return rows.join(F.broadcast(self.map), "__bucket", "left").withColumn(name, F.coalesce(bit, F.lit(False))).drop("__at", "__bucket", "__map")
 
 
+def batched(batches, step: int, *held):
+    """Slices of at most ``step`` rows of a task's batches. After each, Arrow gives its freed memory back, and at the task's end caches
+    ``held`` are cleared, so that workers, the waiting ones too, hold little."""
+    import pyarrow as pa
+
+    pool = pa.default_memory_pool()
+    try:
+        for b in batches:
+            for at in range(0, b.num_rows, step):
+                yield b.slice(at, step)
+                pool.release_unused()
+    finally:
+        for cache in held:
+            cache.clear()
+        pool.release_unused()
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -116,21 +151,29 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Connected components of ``edges`` (long columns u, v; repeats, loops and nulls allowed) as rows (node, label),
     label the smallest node of the component; nodes without an edge to another node are absent.
 
-    Each round halves paths at least: every edge is first folded into spanning stars within its partition, then a node
-    takes the smallest label among its own, its neighbours' and its label's label. State is written in the shared
-    folder every round, so a lost executor costs one round. No side is gathered in one task or on the driver.
+    Every partition's edges are folded into spanning stars. Then, in rounds, each node takes the smallest label among its own,
+    its neighbours' and its label's label, and edges are contracted to the labels of their ends, folded again, until none is
+    left: the graph shrinks from round to round. State is written in the shared folder every round, so a lost executor
+    costs one round. No side is gathered in one task or on the driver.
     """
     edges = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u is not null and v is not null and u <> v")
+    spark, since, mapping = edges.sparkSession, written(edges.sparkSession), None
     edges = stored(edges.mapInArrow(_forest, "u long, v long"), "edges")
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label")), "labels")
     for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("node").alias("u"), "label"), "u").select(F.col("v").alias("node"), "label")
-        hooked = stored(labels.unionByName(near).groupBy("node").agg(F.min("label").alias("label")), "hooked")
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hooked = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label")), "hooked")
         jump = hooked.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = stored(hooked.join(jump, "label", "left").select("node", F.coalesce("far", "label").alias("label")), "labels")
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
-    raise RuntimeError(f"components: no fixed point after {max_rounds} rounds")
+        labels = stored(hooked.join(jump, "label", "left").select("node", F.coalesce("far", "label").alias("label")), "labels")
+        if mapping is None:
+            mapping = labels
+        else:
+            further = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+            mapping = stored(mapping.join(further, "label", "left").select("node", F.coalesce("far", "label").alias("label")), "labels")
+        ends = [labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")) for c in ("u", "v")]
+        contracted = edges.join(ends[0], "u").join(ends[1], "v").where("of_u <> of_v").select(F.col("of_u").alias("u"), F.col("of_v").alias("v")).distinct()
+        edges = stored(contracted.mapInArrow(_forest, "u long, v long"), "edges")
+        release(spark, since, mapping, edges)
+        if not edges.limit(1).count():
+            release(spark, since, mapping)
+            return mapping
+    raise RuntimeError(f"components: edges are left after {max_rounds} rounds")

@@ -1,4 +1,5 @@
 import collections
+import os
 import re
 from zlib import crc32
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from feedloom.llm import quality, secrets
+from feedloom.llm import common, quality, secrets
 from feedloom.llm.common import stored
 
 DIR = "/root/testdata/sf0.001"
@@ -118,3 +119,15 @@ def test_odd_rows_go_through(spark):
     got = sorted(map(tuple, docs.collect()), key=str)
     assert got == sorted([(1, None, None, 5, "a")] * 2 + [(None, "x y", None, None, "b"), (3, rows[4][1], "t", 150_000, "c"), (4, "[REDACTED]", "s", 17, "d"), (5, rows[6][1], "u", 27, "e")], key=str)
     assert corpus_pipeline.pack_sequences(spark, docs, DIR).count() >= 6
+
+
+def test_tables_are_released(spark):
+    """The stages' tables go with the stage, the rest with ``cleanup``; results are read before that."""
+    common.cleanup(spark)
+    packed = corpus_pipeline.run(spark, DIR)
+    n, left = packed.count(), common.written(spark)
+    names = [p.rpartition("/")[2].partition("-")[0] for p in common._written[spark.sparkContext.applicationId]]
+    assert n and names.count("secrets") == 1 and not {"quality", "lines", "near_copies", "anchors", "shingles", "hits"} & set(names)
+    assert all(os.path.isdir(p) for p in common._written[spark.sparkContext.applicationId]) and left == len(names)
+    common.cleanup(spark)
+    assert common.written(spark) == 0 and not os.path.exists(common.scratch(spark))
