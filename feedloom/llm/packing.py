@@ -16,10 +16,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import batched, stored
 
 #: Most entries of a worker's cache of words.
-CACHE = 1_200_000
+CACHE = 800_000
+#: Rows that are encoded at a time.
+STEP = 1024
 #: A word of Latin letters that have no decomposed form among them, and ASCII punctuation after it (no apostrophe): the
 #: tokenizer cuts between the two and ignores case, so they are looked up apart.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
@@ -41,12 +43,12 @@ class WordEncoder:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         self.alphabet = {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         """The cache: a word's number, and of each number where its ids end in one flat array."""
         self.number: dict[str, int] = {}
-        self.flat, self.ends = array("I"), array("q")
+        self.flat, self.ends = array("I"), array("i")
         self._add("", [])
 
     def _add(self, word: str, ids) -> int:
@@ -94,20 +96,22 @@ class WordEncoder:
         words = split.flatten().dictionary_encode()
         listed = words.dictionary.to_pylist()
         if len(self.number) > CACHE:
-            self._clear()
+            self.clear()
         get = self.number.get
         known = [get(w) for w in listed]
         if new := [w for w, k in zip(listed, known) if k is None]:
             self._learn(new)
             known = [get(w) if k is None else k for w, k in zip(listed, known)]
-        at = np.array(known, np.int64)[words.indices.to_numpy(zero_copy_only=False)]
-        flat, last = np.frombuffer(self.flat, "<u4"), np.frombuffer(self.ends, np.int64)
+        at, offsets = np.array(known, np.int32)[words.indices.to_numpy(zero_copy_only=False)], split.offsets.to_numpy()
+        del words, listed, known, split
+        flat, last = np.frombuffer(self.flat, "<u4"), np.frombuffer(self.ends, np.int32)
         starts = last[at - (at > 0)] * (at > 0)
         sizes = last[at] - starts
-        ends = np.append(0, np.cumsum(sizes))
-        ids = flat[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])]
+        ends = np.append(np.int32(0), np.cumsum(sizes, dtype=np.int32))
+        where = np.repeat(starts - ends[:-1], sizes)
+        where += np.arange(ends[-1], dtype=np.int32)
+        ids = flat[where]
         del flat, last  # arrays cannot grow while they are looked at
-        offsets = split.offsets.to_numpy()
         ends = ends[offsets - offsets[0]]
         if not whole:
             return ids, ends[1:]
@@ -127,18 +131,17 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0) -> Da
 
     def run(batches):
         enc, tail = encoder(path), np.array([end], "<u4").tobytes()
-        for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part, rows = b.slice(at, 4096), []
-                ids, ends = enc.encode(part.column(1))
-                data = ids.tobytes()
-                for doc_id, z, a in zip(part.column(0).to_pylist(), ends.tolist(), [0, *ends.tolist()]):
-                    own = data[4 * a : 4 * z] + tail
-                    for k, x in enumerate(range(0, len(own), 4 * capacity)):
-                        cut = own[x : x + 4 * capacity]
-                        rows.append((doc_id, k, x // 4, len(cut) // 4, crc32(cut)))
-                columns = list(zip(*rows)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        for part in batched(batches, STEP, enc):
+            rows = []
+            ids, ends = enc.encode(part.column(1))
+            data = ids.tobytes()
+            for doc_id, z, a in zip(part.column(0).to_pylist(), ends.tolist(), [0, *ends.tolist()]):
+                own = data[4 * a : 4 * z] + tail
+                for k, x in enumerate(range(0, len(own), 4 * capacity)):
+                    cut = own[x : x + 4 * capacity]
+                    rows.append((doc_id, k, x // 4, len(cut) // 4, crc32(cut)))
+            columns = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECE)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 from zlib import crc32
@@ -12,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import batched
+
 #: Hash buckets for words and character n-grams; the n-gram lengths; the width of a vector.
 BUCKETS, GRAMS, DIM = 1 << 18, (3, 4), 16
 #: Most labelled documents that a model is fitted on: those with the least hash of their doc_id.
@@ -120,33 +123,38 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 class Scorer:
-    """Scores of texts. A word's bucket, its features' sum and their number are kept in a bounded cache; the words of a
-    batch are split and numbered by Arrow, and all else is array arithmetic."""
+    """Scores of texts. A word's bucket, its features' sum and their number are kept in a bounded cache, as arrays by the word's
+    number; the words of a batch are split and numbered by Arrow, and all else is array arithmetic."""
 
     def __init__(self, lean: np.ndarray, bias: float):
-        self.table, self.lean, self.bias, self.words = lean.tolist(), lean, bias, {"": (0, 0.0, 0)}
+        self.table, self.lean, self.bias = lean.tolist(), lean, bias
+        self.clear()
+
+    def clear(self) -> None:
+        self.number, self.heads, self.sums, self.sizes = {"": 0}, array("i", [0]), array("d", [0.0]), array("i", [0])
 
-    def _word(self, word: str) -> tuple[int, float, int]:
+    def _learn(self, word: str) -> int:
         ids = features(word)
-        got = ids[0], sum([self.table[i] for i in ids]), len(ids)
-        if len(word) <= 64:
-            self.words[word] = got
-        return got
+        self.heads.append(ids[0])
+        self.sums.append(sum([self.table[i] for i in ids]))
+        self.sizes.append(len(ids))
+        self.number[word] = k = len(self.heads) - 1
+        return k
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
         words, at, offsets = split_words(texts)
-        if len(self.words) > CACHE:
-            self.words = {"": (0, 0.0, 0)}
-        get, make = self.words.get, self._word
-        known = [get(w) or make(w) for w in words]
-        heads, sums, sizes = (np.array(c, t)[at] for c, t in zip(zip(*known), (np.int64, np.float64, np.int64)))
+        if len(self.number) > CACHE:
+            self.clear()
+        get, learn = self.number.get, self._learn
+        at = np.array([learn(w) if (k := get(w)) is None else k for w in words], np.int32)[at]
+        heads, sums, sizes = (np.frombuffer(c, t)[at] for c, t in ((self.heads, np.int32), (self.sums, np.float64), (self.sizes, np.int32)))
         pair = self.lean[heads[:-1] ^ heads[1:]]
-        one = np.ones(len(pair), np.int64)
+        one = np.ones(len(pair), np.int32)
         for x in (pair, one):
             x[offsets[1:-1] - 1] = 0  # no bigram goes over the end of a text
         starts = offsets[:-1]
         total = np.add.reduceat(sums + np.append(pair, 0.0), starts)
-        count = np.add.reduceat(sizes + np.append(one, 0), starts)
+        count = np.add.reduceat(sizes + np.append(one, np.int32(0)), starts, dtype=np.int64)
         x = self.bias + total / np.maximum(count, 1)
         return 1 / (1 + np.exp(-np.clip(x, -700.0, 700.0)))
 
@@ -159,7 +167,7 @@ def _scorer(model: Model, spark):
 
 
 #: Rows that are scored at a time.
-STEP = 4096
+STEP = 1024
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -173,11 +181,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     def run(batches):
         one = make()
-        for whole in batches:
-            for at in range(0, whole.num_rows, STEP):
-                b = whole.slice(at, STEP)
-                scores = one(b.column(1))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        for b in batched(batches, STEP, one):
+            scores = one(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(doc_id).alias("held_out"))
@@ -190,9 +196,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFram
 
     def run(batches):
         one = make()
-        for whole in batches:
-            for k in range(0, whole.num_rows, STEP):
-                b = whole.slice(k, STEP)
-                yield b.filter(pa.array(one(b.column(at).cast(pa.string())) >= threshold))
+        for b in batched(batches, STEP, one):
+            yield b.filter(pa.array(one(b.column(at).cast(pa.string())) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
