@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from .common import KeyFilter, checked_broadcast, components, stored, tasks
+from .common import KeyFilter, batched, checked_broadcast, components, stored, tasks
 
 
 def hashes_of(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """Rows (doc_id, fp) with the fingerprint as a signed long."""
 
     def run(batches):
-        for b in batches:
+        for b in batched(batches, 1024):
             fps = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
 
@@ -154,34 +154,37 @@ def _replicate(level: int, threshold: int):
     return run
 
 
-def spanning(ids: np.ndarray, fps: np.ndarray, home: np.ndarray, threshold: int, sketches: np.ndarray | None = None, alike: int = 2, block: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect whatever the links between the rows with ``home`` and the others connect; with sketches, a link needs
+def spanning(ids: np.ndarray, fps: np.ndarray, home: np.ndarray, threshold: int, sketches: np.ndarray | None = None, alike: int = 3, block: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges, with the bits that their ends differ in, that connect whatever the links between the rows with ``home`` and the others connect; with sketches, a link needs
     ``alike`` equal bytes of them too. Every link is looked
     at, but a row leaves an edge only to the nearest member of each component it joins, so a group of copies never
     gives all its pairs."""
     nodes, at = np.unique(ids, return_inverse=True)
     own, rows = np.flatnonzero(home), np.flatnonzero(~home)
-    label, us, vs = np.arange(len(nodes)), [], []
+    label, us, vs, ds = np.arange(len(nodes)), [], [], []
     itself = np.isin(at[own], at[rows])  # in a cell of a hot anchor a row's other copy may be elsewhere
     step = max(1, block // max(1, len(rows)))
     for a in range(0, len(own), step):
         part = own[a : a + step]
         apart = np.bitwise_count(fps[part][:, None] ^ fps[rows][None, :])
         hit = apart <= threshold
+        if sketches is not None:
+            row, col = np.nonzero(hit)
+            unlike = ((sketches[part[row]] ^ sketches[rows[col]]).view(np.uint8).reshape(-1, 8) == 0).sum(1) < alike
+            hit[row[unlike], col[unlike]] = False
         for i in np.flatnonzero(hit.sum(1) > itself[a : a + step]).tolist():
-            near = rows[hit[i]]
-            near = near[np.argsort(apart[i][hit[i]], kind="stable")]
+            near, far = rows[hit[i]], apart[i][hit[i]]
+            order = np.argsort(far, kind="stable")
+            near, far = near[order], far[order]
             me = at[part[i]]
-            if sketches is not None:
-                same = (sketches[near] ^ sketches[part[i]]).view(np.uint8).reshape(-1, 8) == 0
-                near = near[same.sum(1) >= alike]
             found, first = np.unique(label[at[near]], return_index=True)
             new = found != label[me]
             if new.any():
                 us.append(np.full(int(new.sum()), nodes[me]))
                 vs.append(ids[near[first[new]]])
+                ds.append(far[first[new]].astype(np.int32))
                 label[np.isin(label, found)] = label[me]
-    return (np.concatenate(us), np.concatenate(vs)) if us else (nodes[:0], nodes[:0])
+    return (np.concatenate(us), np.concatenate(vs), np.concatenate(ds)) if us else (nodes[:0], nodes[:0], np.zeros(0, np.int32))
 
 
 def _compare(threshold: int):
@@ -192,26 +195,24 @@ def _compare(threshold: int):
         anchor, i, j, ids, fp, home = (x[order] for x in (anchor, i, j, ids, fp, home))
         sketch = table.column("sketch").to_numpy()[order] if "sketch" in table.column_names else None
         new = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(i, prepend=-1) != 0) | (np.diff(j, prepend=-1) != 0))
-        us, vs = [ids[:0]], [ids[:0]]
+        found = [(ids[:0], ids[:0], np.zeros(0, np.int32))]
         for a, z in zip(new.tolist(), [*new[1:].tolist(), len(fp)]):
             if home[a:z].any():
-                u, v = spanning(ids[a:z], fp[a:z], home[a:z], threshold, sketch if sketch is None else sketch[a:z])
-                us.append(u)
-                vs.append(v)
-        return pa.table({"u": pa.array(np.concatenate(us)), "v": pa.array(np.concatenate(vs))})
+                found.append(spanning(ids[a:z], fp[a:z], home[a:z], threshold, sketch if sketch is None else sketch[a:z]))
+        return pa.table({k: pa.array(np.concatenate(x)) for k, x in zip(("u", "v", "apart"), zip(*found))})
 
     return run
 
 
 def links(nodes: DataFrame, threshold: int, within: int | None = None, most: int = 200_000, level: int | None = None, sketch_from: int = 16_000_000) -> DataFrame:
-    """Edges (u, v) over ``nodes`` (a stored table with long columns id and fp, ids unique) that connect all pairs whose
+    """Edges (u, v, apart: differing bits) over ``nodes`` (a stored table with long columns id and fp, ids unique) that connect all pairs whose
     fingerprints differ in at most ``threshold`` bits. With ``within`` above that, pairs that meet at an anchor link up to
     ``within`` bits; ``threshold`` is then what is certain to meet. A column sketch of ``nodes`` (see ``minima``) must agree in
-    two of its eight bytes as well.
+    three of its eight bytes as well.
 
     Anchors are the words of a covering code over each of three blocks; the code follows the number of nodes (``level_for``)
-    and each finds every link. From ``sketch_from`` nodes on, anchors are split by seven of the sketch's bytes: pairs that
-    agree in two of eight agree in one of seven, so none is lost. Anchors with over ``most`` rows are cut into cells,
+    and each finds every link. From ``sketch_from`` nodes on, anchors are split by six of the sketch's bytes: pairs that
+    agree in three of eight agree in one of six, so none is lost. Anchors with over ``most`` rows are cut into cells,
     each with a part of the homes and a part of the rows, so no task gathers a hot anchor.
     """
     n, parts = nodes.count(), tasks(nodes.sparkSession)
@@ -220,7 +221,7 @@ def links(nodes: DataFrame, threshold: int, within: int | None = None, most: int
     placed = nodes.select("id", "fp", *more).repartition(parts).mapInArrow(_replicate(level, threshold), "anchor long, id long, fp long, home boolean" + ", sketch long" * len(more))
     if more and n >= sketch_from:
         byte = F.expr("shiftright(sketch, 8 * part) & 255")
-        placed = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(6)))).withColumn("anchor", F.xxhash64("anchor", "part", byte)).drop("part")
+        placed = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("anchor", F.xxhash64("anchor", "part", byte)).drop("part")
     placed = stored(placed, "anchors")
     hot = checked_broadcast(stored(placed.groupBy("anchor").count().where(F.col("count") > most).select("anchor", F.ceil(F.col("count") / most).cast("int").alias("cuts")), "hot"))
     cuts = F.coalesce("cuts", F.lit(1))
@@ -228,7 +229,7 @@ def links(nodes: DataFrame, threshold: int, within: int | None = None, most: int
     placed = placed.select("anchor", "id", "fp", "home", *more, "own", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
     cell = {"i": F.when(F.col("home"), F.col("own")).otherwise(F.col("other")), "j": F.when(F.col("home"), F.col("other")).otherwise(F.col("own"))}
     placed = placed.withColumns(cell).withColumn("cell", F.pmod(F.hash("anchor", "i", "j"), F.lit(max(4 * parts, n // 2_000))))
-    return placed.select("cell", "anchor", "i", "j", "id", "fp", "home", *more).groupBy("cell").applyInArrow(_compare(within or threshold), "u long, v long")
+    return placed.select("cell", "anchor", "i", "j", "id", "fp", "home", *more).groupBy("cell").applyInArrow(_compare(within or threshold), "u long, v long, apart int")
 
 
 def simhash_groups(docs: DataFrame, words: int = 4, threshold: int = 4) -> DataFrame:
@@ -252,7 +253,7 @@ def simhash_groups(docs: DataFrame, words: int = 4, threshold: int = 4) -> DataF
 
 def _shingles(words: int):
     def run(batches):
-        for b in batches:
+        for b in batched(batches, 1024):
             sets = []
             for text in b.column(1):
                 w = (text.as_py() or "").encode("utf-8", "replace").lower().split()
@@ -263,7 +264,7 @@ def _shingles(words: int):
     return run
 
 
-def joined(ids: np.ndarray, labels: np.ndarray, sketches: np.ndarray, tokens: np.ndarray, ends: np.ndarray, left: int, similarity: float, alike: int = 2) -> tuple[np.ndarray, np.ndarray]:
+def joined(ids: np.ndarray, labels: np.ndarray, sketches: np.ndarray, tokens: np.ndarray, ends: np.ndarray, left: int, similarity: float, alike: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect whatever pairs of rows of unlike labels at a Jaccard similarity of at least ``similarity`` connect:
     between the first ``left`` rows and the others, or among all rows if ``left`` is 0. ``tokens`` holds the rows' sets one
     after another, up to ``ends``. Labels merge on such pairs only; pairs need ``alike`` equal bytes of their sketches."""
@@ -319,7 +320,7 @@ def _settle(similarity: float):
     return run
 
 
-def settle(sets: DataFrame, nodes: DataFrame, families: DataFrame, groups: DataFrame, similarity: float, most: int = 1_000_000) -> DataFrame:
+def settle(sets: DataFrame, nodes: DataFrame, families: DataFrame, groups: DataFrame, similarity: float, most: int = 500_000) -> DataFrame:
     """Edges (u, v) that connect what the links at ``similarity`` within families (node, label) connect beyond groups (node,
     label), whose links are verified. ``sets`` (id, shingles) and ``nodes`` (id, sketch) are stored tables.
 
@@ -331,30 +332,37 @@ def settle(sets: DataFrame, nodes: DataFrame, families: DataFrame, groups: DataF
     members = stored(members, "members")
     parted = members.groupBy("family").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.sum("size").alias("size")).where("a < b")
     parted = checked_broadcast(stored(parted.select("family", F.ceil(F.col("size") / most).cast("int").alias("cuts")), "parted"))
-    rows = stored(members.select("id", "family", "label").join(parted, "family"), "apart")
-    n, parts = rows.count(), tasks(sets.sparkSession)
+    rows = stored(members.select("id", "family", "label", "size").join(parted, "family"), "apart")
+    total, parts = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], tasks(sets.sparkSession)
+    rows = rows.drop("size")
     rows = rows.join(sets, "id").join(nodes.select("id", "sketch"), "id").withColumn("own", F.pmod(F.hash("id"), F.col("cuts")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    rows = rows.withColumn("cell", F.pmod(F.hash("family", "i", "j"), F.lit(max(4 * parts, n // 2_000))))
+    # small families share a cell of about as many shingles; each pair of parts of a large one has a cell of its own
+    shared = max(4 * parts, total // most)
+    rows = rows.withColumn("cell", F.when(F.col("cuts") > 1, F.xxhash64("family", "i", "j")).otherwise(F.pmod(F.xxhash64("family"), F.lit(shared))))
     return rows.select("cell", "family", "i", "j", "own", "id", "label", "sketch", "shingles").groupBy("cell").applyInArrow(_settle(similarity), "u long, v long")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, certain: int = 8, within: int = 14) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, certain: int = 8, within: int = 16) -> DataFrame:
     """``docs`` (doc_id, text, any other columns) with one row of each group of near duplicates: that of the least doc_id.
 
-    SimHash fingerprints over ``words``-word shingles meet at anchors (surely up to ``certain`` differing bits); pairs within
-    ``within`` bits whose eight minima agree in two (nearly all do at a similarity of 0.8, of unlike texts 4 in 10,000) and that connect groups are verified: their sets of shingles must have a Jaccard similarity of at least
-    ``similarity``, of whole texts. Where that refutes a pair, all pairs of the family (whatever candidates connect) that verified links
-    leave apart are compared, at any distance in bits, if their minima agree in two. Groups are the components of verified links; equal texts are one node. Null text counts as
-    empty text, and empty texts are equal. Texts are known by 128 bits; should two texts share the first 64, one of them is left alone. Texts
-    are shuffled only if a bounded filter says that they may be candidates or drops. Rows with a null doc_id stay and count for no group unless all there are null;
-    rows that repeat the doc_id that stays, with a text of the group, stay too. An empty table gives an empty result.
+    SimHash fingerprints over ``words``-word shingles meet at anchors, surely up to ``certain`` differing bits, nine pairs of ten
+    at 14; texts at a similarity of 0.8 mostly differ in 6 to 14. Candidates are pairs within ``within`` bits whose eight minima agree
+    in three, as 998 of 1,000 do at a similarity of 0.8 and 3 in a million unlike texts. Each text's nearest candidate is verified:
+    their sets of shingles, of whole texts, must have a Jaccard similarity of at least ``similarity``. Then all pairs of a family
+    (whatever candidates connect) that verified links leave apart are compared, at any distance in bits, if their minima agree
+    in three. Groups are the components of verified links; equal texts are one node.
+
+    Null text counts as empty text, and empty texts are equal. Texts are known by 128 bits; should two texts share the first
+    64, one of them is left alone. Texts are shuffled only if a bounded filter says that they may be candidates or drops. Rows with a
+    null doc_id stay and count for no group unless all there are null; rows that repeat the doc_id that stays, with a text of
+    the group, stay too. An empty table gives an empty result.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("id"), F.xxhash64(F.lit(1), text).alias("id2"))
 
     def run(batches):
-        for b in batches:
+        for b in batched(batches, 1024):
             hashes = (hashes_of(t.as_py(), words) for t in b.column(1))
             both = np.array([(majority(h), minima(h)) for h in hashes], np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["doc_id", "id", "id2", "fp", "sketch"])
@@ -362,11 +370,14 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     rows = stored(keyed.mapInArrow(run, "doc_id long, id long, id2 long, fp long, sketch long"), "fingerprints")
     each = rows.groupBy("id", "id2").agg(F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("doc_id").alias("least"), F.count("*").alias("n"))
     nodes = stored(each.groupBy("id").agg(F.min(F.struct("id2", "fp", "sketch", "least", "n")).alias("s")).select("id", "s.*"), "nodes")
-    edges = stored(links(nodes, certain, within).distinct(), "candidates")
+    edges = stored(links(nodes, certain, within).groupBy("u", "v").agg(F.min("apart").alias("apart")), "candidates")
     ends = stored(edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct(), "ends")
     texts = KeyFilter(ends, "id").mark(keyed, F.col("id")).where("__maybe").groupBy("id").agg(F.min_by("text", "id2").alias("text"))
     sets = stored(texts.mapInArrow(_shingles(words), "id long, shingles array<long>"), "shingles")
-    both = edges.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
+    # each text's nearest candidate; what that leaves apart within a family is settled there, so a large group gives no more edges than texts
+    nearest = edges.union(edges.select("v", "u", "apart")).groupBy("u").agg(F.min(F.struct("apart", "v")).alias("n")).select("u", F.col("n.v").alias("v"))
+    nearest = stored(nearest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "nearest")
+    both = nearest.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     verified = stored(both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v"), "verified")
     labels = components(verified.unionByName(settle(sets, nodes, components(edges), components(verified), similarity)))

@@ -162,6 +162,47 @@ def family_of_templates(rng, templates=150):
     return texts
 
 
+def jaccard(a, b):
+    x, y = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copy_recall(spark):
+    """Copies with some words changed, one of each original: nearly all at 0.8 or more go, none below it does."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9))) for _ in range(3000)]
+    rows, pairs = [], []
+    for k in range(500):
+        text = [rng.choice(words) for _ in range(rng.randrange(60, 500))]
+        copy = list(text)
+        for _ in range(max(1, round(len(text) * rng.choice([0.005, 0.01, 0.015, 0.02, 0.04, 0.06])))):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(copy))]
+        pairs.append((2 * k + 1, jaccard(rows[-2][1], rows[-1][1])))
+    left = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(2 * k in left for k in range(500))
+    assert all(i in left for i, j in pairs if j < 0.8)
+    near = [i for i, j in pairs if j >= 0.8]
+    assert len(near) > 200 and sum(i not in left for i in near) >= 0.95 * len(near)
+
+
+def test_split_anchors_lose_nothing(spark):
+    """Anchors split by the sketch's bytes, as for very many fingerprints, link what they link otherwise."""
+    rng = np.random.default_rng(13)
+    fps = rng.integers(0, 1 << 62, 300, dtype=np.int64)
+    sketch = rng.integers(0, 1 << 62, 300, dtype=np.int64)
+    near, kept = fps[:150].copy(), sketch[:150].copy()
+    for k in range(150):
+        for b in rng.choice(62, rng.integers(1, 9), replace=False):
+            near[k] ^= 1 << int(b)
+        kept[k] ^= int(rng.integers(1, 256)) << 8 * int(rng.integers(0, 7))  # one byte of eight differs
+    rows = [(i, int(f), int(s)) for i, (f, s) in enumerate(zip(np.concatenate([fps, near]), np.concatenate([sketch, kept])))]
+    nodes = common.stored(spark.createDataFrame(rows, "id long, fp long, sketch long"))
+    for limit in (1 << 40, 0):
+        edges = {frozenset((r.u, r.v)) for r in simhash.links(nodes, 8, sketch_from=limit).collect()}
+        assert edges == {frozenset((k, 300 + k)) for k in range(150)}
+
+
 def test_false_candidates_hide_no_near_copies(spark):
     texts = family_of_templates(random.Random(5))
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
@@ -381,11 +422,20 @@ def test_redaction(spark):
     assert all(not python_spans(t) for t in out.values()) and secrets.redact(df).columns == df.columns
 
 
-def test_native_plans(spark):
-    df = spark.createDataFrame([(1, "a", "s")], "doc_id long, text string, source string")
+def test_native_plans(spark, monkeypatch):
+    """No Python worker in the last plan nor in any that is written on the way to it."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source")
+    plans, write = [], common.stored
+
+    def recorded(frame, name="t"):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return write(frame, name)
+
+    for module in (common, secrets, line_dedup):
+        monkeypatch.setattr(module, "stored", recorded)
     for out in (secrets.scan_secrets(df), secrets.redact(df), line_dedup.line_dedup(df)):
-        plan = out._jdf.queryExecution().executedPlan().toString()
-        assert not re.search("Python|Pandas|Arrow", plan)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 12 and not any(re.search("Python|Pandas|Arrow", p) for p in plans)
 
 
 # ---- lines ----
@@ -534,3 +584,39 @@ def test_quality(spark):
     empty = quality.fit(docs, labels.limit(0))
     assert {r.score for r in quality.score(docs, empty).collect()} == {0.5}
     assert quality.score(docs.limit(0), model).count() == 0
+
+
+# ---- key filters ----
+
+
+def test_key_filter(spark):
+    """No key is lost, few others get through, nulls are no keys, and no keys let nothing through."""
+    keys = common.stored(spark.createDataFrame([(i * 7 - 900,) for i in range(3000)] + [(None,)], "key long"))
+    rows = spark.range(-2000, 100_000)
+    marked = common.KeyFilter(keys).mark(rows, F.col("id"))
+    inside = (F.col("id") + 900) % 7 == 0
+    inside = inside & F.col("id").between(-900, 7 * 2999 - 900)
+    got = marked.groupBy(inside.alias("key")).agg(F.count("*").alias("n"), F.count_if("__maybe").alias("through")).collect()
+    n = {r.key: (r.n, r.through) for r in got}
+    assert n[True] == (3000, 3000) and n[False][1] < n[False][0] / 20
+    assert marked.columns == ["id", "__maybe"]
+    none = common.KeyFilter(common.stored(spark.createDataFrame([], "key long"))).mark(rows, F.col("id"))
+    assert none.where("__maybe").count() == 0
+
+
+def test_a_full_filter_changes_no_result(spark, monkeypatch):
+    """With a filter that lets all through, as with very many keys, results are the same: only the work differs."""
+    from feedloom.llm import exact_dedup
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    steps = {
+        "lines": lambda: line_dedup.line_dedup(docs, min_sites=4),
+        "exact": lambda: exact_dedup.exact_dedup(docs),
+        "spans": lambda: secrets.scan_secrets(docs),
+        "redacted": lambda: secrets.redact(docs),
+        "copies": lambda: simhash.drop_near_duplicates(docs),
+    }
+    before = {k: sorted(map(tuple, f().collect()), key=key) for k, f in steps.items()}
+    monkeypatch.setattr(common.KeyFilter, "mark", lambda self, df, key, name="__maybe": df.withColumn(name, F.lit(True)))
+    for k, f in steps.items():
+        assert sorted(map(tuple, f().collect()), key=key) == before[k], k
