@@ -10,10 +10,14 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Most bytes of an Arrow batch to a Python worker: long texts must not make a batch of many rows a large one.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
 
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors once per application, so that Python workers can import it wherever the driver
-    was started; no shared file system is needed."""
+    was started; no shared file system is needed. Arrow batches of the session are limited to ``BATCH_BYTES`` as well."""
+    spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         _shipped.add(app)
