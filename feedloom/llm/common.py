@@ -158,7 +158,8 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """
     edges = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u is not null and v is not null and u <> v")
     spark, since, mapping = edges.sparkSession, written(edges.sparkSession), None
-    edges = stored(edges.mapInArrow(_forest, "u long, v long"), "edges")
+    # what makes the edges may run Python as well: stored first, a task never needs two workers at once
+    edges = stored(stored(edges, "raw").mapInArrow(_forest, "u long, v long"), "edges")
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hooked = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label")), "hooked")
