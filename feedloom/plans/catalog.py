@@ -301,7 +301,7 @@ def fetch_reasons(spark, d):
     return fetch_results(rows).select("page_id", "reason", "fetched", "success", "n")
 
 
-@query(f"SELECT page_id, CASE WHEN page_id % 5 <> 0 AND page_id % 4 <> 0 AND page_id % 50 > 20 AND page_id % 6 <> 0 THEN 5 * (page_id % 50) - 1 END::BIGINT AS n FROM pages")
+@query(f"SELECT page_id, CASE WHEN page_id % 5 <> 0 AND page_id % 4 <> 0 AND page_id % 50 > 20 AND page_id % 6 <> 0 THEN 5 * (page_id % 50) - 1 ELSE -1 END::BIGINT AS n FROM pages")
 def article_gate(spark, d):
     from ..sources.feeds import article_bodies
 
@@ -309,7 +309,7 @@ def article_gate(spark, d):
     kind = F.when(n % 4 == 0, "application/pdf").when(n % 4 == 1, "").when(n % 4 == 2, "Text/HTML; charset=utf-8")
     html = F.concat(F.lit("<html><body><nav>menu</nav><article>"), F.repeat(F.lit("word "), (n % 50).cast("int")), F.lit("</article></body></html>"))
     rows = read(spark, d, "pages").select("page_id", F.when(n % 6 == 0, "http://a.example.org/").otherwise("https://a.example.org/").alias("url"), F.when(n % 5 == 0, 404).otherwise(200).alias("status"), kind.alias("content_type"), html.alias("html"))
-    return article_bodies(rows).select("page_id", F.length("text").cast("long").alias("n"))
+    return article_bodies(rows).select("page_id", F.coalesce(F.length("text"), F.lit(-1)).cast("long").alias("n"))
 
 
 @query("SELECT doc_id, 'A' || doc_id AS title, 'https://a.org/' || doc_id AS url, 1704067200 + doc_id AS published_at FROM documents")
@@ -891,11 +891,11 @@ def discovery_enqueue(spark, d):
 
 @query(f"""WITH {SQL_TAGS}, f AS (SELECT k, CASE WHEN k % 4 = 3 THEN NULL WHEN k % 4 = 0 THEN k ELSE 0 END AS found, CASE WHEN k % 3 = 0 THEN k % 2 ELSE 0 END AS before FROM k),
 a AS (SELECT *, CASE WHEN k IN (0, 7, 11) THEN 'drop' WHEN found IS NULL THEN 'error' WHEN found > 0 THEN 'cache' WHEN before + 1 >= 2 THEN 'evict' ELSE 'retry' END AS action FROM f)
-SELECT 't' || k AS tag, action, CAST(CASE action WHEN 'retry' THEN before + 1 WHEN 'error' THEN before ELSE 0 END AS BIGINT) AS failures, action IN ('drop', 'cache', 'evict') AS cleared, CAST(CASE action WHEN 'cache' THEN found WHEN 'evict' THEN 0 END AS BIGINT) AS feeds FROM a""")
+SELECT 't' || k AS tag, action, CAST(CASE action WHEN 'retry' THEN before + 1 WHEN 'error' THEN before ELSE 0 END AS BIGINT) AS failures, action IN ('drop', 'cache', 'evict') AS cleared, CAST(CASE action WHEN 'cache' THEN found WHEN 'evict' THEN 0 ELSE -1 END AS BIGINT) AS feeds FROM a""")
 def discovery_states(spark, d):
     k, rows = F.col("k"), tag_numbers(spark, d)
     found = rows.select(tag(k).alias("tag"), F.when(k % 4 == 3, None).when(k % 4 == 0, k).otherwise(0).alias("feeds"))
-    return discovery.discover(rows.select(tag(k).alias("tag")), curated_tags(spark), found, rows.where(k % 3 == 0).select(tag(k).alias("tag"), (k % 2).alias("failures")))
+    return discovery.discover(rows.select(tag(k).alias("tag")), curated_tags(spark), found, rows.where(k % 3 == 0).select(tag(k).alias("tag"), (k % 2).alias("failures"))).fillna(-1, ["feeds"])
 
 
 @query(sql("SELECT 'feed' AS kind, source_name, url FROM articles WHERE CAST(id AS BIGINT) % 3 <> 0 AND source_name NOT IN (SELECT min(source_name) FROM articles) UNION ALL SELECT 'requeue', min(source_name), NULL FROM articles", "articles"))
