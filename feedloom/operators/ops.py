@@ -69,24 +69,25 @@ def failure_streaks(events: DataFrame, key: str, time: str, order: str, failed:
 
 def _started(window: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("time", "ascending"), ("order", "ascending")])
-        last, out = None, []
-        for t in table.column("time").to_pylist():
-            out.append(last is None or t - last > window)
-            last = t if out[-1] else last
+        table = table.sort_by([("key", "ascending"), ("session", "ascending"), ("time", "ascending"), ("order", "ascending")])
+        where, last, out = None, 0, []
+        for key, session, t in zip(*(table.column(c).to_pylist() for c in ("key", "session", "time"))):
+            out.append((key, session) != where or t - last > window)
+            where, last = (key, session), t if out[-1] else last
         return pa.table({"key": table.column("key"), "order": table.column("order"), "started": pa.array(out, pa.bool_())})
 
     return run
 
 
-def kick(requests: DataFrame, key: str, time: str, order: str, window: int = 120) -> DataFrame:
+def kick(requests: DataFrame, key: str, time: str, order: str, window: int = 120, rows_per_task: int = 50_000) -> DataFrame:
     """(key, order, started): whether a request starts a run or reuses the one that was started within ``window`` seconds before. A
     request that follows the one before by more than the window starts one in any case, so a key's requests fall into
-    sessions, each of which is folded apart."""
+    sessions, each of which is folded apart, many of them by a task."""
     rows = requests.select(F.col(key).cast("long").alias("key"), F.col(time).cast("long").alias("time"), F.col(order).cast("long").alias("order"))
     w = W.partitionBy("key").orderBy("time", "order")
     rows = rows.withColumn("session", F.sum(F.when(F.col("time") - F.lag("time").over(w) <= window, 0).otherwise(1)).over(w))
-    return rows.groupBy("key", "session").applyInArrow(_started(window), "key long, order long, started boolean")
+    shares = max(1, -(-requests.count() // rows_per_task))
+    return rows.groupBy(F.pmod(F.xxhash64("key", "session"), F.lit(shares))).applyInArrow(_started(window), "key long, order long, started boolean")
 
 
 def finished(chunks: DataFrame, losers: DataFrame) -> DataFrame:
