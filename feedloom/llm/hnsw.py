@@ -1,22 +1,30 @@
-"""Embedding near-deduplication over hierarchical navigable small-world graphs, one per shard."""
+"""Embedding near-deduplication by cells around the nodes of a hierarchical navigable small-world graph."""
 
 from __future__ import annotations
 
-import pickle
+import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from .common import components, stored, stored_all, tasks
+from .common import KeyFilter, components, stored, tasks
 
 #: Links of a node in the ground layer and above it.
 GROUND, UPPER = 32, 16
-#: Most bytes of vectors, as floats, in a shard, and most bytes of graphs that one job broadcasts (one graph at least).
-SHARD_BYTES, WAVE_BYTES = 1 << 26, 1 << 26
 #: What single precision may be off by, and how far below the least similarity a range search still walks on.
 MARGIN, SLACK = 1e-3, 0.05
+#: Cells that a row joins at most, how much less (in cosine) than to its nearest node a further cell's node may be similar, and what
+#: nodes stay below among each other: about twice the angle of a cosine of 0.9, so that no dense group has several nodes.
+COPIES, REACH, APART = 7, 0.3, 0.6
+#: Most nodes of a graph, and how many rows for each are sampled to fit it (1,024 rows at least).
+NODES, SPARE = 16_384, 4
+#: What a cosine of two vectors in half precision may be off by; pairs so near to the least similarity are compared exactly.
+DOUBT = 2e-3
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -67,22 +75,6 @@ class Graph:
         self.top = done_top
         self._repair()
 
-    def packed(self) -> bytes:
-        """The links alone: upper layers by the few nodes that have any, vectors not at all."""
-        rows = [np.flatnonzero((a >= 0).any(1)) for a in self.layers]
-        return pickle.dumps((self.entry, self.top, [(len(a), r, a[r]) for a, r in zip(self.layers, rows)]))
-
-    @classmethod
-    def unpacked(cls, data: bytes, x: np.ndarray) -> Graph:
-        self = cls.__new__(cls)
-        self.x = np.ascontiguousarray(x, np.float32)
-        self.entry, self.top, layers = pickle.loads(data)
-        self.layers = []
-        for n, rows, links in layers:
-            self.layers.append(np.full((n, links.shape[1]), -1, np.int32))
-            self.layers[-1][rows] = links
-        return self
-
     def _repair(self, links: int = 4) -> None:
         """Give ground nodes that no walk from the entry reaches a way in: links from the nearest nodes that it reaches, in
         further columns of the ground layer, until all are reached."""
@@ -264,21 +256,6 @@ class Graph:
             seen[front] = True
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
-    values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(len(flat), -1)
-
-
-def _index(table: pa.Table) -> pa.Table:
-    raw = _matrix(table.column("embedding"))
-    lean = raw.astype(np.float32)
-    lean = lean if (lean == raw).all() else raw  # values that came as floats travel as floats, without loss
-    blob = pickle.dumps((table.column("gid").to_numpy(), table.column("n").to_numpy(), lean, Graph(_unit(raw)).packed()))
-    kind = pa.large_binary() if len(blob) >= 1 << 31 else pa.binary()
-    return pa.table({"shard": table.column("shard")[:1], "dim": table.column("dim")[:1], "bytes": pa.array([len(blob)], pa.int64()), "graph": pa.array([blob], kind)})
-
-
 def recalled(hits: np.ndarray, links: np.ndarray, few: int, recall: float) -> bool:
     """Whether audited queries found ``hits`` of their ``links`` to the share ``recall``: in total, on average over the queries
     that have links, and on average over those of them with fewer than ``few``, which large groups would outweigh."""
@@ -287,6 +264,14 @@ def recalled(hits: np.ndarray, links: np.ndarray, few: int, recall: float) -> bo
     return hits.sum() >= recall * links.sum() and all((hits[m] / links[m]).mean() >= recall for m in (rare | True, rare) if m.any())
 
 
+def _turned(exact: np.ndarray, away: np.ndarray, least: float) -> np.ndarray:
+    """Unit vectors turned in the directions ``away`` until their cosine to themselves is just above ``least``."""
+    away = away - np.einsum("bd,bd->b", away, exact)[:, None] * exact
+    size = np.linalg.norm(away, axis=1, keepdims=True)
+    cos = least + 0.1 * (1 - least)
+    return _unit(np.where(size > 1e-9, cos * exact + np.sqrt(max(0.0, 1 - cos * cos)) * away / np.maximum(size, 1e-9), exact))
+
+
 def audited(graph: Graph, exact: np.ndarray, q: np.ndarray, least: float, beam: int, recall: float, audit: int) -> tuple[int, int, int]:
     """The beam, doubled until audits pass, and the true links and found ones of the last audit. Audited are ``audit`` of the
     queries and as many probes: nodes turned away from themselves until just above ``least``, so that each has a link and
@@ -294,10 +279,7 @@ def audited(graph: Graph, exact: np.ndarray, q: np.ndarray, least: float, beam:
     rng = np.random.default_rng(11)
     nodes = rng.permutation(len(exact))[:audit]
     away = rng.standard_normal((len(nodes), exact.shape[1]))
-    away -= np.einsum("bd,bd->b", away, exact[nodes])[:, None] * exact[nodes]
-    size = np.linalg.norm(away, axis=1, keepdims=True)
-    cos = least + 0.1 * (1 - least)
-    probes = _unit(np.where(size > 1e-9, cos * exact[nodes] + np.sqrt(max(0.0, 1 - cos * cos)) * away / np.maximum(size, 1e-9), exact[nodes]))
+    probes = _turned(exact[nodes], away, least)
     asked = np.concatenate([q[rng.permutation(len(q))[:audit]], probes])
     truth = np.concatenate([(asked[a : a + 64] @ exact.T >= least).sum(1) for a in range(0, len(asked), 64)])
     while True:
@@ -309,122 +291,325 @@ def audited(graph: Graph, exact: np.ndarray, q: np.ndarray, least: float, beam:
         beam *= 2
 
 
-#: What a search gives: 0 a link (a, b) with the shard and weight of b, found by a; 1 the weight of a's links in shard s, too many to
-#: list; 2 the weight of such searches that found a; 3 an edge that joins components; 4 a link as in 0, found by b; 9 an audit's
-#: links, hits, shard and beam.
-FOUND = "kind int, a long, b long, s int, w long"
-
-
-def _ask(graphs, least: float, beam: int, recall: float, audit: int):
-    """A function over batches of nodes that asks each of the broadcast ``graphs`` for the links of each node."""
-
-    def links(blob: bytes, gid: np.ndarray, n: np.ndarray, shard: np.ndarray, q: np.ndarray, own: int) -> list[np.ndarray]:
-        ids, weights, raw, packed = pickle.loads(blob)
-        exact = _unit(raw.astype(np.float64))
-        graph = Graph.unpacked(packed, exact)
-        width, links, hits = audited(graph, exact, q, least, beam, recall, audit)
-        out = [np.array([[9, links, hits, own, width]], np.int64)]
-        total, asked_by, label = np.zeros(len(gid), np.int64), np.zeros(len(ids), np.int64), np.arange(len(gid) + len(ids))
-        add = lambda kind, a, b, s, w: out.append(np.stack(np.broadcast_arrays(kind, a, b, s, w), 1).astype(np.int64))
-        for wide, row, node in graph.search(q, exact, least, width):
-            other = gid[row] != ids[node]
-            row, node = row[other], node[other]
-            if not wide:
-                add(0, gid[row], ids[node], own, weights[node])
-                add(4, ids[node], gid[row], shard[row], n[row])
-                continue
-            total += np.bincount(row, weights[node], len(gid)).astype(np.int64)
-            asked_by += np.bincount(node, n[row], len(ids)).astype(np.int64)
-            order = np.argsort(row, kind="stable")
-            row, node = row[order], node[order]
-            starts = np.flatnonzero(np.diff(row, prepend=-1))
-            for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(row)]):
-                me, others = label[row[a]], label[len(gid) + node[a:z]]
-                found, first = np.unique(others, return_index=True)
-                new = found != me
-                if new.any():
-                    add(3, gid[row[a]], ids[node[a:z][first[new]]], 0, 0)
-                    label[np.isin(label, found)] = me
-        some, seen = np.flatnonzero(total), np.flatnonzero(asked_by)
-        add(1, gid[some], 0, own, total[some])
-        add(2, ids[seen], 0, 0, asked_by[seen])
+def _vectors(column: pa.Array):
+    """A batch's usable vectors by length: (length, rows, matrix). Left out are those that are null, empty, zero, or hold null or
+    non-finite components."""
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    values = column.flatten().to_numpy(zero_copy_only=False)  # nulls become NaN
+    starts = np.cumsum(size) - size
+    for dim in np.unique(size[size > 0]).tolist():
+        rows = np.flatnonzero(size == dim)
+        x = values[starts[rows][:, None] + np.arange(dim)]
+        ok = np.isfinite(x).all(1) & (x != 0).any(1)
+        if ok.any():
+            yield dim, rows[ok], x[ok]
+
+
+def _keys(x: np.ndarray) -> list[bytes]:
+    return [hashlib.blake2b(v, digest_size=16).digest() for v in x]
+
+
+def _table(schema: str, *columns) -> pa.RecordBatch:
+    names, kinds = zip(*(c.split() for c in schema.split(", ")))
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, types[k]) for c, k in zip(columns, kinds)], list(names))
+
+
+KEYED = "vec_id long, key binary, dim int, vec binary"
+
+
+def _keyed(share: float):
+    """Rows with a key of their vector (null: unusable) and, for ``share`` of all keys, its bytes."""
+
+    def run(batches):
+        for b in batches:
+            n = b.num_rows
+            key, dims, vec = [None] * n, [None] * n, [None] * n
+            for dim, rows, x in _vectors(b.column("embedding")):
+                for r, k, v in zip(rows.tolist(), _keys(x), x):
+                    key[r], dims[r] = k, dim
+                    if int.from_bytes(k[:6], "little") < share * (1 << 48):
+                        vec[r] = v.tobytes()
+            yield _table(KEYED, b.column("vec_id"), key, dims, vec)
+
+    return run
+
+
+class Cells:
+    """Cells of the vectors of one length: each has a node in a graph, and a row joins the cells of the ``COPIES`` nearest nodes
+    that a search of the graph finds. Linked rows meet in a cell that both join."""
+
+    def __init__(self, sample: np.ndarray, cells: int, beam: int):
+        self.beam, lean, chosen = beam, sample.astype(np.float32), []
+        free = np.ones(len(lean), bool)
+        for i in range(len(lean)):
+            if free[i] and len(chosen) < cells:
+                chosen.append(i)
+                free &= lean @ lean[i] < APART
+        self.graph = Graph(lean[chosen])
+        self.blocks = np.ones(len(chosen), np.int64)
+
+    def of(self, q: np.ndarray) -> np.ndarray:
+        """For each unit vector the cells it joins, -1: none."""
+        lean, out = q.astype(np.float32), np.full((len(q), COPIES), -1, np.int32)
+        for a in range(0, len(q), 1024):
+            part = lean[a : a + 1024]
+            ids, sims = self.graph.beam(part, self.graph._descend(part, self.graph.top, 0)[:, None], max(self.beam, COPIES))
+            ids, sims = ids[:, :COPIES], sims[:, :COPIES]
+            out[a : a + 1024] = np.where(sims >= sims[:, :1] - REACH, ids, -1)
         return out
 
+    def met(self, sample: np.ndarray, least: float, most: int) -> np.ndarray:
+        """Whether sampled rows meet their probes: each row turned away until just above ``least``, half of them in a random
+        direction, the others towards another sampled row."""
+        rng = np.random.default_rng(11)
+        exact = sample[rng.integers(0, len(sample), most)]
+        away = rng.standard_normal(exact.shape)
+        away[::2] = sample[rng.integers(0, len(sample), len(away[::2]))]
+        return _share(self.of(exact), self.of(_turned(exact, away, least)))
+
+
+def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows of cells have one in common (-1 counts for none)."""
+    return ((a[:, :, None] == b[:, None, :]) & (a >= 0)[:, :, None]).any((1, 2))
+
+
+def fitted(sample: np.ndarray, least: float, cells: int, beam: int, recall: float, audit: int) -> tuple[Cells, np.ndarray, int]:
+    """Cells for sampled unit vectors, halved in number until the share ``recall`` of probes meets its row; with one cell all do."""
+    while True:
+        out = Cells(sample, cells, beam)
+        met = out.met(sample, least, 64 * audit)
+        if met.mean() >= recall or cells <= 1:
+            return out, met, cells
+        cells //= 2
+
+
+def _record(dim: int) -> np.dtype:
+    return np.dtype([("key", "V16"), ("n", "<i4"), ("side", "<i2"), ("cells", "<i2", COPIES), ("x", "<f2", dim)])
+
+
+ROUTED = "dim int, cell int, i int, j int, data binary"
+
+
+def _route(shared, least: float):
+    """Copies of each distinct vector of a batch, one for each of its cells; in a cell of several blocks, one for each pair of blocks with
+    its own. Lastly, as cell -1, how many rows each audited vector links to by brute force, itself included."""
+
+    def copies(dim: int, cells: Cells | None, exact: np.ndarray, keys: np.ndarray, n: np.ndarray):
+        rec = np.zeros(len(n), _record(dim))
+        rec["key"], rec["n"], rec["x"] = keys, n, exact
+        rec["cells"] = cells.of(exact) if cells else [0] + [-1] * (COPIES - 1)
+        rec["cells"].sort(axis=1)
+        row, col = np.nonzero(rec["cells"] >= 0)
+        cell = rec["cells"][row, col].astype(np.int32)
+        blocks = cells.blocks[cell] if cells else np.ones(len(cell), np.int64)
+        own = np.frombuffer(keys.tobytes(), "<u4")[::4][row] % blocks
+        other = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        row, cell, own = (np.repeat(c, blocks) for c in (row, cell, own))
+        for a in range(0, len(row), 20_000):
+            part = slice(a, a + 20_000)
+            out = rec[row[part]]
+            out["side"] = own[part]
+            offsets = np.arange(len(out) + 1, dtype=np.int32) * rec.dtype.itemsize
+            data = pa.Array.from_buffers(pa.binary(), len(out), [None, pa.py_buffer(offsets), pa.py_buffer(out.tobytes())])
+            yield _table(ROUTED, np.full(len(out), dim, np.int32), cell[part], np.minimum(own, other)[part].astype(np.int32), np.maximum(own, other)[part].astype(np.int32), data)
+
     def run(batches):
+        truth = {}
         for b in batches:
-            dims, table = b.column("dim").to_numpy(), pa.Table.from_batches([b])
-            for own, dim, blob in graphs.value:
-                part = table.filter(pa.array(dims == dim))
-                if part.num_rows:
-                    gid, n, shard = (part.column(c).to_numpy() for c in ("gid", "n", "shard"))
-                    got = np.concatenate(links(blob, gid, n, shard.astype(np.int64), _unit(_matrix(part.column("embedding"))), own))
-                    for a in range(0, len(got), 100_000):
-                        columns = [pa.array(c, t) for c, t in zip(got[a : a + 100_000].T, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))]
-                        yield pa.RecordBatch.from_arrays(columns, ["kind", "a", "b", "s", "w"])
+            for dim, _, x in _vectors(b.column("embedding")):
+                cells, asked = shared.value.get(dim, (None, None))
+                keys, first, n = np.unique(np.array(_keys(x), "V16"), return_index=True, return_counts=True)
+                exact = _unit(x[first].astype(np.float64))
+                if asked is not None:
+                    truth[dim] = truth.get(dim, 0) + n @ (exact @ asked.T >= least)
+                yield from copies(dim, cells, exact, keys, n)
+        for dim, counts in truth.items():
+            yield _table(ROUTED, [dim], [-1], [0], [0], [counts.astype("<i8").tobytes()])
 
     return run
 
 
-def _waves(sizes: list[tuple[int, int, int]]):
-    """Graphs (shard, dim, bytes) in runs of at most ``WAVE_BYTES``, or of one."""
-    wave, total = [], 0
-    for shard, dim, size in sizes:
-        if wave and total + size > WAVE_BYTES:
-            yield wave
-            wave, total = [], 0
-        wave.append((shard, dim))
-        total += size
-    if wave:
-        yield wave
+def _bytes(column: pa.ChunkedArray) -> np.ndarray:
+    """The bytes of a binary column, one row after another."""
+    out = []
+    for c in column.chunks:
+        at = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+        out.append(np.frombuffer(c.buffers()[2], np.uint8)[at[0] : at[-1]])
+    return np.concatenate(out)
+
+
+#: What a cell gives: 0 the number w of links of a; 3 an edge that joins components; 5 a pair to be compared exactly; 9 the number w of
+#: links of audited vector a (its number in four bytes) by brute force, for vectors of length v.
+FOUND = "kind int, a binary, b binary, w long, v long"
+
+
+def _bounding(x: np.ndarray) -> np.ndarray:
+    """Vectors of half the length whose products are at least those of ``x``: half of the components, and the norm of the rest
+    (Cauchy-Schwarz)."""
+    half = (x.shape[1] + 1) // 2
+    return np.concatenate([x[:, :half], np.linalg.norm(x[:, half:], axis=1, keepdims=True)], axis=1)
+
+
+def _compare(least: float):
+    """A function over the copies in a cell, or in two blocks of it, that finds all links of pairs that share no lower cell."""
+
+    def run(table: pa.Table) -> pa.Table:
+        dim, cell, i, j = (table.column(c)[0].as_py() for c in ("dim", "cell", "i", "j"))
+        out = []
+        if cell < 0:
+            counts = np.frombuffer(_bytes(table.column("data")).tobytes(), "<i8").reshape(table.num_rows, -1).sum(0)
+            out.append(_table(FOUND, [9] * len(counts), [k.to_bytes(4, "little") for k in range(len(counts))], [None] * len(counts), counts, [dim] * len(counts)))
+            return pa.Table.from_batches(out)
+        rec = _bytes(table.column("data")).view(_record(dim))
+        keys, first, group = np.unique(rec["key"], return_index=True, return_inverse=True)
+        n = np.bincount(group, rec["n"]).astype(np.int64)
+        rec = rec[first]
+        order = np.argsort(rec["side"], kind="stable")
+        rec, keys, n = rec[order], keys[order], n[order]
+        x, lower = rec["x"].astype(np.float32), np.where(rec["cells"] < cell, rec["cells"], -1)
+        half = _bounding(x)
+        split = int(np.searchsorted(rec["side"], j)) if i < j else len(rec)
+        at, end = (split, len(rec)) if i < j else (0, len(rec))
+        total, label, edges, doubts = np.zeros(len(rec)), np.arange(len(rec)), [], []
+        for a in range(0, split, 1024):
+            for b in range(a if i == j else at, end, 4096):
+                u, v = slice(a, min(a + 1024, split)), slice(b, min(b + 4096, end))
+                s = half[u] @ half[v].T
+                flat = np.flatnonzero(s >= least - DOUBT)
+                full = len(flat) > s.size >> 7  # many are left: whole products cost less than one by one
+                if full:
+                    s = x[u] @ x[v].T
+                    flat = np.flatnonzero(s >= least - DOUBT)
+                for c in range(0, len(flat), 1 << 17):
+                    row, col = np.divmod(flat[c : c + (1 << 17)], s.shape[1])
+                    sims = s[row, col] if full else np.einsum("md,md->m", x[row + a], x[col + b])
+                    row, col = row + a, col + b
+                    ok = (row < col) & (sims >= least - DOUBT)
+                    ok[ok] = ~_share(lower[row[ok]], lower[col[ok]])
+                    row, col, sure = row[ok], col[ok], sims[ok] >= least + DOUBT
+                    doubts.append((row[~sure], col[~sure]))
+                    row, col = row[sure], col[sure]
+                    total += np.bincount(row, n[col], len(rec)) + np.bincount(col, n[row], len(rec)) if len(row) else 0
+                    starts = np.flatnonzero(np.diff(row, prepend=-1))
+                    for p, q in zip(starts.tolist(), [*starts[1:].tolist(), len(row)]):
+                        me, others = label[row[p]], label[col[p:q]]
+                        near, at_first = np.unique(others, return_index=True)
+                        new = near != me
+                        if new.any():
+                            edges += [(row[p], col[p + k]) for k in at_first[new].tolist()]
+                            label[np.isin(label, near)] = me
+        key = lambda rows: [keys[r].tobytes() for r in rows]
+        some = np.flatnonzero(total)
+        out.append(_table(FOUND, [0] * len(some), key(some), [None] * len(some), total[some].astype(np.int64), [0] * len(some)))
+        row, col = (np.concatenate([d[k] for d in doubts]) if doubts else np.zeros(0, int) for k in (0, 1))
+        for kind, u, v in ((3, [e[0] for e in edges], [e[1] for e in edges]), (5, row, col)):
+            out.append(_table(FOUND, [kind] * len(u), key(u), key(v), [0] * len(u), [0] * len(u)))
+        return pa.Table.from_batches(out)
+
+    return run
+
 
+def _verify(least: float):
+    """Of pairs (a, dim, vec_a, b, vec_b, n_a, n_b) those at ``least`` or above in double precision."""
 
-def embedding_groups(vectors: DataFrame, least: float = 0.9, shards: int = 4, shard_rows: int = 200_000, block_rows: int = 8_192, beam: int = 48, recall: float = 0.99, audit: int = 64) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            for dim in np.unique(b.column("dim").to_numpy()).tolist():
+                part = b.filter(pa.array(b.column("dim").to_numpy() == dim))
+                x, y = (_unit(np.stack([np.frombuffer(v.as_py(), f"<f{len(v.as_py()) // dim}") for v in part.column(c)]).astype(np.float64)) for c in ("vec_a", "vec_b"))
+                part = part.filter(pa.array(np.einsum("bd,bd->b", x, y) >= least))
+                yield part.select(["a", "b", "n_a", "n_b"])
+
+    return run
+
+
+def _exactly(rows: DataFrame, groups: DataFrame, doubt: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs of keys ``doubt`` that link in double precision, with the counts n_a and n_b of their vectors."""
+    ends = stored(doubt.select(F.col("a").alias("key")).union(doubt.select("b")).distinct(), "ends")
+    maybe = KeyFilter(stored(ends.select(F.xxhash64("key").alias("key")), "hashes"))
+    vecs = maybe.mark(rows.mapInArrow(_keyed(1), KEYED).where("key is not null"), F.xxhash64("key")).where("__maybe").join(ends, "key", "left_semi")
+    vecs = stored(vecs.groupBy("key", "dim").agg(F.first("vec").alias("vec")).join(groups.select("key", "n"), "key"), "vecs")
+    sides = [vecs.select(F.col("key").alias(c), "dim", F.col("vec").alias(f"vec_{c}"), F.col("n").alias(f"n_{c}")) for c in ("a", "b")]
+    pairs = stored(doubt.select("a", "b").join(sides[0], "a").join(sides[1].drop("dim"), "b"), "pairs")
+    return stored(pairs.mapInArrow(_verify(least), "a binary, b binary, n_a long, n_b long"), "exact")
+
+
+def _units(sample: list) -> dict[int, tuple[list[bytes], np.ndarray]]:
+    """Sampled rows (dim, key, vec) as keys and unit vectors by length, in the order of their keys."""
+    out: dict = {}
+    for dim, key, vec in sorted((r.dim, bytes(r.key), bytes(r.vec)) for r in sample):
+        keys, vecs = out.setdefault(dim, ([], []))
+        keys.append(key)
+        vecs.append(np.frombuffer(vec, f"<f{len(vec) // dim}"))
+    return {dim: (keys, _unit(np.stack(vecs).astype(np.float64))) for dim, (keys, vecs) in out.items()}
+
+
+def embedding_groups(vectors: DataFrame, least: float = 0.9, shards: int = 4, block_rows: int = 200_000, beam: int = 32, recall: float = 0.99, audit: int = 64) -> DataFrame:
     """For each row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept.
 
-    Rows are dealt to at least ``shards`` shards of at most ``shard_rows`` and ``SHARD_BYTES``; each shard indexes all its
-    rows in one graph, and every row queries every shard. Graphs are built once and go to the queries by broadcast, as many
-    at a time as ``WAVE_BYTES`` hold, so that vectors are shuffled twice at most, whatever their number. For each block of
-    queries and graph the beam doubles until audits (``audited``) find the share ``recall`` of the links that brute force
-    finds. Found pairs are verified by cosine in double precision, so none below ``least`` links. A pair found from either end
-    counts for both. Beams full of links go over into range searches, whose links are counted, not listed; if more rows found a
-    row than it found itself, that count holds. Equal vectors are one node with a
-    count. Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do vectors
+    A graph is fitted on a bounded sample of the vectors: the square root of their number, nodes no nearer to each other than
+    ``APART``, at least ``shards``. Every row searches it and joins the cells of the nearest nodes; in each cell all pairs are compared, in
+    half precision by matrix products, and exactly, by cosine in double precision, where that leaves doubt, so that no pair below
+    ``least`` links. A pair counts in the lowest cell that both join, for both ends. Cells of more than about ``block_rows`` rows are
+    compared in pairs of blocks. The number of cells is halved until audits find the share ``recall``: first of probes (sampled rows turned away
+    until just above ``least``) that meet their row, then, after the comparison, of the links that brute force over all rows
+    finds for ``audit`` vectors. One cell compares everything, so this ends. Equal vectors are one node with a count.
+    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do vectors
     of different lengths; their component is themselves. Rows that repeat are vectors of their own; a null vec_id never is
     a component's id if another exists; other columns are ignored; an empty table gives an empty result.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
-    rows = stored(rows.withColumns({"uid": F.monotonically_increasing_id(), "embedding": F.when(F.coalesce(finite, F.lit(False)), F.col("embedding"))}), "vectors")
-    valid = rows.where("embedding is not null")
-    total, dim = valid.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    shards = max(shards, -(-total // max(1, min(shard_rows, SHARD_BYTES // (4 * (dim or 1))))))
-    blocks = max(tasks(spark), -(-total // block_rows))
-    nodes = valid.groupBy("embedding").agg(F.min("uid").alias("gid"), F.count("*").alias("n"))
-    nodes = nodes.withColumns({"dim": F.size("embedding"), "shard": F.pmod(F.xxhash64("gid"), F.lit(shards)).cast("int")})
-    nodes = stored(nodes.repartition(blocks), "nodes")
-    graphs = stored(nodes.groupBy("shard", "dim").applyInArrow(_index, "shard int, dim int, bytes long, graph binary"), "graphs")
-
-    def answers():
-        sizes = sorted(map(tuple, graphs.select("shard", "dim", "bytes").collect()))
-        for wave in _waves(sizes) if sizes else [[]]:
-            wanted = F.struct("shard", "dim").isin([F.struct(F.lit(s), F.lit(d)) for s, d in wave]) if wave else F.lit(False)
-            shared = spark.sparkContext.broadcast([(r.shard, r.dim, bytes(r.graph)) for r in graphs.where(wanted).select("shard", "dim", "graph").collect()])
-            yield nodes.select("gid", "n", "shard", "dim", "embedding").mapInArrow(_ask(shared, least, beam, recall, audit), FOUND)
-            shared.unpersist()  # the frame has been written
-
-    found = stored_all(spark, answers(), "found")
-    # distinct neighbours of a in shard s, found from either end, and those of them that found a; sums where they are too many to list
-    listed = found.where("kind in (0, 4)").groupBy("a", "b").agg(F.max("s").alias("s"), F.max("w").alias("w"), F.max(F.col("kind") == 4).alias("back"))
-    listed = listed.groupBy("a", "s").agg(F.sum("w").alias("near"), F.sum(F.when(F.col("back"), F.col("w")).otherwise(0)).alias("back"))
-    summed = found.where("kind in (1, 2)").groupBy("kind", "a", "s").agg(F.sum("w").alias("w")).select("a", "s", F.when(F.col("kind") == 1, F.col("w")).otherwise(0).alias("near"), F.when(F.col("kind") == 2, F.col("w")).otherwise(0).alias("back"))
-    counts = listed.unionByName(summed).groupBy("a", "s").agg(F.max("near").alias("near"), F.sum("back").alias("back"))
-    counts = counts.groupBy(F.col("a").alias("gid")).agg(F.greatest(F.sum("near"), F.sum("back")).alias("others"))
-    labels = components(found.where("kind = 0 and a < b or kind = 3").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    known = nodes.select("gid", "n", "embedding").join(counts, "gid", "left").join(labels.withColumnRenamed("node", "gid"), "gid", "left")
-    known = stored(known.select("embedding", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("label", "gid").alias("label")), "known")
-    linked = stored(valid.join(known, "embedding").select("vec_id", "n_links", "label"), "linked")
-    least_id = stored(linked.groupBy("label").agg(F.min("vec_id").alias("component_id")), "least")
-    out = linked.join(least_id, "label").select("vec_id", "n_links", "component_id")
-    alone = rows.where("embedding is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    spark, column = vectors.sparkSession, F.col("embedding")
+    if not isinstance(vectors.schema["embedding"].dataType.elementType, FloatType):
+        column = column.cast("array<double>")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), column.alias("embedding"))
+    total = rows.count()
+    share = max(1024, SPARE * min(NODES, math.isqrt(total) + 1)) / max(1, total)
+    keyed = stored(rows.mapInArrow(_keyed(share), KEYED), "keyed")
+    groups = keyed.where("key is not null").groupBy("key", "dim").agg(F.count("*").alias("n"), F.min("vec_id").alias("least_id"))
+    groups = stored(groups.withColumn("gid", F.monotonically_increasing_id()), "groups")
+    numbers = {r.dim: r["count"] for r in groups.groupBy("dim").count().collect()}
+    sample = _units(keyed.where("vec is not null").groupBy("dim", "key").agg(F.first("vec").alias("vec")).collect())
+    most = {dim: max(shards, min(NODES, math.isqrt(numbers[dim]) + 1)) for dim in sample}
+    parts = max(tasks(spark), total * COPIES * _record(max(numbers, default=1)).itemsize >> 26)
+    while True:
+        shared, met = {}, []
+        for dim, (_, x) in sample.items():
+            cells, ok, most[dim] = fitted(x, least, most[dim], beam, recall, audit)
+            joined = cells.of(x)
+            cells.blocks = -(-np.bincount(joined[joined >= 0], minlength=len(cells.blocks)) * numbers[dim] // (len(x) * block_rows))
+            cells.blocks = np.maximum(cells.blocks, 1)
+            shared[dim] = cells, x[:audit]
+            met.append(ok)
+        graphs = spark.sparkContext.broadcast(shared)
+        where = ["dim", "cell", "i", "j"]
+        found = rows.mapInArrow(_route(graphs, least), ROUTED).repartition(parts, *where).groupBy(*where).applyInArrow(_compare(least), FOUND)
+        found = stored(found, "found")
+        graphs.unpersist()
+        links, counts = found.where("kind = 3").select("a", "b"), found.where("kind = 0").select(F.col("a").alias("key"), "w")
+        doubt = found.where("kind = 5").select("a", "b")
+        if doubt.limit(1).count():
+            exact = _exactly(rows, groups, doubt, least)
+            links = links.union(exact.select("a", "b"))
+            counts = counts.union(exact.select("a", "n_b")).union(exact.select("b", "n_a"))
+        counts = stored(counts.groupBy("key").agg(F.sum("w").alias("w")), "counts")
+        # what brute force has for the audited vectors, and what was found
+        truth = {(r.v, int.from_bytes(r.a, "little")): r.w for r in found.where("kind = 9").groupBy("v", "a").agg(F.sum("w").alias("w")).collect()}
+        asked = [k for keys, _ in sample.values() for k in keys[:audit]]
+        got = groups.where(F.col("key").isin([F.lit(bytearray(k)) for k in asked])).join(counts, "key", "left") if asked else groups.limit(0).withColumn("w", F.lit(0))
+        got = {bytes(r.key): r.n + (r.w or 0) - 1 for r in got.select("key", "n", "w").collect()}
+        pairs = [(got[keys[k]], truth[dim, k] - 1) for dim, (keys, _) in sample.items() for k in range(min(audit, len(keys)))]
+        hits, all_links = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+        met = np.concatenate([*met, np.zeros(0, bool)]).astype(np.int64)
+        if recalled(np.concatenate([hits, met]), np.concatenate([all_links, np.ones_like(met)]), beam, recall) or all(m <= 1 for m in most.values()):
+            break
+        most = {dim: max(1, m // 2) for dim, m in most.items()}
+    ids = [groups.select(F.col("key").alias(c), F.col("gid").alias(g)) for c, g in (("a", "u"), ("b", "v"))]
+    labels = components(links.join(ids[0], "a").join(ids[1], "b").select("u", "v"))
+    linked = stored(groups.join(labels.withColumnRenamed("node", "gid"), "gid").select("key", "label", "least_id"), "linked")
+    least_id = linked.groupBy("label").agg(F.min("least_id").alias("component_id"))
+    known = groups.join(counts, "key", "left").join(linked.join(least_id, "label").select("key", "component_id"), "key", "left")
+    known = stored(known.select("key", (F.coalesce("w", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "least_id").alias("component_id")), "known")
+    out = keyed.where("key is not null").select("vec_id", "key").join(known, "key").select("vec_id", "n_links", "component_id")
+    alone = keyed.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -306,6 +306,43 @@ def test_audits_never_pass_on_nothing():
     assert len(set(found)) >= 0.99 * (exact[:500] @ exact.T >= 0.9).sum() and len(found) == len(set(found))
 
 
+def test_cells_bound_the_work():
+    """A row joins a few cells, not all: of 40,000 rows' pairs a small share is compared, yet linked rows meet, at 0.9 too."""
+    rng = np.random.default_rng(18)
+    x = hnsw._unit(rng.normal(size=(20_000, 48)))
+    away = rng.normal(size=x.shape)
+    away = hnsw._unit(away - (away * x).sum(1, keepdims=True) * x)
+    pairs = np.concatenate([x, 0.9 * x + 0.19**0.5 * away])
+    cells, met, _ = hnsw.fitted(pairs[rng.permutation(40_000)[:1024]], 0.9, 200, 32, 0.99, 64)
+    joined = cells.of(pairs)
+    assert met.mean() >= 0.99 and hnsw._share(joined[:20_000], joined[20_000:]).mean() >= 0.98
+    sizes = np.bincount(joined[joined >= 0])
+    assert (joined >= 0).sum() <= 7 * 40_000 and (sizes.astype(float) ** 2).sum() < 0.35 * 40_000.0**2
+
+
+def test_dense_groups_have_one_cell():
+    """Near copies by the thousand join the same cells, since nodes keep apart."""
+    rng = np.random.default_rng(19)
+    dense = np.repeat(rng.normal(size=(1, 64)), 600, 0) + 0.05 * rng.normal(size=(600, 64))
+    x = hnsw._unit(np.concatenate([dense, rng.normal(size=(600, 64))]))
+    cells, _, _ = hnsw.fitted(x[rng.permutation(1200)], 0.9, 200, 32, 0.99, 64)
+    assert len(set(cells.of(x[:600])[:, 0].tolist())) == 1 and len(cells.blocks) == 200
+
+
+def test_embeddings_in_blocks_of_cells(spark):
+    """Cells larger than a block are compared block by block; copies count; cosines about the threshold are settled in doubles."""
+    rng = np.random.default_rng(20)
+    x = rng.normal(size=(1, 16)) + 0.33 * rng.normal(size=(300, 16))
+    x = np.concatenate([x, rng.normal(size=(300, 16)), np.repeat(x[:1], 70, 0)])
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.embedding_groups(df, shards=1, block_rows=60).collect()}
+    want = linked(rows)
+    assert all(got[i][0] <= want[i][0] for i in want)
+    assert sum(n for n, _ in got.values()) >= 0.99 * sum(n for n, _ in want.values()) > 5_000
+    assert sum(got[i][1] == want[i][1] for i in want) >= 0.98 * len(want)
+
+
 # ---- sharding ----
 
 
