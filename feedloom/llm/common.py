@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,15 +37,6 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
-def stored_all(spark: SparkSession, frames: Iterable[DataFrame], name: str = "t") -> DataFrame:
-    """As ``stored`` for frames of one schema, each made and written in turn, read back as one table."""
-    path, schema = _folder(spark, name), None
-    for k, df in enumerate(frames):
-        schema = df.schema
-        df.write.parquet(f"{path}/run={k}")
-    return spark.read.schema(schema).parquet(path).select(schema.names)
-
-
 def written(spark: SparkSession) -> int:
     """How many tables ``stored`` has written for this application, as a mark for ``release``."""
     return len(_written.get(spark.sparkContext.applicationId, []))

@@ -472,10 +472,14 @@ def _compare(least: float):
         split = int(np.searchsorted(rec["side"], j)) if i < j else len(rec)
         at, end = (split, len(rec)) if i < j else (0, len(rec))
         total, label, edges, doubts = np.zeros(len(rec)), np.arange(len(rec)), [], []
-        for a in range(0, split, 1024):
-            for b in range(a if i == j else at, end, 4096):
-                u, v = slice(a, min(a + 1024, split)), slice(b, min(b + 4096, end))
-                s = half[u] @ half[v].T
+        room = np.empty(512 * 1024, np.float32)  # products stay in a core's cache
+        for a in range(0, split, 512):
+            for b in range(a if i == j else at, end, 1024):
+                u, v = slice(a, min(a + 512, split)), slice(b, min(b + 1024, end))
+                shape = u.stop - a, v.stop - b
+                s = np.dot(half[u], half[v].T, out=room[: shape[0] * shape[1]].reshape(shape))
+                if s.max() < least - DOUBT:
+                    continue
                 flat = np.flatnonzero(s >= least - DOUBT)
                 full = len(flat) > s.size >> 7  # many are left: whole products cost less than one by one
                 if full:
